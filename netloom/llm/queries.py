@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, fingerprints, packing, urls
+from netloom.llm import chat, fingerprints, neardup, packing, urls
 
 #: The tokenizer file of the packing query, by its name among the installed public ones.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
         "op10_url_filters": op10_url_filters,
     }
