@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import mixed, shingle_hashes, slices, word_hashes, words, written
+from netloom.llm.common import WordHashes, mixed, plain_unions, shingle_hashes, slices, written
 
 CELLS = 1 << 20
 #: Bits of the map of wanted nodes.
 MAP_BITS = 1 << 25
 #: Rows of random numbers that features are dealt to.
-RANDOM_ROWS = 1 << 15
-CHUNK = 1 << 14
+RANDOM_ROWS = 1 << 13
+CHUNK = 1 << 11
 
 
 @dataclass(frozen=True)
@@ -88,14 +88,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold a word of each cell, over all documents, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, number = np.zeros(CELLS, np.int64), 0
+        seen, number, hashes_of = np.zeros(CELLS, np.int64), 0, WordHashes()
         for batch in slices(batches, "text"):
-            flat, offsets = words(batch.column("text"))
-            cell = (word_hashes(flat) % np.uint64(CELLS)).astype(np.int64)
+            hashes, offsets = hashes_of(batch.column("text"))
+            cell = (hashes % np.uint64(CELLS)).astype(np.int64)
             owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
             pair = np.sort(owner * CELLS + cell)
             pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
-            np.add.at(seen, pair % CELLS, 1)
+            seen += np.bincount(pair % CELLS, minlength=CELLS)
             number += batch.num_rows
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], number))], ["cell", "n"])
@@ -113,10 +113,9 @@ def inverse(frequencies: np.ndarray, number: int) -> np.ndarray:
     return (np.log((1.0 + number) / (1.0 + frequencies)) + 1.0).astype(np.float32)
 
 
-def features(texts: pa.Array, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: pa.Array, hashes_of: WordHashes, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(node of each text, offsets, shingles in ascending order, their weights)."""
-    flat, offsets = words(texts)
-    hashes = word_hashes(flat)
+    hashes, offsets = hashes_of(texts)
     shingles, starts = shingle_hashes(hashes, offsets, size)
     # The node: a hash of all words in order; of the text itself where it has none.
     nodes = np.zeros(len(offsets) - 1, np.uint64)
@@ -146,19 +145,30 @@ def sample(offsets: np.ndarray, shingles: np.ndarray, weights: np.ndarray, rando
     best = np.full((number, k), np.inf, np.float32)
     out = np.zeros((number, k), np.uint32)
     owners = np.repeat(np.arange(number), np.diff(offsets))
+    rows, logs = (mixed(shingles) % np.uint64(RANDOM_ROWS)).astype(np.int64), np.log(weights)
+    step, value, other = (np.empty((CHUNK, k), np.float32) for _ in range(3))
     for at in range(0, len(shingles), CHUNK):
-        some, owner = shingles[at : at + CHUNK], owners[at : at + CHUNK]
-        row = (mixed(some) % np.uint64(RANDOM_ROWS)).astype(np.int64)
-        step = np.floor(np.log(weights[at : at + CHUNK])[:, None] * randoms.inverse[row] + randoms.beta[row])
-        value = randoms.start[row] - randoms.r[row] * step
+        some, owner, row = shingles[at : at + CHUNK], owners[at : at + CHUNK], rows[at : at + CHUNK]
+        s, v, o = step[: len(some)], value[: len(some)], other[: len(some)]
+        np.take(randoms.inverse, row, axis=0, out=s, mode="clip")
+        s *= logs[at : at + CHUNK, None]
+        s += np.take(randoms.beta, row, axis=0, out=o, mode="clip")
+        np.floor(s, out=s)
+        np.take(randoms.start, row, axis=0, out=v, mode="clip")
+        np.take(randoms.r, row, axis=0, out=o, mode="clip")
+        o *= s
+        v -= o
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        lowest = np.minimum.reduceat(value, first, axis=0)
+        lowest = np.minimum.reduceat(v, first, axis=0)
         place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(owner))))
-        i, j = np.nonzero(value == lowest[place])
-        i, j = i[::-1], j[::-1]  # of equal values the least shingle is written last
+        equal = np.empty(v.shape, bool)
+        for p, (a, b) in enumerate(zip(first, np.append(first[1:], len(owner)), strict=True)):
+            np.equal(v[a:b], lowest[p], out=equal[a:b])
+        flat = np.flatnonzero(equal)[::-1]  # of equal values the least shingle is written last
+        i, j = flat // k, flat % k
         hashed = np.zeros((len(first), k), np.uint32)
         with np.errstate(over="ignore"):
-            hashed[place[i], j] = mixed(some[i] * np.uint64(0x9E3779B97F4A7C15) + step[i, j].astype(np.int64).view(np.uint64)).astype(np.uint32)
+            hashed[place[i], j] = mixed(some[i] * np.uint64(0x9E3779B97F4A7C15) + s[i, j].astype(np.int64).view(np.uint64)).astype(np.uint32)
         mine = owner[first]
         better = lowest < best[mine]
         best[mine] = np.where(better, lowest, best[mine])
@@ -172,9 +182,9 @@ def sketches(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        randoms, salt = Randoms(settings), mixed(np.arange(1, settings.bands + 1, dtype=np.uint64))
+        hashes_of, randoms, salt = WordHashes(), Randoms(settings), mixed(np.arange(1, settings.bands + 1, dtype=np.uint64))
         for batch in slices(batches, "text"):
-            nodes, offsets, shingles, weights = features(batch.column("text"), idf_sent.value, settings.shingle)
+            nodes, offsets, shingles, weights = features(batch.column("text"), hashes_of, idf_sent.value, settings.shingle)
             found = sample(offsets, shingles, weights, randoms)
             keys = np.broadcast_to(salt, (len(nodes), settings.bands)).copy()
             grouped = found.reshape(len(nodes), settings.bands, settings.rows).astype(np.uint64)
@@ -220,10 +230,11 @@ def wanted_texts(docs: DataFrame, pairs: DataFrame, idf_sent, settings: Settings
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of = WordHashes()
         for batch in slices(batches, "text"):
             texts = batch.column("text")
-            flat, offsets = words(texts)
-            raw = word_hashes(flat).tobytes()
+            hashes, offsets = hashes_of(texts)
+            raw = hashes.tobytes()
             nodes = np.array([xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
             place = np.fromiter((xxhash.xxh64_intdigest(int(n).to_bytes(8, "little"), seed=42) for n in nodes), np.uint64, len(nodes)).view(np.int64) % MAP_BITS
             keep = ((sent.value[place // 64] >> (place % 64)) & 1).astype(bool) & (np.diff(offsets) > 0)
@@ -239,9 +250,10 @@ def verified(pairs: DataFrame, texts: DataFrame, idf_sent, settings: Settings) -
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of = WordHashes()
         for batch in slices(slices(batches, "ta"), "tb"):
             coded = pa.chunked_array([batch.column("ta"), batch.column("tb")]).combine_chunks().dictionary_encode()
-            _, offsets, shingles, weights = features(coded.dictionary, idf_sent.value, settings.shingle)
+            _, offsets, shingles, weights = features(coded.dictionary, hashes_of, idf_sent.value, settings.shingle)
             place = np.asarray(coded.indices)
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
@@ -285,6 +297,11 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, class_id) of every row."""
+    with plain_unions(docs.sparkSession):
+        return _classes(docs, settings)
+
+
+def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
     spark = docs.sparkSession
     idf = inverse(*document_frequencies(docs))
     idf_sent = spark.sparkContext.broadcast(idf)
