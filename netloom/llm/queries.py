@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, decontaminate, fingerprints, neardup, packing, urls
+from netloom.llm import chat, decontaminate, fingerprints, langid, neardup, packing, urls
 
 #: The tokenizer file of the packing query, by its name among the installed public ones.
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
+        "op7_language_id": op7_language_id,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op10_url_filters": op10_url_filters,
     }
