@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, decontaminate, fingerprints, langid, neardup, packing, urls
+from netloom.llm import chat, decontaminate, fingerprints, langid, neardup, packing, quality, urls
 
 #: The tokenizer file of the packing query, by its name among the installed public ones.
 TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +48,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op5_fingerprints": op5_fingerprints,
         "op7_language_id": op7_language_id,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_url_filters": op10_url_filters,
     }
 
