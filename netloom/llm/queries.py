@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, decontaminate, fingerprints, langid, neardup, packing, quality, urls
+from netloom.llm import chat, decontaminate, fingerprints, htmltext, langid, neardup, packing, quality, urls
 
 #: The tokenizer file of the packing query, by its name among the installed public ones.
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
+        "op6_html_extraction": op6_html_extraction,
         "op7_language_id": op7_language_id,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
