@@ -10,17 +10,20 @@ sent to executors has the same size for any corpus.
    similarity.  Texts with the same words are one node; copies are counted, never
    paired.
 2. Bands of ``rows`` samples are hashed.  Nodes that share a band are compared
-   with one of them, chosen by hash, so a bucket of n nodes gives n - 1 pairs.
+   with one of them, chosen by hash, so a bucket of n nodes gives n - 1 pairs;
+   then once more with another one, unless they are in its class already.
 3. Pairs whose samples agree too rarely (five standard deviations below the
    threshold) go; the others' weighted Jaccard similarity is computed from the
    whole texts, and is at least ``threshold`` for a link.
 4. Classes are the connected components of the links (alternating stars, all on
    executors).
-5. Buckets that still hold several classes are compared further: all pairs of
-   different classes where these are at most ``per_node`` for each node, else each
-   node with the first of each class; then whatever pairs of different classes
-   are left.  No pair of a bucket is passed over unless its ends are already in
-   one class.
+5. Buckets that still hold several classes are compared further.  Where pairs
+   of different classes are few for their nodes, all are compared.  In larger
+   buckets the weight of what a text shares with any other of them bounds its
+   similarity to each: near copies with many changes of their own drop out by one
+   count, and of the rest only pairs whose bounds reach the threshold are made.
+   So no pair of a bucket is passed over unless its ends are in one class already
+   or it cannot reach the threshold.
 
 Defined results: a null text counts as empty; texts without any word are in one
 class only if they are equal; shorter texts are one shingle; repeated rows are
@@ -57,7 +60,9 @@ class Settings:
     threshold: float = 0.8
     bands: int = 16
     rows: int = 4
-    per_node: int = 64
+    #: Pairs of different classes, for each node of a bucket, up to which all of them are compared at once.
+    per_node: int = 8
+    steps: tuple[str, ...] = ("centre", "centre", "near", "rest")
     seed: int = 20_240_601
 
     @property
@@ -215,13 +220,12 @@ def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def wanted_texts(docs: DataFrame, pairs: DataFrame, idf_sent, settings: Settings) -> DataFrame:
-    """(node, text), one row for each node that occurs in a pair.
+def wanted_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text), one row for each of these nodes.
 
     A map of fixed size of the wanted nodes' hashes spares most other texts the
     shuffle; where it is full, it only spares fewer.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bit = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
     cells = nodes.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {MAP_BITS}) % 64 as int))").alias("bit"))
     found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MAP_BITS / 64 rows
@@ -301,6 +305,29 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return _classes(docs, settings)
 
 
+def bounds(texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
+    """(node, total, shared): the weight of a text's shingles, and of those that another of these texts has.
+
+    What two texts share is at most the less of their ``shared``.  Nodes that this
+    keeps below the threshold with any other are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of = WordHashes()
+        for batch in slices(batches, "text"):
+            _, offsets, shingles, weights = features(batch.column("text"), hashes_of, idf_sent.value, settings.shingle)
+            node = np.asarray(batch.column("node"))
+            sizes = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, sizes)), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], ["node", "shingle", "weight"])
+
+    rows = written(texts.mapInArrow(run, "node long, shingle long, weight double"), "shingles")
+    # A shingle that one node has alone is known by that node; no rows of a shingle need meet in one task.
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).filter("n = 1")
+    lost = alone.groupBy("node").agg(F.sum("weight").alias("lost"))
+    totals = rows.groupBy("node").agg(F.sum("weight").alias("total")).join(lost, "node", "left")
+    return totals.select("node", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("shared")).filter(F.col("shared") >= (settings.threshold - 1e-6) * F.col("total"))
+
+
 def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
     spark = docs.sparkSession
     idf = inverse(*document_frequencies(docs))
@@ -308,38 +335,45 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
     rows = written(sketches(docs, idf, settings), "sketches")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
     bands = rows.select("node", F.explode("bands").alias("key")).distinct()
-    centres = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("c")).filter("n > 1")
-    members = written(bands.join(centres.select("key", F.col("c.node").alias("centre")), "key"), "members")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(bands.join(sizes.select("key"), "key"), "members")
     tested: DataFrame | None = None
     links: DataFrame | None = None
     roots: DataFrame | None = None
-    for step in ("centre", "near", "rest"):
+    for number, step in enumerate(settings.steps):
+        if roots is None:
+            placed = members.select("key", "node", F.col("node").alias("root"))
+        else:
+            placed = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
         if step == "centre":
-            pairs = ordered(members.select(F.col("node").alias("x"), F.col("centre").alias("y")))
+            centres = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(number)).alias("h"), F.col("node").alias("y"), F.col("root").alias("ry"))).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+            crossed = placed.join(centres.select("key", "c.y", "c.ry"), "key").filter("root != ry")
         else:
-            if roots is None:
-                placed = members.select("key", "node", F.col("node").alias("root"))
-            else:
-                placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            placed = written(placed, "placed")
-            sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+            sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
             keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("classes")).filter("classes > 1")
-            keys = keys.select("key", (F.lit(step == "rest") | (F.col("n") * F.col("n") - F.col("squares") <= 2 * settings.per_node * F.col("n"))).alias("all"))
-            open_ = placed.join(keys, "key")
-            other = open_.filter("all").select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
-            other = other.union(sizes.join(keys.filter("not all"), "key").select("key", "first", "root"))
-            crossed = open_.join(other, "key").filter((F.col("root") != F.col("ry")) & (~F.col("all") | (F.col("node") < F.col("y"))))
-            pairs = ordered(crossed.select(F.col("node").alias("x"), "y")).join(tested, ["a", "b"], "left_anti")
+            small = F.col("n") * F.col("n") - F.col("squares") <= 2 * settings.per_node * F.col("n")
+            open_ = written(placed.join(keys.filter(small if step == "near" else ~small).select("key"), "key"), "open")
+            if open_.isEmpty():
+                continue
+            different = (F.col("root") != F.col("ry")) & (F.col("node") < F.col("y"))
+            if step == "rest":
+                texts = wanted_texts(docs, open_.select("node").distinct())
+                open_ = open_.join(written(bounds(texts, idf_sent, settings), "bounds"), "node")
+                most = F.least("shared", "shared_y")
+                different &= most >= (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y") - most)
+            other = open_.withColumnsRenamed({"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y"})
+            crossed = open_.join(other, "key").filter(different)
+        pairs = ordered(crossed.select(F.col("node").alias("x"), "y"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if step == "centre":
-                break
             continue
         tested = pairs if tested is None else tested.union(pairs)
         close = written(likely(pairs, nodes, settings), "likely")
         if close.isEmpty():
             continue
-        texts = written(wanted_texts(docs, close, idf_sent, settings), "texts")
+        texts = written(wanted_texts(docs, close.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
         found = written(verified(close, texts, idf_sent, settings), "verified")
         links = found if links is None else links.union(found)
         roots = components(links)
