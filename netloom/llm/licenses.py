@@ -107,6 +107,7 @@ ORDINARY = (
     "The general was a public figure, and the foundation of the house was the work of years.",
     "We are from here, they were there, this was then, and what is now will be for some.",
     "All related parts are distributed under the table, on a basis that is kept in writing.",
+    "Only an hour went into it, and 10 of 20 came with an answer, as at an inn on an only road.",
 )
 # end of fixed values
 
@@ -207,22 +208,27 @@ def pair_array(words: Column) -> Column:
 def scanned(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> DataFrame:
     """(key, paragraph, family, score, similarity, notice) of every confirmed paragraph."""
     model = fit(s)
-    single = sorted({w for g in model.weights for w in g.split() if " " not in g} | {w for g in model.weights for w in g.split()})
-    singles = [w for w in single if w in model.weights or any(w in g.split() for g in model.weights)]
     common = {w for t in ORDINARY for w in split_words(t)}
-    telling = [w for w in singles if w not in common]
-    lines = docs.select(F.col(key), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "notice"))
-    lines = lines.withColumn("words", word_array(F.col("notice"))).filter(F.arrays_overlap("words", F.array(*map(F.lit, telling))))
-    lines = lines.withColumn("pairs", F.array_distinct(pair_array(F.col("words"))))
+    telling = sorted({w for g in model.weights for w in g.split()} - common)
     names = sorted(model.weights)
     table = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.array(*map(F.lit, model.weights[g])) for g in names]))
-    found = F.filter(F.concat(F.array_distinct("words"), "pairs"), lambda g: g.isin(names))
-    lines = lines.withColumn("grams", found)
+
+    def once(df: DataFrame, **columns: Column) -> DataFrame:
+        """Columns that later steps read but cannot repeat the work of: a generator keeps projections apart."""
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+    lines = docs.select(F.col(key), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "notice"))
+    # One pass of a pattern spares most lines the cutting into words.
+    lines = lines.filter(F.col("notice").rlike(rf"(?i)(?<![a-z])(?:{'|'.join(w.replace('0', '[0-9]+') for w in telling)})(?![a-z])"))
+    lines = once(lines, words=word_array(F.col("notice")))
+    lines = once(lines, pairs=F.array_distinct(pair_array(F.col("words"))))
+    lines = once(lines, grams=F.array_intersect(F.concat("words", "pairs"), F.array(*map(F.lit, names)))).filter(F.size("grams") > 0)
     logits = F.aggregate("grams", F.array(*map(F.lit, model.bias)), lambda total, g: F.zip_with(total, F.element_at(table, g), lambda a, b: a + b))
-    lines = lines.withColumn("logits", F.transform(logits, lambda x: x / model.temperature))
-    lines = lines.withColumn("top", F.array_max("logits"))
-    lines = lines.withColumn("family", F.element_at(F.array(*map(F.lit, model.families)), F.array_position("logits", F.col("top")).cast("int")))
-    lines = lines.withColumn("score", 1 / F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))).filter((F.col("family") != UNKNOWN) & (F.col("score") >= s.least))
+    lines = once(lines, logits=F.transform(logits, lambda x: x / model.temperature))
+    lines = once(lines, top=F.array_max("logits"))
+    family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position("logits", F.col("top")).cast("int"))
+    score = 1 / F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))
+    lines = once(lines, family=family, score=score).filter((F.col("family") != UNKNOWN) & (F.col("score") >= s.least))
 
     def likeness(name: str) -> Column:
         """The best of a family's templates: the larger part of either's pairs that the other has."""
@@ -236,4 +242,4 @@ def scanned(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> D
     similarity = F.lit(0.0)
     for name in TEMPLATES:
         similarity = F.when(F.col("family") == name, likeness(name)).otherwise(similarity)
-    return lines.withColumn("similarity", similarity).filter(F.col("similarity") >= s.overlap).select(key, "paragraph", "family", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "notice")
+    return once(lines, similarity=similarity).filter(F.col("similarity") >= s.overlap).select(key, "paragraph", "family", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "notice")

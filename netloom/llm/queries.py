@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, decontaminate, fingerprints, htmltext, langid, neardup, packing, quality, urls
+from netloom.llm import chat, decontaminate, fingerprints, htmltext, langid, licenses, neardup, packing, quality, urls
 
 #: The tokenizer file of the packing query, by its name among the installed public ones.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_license_scan": op3_license_scan,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
         "op6_html_extraction": op6_html_extraction,
