@@ -21,7 +21,8 @@ sent to executors has the same size for any corpus.
    of different classes are few for their nodes, all are compared.  In larger
    buckets the weight of what a text shares with any other of them bounds its
    similarity to each: near copies with many changes of their own drop out by one
-   count, and of the rest only pairs whose bounds reach the threshold are made.
+   count, the others are compared with the most typical of their bucket, and then
+   only pairs of different classes whose bounds reach the threshold are made.
    So no pair of a bucket is passed over unless its ends are in one class already
    or it cannot reach the threshold.
 
@@ -62,7 +63,7 @@ class Settings:
     rows: int = 4
     #: Pairs of different classes, for each node of a bucket, up to which all of them are compared at once.
     per_node: int = 8
-    steps: tuple[str, ...] = ("centre", "centre", "near", "rest")
+    steps: tuple[str, ...] = ("centre", "centre", "near", "typical", "rest")
     seed: int = 20_240_601
 
     @property
@@ -340,6 +341,7 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
     tested: DataFrame | None = None
     links: DataFrame | None = None
     roots: DataFrame | None = None
+    limits: DataFrame | None = None
     for number, step in enumerate(settings.steps):
         if roots is None:
             placed = members.select("key", "node", F.col("node").alias("root"))
@@ -355,14 +357,19 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
             open_ = written(placed.join(keys.filter(small if step == "near" else ~small).select("key"), "key"), "open")
             if open_.isEmpty():
                 continue
-            different = (F.col("root") != F.col("ry")) & (F.col("node") < F.col("y"))
-            if step == "rest":
-                texts = wanted_texts(docs, open_.select("node").distinct())
-                open_ = open_.join(written(bounds(texts, idf_sent, settings), "bounds"), "node")
+            other = {"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y"}
+            different = F.col("root") != F.col("ry")
+            if step != "near":
+                if limits is None:  # of more nodes than later steps ask for, which only makes a bound wider
+                    limits = written(bounds(wanted_texts(docs, open_.select("node").distinct()), idf_sent, settings), "bounds")
+                open_ = open_.join(limits, "node")
                 most = F.least("shared", "shared_y")
                 different &= most >= (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y") - most)
-            other = open_.withColumnsRenamed({"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y"})
-            crossed = open_.join(other, "key").filter(different)
+            if step == "typical":
+                best = F.max(F.struct((F.col("shared") / F.col("total")).alias("part"), "node", "root", "total", "shared")).alias("c")
+                crossed = open_.join(open_.groupBy("key").agg(best).select("key", *[F.col(f"c.{a}").alias(b) for a, b in other.items()]), "key").filter(different)
+            else:
+                crossed = open_.join(open_.withColumnsRenamed(other), "key").filter(different & (F.col("node") < F.col("y")))
         pairs = ordered(crossed.select(F.col("node").alias("x"), "y"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -384,3 +391,15 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
     else:
         named = named.select("node", F.col("doc_id").alias("class_id"))
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
+
+
+def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One document of each class, the one with the least doc_id, with all its columns.
+
+    Rows that repeat that doc_id are reduced to one; a class whose rows all lack a
+    doc_id keeps all of them, for nothing tells which row is meant.
+    """
+    found = classes(docs, settings)
+    first = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    out = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
