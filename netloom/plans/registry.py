@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from netloom.plans.queries import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-FLAGSHIP = "ag03_subtree_flow"
+FLAGSHIP = "wn01_ranked_variants"
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
