@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of an Arrow function holds at a time.
 BATCH_BYTES = 2 << 20
+#: Rows that Spark sends to an Arrow function at a time, at most.
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,14 @@ def shared_file(spark: SparkSession, local: str, name: str) -> str:
     return target.toString()
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, so that buffers on both sides stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` holds about ``most`` bytes in each (one row at least)."""
     for batch in batches:
@@ -66,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b > a:
                 yield batch.slice(int(a), int(b - a))
+                pa.default_memory_pool().release_unused()
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices, words
+from netloom.llm.common import mapped, slices, words
 
 @dataclass(frozen=True)
 class Settings:
@@ -184,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
                     columns = [batch.column("doc_id").take(pa.array(rows)), *(pa.array([m[j] for m in found], pa.int64() if j == 0 and kinds[1] == "bigint" else pa.int32() if j else None) for j in range(5))]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "errors", "n_words", "first_word", "last_word"])
 
-        part = rows.mapInArrow(run, schema)
+        part = mapped(rows, run, schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -200,5 +200,5 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
                 keep = [not matcher.search(text.as_py()) for text in normal(batch.column("text"))]
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import mixed, slices
+from netloom.llm.common import mapped, mixed, slices
 
 #: Texts to the cells that occur in each: (cells, counts) of every text.
 Featurise = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
@@ -59,7 +59,7 @@ def cell_counts(rows: DataFrame, group: str, featurise: Featurise, cells: int) -
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), batch.schema.field(group).type), pa.array(used), pa.array(counts[used])], [group, "cell", "n"])
 
-    found = rows.select(group, "text").mapInArrow(run, f"{group} {kind}, cell long, n long").groupBy(group, "cell").agg(F.sum("n").alias("n")).toArrow()
+    found = mapped(rows.select(group, "text"), run, f"{group} {kind}, cell long, n long").groupBy(group, "cell").agg(F.sum("n").alias("n")).toArrow()
     out: dict[object, tuple[np.ndarray, int]] = {}
     names, places, counts = found[group].to_pylist(), np.asarray(found["cell"]), np.asarray(found["n"])
     for name in sorted(set(names), key=str):
@@ -92,7 +92,7 @@ def collected(rows: DataFrame, group: str, featurise: Featurise) -> tuple[list[o
             yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("h"), pa.array([c.astype("<i4").tobytes() for c, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["label", "h", "cells", "counts"])
 
     rows = rows.select(group, F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "text")
-    table = rows.mapInArrow(run, f"label {kind}, h long, cells binary, counts binary").toArrow().sort_by([("h", "ascending"), ("cells", "ascending")])
+    table = mapped(rows, run, f"label {kind}, h long, cells binary, counts binary").toArrow().sort_by([("h", "ascending"), ("cells", "ascending")])
     return table["label"].to_pylist(), [(np.frombuffer(c.as_py(), "<i4"), np.frombuffer(n.as_py(), "<i4")) for c, n in zip(table["cells"], table["counts"], strict=True)]
 
 

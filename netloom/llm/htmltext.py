@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices, written
+from netloom.llm.common import mapped, slices, written
 from netloom.llm.urls import host_of
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -257,7 +257,7 @@ def low_nodes(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int64()), pa.array(list(found.values()), pa.int64())], ["host", "node", "kind", "feature", "n"])
 
-    counts = rows.mapInArrow(run, "host string, node long, kind string, feature long, n long").groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    counts = mapped(rows, run, "host string, node long, kind string, feature long, n long").groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
     # Per node: sums that both entropies follow from, so that no window over a node's features is needed.
     n, of = F.col("n"), lambda kind: F.col("kind") == kind
     sums = counts.groupBy("host", "node").agg(
@@ -294,4 +294,4 @@ def extracted(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
                 texts.append(Page(source, sent.value.get(host, frozenset()) if sent else frozenset(nodes or ())).text())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return mapped(rows, run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

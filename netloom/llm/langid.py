@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices
+from netloom.llm.common import mapped, slices
 from netloom.llm.grams import cell_counts, char_grams, code_points, collected, held_out, sampled
 
 UNKNOWN = "und"
@@ -172,7 +172,7 @@ def identified(docs: DataFrame, s: Settings = Settings(), model: Model | None =
             names, scores = predict(Model(**sent.value) if sent.value else None, batch.column("text"), s)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = 0.5, s: Settings = Settings()) -> DataFrame:
@@ -184,4 +184,4 @@ def accepted(docs: DataFrame, least: float = 0.5, s: Settings = Settings()) -> D
             names, scores = predict(Model(**sent.value) if sent.value else None, batch.column("text"), s)
             yield batch.filter(pa.array([n != UNKNOWN and p >= least for n, p in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

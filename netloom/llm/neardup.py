@@ -10,19 +10,17 @@ sent to executors has the same size for any corpus.
    similarity.  Texts with the same words are one node; copies are counted, never
    paired.
 2. Bands of ``rows`` samples are hashed.  Nodes that share a band are compared
-   with one of them, chosen by hash, so a bucket of n nodes gives n - 1 pairs;
-   then once more with another one, unless they are in its class already.
+   with two of them, chosen by hash, so a bucket of n nodes gives 2 n pairs at most.
 3. Pairs whose samples agree too rarely (five standard deviations below the
    threshold) go; the others' weighted Jaccard similarity is computed from the
    whole texts, and is at least ``threshold`` for a link.
 4. Classes are the connected components of the links (alternating stars, all on
    executors).
-5. Buckets that still hold several classes are compared further.  Where pairs
-   of different classes are few for their nodes, all are compared.  In larger
-   buckets the weight of what a text shares with any other of them bounds its
-   similarity to each: near copies with many changes of their own drop out by one
-   count, the others are compared with the most typical of their bucket, and then
-   only pairs of different classes whose bounds reach the threshold are made.
+5. Buckets that still hold several classes are compared further.  The weight of
+   what a text shares with any other of these bounds its similarity to each: near
+   copies with many changes of their own drop out by one count, the others are
+   compared with the most typical of their bucket, and then only pairs of
+   different classes whose bounds reach the threshold are made.
    So no pair of a bucket is passed over unless its ends are in one class already
    or it cannot reach the threshold.
 
@@ -45,11 +43,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import WordHashes, mixed, plain_unions, shingle_hashes, slices, written
+from netloom.llm.common import mapped, mixed, plain_unions, shingle_hashes, slices, written, WordHashes
 
 CELLS = 1 << 20
-#: Bits of the map of wanted nodes.
-MAP_BITS = 1 << 25
+#: Bits of the map of wanted nodes, at least and at most.
+MAP_BITS = 1 << 20, 1 << 27
 #: Rows of random numbers that features are dealt to.
 RANDOM_ROWS = 1 << 13
 CHUNK = 1 << 11
@@ -61,9 +59,6 @@ class Settings:
     threshold: float = 0.8
     bands: int = 16
     rows: int = 4
-    #: Pairs of different classes, for each node of a bucket, up to which all of them are compared at once.
-    per_node: int = 8
-    steps: tuple[str, ...] = ("centre", "centre", "near", "typical", "rest")
     seed: int = 20_240_601
 
     @property
@@ -106,7 +101,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], number))], ["cell", "n"])
 
-    found = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS + 1 rows
+    found = mapped(docs.select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS + 1 rows
     out, total = np.zeros(CELLS, np.int64), 0
     cells, counts = np.asarray(found["cell"]), np.asarray(found["n"])
     if (cells < 0).any():
@@ -204,7 +199,7 @@ def sketches(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
             size = 4 * settings.samples
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary()), bands], ["doc_id", "node", "sketch", "bands"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, sketch binary, bands array<long>")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, sketch binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -218,19 +213,21 @@ def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
             keep = pa.array((left == right).sum(axis=1) >= settings.agree)
             yield batch.select(["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def wanted_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text), one row for each of these nodes.
 
-    A map of fixed size of the wanted nodes' hashes spares most other texts the
+    A map of the wanted nodes' hashes, of bounded size, spares most other texts the
     shuffle; where it is full, it only spares fewer.
     """
-    bit = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
-    cells = nodes.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {MAP_BITS}) % 64 as int))").alias("bit"))
-    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MAP_BITS / 64 rows
-    field = np.zeros(MAP_BITS // 64, np.int64)
+    nodes = written(nodes, "wanted")
+    size = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (16 * nodes.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("node"), F.lit(size))
+    cells = nodes.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {size}) % 64 as int))").alias("bit"))
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most size / 64 rows
+    field = np.zeros(size // 64, np.int64)
     field[np.asarray(found["cell"])] = np.asarray(found["bits"])
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -241,12 +238,12 @@ def wanted_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             hashes, offsets = hashes_of(texts)
             raw = hashes.tobytes()
             nodes = np.array([xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-            place = np.fromiter((xxhash.xxh64_intdigest(int(n).to_bytes(8, "little"), seed=42) for n in nodes), np.uint64, len(nodes)).view(np.int64) % MAP_BITS
+            place = np.fromiter((xxhash.xxh64_intdigest(int(n).to_bytes(8, "little"), seed=42) for n in nodes), np.uint64, len(nodes)).view(np.int64) % size
             keep = ((sent.value[place // 64] >> (place % 64)) & 1).astype(bool) & (np.diff(offsets) > 0)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), texts], ["node", "text"]).filter(pa.array(keep))
 
-    rows = docs.select("text").mapInArrow(run, "node long, text string")
+    rows = mapped(docs.select("text"), run, "node long, text string")
     return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
@@ -269,7 +266,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf_sent, settings: Settings) -
                 keep[i] = shared >= (settings.threshold - 1e-6) * total
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -321,7 +318,7 @@ def bounds(texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
             sizes = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, sizes)), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], ["node", "shingle", "weight"])
 
-    rows = written(texts.mapInArrow(run, "node long, shingle long, weight double"), "shingles")
+    rows = written(mapped(texts, run, "node long, shingle long, weight double"), "shingles")
     # A shingle that one node has alone is known by that node; no rows of a shingle need meet in one task.
     alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).filter("n = 1")
     lost = alone.groupBy("node").agg(F.sum("weight").alias("lost"))
@@ -342,29 +339,26 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
     links: DataFrame | None = None
     roots: DataFrame | None = None
     limits: DataFrame | None = None
-    for number, step in enumerate(settings.steps):
+    for step in ("centre", "typical", "rest"):
         if roots is None:
             placed = members.select("key", "node", F.col("node").alias("root"))
         else:
             placed = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
         if step == "centre":
-            centres = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(number)).alias("h"), F.col("node").alias("y"), F.col("root").alias("ry"))).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-            crossed = placed.join(centres.select("key", "c.y", "c.ry"), "key").filter("root != ry")
+            hashed = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("y"), F.col("root").alias("ry"))
+            centres = placed.groupBy("key").agg(F.array(F.min(hashed), F.max(hashed)).alias("c")).select("key", F.inline("c"))
+            crossed = placed.join(centres, "key").filter("root != ry")
         else:
-            sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-            keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("classes")).filter("classes > 1")
-            small = F.col("n") * F.col("n") - F.col("squares") <= 2 * settings.per_node * F.col("n")
-            open_ = written(placed.join(keys.filter(small if step == "near" else ~small).select("key"), "key"), "open")
+            unlike = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+            open_ = written(placed.join(unlike.select("key"), "key"), "open")
             if open_.isEmpty():
-                continue
+                break
+            if limits is None:  # of more nodes than the last step asks for, which only makes a bound wider
+                limits = written(bounds(wanted_texts(docs, open_.select("node").distinct()), idf_sent, settings), "bounds")
+            open_ = open_.join(limits, "node")
+            most = F.least("shared", "shared_y")
+            different = (F.col("root") != F.col("ry")) & (most >= (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y") - most))
             other = {"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y"}
-            different = F.col("root") != F.col("ry")
-            if step != "near":
-                if limits is None:  # of more nodes than later steps ask for, which only makes a bound wider
-                    limits = written(bounds(wanted_texts(docs, open_.select("node").distinct()), idf_sent, settings), "bounds")
-                open_ = open_.join(limits, "node")
-                most = F.least("shared", "shared_y")
-                different &= most >= (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y") - most)
             if step == "typical":
                 best = F.max(F.struct((F.col("shared") / F.col("total")).alias("part"), "node", "root", "total", "shared")).alias("c")
                 crossed = open_.join(open_.groupBy("key").agg(best).select("key", *[F.col(f"c.{a}").alias(b) for a, b in other.items()]), "key").filter(different)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices, written
+from netloom.llm.common import mapped, slices, written
 
 LENGTH = 2048
 CLOSING_ID = 0
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, closing: int =
             salt = [zlib.crc32(f"{d} {n}".encode()) % salts for d, n in zip(docs_, numbers, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(docs_, batch.schema.field("doc_id").type), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(salt, pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, salt int")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, salt int")
 
 
 def enumerate_patterns(classes: int, present: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices
+from netloom.llm.common import mapped, slices
 from netloom.llm.grams import char_grams, code_points, collected, held_out, sampled
 
 
@@ -190,7 +190,7 @@ def scored(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), model:
             found = scores(model, batch.column("text"), s)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= s.cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -202,4 +202,4 @@ def accepted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(scores(model, batch.column("text"), s) >= s.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

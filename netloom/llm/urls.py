@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import shared_file
+from netloom.llm.common import mapped, shared_file
 
 # The rules (verdict, host, path) of the production filter.
 RULES = (
@@ -179,7 +179,7 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, site
             rule, verdict = judge(index, hosts.to_pylist(), paths.to_pylist())
             yield pa.RecordBatch.from_arrays([ids, hosts, paths, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string").withColumnRenamed("key", key)
+    return mapped(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string").withColumnRenamed("key", key)
 
 
 def _sql() -> str:
