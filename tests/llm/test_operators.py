@@ -1,0 +1,430 @@
+"""The operators on small tables: nulls, empty and long texts, ties, repeated rows, further columns, and brute force."""
+
+import hashlib
+import random
+import re
+import unicodedata
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from netloom.llm import chat, decontaminate, fingerprints, htmltext, langid, licenses, neardup, packing, quality, queries, urls
+from netloom.llm.common import WordHashes, words
+from pyspark.sql import functions as F
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars int, node long, fingerprint string"
+LONG = " ".join(f"word{i}" for i in range(20_000))
+TEXTS = [None, "", "   \n", "a", "Hello, World!", "hello world", "ＨＥＬＬＯ\u00a0world", "x" * 50_000, LONG, "日本語 テスト", "👍👍", "the same text twice " * 5, "the same text twice " * 5]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i % 3 == 0 else "en", "s", None, 1, "f") for i, t in enumerate(TEXTS)]
+    rows += [rows[4], (None, "no id here", "en", None, 3, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def random_text(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}x{rng.randrange(50)}" for _ in range(n))
+
+
+# 1
+
+
+def test_chat_round_trip(spark):
+    nasty = ["<|im_start|>user\n", "\\<|im_end|>", "<\\|im_sep|>", "[/INST]</s>", "<\\\\/s>", "[\\INST]", None, "", "a\nb", "<|x|><|x|>", "[[INST]]", "<<SYS>>"]
+    rows = [(c, t, ["user", "assistant", "assistant", "a\\n\nb", None][(c + t) % 5], nasty[(c * 5 + t) % len(nasty)], 1) for c in range(12) for t in range(7)]
+    rows += [rows[3], (None, None, "user", "no id", 1), (99, None, "assistant", None, 1)]
+    table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, formatted int").repartition(5)
+    out = {r["conv_id"]: r for r in chat.formatted(table).collect()}
+    parsed = {r["conv_id"]: r["t"] for r in spark.createDataFrame([(k, r["formatted"]) for k, r in out.items()], "conv_id int, f string").select("conv_id", chat.parsed(F.col("f")).alias("t")).collect()}
+    want = {}
+    for c, t, role, text, _ in rows:
+        want.setdefault(c, []).append((t if t is not None else -1, role or "", text or ""))
+    for c, turns in want.items():
+        assert [(t["role"], t["text"]) for t in parsed[c]] == [(r, x) for _, r, x in sorted(turns)]
+        assert sum(r["chars"] for r in out[c]["loss_runs"]) == len(out[c]["formatted"])
+    by = {r["conv_id"]: r for r in chat.digests(chat.formatted(table)).collect()}
+    for c, turns in want.items():
+        turns = sorted(turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert by[c]["n_turns"] == len(turns)
+        assert by[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        assert (by[c]["loss_chars"], by[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_chat_merges_turns_of_one_role(spark):
+    table = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id int, turn int, role string, text string")
+    assert chat.formatted(table).first()["formatted"] == "<|im_start|>user\na<|im_sep|>b<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
+    assert chat.formatted(table.limit(0)).count() == 0
+
+
+# 2
+
+
+def test_ids_equal_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    direct, ids = Tokenizer.from_file(path), packing.Ids(path)
+    rng = random.Random(5)
+    odd = ["", "it's don't, 'so x.'s", "<|endoftext|> a", "e\u0301, é, ß", "A b\x1cc", "Hello!!»,", "3,4 5.", "ǅ İstanbul ΑΣ, ΑΣ.", "ä, \u0308.̈, ≠ ", "'s", " 'll,", "a\u200bb", "x<| y", "﷽ 12³, ²."]
+    odd += ["".join(rng.choice("aB ,.'!\n-é9<|>ß \t\u0301") for _ in range(40)) for _ in range(300)]
+    for text, found in zip(odd, ids(pa.array(odd)), strict=True):
+        assert list(found) == direct.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_places_every_piece(spark, docs, empty):
+    path = queries.tokenizer_path()
+    out = packing.packed(docs, path, length=64).toPandas()
+    ids = packing.Ids(path)
+    want = []
+    for r in docs.collect():
+        whole = np.append(ids(pa.array([r["text"]]))[0], np.uint32(0)).astype("<u4")
+        want += [(r["doc_id"] if r["doc_id"] is not None else -1, k, a, len(whole[a : a + 64]), zlib.crc32(whole[a : a + 64].tobytes())) for k, a in enumerate(range(0, len(whole), 64))]
+    got = [(int(a) if a == a else -1, *map(int, rest)) for a, *rest in out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)]
+    assert sorted(got) == sorted(want)
+    for _, group in out.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        ends = np.append(0, group["length"].cumsum())
+        assert (group["offset"].to_numpy() == ends[:-1]).all() and ends[-1] <= 64
+    assert packing.packed(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_is_close_to_the_bound(seed):
+    rng = np.random.default_rng(seed)
+    histogram = np.bincount(np.clip(rng.lognormal(5.5, 1.0, 4000).astype(int), 1, 2048), minlength=2049)
+    ranges, sequences = packing.plan(histogram)
+    used = np.zeros(2049, np.int64)
+    filled = np.zeros(sequences, np.int64)
+    for size, first, number, sequence, offset in sorted(ranges, key=lambda r: (r[3], r[4])):
+        used[size] += number
+        assert (filled[sequence : sequence + number] == offset).all()
+        filled[sequence : sequence + number] += size
+        assert first >= 0
+    assert (used == histogram).all() and filled.max() <= 2048
+    assert sequences <= np.ceil((histogram * np.arange(2049)).sum() / 2048) * 1.01 + 1
+
+
+def test_fit_is_least_squares_without_negatives():
+    histogram = np.array([0, 6, 4, 2, 3])
+    patterns = packing.enumerate_patterns(4, histogram > 0)
+    x = packing.fit(patterns, histogram)
+    matrix = np.array([np.bincount(p, minlength=5)[1:] for p in patterns]).T
+    best = min(float(((matrix @ np.array(t) - histogram[1:]) ** 2).sum()) for t in np.ndindex(*[7] * len(patterns)))
+    assert (x >= 0).all() and ((matrix @ x - histogram[1:]) ** 2).sum() <= best + 1e-6
+
+
+# 3
+
+
+def test_licenses(spark, docs, empty):
+    texts = [(i, f"Some prose before.\n{t}\nand after") for i, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
+    families = [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
+    found = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert [found[i]["family"] for i in range(len(families))] == families
+    assert all(r["paragraph"] == 1 for r in found.values())
+    clean = ["the driver's license was renewed", "he had permission to visit", "mit mit mit", "Version 3 of the plan", "public domain of knowledge is large", None, ""]
+    assert licenses.scanned(spark.createDataFrame([(1, t) for t in clean], "doc_id int, text string")).count() == 0
+    assert licenses.scanned(docs).count() == 0 and licenses.scanned(empty).count() == 0
+    twice = spark.createDataFrame([(None, "Released under the MIT License.", 1)] * 2, "doc_id long, text string, family int")
+    assert [r["family"] for r in licenses.scanned(twice).collect()] == ["MIT", "MIT"]
+
+
+# 4
+
+
+def brute_classes(texts, threshold=0.8):
+    idf_words = {}
+    lists = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    for ws in lists:
+        for w in set(ws):
+            idf_words[w] = idf_words.get(w, 0) + 1
+    rarity = {w: np.log((1 + len(texts)) / (1 + n)) + 1 for w, n in idf_words.items()}
+    weights = []
+    for ws in lists:
+        out = {}
+        for i in range(max(1, len(ws) - 4) if ws else 0):
+            part = tuple(ws[i : i + 5])
+            out[part] = out.get(part, 0) + np.mean([rarity[w] for w in part])
+        weights.append(out)
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = weights[i], weights[j]
+            shared = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+            total = sum(a.values()) + sum(b.values()) - shared
+            if (a and b and shared >= threshold * total) or (not a and not b and (texts[i] or "") == (texts[j] or "")):
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = [None, "", "?!", "?!", "a b", "A, b", "a b c"]
+    for _ in range(12):
+        base = random_text(rng, rng.randrange(20, 120)).split()
+        for k in range(6):
+            ws = list(base)
+            for _ in range(k):
+                ws[rng.randrange(len(ws))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(ws))
+    texts += [texts[-1], texts[-6]]
+    table = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, node string, sketch int").repartition(7)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(table).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    assert sorted(r["doc_id"] for r in neardup.kept(table).collect()) == sorted(set(got.values()))
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    """Many texts around one: all steps are needed, and the classes are still those of brute force."""
+    rng = random.Random(3)
+    base = random_text(rng, 100).split()
+    texts = []
+    for _ in range(150):
+        ws = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            ws[rng.randrange(len(ws))] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(table).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_near_duplicates_of_odd_tables(spark, docs, empty):
+    got = neardup.classes(docs).collect()
+    assert len(got) == docs.count() and neardup.classes(empty).count() == 0
+    by = {r["doc_id"]: r["class_id"] for r in got}
+    assert by[0] == by[1] == 0 and by[2] == 2 and by[4] == by[5] == 4 and by[11] == by[12] == 11 and by[None] is None
+    kept = neardup.kept(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 4").count() == 1 and kept.filter("doc_id is null").count() == 1
+
+
+def test_samples_agree_as_often_as_similarity_says():
+    rng = np.random.default_rng(1)
+    settings = neardup.Settings(bands=256, rows=4)
+    a = np.unique(rng.integers(0, 1 << 48, 300).astype(np.uint64))
+    shared, own = a[:240], [np.unique(rng.integers(0, 1 << 48, 60).astype(np.uint64)) for _ in range(2)]
+    sets = [np.sort(np.concatenate([shared, o])) for o in own]
+    offsets = np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+    found = neardup.sample(offsets, np.concatenate(sets), np.full(offsets[-1], 2.5, np.float32), neardup.Randoms(settings))
+    assert abs((found[0] == found[1]).mean() - 240 / 360) < 0.06
+
+
+def test_word_hashes_tell_words_apart():
+    texts = pa.array(TEXTS[1:] + ["héllo-wörld 12", "x𝒜 y", "A\u0301b"])
+    flat, offsets = words(texts)
+    hashes, starts = WordHashes()(texts)
+    assert (offsets == starts).all()
+    known = {}
+    for w, h in zip(flat.to_pylist(), hashes, strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+# 5
+
+
+def canonical(text):
+    def nfkc(x):
+        return unicodedata.normalize("NFKC", x)
+
+    return re.sub(r"\s+", " ", nfkc(nfkc(text or "").casefold())).strip(" ")
+
+
+def test_fingerprints(spark, docs, empty):
+    ids = [10, 3, 700, 5, 8, 9, 4, 2, 1, 60, 61, 62, 63]
+    table = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, TEXTS, strict=True)], "doc_id long, text string, bucket int").repartition(4)
+    got = {r["doc_id"]: r for r in fingerprints.neighbours(table).collect()}
+    rows = sorted(zip(ids, TEXTS, strict=True), reverse=True)
+    for i, (k, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        part = len(text) // 3
+        edited = text[: len(text) - part] + after[:part]
+        r = got[k]
+        wide = xxhash.xxh64_hexdigest(canonical(text).encode(), seed=42)
+        assert r["fingerprint"].startswith(wide) and len(r["fingerprint"]) == 32
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == float(canonical(edited) == canonical(text)) and r["near_next"] == float(canonical(after) == canonical(text))
+    assert fingerprints.neighbours(docs).count() == docs.count() and fingerprints.neighbours(empty).count() == 0
+    assert fingerprints.fingerprinted(docs).columns == docs.columns
+    first = {r["fingerprint"]: (r["first"], r["copies"]) for r in fingerprints.groups(docs).collect()}
+    assert {(0, 3), (4, 2), (5, 2), (11, 2), (None, 1)} <= set(first.values())
+
+
+def test_colliding_digests_are_told_apart(spark):
+    rows = spark.createDataFrame([("d", "x"), ("d", "y"), ("d", "y"), ("e", "z")], "digest string, canon string")
+    found = fingerprints.collisions(rows)
+    assert sorted(tuple(r) for r in found.collect()) == [("d", "x", 0), ("d", "y", 1)]
+    out = fingerprints.resolved(rows, found, 2, "digest", "canon")
+    assert sorted((r["digest"], r["canon"]) for r in out.collect()) == [("d", "x"), ("d:1", "y"), ("d:1", "y"), ("e", "z")]
+
+
+# 6
+
+PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head><body><nav class="top"><ul><li>Home<li>About</ul></nav>
+<div class="ad">Buy now {n}</div><div class="strip"><span>Always the same words</span></div><div class="body"><h1>Title &amp; {n}</h1><p>First  <b>bold</b><br>line {n}.<p>Second &lt;p&gt; {n}</div>
+<form>Name <input></form><aside>See also</aside><div id="comments"><p>Nice!</div><footer>&copy; me</footer><script>var a = "</p>";</script></body></html>"""
+
+
+def test_extraction(spark, empty):
+    pages = [(i, f"http://h.example/{i}", PAGE.format(n=f"n{i}x{i * 7919 % 1000}"), "t") for i in range(12)]
+    pages += [(100, None, None, "t"), (101, "nothing", "", "t"), (102, "http://x/", "<article><p>in</article><p>out", "t"), (103, "http://x/", "plain &eacute; text <b>x", "t"), (None, "http://x/", "<!-- a --><p>a<!-- <p>b", "t")]
+    got = {r["page_id"]: r for r in htmltext.extracted(spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()}
+    for i in range(12):
+        n = f"n{i}x{i * 7919 % 1000}"
+        assert got[i]["text"] == f"Title & {n}\n\nFirst bold line {n}.\n\nSecond <p> {n}"  # the strip is low in the style tree
+    assert [got[k]["text"] for k in (100, 101, 102, 103, None)] == ["", "", "in", "plain é text x", "a"]
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert htmltext.extracted(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
+
+
+def test_low_nodes_joined_by_host_give_the_same(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.example/{i}", PAGE.format(n=f"n{i}x{i * 7919 % 1000}")) for i in range(24)], "page_id long, url string, html string")
+    both = [sorted(map(tuple, htmltext.extracted(pages, htmltext.Settings(broadcast_rows=n)).collect())) for n in (200_000, 0)]
+    assert both[0] == both[1]
+
+
+# 7 and 9
+
+
+def test_language_id(spark, sf, empty):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = langid.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 40 and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.95
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    odd = spark.createDataFrame([(100_000 + i, t, None) for i, t in enumerate([None, "", "123 !!", "👍"])], "doc_id long, text string, lang string")
+    more = langid.identified(docs.select("doc_id", "text", "lang").union(odd))
+    assert [(r["lang_pred"], r["score"]) for r in more.filter("doc_id >= 100000").collect()] == [("und", 0.0)] * 4
+    assert langid.identified(empty).count() == 0 and langid.identified(odd).count() == 4
+    assert langid.accepted(docs.select("doc_id", "text", "lang").union(odd)).filter("doc_id >= 100000").count() == 0
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 3, 4000)
+    p = np.full((4000, 3), 0.15)
+    p[np.arange(4000), labels] = 0.7
+    wrong = rng.random(4000) < 0.3
+    p[wrong] = np.roll(p[wrong], 1, axis=1)
+    assert 3 < langid.temperature(5 * np.log(p), labels) < 12
+
+
+def test_quality(spark, empty):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.scored(docs, labels)
+    rows = out.join(labels, "doc_id").filter("held_out").collect()
+    assert len(rows) > 60 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([[a > b for b in bad] for a in good]) > 0.97
+    odd = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "x", 3)], "doc_id long, text string, score int")
+    got = quality.scored(odd, labels.limit(0)).collect()
+    assert [r["score"] for r in got] == pytest.approx([0.5] * 3) and [r["predicted"] for r in got] == [1, 1, 1]
+    assert quality.scored(empty, labels.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, None, 0)], "doc_id long, quality int, toxic int")
+    assert all(r["score"] > 0.99 for r in quality.scored(odd, one).collect())
+
+
+def test_descent_finds_the_margin():
+    rows = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))]
+    w = quality.descend(rows, np.array([1.0, -1.0]), np.zeros(2), quality.Settings(cost=100.0, rounds=200))
+    assert w[0] + w[-1] == pytest.approx(1, abs=1e-2) and w[1] + w[-1] == pytest.approx(-1, abs=1e-2)
+
+
+# 8
+
+
+def naive_distance(item, passage):
+    best, at, before = len(item), -1, list(range(len(item) + 1))
+    for j, w in enumerate(passage):
+        now = [0]
+        for i, x in enumerate(item, 1):
+            now.append(min(before[i] + 1, now[-1] + 1, before[i - 1] + (x != w)))
+        before = now
+        if now[-1] < best:
+            best, at = now[-1], j
+    return best, at
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(1)
+    for _ in range(500):
+        a = [rng.choice("abcd") for _ in range(rng.randint(1, 90))]
+        b = [rng.choice("abcd") for _ in range(rng.randint(0, 120))]
+        assert decontaminate.distance(a, b) == naive_distance(a, b)
+
+
+def test_decontamination_equals_brute_force(spark, docs, empty):
+    rng = random.Random(4)
+    settings = decontaminate.Settings()
+    items = [(i, random_text(rng, n, 60)) for i, n in enumerate([3, 9, 20, 40, 64, 65, 100])] + [(7, None), (8, "?!")]
+    texts = []
+    for _, item in items[:7]:
+        for edits in range(0, 18, 2):
+            ws = item.split()
+            for _ in range(edits):
+                k = rng.randrange(len(ws))
+                ws[k : k + 1] = rng.choice([[], ["new"], [ws[k], "more"]])
+                ws = ws or ["z"]
+            texts.append(f"{random_text(rng, 15, 60)} {', '.join(ws).upper()}. {random_text(rng, 15, 60)}")
+    table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, doc_id int")
+    got = {(r["doc_id"], r["item_id"]): r["errors"] for r in decontaminate.matches(table, bench, settings).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in items[:7]:
+            ws = re.findall(r"\w+", item.lower())
+            errors, _ = naive_distance(ws, re.findall(r"\w+", t.lower()))
+            if errors <= settings.budget(len(ws)):
+                want[d, i] = errors
+    assert got == want and len(got) > 20
+    small = decontaminate.Settings(block_chars=200)  # several automata
+    assert {(r["doc_id"], r["item_id"]): r["errors"] for r in decontaminate.matches(table, bench, small).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.cleaned(table, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+    assert decontaminate.matches(docs, bench).count() == 0 and decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(table, bench.limit(0)).count() == 0
+    assert decontaminate.cleaned(docs, bench).count() == docs.count()
+
+
+# 10
+
+
+def test_urls(spark, tmp_path):
+    cases = [
+        ("http://a.example.com/en/64", "a.example.com", "/en/64", "com/en/", "block"),
+        ("http://EXAMPLE.com/en/71?x", "example.com", "/en/71", "example.com/en/7", "allow"),
+        ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
+        ("https://x.example.net/de/8#/", "x.example.net", "/de/8", "example.net/de/8", "block"),
+        ("https://x.example.net/de/9", "x.example.net", "/de/9", "net/de/", "allow"),
+        ("ftp://cheap-pills.example.org?/es/", "cheap-pills.example.org", "", None, "block"),
+        ("http://www.cheap-pills.example.net/de/1", "www.cheap-pills.example.net", "/de/1", "net/de/", "allow"),
+        ("http://org/es/a", "org", "/es/a", "org/es/", "block"),
+        ("http://a.b/c://d.com/en/", "a.b", "/c://d.com/en/", None, "allow"),
+        ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://", "", "", None, "allow"), ("", "", "", None, "allow"), ("http://..", "..", "", None, "allow"),
+    ]
+    table = spark.createDataFrame([(i, c[0], "r") for i, c in enumerate(cases)], "page_id int, url string, rule string")
+    got = sorted(map(tuple, urls.judged(table).collect()))
+    assert got == [(i, *c[1:]) for i, c in enumerate(cases)]
+    assert urls.judged(table.limit(0)).count() == 0
+
+
+def test_equal_hashes_are_told_apart_by_their_strings(tmp_path, monkeypatch):
+    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda x: len(x))
+    path = str(tmp_path / "index")
+    urls.build(urls.entries(sites=["aa.com", "bb.com"], rules=[]), path)
+    assert list(urls.Index(path).probe(["1bb.com\n", "1aa.com\n", "1cc.com\n"]) >= 0) == [True, True, False]
