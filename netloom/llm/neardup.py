@@ -195,11 +195,10 @@ def sketches(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
             some = np.diff(offsets) > 0
             ends = np.append(0, np.cumsum(some * settings.bands)).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel().view(np.int64)))
-            raw = found.astype("<u4").tobytes()
-            size = 4 * settings.samples
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary()), bands], ["doc_id", "node", "sketch", "bands"])
+            samples = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * settings.samples), pa.array(found.ravel().view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes.view(np.int64)), samples, bands], ["doc_id", "node", "sketch", "bands"])
 
-    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, sketch binary, bands array<long>")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, sketch array<int>, bands array<long>")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -209,7 +208,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            left, right = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             keep = pa.array((left == right).sum(axis=1) >= settings.agree)
             yield batch.select(["a", "b"]).filter(keep)
 
@@ -355,12 +354,14 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
                 break
             if limits is None:  # of more nodes than the last step asks for, which only makes a bound wider
                 limits = written(bounds(wanted_texts(docs, open_.select("node").distinct()), idf_sent, settings), "bounds")
-            open_ = open_.join(limits, "node")
+            open_ = open_.join(limits.join(nodes.select("node", "sketch"), "node"), "node")
             most = F.least("shared", "shared_y")
             different = (F.col("root") != F.col("ry")) & (most >= (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y") - most))
-            other = {"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y"}
+            # The samples are at hand here, so pairs that agree too rarely are never made.
+            different &= F.size(F.filter(F.zip_with("sketch", "sketch_y", lambda a, b: a == b), lambda same: same)) >= settings.agree
+            other = {"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y", "sketch": "sketch_y"}
             if step == "typical":
-                best = F.max(F.struct((F.col("shared") / F.col("total")).alias("part"), "node", "root", "total", "shared")).alias("c")
+                best = F.max(F.struct((F.col("shared") / F.col("total")).alias("part"), "node", "root", "total", "shared", "sketch")).alias("c")
                 crossed = open_.join(open_.groupBy("key").agg(best).select("key", *[F.col(f"c.{a}").alias(b) for a, b in other.items()]), "key").filter(different)
             else:
                 crossed = open_.join(open_.withColumnsRenamed(other), "key").filter(different & (F.col("node") < F.col("y")))
@@ -371,7 +372,7 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        close = written(likely(pairs, nodes, settings), "likely")
+        close = written(likely(pairs, nodes, settings), "likely") if step == "centre" else pairs
         if close.isEmpty():
             continue
         texts = written(wanted_texts(docs, close.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
