@@ -597,3 +597,93 @@ def _(spark, d):
 @query("val10_branching_summary", "ends", "SELECT degree, count(*) AS nodes FROM (SELECT tree, node, count(*) AS degree FROM ends GROUP BY tree, node) GROUP BY degree")
 def _(spark, d):
     return trees.node_degree(T.edges(spark, d)).groupBy("degree").agg(F.count("*").alias("nodes"))
+
+
+# Ingest.
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """Feature texts of all kinds, also faulty ones, made of the tables."""
+    from netloom.sources.sinks import feature
+
+    p = T.connection_points(spark, d)
+    spot = F.struct(F.lit("Point").alias("type"), F.array(37.0 + F.col("x") / 10000.0, 55.0 + F.col("y") / 10000.0).alias("coordinates"))
+    points = p.select(F.col("cp_id").alias("feature_seq"), feature(spot, F.struct(F.col("cp_id").alias("id"), F.when(F.col("cp_id") % 11 == 0, "oks_future").when(F.col("cp_id") % 13 == 0, "unheard_of").otherwise("oks_connection_point").alias("object_type"), F.col("flow").alias("flow_tph"))).alias("feature"))
+    r = T.rects(spark, d)
+
+    def corner(x: str, y: str):
+        return F.array(F.col(x).cast("double"), F.col(y).cast("double"))
+
+    ring = F.when(F.col("r_id") % 7 == 0, F.lit(None)).otherwise(F.array(F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y0"))))
+    shape = F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates"))
+    kind = F.when(F.col("r_id") % 5 == 0, "heat_chamber").otherwise("restriction")
+    boxes = r.select((F.col("r_id") + 10_000_000).alias("feature_seq"), feature(shape, F.struct(F.concat(F.lit("r"), F.col("r_id")).alias("id"), kind.alias("object_type"), F.when(F.col("r_id") % 3 > 0, F.col("rtype")).alias("restriction_type"))).alias("feature"))
+    return points.union(boxes)
+
+
+@query(
+    "prj01_classified_features",
+    "cps rects",
+    """SELECT object_type, status, count(*) AS n FROM (
+      SELECT CASE WHEN cp_id % 11 = 0 THEN 'oks_future' WHEN cp_id % 13 = 0 THEN 'unheard_of' ELSE 'oks_connection_point' END AS object_type, CASE WHEN cp_id % 11 = 0 THEN NULL WHEN cp_id % 13 = 0 THEN 'UNKNOWN_OBJECT_TYPE' ELSE 'OK' END AS status FROM cps
+      UNION ALL SELECT CASE WHEN r_id % 5 = 0 THEN 'heat_chamber' ELSE 'restriction' END, CASE WHEN r_id % 7 = 0 THEN 'INVALID_GEOMETRY' WHEN r_id % 5 = 0 THEN 'WRONG_GEOMETRY_TYPE' WHEN r_id % 3 = 0 THEN 'MISSING_RESTRICTION_TYPE' ELSE 'OK' END FROM rects
+    ) GROUP BY object_type, status""",
+)
+def _(spark, d):
+    from netloom.sources import geojson
+
+    return geojson.diagnostics(geojson.classified(features(spark, d)))
+
+
+@query("src03_parsed_geometry", "rects", "SELECT r_id, r_id % 7 <> 0 AS sound, CASE WHEN r_id % 7 <> 0 THEN 4 ELSE 0 END AS vertices, CASE WHEN r_id % 7 <> 0 THEN CAST(x1 AS DOUBLE) END AS right_x FROM rects")
+def _(spark, d):
+    from netloom.sources import geojson
+
+    rows = geojson.classified(features(spark, d).filter("feature_seq >= 10000000"))
+    return rows.select((F.col("feature_seq") - 10_000_000).alias("r_id"), F.col("lines").isNotNull().alias("sound"), F.coalesce(F.size(F.get("lines", F.lit(0))), F.lit(0)).alias("vertices"), F.array_max(F.transform(F.get("lines", F.lit(0)), lambda p: p[0])).alias("right_x"))
+
+
+@query("prj03_numeric_ids", "cps rects", "SELECT id_is_numeric, count(*) AS n FROM (SELECT true AS id_is_numeric FROM cps UNION ALL SELECT false FROM rects) GROUP BY id_is_numeric")
+def _(spark, d):
+    from netloom.sources import geojson
+
+    return geojson.parsed(features(spark, d)).groupBy("id_is_numeric").agg(F.count("*").alias("n"))
+
+
+# Planning by tiles.
+
+TILE = 400
+
+
+def planned(spark: SparkSession, d: str) -> DataFrame:
+    from netloom.operators import planner
+
+    def tiled(df: DataFrame) -> DataFrame:
+        return df.withColumn("tile", (F.floor(F.col("x") / TILE) * 1000 + F.floor(F.col("y") / TILE)).cast("long"))
+
+    points = tiled(T.connection_points(spark, d)).select("tile", F.col("cp_id").alias("id"), "x", "y", "flow")
+    spots = tiled(T.connection_points(spark, d).filter("cp_id % 40 = 1")).select("tile", F.col("cp_id").alias("id"), "x", "y")
+    boxes = ruled(spark, d).filter("mode = 'PROHIBITED'")
+    boxes = spatial.tiles(boxes, TILE, 0).join(boxes, "r_id").select((F.col("tc") * 1000 + F.col("tr")).cast("long").alias("tile"), "x0", "y0", "x1", "y1")
+    return planner.plan(points, spots, boxes)
+
+
+@query("gr09_grown_forest")
+def _(spark, d):
+    rows = planned(spark, d)
+    return rows.groupBy("tile", "variant").agg(F.count("edge").alias("edges"), F.count("unconnected").alias("lost"), F.round(F.sum("length"), 3).alias("length_m"), F.round(F.sum(F.when(F.col("parent") == 0, F.col("flow"))), 3).alias("flow"))
+
+
+@query("val05_planned_turns")
+def _(spark, d):
+    points = planned(spark, d).filter("edge is not null").select("tile", "variant", "edge", F.posexplode("line").alias("pos", "p"))
+    key = F.concat_ws("/", "tile", "variant", "edge").alias("line")
+    return sequences.turns(points.select(key, "pos", "p.x", "p.y"), "line", "pos").groupBy((F.col("turn") > 90.05).alias("illegal")).agg(F.count("*").alias("vertices"))
+
+
+@query("val03_planned_leaves")
+def _(spark, d):
+    edges = planned(spark, d).filter("edge is not null")
+    inner = edges.select("tile", "variant", F.col("parent").alias("edge")).filter("edge > 0").distinct()
+    ends = edges.filter("node >= 0").join(inner.withColumn("inner", F.lit(True)), ["tile", "variant", "edge"], "left")
+    return ends.groupBy("variant").agg(F.count("*").alias("points"), F.count("inner").alias("not_leaves"))
