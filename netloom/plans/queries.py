@@ -687,3 +687,78 @@ def _(spark, d):
     inner = edges.select("tile", "variant", F.col("parent").alias("edge")).filter("edge > 0").distinct()
     ends = edges.filter("node >= 0").join(inner.withColumn("inner", F.lit(True)), ["tile", "variant", "edge"], "left")
     return ends.groupBy("variant").agg(F.count("*").alias("points"), F.count("inner").alias("not_leaves"))
+
+
+# Depth, medians, assembly.
+
+
+@query("wn07_depth_profiles")
+def _(spark, d):
+    from netloom.operators import depth
+
+    e = T.edges(spark, d).select((F.col("tree") * 100 + F.col("n")).alias("edge"), (F.col("len_m") * 2).cast("double").alias("length"), "rtype")
+    asked = e.filter("rtype <> 'N'").select("edge", (F.col("length") / 2 - 2).alias("start"), (F.col("length") / 2 + 2).alias("end"), F.when(F.col("rtype") == "A", 2.5).otherwise(3.6).alias("depth"))
+    return depth.profiles(e, asked)
+
+
+@query("val11_depth_rules", "", "SELECT 'none' AS what, 0 AS n WHERE false")
+def _(spark, d):
+    from netloom.operators import depth
+
+    return depth.violations(QUERIES["wn07_depth_profiles"](spark, d)).groupBy("what").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("ag13_geometric_median")
+def _(spark, d):
+    from netloom.operators import medians
+
+    points = T.connection_points(spark, d).select((F.floor(F.col("x") / 100) * 100 + F.floor(F.col("y") / 100)).alias("block"), "x", "y", F.col("flow").alias("weight"))
+    return medians.medians(points, "block").select("block", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def special_spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and made-up special stretches on them, in metres along the edge."""
+    e = designed(spark, d).select((F.col("tree") * 100 + F.col("n")).alias("edge"), F.col("len_m").cast("double").alias("length"), "dn", "rtype")
+    s = e.filter("rtype <> 'N'").select("edge", (F.col("length") / 4).alias("s0"), (F.col("length") / 2).alias("s1"), F.lit(150).cast("long").alias("factor"))
+    t = e.filter("rtype = 'A'").select("edge", (F.col("length") / 8).alias("s0"), (3 * F.col("length") / 8).alias("s1"), F.lit(170).cast("long").alias("factor"))
+    return e, s.union(t)
+
+
+@query(
+    "gr36_result_pieces",
+    "designed",
+    """, e AS (SELECT tree * 100 + n AS edge, CAST(len_m AS DOUBLE) AS l, dn, rtype FROM designed),
+    s AS (SELECT edge, l / 4 AS s0, l / 2 AS s1, 150 AS factor FROM e WHERE rtype <> 'N' UNION ALL SELECT edge, l / 8, 3 * l / 8, 170 FROM e WHERE rtype = 'A'),
+    c AS (SELECT edge, 0.0 AS s FROM e UNION SELECT edge, l FROM e UNION SELECT edge, s0 FROM s UNION SELECT edge, s1 FROM s),
+    p AS (SELECT edge, s AS s0, lead(s) OVER (PARTITION BY edge ORDER BY s) AS s1, row_number() OVER (PARTITION BY edge ORDER BY s) > 1 AS technical FROM c),
+    q AS (SELECT p.edge, p.s0, p.s1, p.technical, coalesce(max(s.factor), 100) AS factor FROM p LEFT JOIN s ON s.edge = p.edge AND s.s0 <= (p.s0 + p.s1) / 2 AND (p.s0 + p.s1) / 2 <= s.s1 WHERE p.s1 IS NOT NULL GROUP BY ALL)
+    SELECT q.*, q.factor * 0 + CAST(floor((q.s1 - q.s0) * cat.price * 1.0 * (q.factor / 100.0) + 0.5) AS BIGINT) AS cost, e.dn FROM q JOIN e ON e.edge = q.edge JOIN cat ON cat.dn = e.dn""",
+)
+def _(spark, d):
+    from netloom.operators import assembly
+
+    e, s = special_spans(spark, d)
+    return assembly.priced(assembly.pieces(e, s), e)
+
+
+@query("gr36_variant_summary", "cps", f"SELECT cp_id % 3 AS variant, CAST(sum(flow * 1000) AS BIGINT) AS construction_cost, CAST(sum(CASE WHEN cp_id % 10 = 0 THEN {K.DEFAULT.penalty[0]} + flow * {K.DEFAULT.penalty[1]} ELSE 0 END) AS BIGINT) AS penalty, CAST(sum(flow * 1000 + CASE WHEN cp_id % 10 = 0 THEN {K.DEFAULT.penalty[0]} + flow * {K.DEFAULT.penalty[1]} ELSE 0 END) AS BIGINT) AS calculated_cost, CAST(count(*) FILTER (WHERE cp_id % 10 = 0) AS INT) AS lost FROM cps GROUP BY 1")
+def _(spark, d):
+    from netloom.operators import assembly
+
+    rows = T.connection_points(spark, d).withColumn("variant", F.col("cp_id") % 3)
+    costs = rows.select("variant", (F.col("flow") * 1000).alias("cost"))
+    return assembly.summary(costs, rows.filter("cp_id % 10 = 0").select("variant", "cp_id", "flow"), "variant").withColumn("lost", F.size("lost"))
+
+
+@query(
+    "gr13_contracted_chains",
+    "designed",
+    """, k AS (SELECT d.*, (SELECT count(*) FROM designed c WHERE c.tree = d.tree AND c.parent = d.n) AS children FROM designed d),
+    f AS (SELECT k.tree, k.n, k.parent, k.len_m, coalesce(p.children = 1 AND p.dn = k.dn, false) AS goes_on FROM k LEFT JOIN k p ON p.tree = k.tree AND p.n = k.parent AND k.parent > 0),
+    h AS (SELECT tree, n AS head, n, len_m FROM f WHERE NOT goes_on UNION ALL SELECT h.tree, h.head, f.n, f.len_m FROM h JOIN f ON f.tree = h.tree AND f.parent = h.n AND f.goes_on)
+    SELECT tree, head, max(n) AS tail, count(*) AS edges, CAST(sum(len_m) AS BIGINT) AS len_m FROM h GROUP BY tree, head""",
+)
+def _(spark, d):
+    from netloom.operators import assembly
+
+    return assembly.contracted(designed(spark, d))
