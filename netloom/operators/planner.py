@@ -32,6 +32,10 @@ EDGE = "tile long, variant int, edge int, parent int, node long, flow double, le
 class Options:
     cell: float = 10.0
     passes: int = 2
+    #: Rounds in which every branch may be laid anew.
+    relinks: int = 2
+    #: Straighten edges where nothing is in the way.
+    pull: bool = True
     margin: float = 20.0
     max_cells: int = 4_000_000
 
@@ -111,10 +115,10 @@ class Grid:
 STEPS = [(dx, dy, math.hypot(dx, dy)) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
 
-def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, float] | None) -> tuple[dict[int, int], set[int]]:
-    """Each forest cell's way back (its parent cell, -1 at a source), and the targets reached."""
+def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, float] | None, back: dict[int, int] | None = None) -> tuple[dict[int, int], set[int]]:
+    """Each forest cell's way back (its parent cell, -1 at a source), and the targets reached.  ``back``: that of the sources."""
     dist = {c: 0.0 for c in sources}
-    parent = {c: -1 for c in sources}
+    parent = {c: back[c] if back else -1 for c in sources}
     forest: dict[int, int] = {}
     reached: set[int] = set()
     settled: set[int] = set()
@@ -128,7 +132,7 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
         if c in targets and c not in reached:
             reached.add(c)
             way = c
-            while way != -1 and way not in forest:
+            while way != -1 and way not in forest and (not back or way not in back):
                 forest[way] = parent[way]
                 if way not in targets:
                     dist[way] = 0.0
@@ -136,15 +140,15 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
                     heapq.heappush(heap, (0.0, way))
                 way = parent[way]
             continue
-        col, row, back = c % grid.w, c // grid.w, parent[c]
-        dx0, dy0 = (col - back % grid.w, row - back // grid.w) if back != -1 else (0, 0)
+        col, row, before = c % grid.w, c // grid.w, parent[c]
+        dx0, dy0 = (col - before % grid.w, row - before // grid.w) if before != -1 else (0, 0)
         weight = grid.cell * (price.get(c, 1.0) if price else 1.0)
         for dx, dy, step in STEPS:
             x, y = col + dx, row + dy
             if not (0 <= x < grid.w and 0 <= y < grid.h) or dx * dx0 + dy * dy0 < 0:
                 continue
             n = y * grid.w + x
-            if n in forest or blocked[n] and n not in targets or dx and dy and (blocked[row * grid.w + x] or blocked[y * grid.w + col]):
+            if n in forest or back and n in back or blocked[n] and n not in targets or dx and dy and (blocked[row * grid.w + x] or blocked[y * grid.w + col]):
                 continue
             new = dist[c] + step * weight
             if new < dist.get(n, math.inf):
@@ -154,6 +158,84 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
     return forest, reached
 
 
+def relink(grid: Grid, forest: dict[int, int], reached: set[int], rounds: int, price: dict[int, float] | None) -> dict[int, int]:
+    """Branches laid anew: a point's own way up to the next fork is taken out, and the shortest way from the rest of
+    the forest takes its place if that is shorter."""
+
+    def cost(way: list[int]) -> float:
+        return sum(math.dist(grid.centre(a), grid.centre(b)) * (price.get(b, 1.0) if price else 1.0) for a, b in zip(way, way[1:], strict=False))
+
+    for _ in range(rounds):
+        better = False
+        for target in sorted(reached):
+            count: dict[int, int] = defaultdict(int)
+            for back in forest.values():
+                count[back] += 1
+            if count[target]:
+                continue
+            way = [target]
+            while forest[way[-1]] != -1 and (len(way) == 1 or count[way[-1]] == 1 and way[-1] not in reached):
+                way.append(forest[way[-1]])
+            rest = {c: b for c, b in forest.items() if c not in way[:-1]}
+            # From the forest as it stands; its points stay leaves.
+            found, hit = grow(grid, [c for c in rest if c not in reached], {target}, price, rest)
+            if not hit:
+                continue
+            new = [target]
+            while new[-1] not in rest:
+                new.append(found[new[-1]])
+            if cost(new[::-1]) < cost(way[::-1]) - 1e-9:
+                rest.update({c: found[c] for c in new[:-1]})
+                forest, better = rest, True
+        if not better:
+            break
+    return forest
+
+
+def clear(grid: Grid, a: tuple[float, float], b: tuple[float, float], ends: set[int]) -> bool:
+    """Whether the straight line meets no blocked cell but those of its ends; it is sampled twice in each cell."""
+    number = max(2, int(4 * math.dist(a, b) / grid.cell) + 1)
+    t = np.linspace(0, 1, number)
+    cells = (((a[1] + t * (b[1] - a[1]) - grid.y0) / grid.cell).astype(int) * grid.w + ((a[0] + t * (b[0] - a[0]) - grid.x0) / grid.cell).astype(int)).tolist()
+    blocked = grid.blocked.ravel()
+    return not any(blocked[c] and c not in ends for c in cells)
+
+
+def crosses(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float], d: tuple[float, float]) -> bool:
+    """Whether two segments meet anywhere but at a shared end."""
+    if {a, b} & {c, d}:
+        return False
+
+    def side(p, q, r):
+        v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        return (v > 1e-9) - (v < -1e-9)
+
+    return side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
+
+
+def turns_little(line: list[tuple[float, float]]) -> bool:
+    return all((b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]) >= -1e-9 for a, b, c in zip(line, line[1:], line[2:], strict=False))
+
+
+def pulled(grid: Grid, edges: list[Edge]) -> list[Edge]:
+    """Edges with vertices left out where the straight way is free, turns stay small and no other edge is crossed."""
+    by = {e.edge: e for e in edges}
+    for e in edges:
+        k = 1
+        while k < len(e.line) - 1:
+            line = e.line[:k] + e.line[k + 1 :]
+            a, b = line[k - 1], line[k]
+            above = by[e.parent].line[-2:-1] if e.parent else []
+            below = [f.line[:2] for f in edges if f.parent == e.edge]
+            sound = clear(grid, a, b, {grid.at(*a), grid.at(*b)}) and turns_little([*above, *line]) and all(turns_little([line[-2], *f]) for f in below)
+            if sound and not any(crosses(a, b, p, q) for f in edges for p, q in zip(f.line, f.line[1:], strict=False) if f is not e):
+                e.line = line
+                k = max(1, k - 1)
+            else:
+                k += 1
+    return edges
+
+
 def straight(chain: list[int]) -> list[int]:
     """The chain without cells on the way straight on."""
     out = chain[:1]
@@ -186,7 +268,9 @@ class GridForest:
         lost = {p[0] for p in tile.points} - {p[0] for c in at for p in at[c]}
         for _ in range(self.options.passes):
             forest, reached = grow(grid, sources, targets, price)
+            forest = relink(grid, forest, reached, self.options.relinks, price)
             edges, cells = self.extract(grid, forest, at, sources, reached)
+            edges = pulled(grid, edges) if self.options.pull else edges
             score = sum(e.length * self.price(e.flow) for e in edges)
             variants.append(edges)
             lost |= {p[0] for c in targets - reached for p in at[c]}

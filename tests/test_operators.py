@@ -181,3 +181,22 @@ def test_stream_equals_table(spark, tmp_path):
     assert sorted(map(tuple, spark.table("progress_test").collect())) == want and want[0] == (0, "stage8", 80, 8)
     done = progress.status(progress.latest(events), spark.createDataFrame([(1, 5)], "run_id long, cp_id long"))
     assert {r["run_id"]: r["status"] for r in done.collect()} == {0: "RUNNING", 1: "PARTIAL", 2: "RUNNING", 3: "RUNNING", 4: "RUNNING"}
+
+
+def test_refined_forests_are_sound_and_not_longer():
+    rng = __import__("random").Random(7)
+    for _ in range(6):
+        points = [(i, rng.uniform(0, 200), rng.uniform(0, 200), rng.uniform(1, 20)) for i in range(12)]
+        boxes = [(x, y, x + 30, y + 20) for x, y in ((rng.uniform(20, 160), rng.uniform(20, 160)) for _ in range(4))]
+        length = {}
+        for name, options in {"plain": planner.Options(cell=10, passes=1, relinks=0, pull=False), "refined": planner.Options(cell=10, passes=1)}.items():
+            variants, lost = planner.GridForest(options).plan(planner.Tile(points, [(99, 1.0, 1.0)], boxes))
+            edges = variants[0]
+            by = {e.edge: e for e in edges}
+            assert sorted([*(e.node for e in edges if e.node >= 0), *lost]) == list(range(12))
+            for e in edges:
+                above = by[e.parent].line[-2:-1] if e.parent else []
+                assert planner.turns_little([*above, *e.line]) or len(e.line) == 2
+                assert not e.parent or by[e.parent].line[-1] == e.line[0]
+            length[name] = sum(e.length for e in edges)
+        assert length["refined"] <= length["plain"] + 1e-6
