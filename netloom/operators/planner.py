@@ -115,8 +115,11 @@ class Grid:
 STEPS = [(dx, dy, math.hypot(dx, dy)) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
 
-def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, float] | None, back: dict[int, int] | None = None) -> tuple[dict[int, int], set[int]]:
-    """Each forest cell's way back (its parent cell, -1 at a source), and the targets reached.  ``back``: that of the sources."""
+def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, float] | None, back: dict[int, int] | None = None, limit: float = math.inf) -> tuple[dict[int, int], set[int]]:
+    """Each forest cell's way back (its parent cell, -1 at a source), and the targets reached.
+
+    ``back``: the sources' own ways back; ``limit``: how far the wave may run.
+    """
     dist = {c: 0.0 for c in sources}
     parent = {c: back[c] if back else -1 for c in sources}
     forest: dict[int, int] = {}
@@ -128,6 +131,8 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
         d, c = heapq.heappop(heap)
         if c in settled or d > dist.get(c, math.inf):
             continue
+        if d > limit:
+            break
         settled.add(c)
         if c in targets and c not in reached:
             reached.add(c)
@@ -163,35 +168,53 @@ def relink(grid: Grid, forest: dict[int, int], reached: set[int], rounds: int, p
     the forest takes its place if that is shorter."""
 
     def cost(way: list[int]) -> float:
-        return sum(math.dist(grid.centre(a), grid.centre(b)) * (price.get(b, 1.0) if price else 1.0) for a, b in zip(way, way[1:], strict=False))
+        """As the wave counts it: a step weighs by the cell it leaves."""
+        return sum(math.dist(grid.centre(a), grid.centre(b)) * (price.get(a, 1.0) if price else 1.0) for a, b in zip(way, way[1:], strict=False))
 
     for _ in range(rounds):
         better = False
+        count: dict[int, int] = defaultdict(int)
+        for back in forest.values():
+            count[back] += 1
         for target in sorted(reached):
-            count: dict[int, int] = defaultdict(int)
-            for back in forest.values():
-                count[back] += 1
             if count[target]:
                 continue
             way = [target]
             while forest[way[-1]] != -1 and (len(way) == 1 or count[way[-1]] == 1 and way[-1] not in reached):
                 way.append(forest[way[-1]])
-            rest = {c: b for c, b in forest.items() if c not in way[:-1]}
-            # From the forest as it stands; its points stay leaves.
-            found, hit = grow(grid, [c for c in rest if c not in reached], {target}, price, rest)
-            if not hit:
-                continue
+            taken = {c: forest.pop(c) for c in way[:-1]}
+            # From the forest near by; its points stay leaves.
+            old = cost(way[::-1])
+            near = local(grid, forest, target, old)
+            found, hit = grow(grid, [c for c in near if c not in reached], {target}, price, forest, old)
             new = [target]
-            while new[-1] not in rest:
+            while hit and new[-1] not in forest:
                 new.append(found[new[-1]])
-            if cost(new[::-1]) < cost(way[::-1]) - 1e-9:
-                rest.update({c: found[c] for c in new[:-1]})
-                forest, better = rest, True
+            if hit and cost(new[::-1]) < old - 1e-9:
+                forest.update({c: found[c] for c in new[:-1]})
+                count[way[-1]] -= 1
+                count[new[-1]] += 1
+                for c in way[1:-1]:
+                    count[c] = 0
+                for c in new[1:-1]:
+                    count[c] = 1
+                better = True
+            else:
+                forest.update(taken)
         if not better:
             break
     return forest
 
 
+def local(grid: Grid, forest: dict[int, int], target: int, reach: float) -> list[int]:
+    """Forest cells within ``reach`` of a cell (price factors are at most 1, so all cells where they apply)."""
+    k = int(reach / grid.cell) + 1
+    if k * k > len(forest):
+        return sorted(forest)
+    col, row = target % grid.w, target // grid.w
+    return sorted(c for y in range(max(0, row - k), min(grid.h, row + k + 1)) for x in range(max(0, col - k), min(grid.w, col + k + 1)) if (c := y * grid.w + x) in forest)
+
+
 def clear(grid: Grid, a: tuple[float, float], b: tuple[float, float], ends: set[int]) -> bool:
     """Whether the straight line meets no blocked cell but those of its ends; it is sampled twice in each cell."""
     number = max(2, int(4 * math.dist(a, b) / grid.cell) + 1)
@@ -217,18 +240,45 @@ def turns_little(line: list[tuple[float, float]]) -> bool:
     return all((b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]) >= -1e-9 for a, b, c in zip(line, line[1:], line[2:], strict=False))
 
 
+class Segments:
+    """All edges' segments in blocks of space, to ask which may meet a new one."""
+
+    def __init__(self, size: float) -> None:
+        self.size = size
+        self.blocks: dict[tuple[int, int], set[tuple[int, tuple[float, float], tuple[float, float]]]] = defaultdict(set)
+
+    def around(self, a: tuple[float, float], b: tuple[float, float]) -> Iterator[tuple[int, int]]:
+        for x in range(int(min(a[0], b[0]) // self.size), int(max(a[0], b[0]) // self.size) + 1):
+            for y in range(int(min(a[1], b[1]) // self.size), int(max(a[1], b[1]) // self.size) + 1):
+                yield x, y
+
+    def put(self, edge: int, line: list[tuple[float, float]], gone: bool = False) -> None:
+        for a, b in zip(line, line[1:], strict=False):
+            for block in self.around(a, b):
+                (self.blocks[block].discard if gone else self.blocks[block].add)((edge, a, b))
+
+    def free(self, edge: int, a: tuple[float, float], b: tuple[float, float]) -> bool:
+        return not any(e != edge and crosses(a, b, p, q) for block in self.around(a, b) for e, p, q in self.blocks.get(block, ()))
+
+
 def pulled(grid: Grid, edges: list[Edge]) -> list[Edge]:
     """Edges with vertices left out where the straight way is free, turns stay small and no other edge is crossed."""
     by = {e.edge: e for e in edges}
+    children: dict[int, list[Edge]] = defaultdict(list)
+    segments = Segments(4 * grid.cell)
+    for e in edges:
+        children[e.parent].append(e)
+        segments.put(e.edge, e.line)
     for e in edges:
         k = 1
         while k < len(e.line) - 1:
             line = e.line[:k] + e.line[k + 1 :]
             a, b = line[k - 1], line[k]
             above = by[e.parent].line[-2:-1] if e.parent else []
-            below = [f.line[:2] for f in edges if f.parent == e.edge]
-            sound = clear(grid, a, b, {grid.at(*a), grid.at(*b)}) and turns_little([*above, *line]) and all(turns_little([line[-2], *f]) for f in below)
-            if sound and not any(crosses(a, b, p, q) for f in edges for p, q in zip(f.line, f.line[1:], strict=False) if f is not e):
+            sound = clear(grid, a, b, {grid.at(*a), grid.at(*b)}) and turns_little([*above, *line]) and all(turns_little([line[-2], *f.line[:2]]) for f in children[e.edge])
+            if sound and segments.free(e.edge, a, b):
+                segments.put(e.edge, e.line, gone=True)
+                segments.put(e.edge, line)
                 e.line = line
                 k = max(1, k - 1)
             else:
