@@ -41,7 +41,7 @@ from netloom.llm.common import mapped, slices, written
 LENGTH = 2048
 CLOSING_ID = 0
 #: Distinct words whose ids a task remembers.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Groups that the pieces of one length are ranked in.
 SALTS = 256
 
