@@ -762,3 +762,136 @@ def _(spark, d):
     from netloom.operators import assembly
 
     return assembly.contracted(designed(spark, d))
+
+
+# Obstacles.
+
+
+def keep_outs(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d).filter("mode = 'PROHIBITED'").withColumn("keep", F.col("min_dist") / 10.0)
+
+
+@query("prj08_blocked_segments")
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    return obstacles.blocked(T.net_segments(spark, d), keep_outs(spark, d), 10.0).select("seg_id", "r_id", F.round("dist", 6).alias("dist"))
+
+
+@query(
+    "prj09_crossing_angles",
+    "net_segments rects",
+    """, sides AS (SELECT r_id, x0 AS a, y0 AS b, x1 AS c, y0 AS e FROM rects UNION ALL SELECT r_id, x1, y0, x1, y1 FROM rects UNION ALL SELECT r_id, x1, y1, x0, y1 FROM rects UNION ALL SELECT r_id, x0, y1, x0, y0 FROM rects)
+    SELECT seg_id, r_id, round(min(least(t, 180 - t)), 6) AS angle FROM (
+      SELECT seg_id, r_id, degrees(atan2(abs(CAST((x2 - x1) * (e - b) - (y2 - y1) * (c - a) AS DOUBLE)), CAST((x2 - x1) * (c - a) + (y2 - y1) * (e - b) AS DOUBLE))) AS t FROM net_segments CROSS JOIN sides
+      WHERE sign((x2 - x1) * (b - y1) - (y2 - y1) * (a - x1)) * sign((x2 - x1) * (e - y1) - (y2 - y1) * (c - x1)) < 0 AND sign((c - a) * (y1 - b) - (e - b) * (x1 - a)) * sign((c - a) * (y2 - b) - (e - b) * (x2 - a)) < 0) GROUP BY seg_id, r_id""",
+)
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    return obstacles.crossing_angles(T.net_segments(spark, d), T.rects(spark, d))
+
+
+@query(
+    "prj14_chamber_pair_angles",
+    "cps net_nodes",
+    """, d AS (SELECT node_id, cp_id, dx, dy FROM (SELECT n.node_id, c.cp_id, c.x - n.x AS dx, c.y - n.y AS dy FROM cps c CROSS JOIN net_nodes n) WHERE dx * dx + dy * dy BETWEEN 1 AND 10000)
+    SELECT a.node_id, round(min(degrees(atan2(abs(CAST(a.dx * b.dy - a.dy * b.dx AS DOUBLE)), CAST(a.dx * b.dx + a.dy * b.dy AS DOUBLE)))), 4) AS angle, any_value(k.n) AS n FROM d a JOIN d b ON b.node_id = a.node_id AND b.cp_id <> a.cp_id JOIN (SELECT node_id, count(*) AS n FROM d GROUP BY node_id) k ON k.node_id = a.node_id GROUP BY a.node_id""",
+)
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    points, nodes = T.connection_points(spark, d), T.net_nodes(spark, d)
+    near = spatial.within(points, nodes, 100).filter("dist2 >= 1").join(points.select("cp_id", "x", "y"), "cp_id").join(nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")), "node_id")
+    return obstacles.narrowest_angles(near.select("node_id", (F.col("x") - F.col("nx")).alias("dx"), (F.col("y") - F.col("ny")).alias("dy")), "node_id")
+
+
+@query("ge08_gates", "net_segments", "SELECT seg_id, CAST(nth AS INT) AS nth, round(x1 + nth * 5.0 / l * (x2 - x1), 6) AS x, round(y1 + nth * 5.0 / l * (y2 - y1), 6) AS y FROM (SELECT *, unnest(generate_series(0, CAST(floor(l / 5.0) AS BIGINT))) AS nth FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l FROM net_segments))")
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    return obstacles.gates(T.net_segments(spark, d), 5.0)
+
+
+@query(
+    "gr33_bands_and_gates",
+    "cps net_segments",
+    """SELECT cp_id, seg_id, abs(t * l - floor(t * l / 5.0 + 0.5) * 5.0) <= 0.5 + 1e-9 AS in_gate FROM (
+      SELECT c.cp_id, s.seg_id, c.x, c.y, x1, y1, x2, y2, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l, greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))) AS t FROM cps c CROSS JOIN net_segments s)
+    WHERE sqrt((x - x1 - t * (x2 - x1)) * (x - x1 - t * (x2 - x1)) + (y - y1 - t * (y2 - y1)) * (y - y1 - t * (y2 - y1))) < 30""",
+)
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    return obstacles.in_bands(T.connection_points(spark, d), T.net_segments(spark, d), 30.0, 5.0, 1.0)
+
+
+EXITS = """, b AS (SELECT * FROM rects WHERE rtype = 'oks'),
+    o AS (SELECT c.*, r.* FROM cps c JOIN b r ON r.r_id = (SELECT min(r_id) FROM b q WHERE c.x BETWEEN q.x0 AND q.x1 AND c.y BETWEEN q.y0 AND q.y1)),
+    w AS (SELECT cp_id, r_id, 'W' AS side, CAST(x0 - 5 AS DOUBLE) AS ex, CAST(y AS DOUBLE) AS ey, CAST(x - x0 AS DOUBLE) AS inside FROM o UNION ALL SELECT cp_id, r_id, 'E', x1 + 5, y, x1 - x FROM o UNION ALL SELECT cp_id, r_id, 'S', x, y0 - 5, y - y0 FROM o UNION ALL SELECT cp_id, r_id, 'N', x, y1 + 5, y1 - y FROM o)
+    SELECT cp_id, r_id, side, ex, ey, inside + 5.0 AS tail, CAST(row_number() OVER (PARTITION BY cp_id ORDER BY inside, side) AS INT) AS nth FROM w WHERE inside <= 15
+      AND NOT EXISTS (SELECT 1 FROM b q WHERE q.r_id <> w.r_id AND pow(greatest(q.x0 - ex, 0, ex - q.x1), 2) + pow(greatest(q.y0 - ey, 0, ey - q.y1), 2) < 4.999 * 4.999)"""
+
+
+@query("gr34_exits", "cps rects", EXITS)
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    return obstacles.exits(T.connection_points(spark, d), T.rects(spark, d).filter("rtype = 'oks'"), 5.0, 15.0)
+
+
+@query("tk02_canonical_exits", "cps rects", EXITS.replace("SELECT cp_id, r_id, side, ex, ey, inside + 5.0 AS tail, CAST(row_number() OVER (PARTITION BY cp_id ORDER BY inside, side) AS INT) AS nth FROM w", "SELECT cp_id, arg_min(side, (inside, side)) AS side, min(inside) + 5.0 AS tail FROM w") + " GROUP BY cp_id")
+def _(spark, d):
+    return QUERIES["gr34_exits"](spark, d).filter("nth = 1").select("cp_id", "side", "tail")
+
+
+@query(
+    "gr04_passability_mask",
+    "rects rules",
+    f", z AS ({RULED}), g AS (SELECT i AS col, j AS row FROM range(0, 205) a(i) CROSS JOIN range(0, 165) b(j)) SELECT CAST(col AS INT) AS col, CAST(row AS INT) AS row, max(min_dist) AS value FROM g JOIN z ON z.mode = 'PROHIBITED' AND col * 10 + 5 > x0 AND col * 10 + 5 < x1 AND row * 10 + 5 > y0 AND row * 10 + 5 < y1 GROUP BY col, row",
+)
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    return obstacles.mask(ruled(spark, d).filter("mode = 'PROHIBITED'").withColumn("value", F.col("min_dist")), 10.0)
+
+
+@query("jn21_cell_factors", "rects rules", f", z AS ({RULED}), g AS (SELECT i AS col, j AS row FROM range(0, 205) a(i) CROSS JOIN range(0, 165) b(j)) SELECT CAST(col AS INT) AS col, CAST(row AS INT) AS row, max(factor) AS value FROM g JOIN z ON z.mode = 'SPECIAL' AND col * 10 + 5 > x0 AND col * 10 + 5 < x1 AND row * 10 + 5 > y0 AND row * 10 + 5 < y1 GROUP BY col, row")
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    return obstacles.mask(ruled(spark, d).filter("mode = 'SPECIAL'").withColumn("value", F.col("factor")), 10.0)
+
+
+@query("ag17_blocked_cells", "rects rules", f", z AS ({RULED}), g AS (SELECT i AS col, j AS row FROM range(0, 205) a(i) CROSS JOIN range(0, 165) b(j)) SELECT row // 10 AS band, count(*) AS cells FROM g WHERE EXISTS (SELECT 1 FROM z WHERE z.mode = 'PROHIBITED' AND col * 10 + 5 > x0 AND col * 10 + 5 < x1 AND row * 10 + 5 > y0 AND row * 10 + 5 < y1) GROUP BY row // 10")
+def _(spark, d):
+    return QUERIES["gr04_passability_mask"](spark, d).groupBy(F.floor(F.col("row") / 10).alias("band")).agg(F.count("*").alias("cells"))
+
+
+@query("sm03_usage_carried_over_tiles", "edges", "SELECT chamber, tile, CAST(sum(used) OVER (PARTITION BY chamber ORDER BY tile) AS BIGINT) AS so_far FROM (SELECT tree % 50 AS chamber, tree % 7 AS tile, count(*) AS used FROM edges WHERE parent = 0 GROUP BY 1, 2)")
+def _(spark, d):
+    used = T.edges(spark, d).filter("parent = 0").groupBy((F.col("tree") % 50).alias("chamber"), (F.col("tree") % 7).alias("tile")).agg(F.count("*").alias("used"))
+    return used.select("chamber", "tile", F.sum("used").over(Window.partitionBy("chamber").orderBy("tile")).alias("so_far"))
+
+
+@query("val02_ends_meet")
+def _(spark, d):
+    rows = planned(spark, d).filter("edge is not null")
+    up = rows.select("tile", "variant", F.col("edge").alias("parent"), F.element_at("line", -1).alias("end"))
+    both = rows.join(up, ["tile", "variant", "parent"])
+    apart = S.distance(F.col("line")[0]["x"], F.col("line")[0]["y"], F.col("end.x"), F.col("end.y")) > 1e-5
+    return both.groupBy("variant").agg(F.count("*").alias("joints"), F.count(F.when(apart, 1)).alias("apart"))
+
+
+@query("val09_no_dangling_references")
+def _(spark, d):
+    rows = planned(spark, d).filter("edge is not null").select("tile", "variant", "edge", "parent")
+    known = rows.select("tile", "variant", F.col("edge").alias("parent")).withColumn("known", F.lit(1))
+    return rows.filter("parent > 0").join(known, ["tile", "variant", "parent"], "left").groupBy("variant").agg(F.count("*").alias("refs"), F.count(F.when(F.col("known").isNull(), 1)).alias("dangling"))
+
+
+@query("gr37_detours")
+def _(spark, d):
+    rows = planned(spark, d).filter("edge is not null and node >= 0")
+    straight = S.distance(F.col("line")[0]["x"], F.col("line")[0]["y"], F.element_at("line", -1)["x"], F.element_at("line", -1)["y"])
+    return rows.withColumn("detour", F.col("length") - straight).filter("detour between 2 and 10").groupBy("variant").agg(F.count("*").alias("eligible"))
