@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions import scalars as S
 from netloom.operators import planner
-from netloom.sources import geojson
+from netloom.sources import geojson, sinks
 
 MODES = ("2d", "depth")
 RUNS = "run_id string, dataset_id string, algorithm string, mode string, created_at timestamp, status string, lost long"
@@ -81,6 +82,24 @@ class Engine:
     def result(self, run: str) -> DataFrame:
         return self.spark.read.parquet(self.path("runs", run, "edges"))
 
+    def export(self, run: str, path: str, zone: int = 37) -> None:
+        """The run's edges as one GeoJSON collection, a summary of each variant after its edges, with null geometry."""
+        rows = self.result(run)
+        edges = rows.filter("edge is not null")
+
+        def degrees(p: Column) -> Column:
+            lon, lat = S.to_wgs84(p["x"], p["y"], zone)
+            return F.struct(lon.alias("x"), lat.alias("y"))
+
+        dn = S.smallest_dn(F.col("flow"))
+        told = F.struct(F.concat_ws("_", F.lit("s"), "tile", "edge").alias("id"), F.concat(F.lit("v"), "variant").alias("variant_id"), F.lit("heat_network").alias("object_type"), F.col("flow").alias("flow_tph"), dn.alias("diameter"), F.round("length", 3).alias("length"), S.segment_cost(F.col("length"), dn).alias("cost"))
+        lines = edges.select("variant", F.lit(0).alias("kind"), "tile", "edge", sinks.feature(sinks.line(F.transform("line", degrees)), told).alias("feature"))
+        lost = F.broadcast(rows.agg(F.array_sort(F.collect_set("unconnected")).alias("lost")))
+        total = edges.groupBy("variant").agg(F.sum("length").alias("length"), F.sum(S.segment_cost(F.col("length"), dn)).alias("cost")).crossJoin(lost)
+        told = F.struct(F.concat(F.lit("summary_v"), "variant").alias("id"), F.lit("variant_summary").alias("object_type"), F.round("length", 3).alias("new_network_length"), F.col("cost").alias("construction_cost"), F.col("lost").alias("unconnected_oks_ids"))
+        last = total.select("variant", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tile"), F.lit(0).alias("edge"), sinks.feature(None, told).alias("feature"))
+        sinks.write_collection(lines.unionByName(last), path, ["variant", "kind", "tile", "edge"])
+
     def runs(self, dataset: str) -> DataFrame:
         """Runs of a data set, newest first."""
         rows = self.spark.read.schema(RUNS).parquet(self.path("meta"))

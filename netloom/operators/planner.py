@@ -14,7 +14,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.catalogues import DEFAULT, Catalogues
+from netloom.operators.medians import median
 
 EDGE = "tile long, variant int, edge int, parent int, node long, flow double, length double, line array<struct<x: double, y: double>>, unconnected long"
 
@@ -34,7 +35,7 @@ class Options:
     passes: int = 2
     #: Rounds in which every branch may be laid anew.
     relinks: int = 2
-    #: Straighten edges where nothing is in the way.
+    #: Straighten edges and move forks where nothing is in the way.
     pull: bool = True
     margin: float = 20.0
     max_cells: int = 4_000_000
@@ -257,8 +258,8 @@ class Segments:
             for block in self.around(a, b):
                 (self.blocks[block].discard if gone else self.blocks[block].add)((edge, a, b))
 
-    def free(self, edge: int, a: tuple[float, float], b: tuple[float, float]) -> bool:
-        return not any(e != edge and crosses(a, b, p, q) for block in self.around(a, b) for e, p, q in self.blocks.get(block, ()))
+    def free(self, own: set[int], a: tuple[float, float], b: tuple[float, float]) -> bool:
+        return not any(e not in own and crosses(a, b, p, q) for block in self.around(a, b) for e, p, q in self.blocks.get(block, ()))
 
 
 def pulled(grid: Grid, edges: list[Edge]) -> list[Edge]:
@@ -276,7 +277,7 @@ def pulled(grid: Grid, edges: list[Edge]) -> list[Edge]:
             a, b = line[k - 1], line[k]
             above = by[e.parent].line[-2:-1] if e.parent else []
             sound = clear(grid, a, b, {grid.at(*a), grid.at(*b)}) and turns_little([*above, *line]) and all(turns_little([line[-2], *f.line[:2]]) for f in children[e.edge])
-            if sound and segments.free(e.edge, a, b):
+            if sound and segments.free({e.edge}, a, b):
                 segments.put(e.edge, e.line, gone=True)
                 segments.put(e.edge, line)
                 e.line = line
@@ -286,6 +287,54 @@ def pulled(grid: Grid, edges: list[Edge]) -> list[Edge]:
     return edges
 
 
+def relocated(grid: Grid, edges: list[Edge], price: Callable[[float], float]) -> list[Edge]:
+    """Forks moved to the price-weighted median of their neighbours, where ways are free, turns small and the sum falls."""
+    by = {e.edge: e for e in edges}
+    children: dict[int, list[Edge]] = defaultdict(list)
+    segments = Segments(4 * grid.cell)
+    for e in edges:
+        children[e.parent].append(e)
+        segments.put(e.edge, e.line)
+    for e in edges:
+        out = children[e.edge]
+        if e.node >= 0 or len(out) < 2 or len(e.line) < 2:
+            continue
+        old = e.line[-1]
+        arms = [(e.line[-2], price(e.flow)), *((f.line[1], price(f.flow)) for f in out)]
+        new = median([(*p, w) for p, w in arms])
+        gain = sum(w * (math.dist(old, p) - math.dist(new, p)) for p, w in arms)
+        before = by[e.parent].line[-2:-1] if e.parent else []
+        lines = [[*before, *e.line[:-1], new], *([e.line[-2], new, *f.line[1:]] for f in out)]
+        below = [[new, f.line[1], g.line[1]] for f in out if len(f.line) == 2 for g in children[f.edge]]
+        own = {e.edge, *(f.edge for f in out)}
+        if gain > 1e-6 and all(map(turns_little, [*lines, *below])) and all(clear(grid, new, p, {grid.at(*new), grid.at(*p)}) for p, _ in arms):
+            if all(segments.free(own, new, p) for p, _ in arms):
+                for f in (e, *out):
+                    segments.put(f.edge, f.line, gone=True)
+                e.line = [*e.line[:-1], new]
+                for f in out:
+                    f.line = [new, *f.line[1:]]
+                for f in (e, *out):
+                    segments.put(f.edge, f.line)
+    return edges
+
+
+def spanning(places: list[tuple[float, float]]) -> float:
+    """Length of the least spanning tree of the places (Prim)."""
+    if len(places) < 2:
+        return 0.0
+    p = np.array(places)
+    far = np.hypot(*(p - p[0]).T)
+    far[0] = -1.0
+    total = 0.0
+    for _ in range(len(p) - 1):
+        k = int(np.where(far >= 0, far, np.inf).argmin())
+        total += float(far[k])
+        far = np.where(far >= 0, np.minimum(far, np.hypot(*(p - p[k]).T)), -1.0)
+        far[k] = -1.0
+    return total
+
+
 def straight(chain: list[int]) -> list[int]:
     """The chain without cells on the way straight on."""
     out = chain[:1]
@@ -320,7 +369,8 @@ class GridForest:
             forest, reached = grow(grid, sources, targets, price)
             forest = relink(grid, forest, reached, self.options.relinks, price)
             edges, cells = self.extract(grid, forest, at, sources, reached)
-            edges = pulled(grid, edges) if self.options.pull else edges
+            if self.options.pull:
+                edges = relocated(grid, pulled(grid, edges), self.price)
             score = sum(e.length * self.price(e.flow) for e in edges)
             variants.append(edges)
             lost |= {p[0] for c in targets - reached for p in at[c]}

@@ -895,3 +895,23 @@ def _(spark, d):
     rows = planned(spark, d).filter("edge is not null and node >= 0")
     straight = S.distance(F.col("line")[0]["x"], F.col("line")[0]["y"], F.element_at("line", -1)["x"], F.element_at("line", -1)["y"])
     return rows.withColumn("detour", F.col("length") - straight).filter("detour between 2 and 10").groupBy("variant").agg(F.count("*").alias("eligible"))
+
+
+@query("val12_steiner_gap")
+def _(spark, d):
+    """Each tile's network against the least spanning tree of its places; no network is shorter than 0.866 of that."""
+    from netloom.operators import planner
+
+    edges = planned(spark, d).filter("edge is not null and variant = 1")
+    ends = edges.select("tile", F.explode(F.array(F.when(F.col("node") >= 0, F.element_at("line", -1)), F.when(F.col("parent") == 0, F.col("line")[0]))).alias("p")).filter("p is not null").distinct()
+    places = ends.groupBy("tile").agg(F.collect_list("p").alias("places"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [planner.spanning([(p["x"], p["y"]) for p in ps]) for ps in batch.column("places").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(found, pa.float64())], ["tile", "spanning"])
+
+    total = edges.groupBy("tile").agg(F.sum("length").alias("length"))
+    return places.mapInArrow(run, "tile long, spanning double").join(total, "tile").select("tile", F.round("length", 3).alias("length"), F.round("spanning", 3).alias("spanning"))

@@ -44,6 +44,10 @@ def test_register_plan_and_read(spark, tmp_path):
     for bad in (lambda: engine.run(name, "other"), lambda: engine.run(name, mode="3d"), lambda: engine.result("../x")):
         with pytest.raises(ValueError):
             bad()
+    engine.export(run, f"file://{tmp_path}/out")
+    out = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))["features"]
+    assert len(out) == len(edges) + len({r["variant"] for r in edges}) and out[-1]["geometry"] is None and out[-1]["properties"]["unconnected_oks_ids"]
+    assert all(37.49 < x < 37.51 and 55.69 < y < 55.71 for f in out if f["geometry"] for x, y in f["geometry"]["coordinates"])
     (tmp_path / "none.json").write_text('{"features": []}')
     with pytest.raises(ValueError, match="no features"):
         engine.register(str(tmp_path / "none.json"))
