@@ -16,13 +16,14 @@ sent to executors has the same size for any corpus.
    whole texts, and is at least ``threshold`` for a link.
 4. Classes are the connected components of the links (alternating stars, all on
    executors).
-5. Buckets that still hold several classes are compared further.  The weight of
-   what a text shares with any other of these bounds its similarity to each: near
-   copies with many changes of their own drop out by one count, the others are
-   compared with the most typical of their bucket, and then only pairs of
-   different classes whose bounds reach the threshold are made.
-   So no pair of a bucket is passed over unless its ends are in one class already
-   or it cannot reach the threshold.
+5. Buckets that still hold several classes are compared further.  Two bounds
+   from above spare most pairs: the weight of what a text shares with any other of
+   these (near copies with many changes of their own drop out by one count), and
+   sums of weights by hashed shingle, of which two texts share at most the lesser
+   ones.  Nodes are compared with the most typical of their bucket, then in all
+   pairs of different classes whose bounds reach the threshold.  So no pair of a
+   bucket is passed over unless its ends are in one class already or it cannot
+   reach the threshold.
 
 Defined results: a null text counts as empty; texts without any word are in one
 class only if they are equal; shorter texts are one shingle; repeated rows are
@@ -40,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import mapped, mixed, plain_unions, shingle_hashes, slices, written, WordHashes
@@ -59,6 +60,8 @@ class Settings:
     threshold: float = 0.8
     bands: int = 16
     rows: int = 4
+    #: Sums of weights that bound what two texts share.
+    parts: int = 64
     seed: int = 20_240_601
 
     @property
@@ -303,26 +306,37 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def bounds(texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
-    """(node, total, shared): the weight of a text's shingles, and of those that another of these texts has.
+    """(node, total, shared, parts): what bounds a text's similarity to others of these texts.
 
-    What two texts share is at most the less of their ``shared``.  Nodes that this
-    keeps below the threshold with any other are left out.
+    ``total`` is the weight of its shingles and ``shared`` of those that another of
+    these texts has; ``parts`` are sums of weights by a hash of the shingle.  Two
+    texts share at most the sum of the lesser parts.  Nodes whose ``shared`` keeps
+    them below the threshold with any other are left out.
     """
+    texts = written(texts, "open-texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
         for batch in slices(batches, "text"):
             _, offsets, shingles, weights = features(batch.column("text"), hashes_of, idf_sent.value, settings.shingle)
-            node = np.asarray(batch.column("node"))
-            sizes = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, sizes)), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], ["node", "shingle", "weight"])
+            node = np.repeat(np.asarray(batch.column("node")), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], ["node", "shingle", "weight"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes_of, k = WordHashes(), settings.parts
+        for batch in slices(batches, "text"):
+            _, offsets, shingles, weights = features(batch.column("text"), hashes_of, idf_sent.value, settings.shingle)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            parts = np.bincount(owner * k + (mixed(shingles) % np.uint64(k)).astype(np.int64), weights=weights, minlength=k * batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * k), pa.array(parts))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(parts.reshape(-1, k).sum(axis=1)), lists], ["node", "total", "parts"])
 
-    rows = written(mapped(texts, run, "node long, shingle long, weight double"), "shingles")
     # A shingle that one node has alone is known by that node; no rows of a shingle need meet in one task.
+    rows = mapped(texts, shingles, "node long, shingle long, weight double")
     alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).filter("n = 1")
     lost = alone.groupBy("node").agg(F.sum("weight").alias("lost"))
-    totals = rows.groupBy("node").agg(F.sum("weight").alias("total")).join(lost, "node", "left")
-    return totals.select("node", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("shared")).filter(F.col("shared") >= (settings.threshold - 1e-6) * F.col("total"))
+    whole = mapped(texts, summed, "node long, total double, parts array<double>").join(lost, "node", "left")
+    return whole.select("node", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("shared"), "parts").filter(F.col("shared") >= (settings.threshold - 1e-6) * F.col("total"))
 
 
 def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -354,14 +368,18 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
                 break
             if limits is None:  # of more nodes than the last step asks for, which only makes a bound wider
                 limits = written(bounds(wanted_texts(docs, open_.select("node").distinct()), idf_sent, settings), "bounds")
-            open_ = open_.join(limits.join(nodes.select("node", "sketch"), "node"), "node")
-            most = F.least("shared", "shared_y")
-            different = (F.col("root") != F.col("ry")) & (most >= (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y") - most))
-            # The samples are at hand here, so pairs that agree too rarely are never made.
-            different &= F.size(F.filter(F.zip_with("sketch", "sketch_y", lambda a, b: a == b), lambda same: same)) >= settings.agree
-            other = {"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y", "sketch": "sketch_y"}
+            open_ = open_.join(limits, "node")
+            sums = (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y"))
+
+            def reaches(most: Column) -> Column:
+                """Whether a pair that shares so much could be as similar as the threshold."""
+                return most * (1 + settings.threshold) >= sums
+
+            different = (F.col("root") != F.col("ry")) & reaches(F.least("shared", "shared_y"))
+            different &= reaches(F.aggregate(F.zip_with("parts", "parts_y", lambda a, b: F.least(a, b)), F.lit(0.0), lambda t, x: t + x))
+            other = {"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y", "parts": "parts_y"}
             if step == "typical":
-                best = F.max(F.struct((F.col("shared") / F.col("total")).alias("part"), "node", "root", "total", "shared", "sketch")).alias("c")
+                best = F.max(F.struct((F.col("shared") / F.col("total")).alias("part"), "node", "root", "total", "shared", "parts")).alias("c")
                 crossed = open_.join(open_.groupBy("key").agg(best).select("key", *[F.col(f"c.{a}").alias(b) for a, b in other.items()]), "key").filter(different)
             else:
                 crossed = open_.join(open_.withColumnsRenamed(other), "key").filter(different & (F.col("node") < F.col("y")))
