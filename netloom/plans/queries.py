@@ -915,3 +915,102 @@ def _(spark, d):
 
     total = edges.groupBy("tile").agg(F.sum("length").alias("length"))
     return places.mapInArrow(run, "tile long, spanning double").join(total, "tile").select("tile", F.round("length", 3).alias("length"), F.round("spanning", 3).alias("spanning"))
+
+
+# More of the plane, and of the plan's bookkeeping.
+
+
+@query("ge02_turn_angle", "edges", "SELECT tree, n, round(degrees(atan2(abs(CAST(len_m * 3 - flow * n AS DOUBLE)), CAST(len_m * n + flow * 3 AS DOUBLE))), 6) AS turn FROM edges")
+def _(spark, d):
+    a, b, c, e = F.col("len_m"), F.col("flow"), F.col("n"), F.lit(3)
+    return T.edges(spark, d).select("tree", "n", F.round(S.turn_degrees(a.cast("double"), b.cast("double"), c.cast("double"), e.cast("double")), 6).alias("turn"))
+
+
+@query("ge07_restriction_axes", "rects", "SELECT r_id, CAST(k AS INT) AS side, CASE k WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x1 ELSE x0 END AS ax, CASE k WHEN 0 THEN y0 WHEN 1 THEN y0 WHEN 2 THEN y1 ELSE y1 END AS ay FROM rects CROSS JOIN range(0, 4) t(k)")
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    ring = F.array(*[F.struct(F.col(a).alias("ax"), F.col(b).alias("ay")) for a, b, _, _ in obstacles.SIDES])
+    return T.rects(spark, d).select("r_id", F.posexplode(ring).alias("side", "p")).select("r_id", "side", "p.ax", "p.ay")
+
+
+@query("ge11_pushed_points", "cps", "SELECT cp_id, round(x + 5.0 * dx / l, 6) AS px, round(y + 5.0 * dy / l, 6) AS py FROM (SELECT cp_id, x, y, 1000.5 - x AS dx, 800.5 - y AS dy, sqrt((1000.5 - x) * (1000.5 - x) + (800.5 - y) * (800.5 - y)) AS l FROM cps)")
+def _(spark, d):
+    dx, dy = 1000.5 - F.col("x"), 800.5 - F.col("y")
+    far = F.sqrt(dx * dx + dy * dy)
+    return T.connection_points(spark, d).select("cp_id", F.round(F.col("x") + 5.0 * dx / far, 6).alias("px"), F.round(F.col("y") + 5.0 * dy / far, 6).alias("py"))
+
+
+@query("ge12_midpoints_and_normals", "net_segments", "SELECT seg_id, (x1 + x2) / 2.0 AS mx, (y1 + y2) / 2.0 AS my, round(-(y2 - y1) / l, 6) + 0.0 AS nx, round((x2 - x1) / l, 6) AS ny FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l FROM net_segments)")
+def _(spark, d):
+    length = S.distance(*map(F.col, ("x1", "y1", "x2", "y2")))
+    return T.net_segments(spark, d).select("seg_id", ((F.col("x1") + F.col("x2")) / 2.0).alias("mx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("my"), (F.round(-(F.col("y2") - F.col("y1")) / length, 6) + 0.0).alias("nx"), F.round((F.col("x2") - F.col("x1")) / length, 6).alias("ny"))
+
+
+@query("ge16_line_split_at_point", "net_nodes", f"{STREET}, c AS (SELECT line, pos, x, y, pos <= m AS first FROM street JOIN (SELECT line, CAST(floor(avg(pos)) AS BIGINT) AS m FROM street GROUP BY line) USING (line)) SELECT line, first, count(*) AS vertices, min(x) AS from_x, max(x) AS to_x FROM (SELECT line, first, x FROM c UNION ALL SELECT line, false, x FROM c q WHERE first AND pos = (SELECT max(pos) FROM c z WHERE z.line = q.line AND z.first)) GROUP BY line, first")
+def _(spark, d):
+    rows = street(spark, d)
+    middle = rows.groupBy("line").agg(F.floor(F.avg("pos")).alias("m"))
+    both = rows.join(middle, "line").select("line", "x", F.explode(F.when(F.col("pos") == F.col("m"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("pos") < F.col("m")))).alias("first"))
+    return both.groupBy("line", "first").agg(F.count("*").alias("vertices"), F.min("x").alias("from_x"), F.max("x").alias("to_x"))
+
+
+@query("prj17_simplified_lines", "rects", ", v AS (SELECT r_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest([x0, (x0 + x1) // 2, x1, x1, x1]) AS x, unnest([y0, y0, y0, y0, y1]) AS y FROM rects) SELECT count(*) AS kept, count(DISTINCT r_id) AS lines FROM v WHERE pos IN (0, 2, 4)")
+def _(spark, d):
+    middle = F.floor((F.col("x0") + F.col("x1")) / 2)
+    line = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("x0"), F.col("y0")), (middle, F.col("y0")), (F.col("x1"), F.col("y0")), (F.col("x1"), F.col("y0")), (F.col("x1"), F.col("y1")))])
+    rows = T.rects(spark, d).select("r_id", F.posexplode(line).alias("pos", "p")).select("r_id", "pos", "p.x", "p.y")
+    return sequences.simplified(rows, "r_id", "pos").agg(F.count("*").alias("kept"), F.countDistinct("r_id").alias("lines"))
+
+
+@query("gr02_terminals", "cps", "SELECT cp_id, CASE WHEN flow <= 0 THEN 'NO_FLOW' WHEN cp_id % 9 = 0 THEN 'BLOCKED' ELSE 'OK' END AS state FROM cps")
+def _(spark, d):
+    points = T.connection_points(spark, d)
+    blocked = points.filter("cp_id % 9 = 0").select("cp_id", F.lit(True).alias("blocked"))
+    return points.join(blocked, "cp_id", "left").select("cp_id", F.when(F.col("flow") <= 0, "NO_FLOW").when(F.col("blocked"), "BLOCKED").otherwise("OK").alias("state"))
+
+
+@query("gr03_grid_bounds", "cps net_nodes", "SELECT min(x) - 20 AS x0, min(y) - 20 AS y0, max(x) + 20 AS x1, max(y) + 20 AS y1 FROM (SELECT x, y FROM cps UNION ALL SELECT x, y FROM net_nodes)")
+def _(spark, d):
+    both = T.connection_points(spark, d).select("x", "y").union(T.net_nodes(spark, d).select("x", "y"))
+    return both.agg((F.min("x") - 20).alias("x0"), (F.min("y") - 20).alias("y0"), (F.max("x") + 20).alias("x1"), (F.max("y") + 20).alias("y1"))
+
+
+@query("gr30_cheapest_dn_is_not_below_flow", "designed", "SELECT dn, count(*) AS edges, max(total_flow) AS most FROM designed GROUP BY dn")
+def _(spark, d):
+    return designed(spark, d).groupBy("dn").agg(F.count("*").alias("edges"), F.max("total_flow").alias("most"))
+
+
+@query("tk05_first_candidates", "edges", "SELECT tree, n FROM edges WHERE len_m > 60 ORDER BY tree, n LIMIT 200")
+def _(spark, d):
+    return T.edges(spark, d).filter("len_m > 60").select("tree", "n").orderBy("tree", "n").limit(200)
+
+
+@query("tk07_sorted_catalogue", "cat", "SELECT dn, capacity, max_len, price FROM cat ORDER BY dn")
+def _(spark, d):
+    return K.diameters(spark).orderBy("dn")
+
+
+@query("prj05_legacy_dropped", "cps", "SELECT cp_id FROM cps WHERE cp_id % 11 <> 0")
+def _(spark, d):
+    from netloom.sources import geojson
+
+    rows = geojson.classified(features(spark, d).filter("feature_seq < 10000000"))
+    return rows.filter("status is not null").select(F.col("id").cast("long").alias("cp_id"))
+
+
+@query("prj12_exit_filter", "cps rects", "SELECT c.cp_id, count(*) AS ways FROM cps c JOIN rects r ON r.rtype = 'oks' AND c.x BETWEEN r.x0 AND r.x1 AND c.y BETWEEN r.y0 AND r.y1 WHERE least(c.x - r.x0, r.x1 - c.x, c.y - r.y0, r.y1 - c.y) <= 3 GROUP BY c.cp_id")
+def _(spark, d):
+    boxes = T.rects(spark, d).filter("rtype = 'oks'")
+    inside = spatial.containing(T.connection_points(spark, d), boxes).join(T.connection_points(spark, d), "cp_id").join(boxes.drop("rtype"), "r_id")
+    near = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
+    return inside.filter(near <= 3).groupBy("cp_id").agg(F.count("*").alias("ways"))
+
+
+@query("val07_special_pieces_are_straight", "designed", "SELECT count(*) AS special FROM designed WHERE rtype <> 'N'")
+def _(spark, d):
+    from netloom.operators import assembly
+
+    e, s = special_spans(spark, d)
+    parts = assembly.pieces(e, s).filter("factor > 100")
+    return parts.groupBy("edge").agg(F.count("*").alias("n")).agg(F.count("*").alias("special"))
