@@ -33,6 +33,8 @@ EDGE = "tile long, variant int, edge int, parent int, node long, flow double, le
 class Options:
     cell: float = 10.0
     passes: int = 2
+    #: Edges that may meet in a fork or tie-in place.
+    max_degree: int = 4
     #: Rounds in which every branch may be laid anew.
     relinks: int = 2
     #: Straighten edges and move forks where nothing is in the way.
@@ -116,7 +118,7 @@ class Grid:
 STEPS = [(dx, dy, math.hypot(dx, dy)) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
 
-def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, float] | None, back: dict[int, int] | None = None, limit: float = math.inf) -> tuple[dict[int, int], set[int]]:
+def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, float] | None, back: dict[int, int] | None = None, limit: float = math.inf, degree: int = 4) -> tuple[dict[int, int], set[int]]:
     """Each forest cell's way back (its parent cell, -1 at a source), and the targets reached.
 
     ``back``: the sources' own ways back; ``limit``: how far the wave may run.
@@ -126,6 +128,7 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
     forest: dict[int, int] = {}
     reached: set[int] = set()
     settled: set[int] = set()
+    meets: dict[int, int] = defaultdict(int)
     heap = [(0.0, c) for c in sorted(sources)]
     blocked = grid.blocked.ravel()
     while heap and len(reached) < len(targets):
@@ -136,15 +139,30 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
             break
         settled.add(c)
         if c in targets and c not in reached:
+            way, ways = [c], parent
+            while ways[way[-1]] != -1 and way[-1] not in forest and (not back or way[-1] not in back):
+                way.append(ways[way[-1]])
+            if not back and meets[way[-1]] >= degree:
+                # The fork has no place left: the way from the nearest place that has one.
+                free = {k: p for k, p in forest.items() if k not in targets and meets[k] < degree} | {k: -1 for k in sources if k not in forest}
+                ways, hit = grow(grid, sorted(free), {c}, price, {**forest, **free}, degree=degree)
+                if not hit:
+                    continue
+                way = [c]
+                while way[-1] not in forest and way[-1] not in free:
+                    way.append(ways[way[-1]])
             reached.add(c)
-            way = c
-            while way != -1 and way not in forest and (not back or way not in back):
-                forest[way] = parent[way]
-                if way not in targets:
-                    dist[way] = 0.0
-                    settled.discard(way)
-                    heapq.heappush(heap, (0.0, way))
-                way = parent[way]
+            for k in way[:-1]:
+                meets[k] += 2 if k != c else 1
+            meets[way[-1]] += 1
+            for k in way:
+                if k in forest:
+                    continue
+                forest[k] = parent[k] = ways.get(k, -1)
+                if k not in targets:
+                    dist[k] = 0.0
+                    settled.discard(k)
+                    heapq.heappush(heap, (0.0, k))
             continue
         col, row, before = c % grid.w, c // grid.w, parent[c]
         dx0, dy0 = (col - before % grid.w, row - before // grid.w) if before != -1 else (0, 0)
@@ -164,7 +182,7 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
     return forest, reached
 
 
-def relink(grid: Grid, forest: dict[int, int], reached: set[int], rounds: int, price: dict[int, float] | None) -> dict[int, int]:
+def relink(grid: Grid, forest: dict[int, int], reached: set[int], rounds: int, price: dict[int, float] | None, degree: int = 4) -> dict[int, int]:
     """Branches laid anew: a point's own way up to the next fork is taken out, and the shortest way from the rest of
     the forest takes its place if that is shorter."""
 
@@ -186,8 +204,8 @@ def relink(grid: Grid, forest: dict[int, int], reached: set[int], rounds: int, p
             taken = {c: forest.pop(c) for c in way[:-1]}
             # From the forest near by; its points stay leaves.
             old = cost(way[::-1])
-            near = local(grid, forest, target, old)
-            found, hit = grow(grid, [c for c in near if c not in reached], {target}, price, forest, old)
+            near = [c for c in local(grid, forest, target, old) if c not in reached and (c == way[-1] or count[c] + (forest[c] != -1) < degree)]
+            found, hit = grow(grid, near, {target}, price, forest, old)
             new = [target]
             while hit and new[-1] not in forest:
                 new.append(found[new[-1]])
@@ -366,8 +384,8 @@ class GridForest:
         best = math.inf
         lost = {p[0] for p in tile.points} - {p[0] for c in at for p in at[c]}
         for _ in range(self.options.passes):
-            forest, reached = grow(grid, sources, targets, price)
-            forest = relink(grid, forest, reached, self.options.relinks, price)
+            forest, reached = grow(grid, sources, targets, price, degree=self.options.max_degree)
+            forest = relink(grid, forest, reached, self.options.relinks, price, self.options.max_degree)
             edges, cells = self.extract(grid, forest, at, sources, reached)
             if self.options.pull:
                 edges = relocated(grid, pulled(grid, edges), self.price)

@@ -1014,3 +1014,10 @@ def _(spark, d):
     e, s = special_spans(spark, d)
     parts = assembly.pieces(e, s).filter("factor > 100")
     return parts.groupBy("edge").agg(F.count("*").alias("n")).agg(F.count("*").alias("special"))
+
+
+@query("val06_planned_degree")
+def _(spark, d):
+    rows = planned(spark, d).filter("edge is not null")
+    ends = rows.select("tile", "variant", F.explode(F.array(F.col("line")[0], F.element_at("line", -1))).alias("p"))
+    return ends.groupBy("tile", "variant", "p").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("places"))

@@ -198,5 +198,10 @@ def test_refined_forests_are_sound_and_not_longer():
                 above = by[e.parent].line[-2:-1] if e.parent else []
                 assert planner.turns_little([*above, *e.line]) or len(e.line) == 2
                 assert not e.parent or by[e.parent].line[-1] == e.line[0]
+            degree = {}
+            for e in edges:
+                for spot in (e.line[0], e.line[-1]):
+                    degree[spot] = degree.get(spot, 0) + 1
+            assert max(degree.values()) <= 4
             length[name] = sum(e.length for e in edges)
         assert length["refined"] <= length["plain"] + 1e-6
