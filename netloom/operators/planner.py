@@ -107,6 +107,29 @@ class Grid:
             i, j = np.searchsorted(cx, a, "right"), np.searchsorted(cx, c, "left")
             k, m = np.searchsorted(cy, b, "right"), np.searchsorted(cy, d, "left")
             self.blocked[k:m, i:j] = True
+        # Boxes by blocks of space, for exact tests of straight ways.
+        self.size = 4 * self.cell
+        self.boxes: dict[tuple[int, int], list[tuple[float, float, float, float]]] = defaultdict(list)
+        for box in tile.boxes:
+            for bx in range(int(box[0] // self.size), int(box[2] // self.size) + 1):
+                for by in range(int(box[1] // self.size), int(box[3] // self.size) + 1):
+                    self.boxes[bx, by].append(box)
+        self.steps: dict[tuple[int, int], bool] = {}
+
+    def free(self, a: tuple[float, float], b: tuple[float, float]) -> bool:
+        """Whether the straight way goes through no box, but for boxes that hold one of its ends."""
+        for bx in range(int(min(a[0], b[0]) // self.size), int(max(a[0], b[0]) // self.size) + 1):
+            for by in range(int(min(a[1], b[1]) // self.size), int(max(a[1], b[1]) // self.size) + 1):
+                for box in self.boxes.get((bx, by), ()):
+                    if goes_through(a, b, box) and not within(a, box) and not within(b, box):
+                        return False
+        return True
+
+    def step(self, c: int, n: int) -> bool:
+        key = (c, n) if c < n else (n, c)
+        if key not in self.steps:
+            self.steps[key] = self.free(self.centre(c), self.centre(n))
+        return self.steps[key]
 
     def at(self, x: float, y: float) -> int:
         return min(self.h - 1, max(0, int((y - self.y0) / self.cell))) * self.w + min(self.w - 1, max(0, int((x - self.x0) / self.cell)))
@@ -115,6 +138,23 @@ class Grid:
         return self.x0 + (c % self.w + 0.5) * self.cell, self.y0 + (c // self.w + 0.5) * self.cell
 
 
+def within(p: tuple[float, float], box: tuple[float, float, float, float]) -> bool:
+    return box[0] < p[0] < box[2] and box[1] < p[1] < box[3]
+
+
+def goes_through(a: tuple[float, float], b: tuple[float, float], box: tuple[float, float, float, float]) -> bool:
+    """Whether a segment has a part inside a box; touching a side or a corner is none."""
+    low, high = 0.0, 1.0
+    for p, q, near, far in ((a[0], b[0], box[0], box[2]), (a[1], b[1], box[1], box[3])):
+        if p == q:
+            if not near < p < far:
+                return False
+            continue
+        t, u = sorted(((near - p) / (q - p), (far - p) / (q - p)))
+        low, high = max(low, t), min(high, u)
+    return high - low > 1e-9
+
+
 STEPS = [(dx, dy, math.hypot(dx, dy)) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
 
@@ -175,7 +215,7 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
             if n in forest or back and n in back or blocked[n] and n not in targets or dx and dy and (blocked[row * grid.w + x] or blocked[y * grid.w + col]):
                 continue
             new = dist[c] + step * weight
-            if new < dist.get(n, math.inf):
+            if new < dist.get(n, math.inf) and grid.step(c, n):
                 dist[n], parent[n] = new, c
                 settled.discard(n)
                 heapq.heappush(heap, (new, n))
@@ -234,15 +274,6 @@ def local(grid: Grid, forest: dict[int, int], target: int, reach: float) -> list
     return sorted(c for y in range(max(0, row - k), min(grid.h, row + k + 1)) for x in range(max(0, col - k), min(grid.w, col + k + 1)) if (c := y * grid.w + x) in forest)
 
 
-def clear(grid: Grid, a: tuple[float, float], b: tuple[float, float], ends: set[int]) -> bool:
-    """Whether the straight line meets no blocked cell but those of its ends; it is sampled twice in each cell."""
-    number = max(2, int(4 * math.dist(a, b) / grid.cell) + 1)
-    t = np.linspace(0, 1, number)
-    cells = (((a[1] + t * (b[1] - a[1]) - grid.y0) / grid.cell).astype(int) * grid.w + ((a[0] + t * (b[0] - a[0]) - grid.x0) / grid.cell).astype(int)).tolist()
-    blocked = grid.blocked.ravel()
-    return not any(blocked[c] and c not in ends for c in cells)
-
-
 def crosses(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float], d: tuple[float, float]) -> bool:
     """Whether two segments meet anywhere but at a shared end."""
     if {a, b} & {c, d}:
@@ -294,7 +325,7 @@ def pulled(grid: Grid, edges: list[Edge]) -> list[Edge]:
             line = e.line[:k] + e.line[k + 1 :]
             a, b = line[k - 1], line[k]
             above = by[e.parent].line[-2:-1] if e.parent else []
-            sound = clear(grid, a, b, {grid.at(*a), grid.at(*b)}) and turns_little([*above, *line]) and all(turns_little([line[-2], *f.line[:2]]) for f in children[e.edge])
+            sound = grid.free(a, b) and turns_little([*above, *line]) and all(turns_little([line[-2], *f.line[:2]]) for f in children[e.edge])
             if sound and segments.free({e.edge}, a, b):
                 segments.put(e.edge, e.line, gone=True)
                 segments.put(e.edge, line)
@@ -325,7 +356,7 @@ def relocated(grid: Grid, edges: list[Edge], price: Callable[[float], float]) ->
         lines = [[*before, *e.line[:-1], new], *([e.line[-2], new, *f.line[1:]] for f in out)]
         below = [[new, f.line[1], g.line[1]] for f in out if len(f.line) == 2 for g in children[f.edge]]
         own = {e.edge, *(f.edge for f in out)}
-        if gain > 1e-6 and all(map(turns_little, [*lines, *below])) and all(clear(grid, new, p, {grid.at(*new), grid.at(*p)}) for p, _ in arms):
+        if gain > 1e-6 and all(map(turns_little, [*lines, *below])) and not any(within(new, box) for box in grid.boxes.get((int(new[0] // grid.size), int(new[1] // grid.size)), ())) and all(grid.free(new, p) for p, _ in arms):
             if all(segments.free(own, new, p) for p, _ in arms):
                 for f in (e, *out):
                     segments.put(f.edge, f.line, gone=True)
@@ -386,7 +417,8 @@ class GridForest:
         for _ in range(self.options.passes):
             forest, reached = grow(grid, sources, targets, price, degree=self.options.max_degree)
             forest = relink(grid, forest, reached, self.options.relinks, price, self.options.max_degree)
-            edges, cells = self.extract(grid, forest, at, sources, reached)
+            edges, cells, stuck = self.extract(grid, forest, at, sources, reached)
+            lost |= set(stuck)
             if self.options.pull:
                 edges = relocated(grid, pulled(grid, edges), self.price)
             score = sum(e.length * self.price(e.flow) for e in edges)
@@ -402,8 +434,16 @@ class GridForest:
     def price(self, flow: float) -> float:
         return next((r[3] for r in self.catalogues.diameters if flow <= r[1]), self.catalogues.diameters[-1][3])
 
-    def extract(self, grid: Grid, forest: dict[int, int], at: dict, sources: list[int], reached: set[int]) -> tuple[list[Edge], dict[int, float]]:
-        """Edges between sources, forks and points, and the flow through each cell."""
+    def extract(self, grid: Grid, forest: dict[int, int], at: dict, sources: list[int], reached: set[int]) -> tuple[list[Edge], dict[int, float], list[int]]:
+        """Edges between sources, forks and points, the flow through each cell, and points that a box parts from their cell."""
+        stuck: list[int] = []
+
+        def free(c: int, p: tuple[int, float, float, float]) -> bool:
+            sound = grid.free(grid.centre(c), (p[1], p[2]))
+            if not sound:
+                stuck.append(p[0])
+            return sound
+
         flow: dict[int, float] = defaultdict(float)
         for c in reached:
             drawn = sum(p[3] for p in at[c])
@@ -429,13 +469,13 @@ class GridForest:
                 node = at[c][0][0] if c in reached else -c - 1
                 edges.append(Edge(number, above, node, flow[chain[1]], line))
                 # Further points in the same cell share its end.
-                for p in at[c][1:] if c in reached else ():
+                for p in (p for p in (at[c][1:] if c in reached else ()) if free(c, p)):
                     edges.append(Edge(len(edges) + 1, number, p[0], p[3], [grid.centre(c), (p[1], p[2])]))
                 stack += [(c, child, number) for child in sorted(children.get(c, []), reverse=True)]
         for source in sources:  # points in a tie-in's own cell
-            for p in at.get(source, ()):
+            for p in (p for p in at.get(source, ()) if free(source, p)):
                 edges.append(Edge(len(edges) + 1, 0, p[0], p[3], [grid.centre(source), (p[1], p[2])]))
-        return edges, dict(flow)
+        return edges, dict(flow), stuck
 
 
 REGISTRY = Registry("grid-forest")

@@ -1021,3 +1021,32 @@ def _(spark, d):
     rows = planned(spark, d).filter("edge is not null")
     ends = rows.select("tile", "variant", F.explode(F.array(F.col("line")[0], F.element_at("line", -1))).alias("p"))
     return ends.groupBy("tile", "variant", "p").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("places"))
+
+
+def planned_segments(spark: SparkSession, d: str, variant: int = 1) -> DataFrame:
+    """Straight parts of a variant's edges, with ids of their own."""
+    rows = planned(spark, d).filter((F.col("variant") == variant) & F.col("edge").isNotNull())
+    parts = F.transform(F.slice("line", 1, F.size("line") - 1), lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.col("line")[i + 1]["x"].alias("x2"), F.col("line")[i + 1]["y"].alias("y2")))
+    out = rows.select("tile", "edge", F.posexplode(parts).alias("pos", "s")).select("tile", "edge", "s.*", "pos")
+    return out.withColumn("seg_id", F.col("tile") * 100_000_000 + F.col("edge").cast("long") * 1000 + F.col("pos"))
+
+
+@query("val04_planned_crossings")
+def _(spark, d):
+    parts = planned_segments(spark, d)
+    pairs = spatial.crossings(parts)
+    # Tiles are planned apart, so only crossings within one tile are faults.
+    return pairs.select((F.floor(F.col("a") / 100_000_000) == F.floor(F.col("b") / 100_000_000)).alias("same_tile")).groupBy("same_tile").agg(F.count("*").alias("crossings"))
+
+
+@query("val01_routes_through_restrictions")
+def _(spark, d):
+    from netloom.operators import obstacles
+
+    parts = planned_segments(spark, d)
+    boxes = ruled(spark, d).filter("mode = 'PROHIBITED'")
+    # A way into the box that holds its end is a tail, not a fault.
+    found = obstacles.crossing_angles(parts, boxes).join(parts.select("seg_id", "x1", F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2")).withColumnRenamed("x1", "u1"), "seg_id").join(boxes, "r_id")
+    holds = [(F.col("x0") < F.col(u)) & (F.col(u) < F.col("x1")) & (F.col("y0") < F.col(v)) & (F.col(v) < F.col("y1")) for u, v in (("u1", "v1"), ("u2", "v2"))]
+    found = found.filter(~(holds[0] | holds[1])).select("seg_id").distinct()
+    return parts.join(found.withColumn("through", F.lit(True)), "seg_id", "left").groupBy(F.coalesce("through", F.lit(False)).alias("through")).agg(F.count("*").alias("segments"), F.round(F.sum(S.distance(*map(F.col, ("x1", "y1", "x2", "y2")))), 3).alias("length"))
