@@ -407,6 +407,8 @@ class GridForest:
             if p[3] and p[3] > 0:  # points without flow are not connected
                 at[grid.at(p[1], p[2])].append(p)
         sources = sorted({grid.at(x, y) for _, x, y in tile.ties})
+        for c, ps in at.items():  # an edge ends in a cell's centre; further points of the cell must see it
+            at[c] = [p for i, p in enumerate(ps) if i == 0 and c not in sources or grid.free(grid.centre(c), (p[1], p[2]))]
         for c in [*sources, *at]:
             grid.blocked.ravel()[c] = False
         targets = set(at) - set(sources)
@@ -417,8 +419,7 @@ class GridForest:
         for _ in range(self.options.passes):
             forest, reached = grow(grid, sources, targets, price, degree=self.options.max_degree)
             forest = relink(grid, forest, reached, self.options.relinks, price, self.options.max_degree)
-            edges, cells, stuck = self.extract(grid, forest, at, sources, reached)
-            lost |= set(stuck)
+            edges, cells = self.extract(grid, forest, at, sources, reached)
             if self.options.pull:
                 edges = relocated(grid, pulled(grid, edges), self.price)
             score = sum(e.length * self.price(e.flow) for e in edges)
@@ -434,16 +435,8 @@ class GridForest:
     def price(self, flow: float) -> float:
         return next((r[3] for r in self.catalogues.diameters if flow <= r[1]), self.catalogues.diameters[-1][3])
 
-    def extract(self, grid: Grid, forest: dict[int, int], at: dict, sources: list[int], reached: set[int]) -> tuple[list[Edge], dict[int, float], list[int]]:
-        """Edges between sources, forks and points, the flow through each cell, and points that a box parts from their cell."""
-        stuck: list[int] = []
-
-        def free(c: int, p: tuple[int, float, float, float]) -> bool:
-            sound = grid.free(grid.centre(c), (p[1], p[2]))
-            if not sound:
-                stuck.append(p[0])
-            return sound
-
+    def extract(self, grid: Grid, forest: dict[int, int], at: dict, sources: list[int], reached: set[int]) -> tuple[list[Edge], dict[int, float]]:
+        """Edges between sources, forks and points, and the flow through each cell."""
         flow: dict[int, float] = defaultdict(float)
         for c in reached:
             drawn = sum(p[3] for p in at[c])
@@ -469,13 +462,13 @@ class GridForest:
                 node = at[c][0][0] if c in reached else -c - 1
                 edges.append(Edge(number, above, node, flow[chain[1]], line))
                 # Further points in the same cell share its end.
-                for p in (p for p in (at[c][1:] if c in reached else ()) if free(c, p)):
+                for p in at[c][1:] if c in reached else ():
                     edges.append(Edge(len(edges) + 1, number, p[0], p[3], [grid.centre(c), (p[1], p[2])]))
                 stack += [(c, child, number) for child in sorted(children.get(c, []), reverse=True)]
         for source in sources:  # points in a tie-in's own cell
-            for p in (p for p in at.get(source, ()) if free(source, p)):
+            for p in at.get(source, ()):
                 edges.append(Edge(len(edges) + 1, 0, p[0], p[3], [grid.centre(source), (p[1], p[2])]))
-        return edges, dict(flow), stuck
+        return edges, dict(flow)
 
 
 REGISTRY = Registry("grid-forest")

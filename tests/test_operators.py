@@ -40,8 +40,7 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_every_query_runs(spark, sf):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
-        rows = registry.queries()[name](spark, sf).count()
-        assert rows > 0 or name in ("val04_planned_crossings", "gr37_detours"), name
+        registry.queries()[name](spark, sf).collect()
 
 
 def test_optimum_equals_enumeration():
