@@ -109,6 +109,21 @@ def _powers(base: int, number: int) -> np.ndarray:
     return out[:number]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until ``column`` holds about ``least`` bytes, for work that gains from meeting more rows at once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(column).nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class WordHashes:
     """64-bit hashes of all words of texts, without making the words.
 

@@ -36,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import mapped, slices, written
+from netloom.llm.common import gathered, mapped, slices, written
 
 LENGTH = 2048
 CLOSING_ID = 0
 #: Distinct words whose ids a task remembers.
-CACHE = 600_000
+CACHE = 800_000
+#: Bytes of text that are encoded together: the more, the fewer words are looked up twice.
+TEXT_BYTES = 6 << 20
 #: Groups that the pieces of one length are ranked in.
 SALTS = 256
 
@@ -138,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, closing: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids.of(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(gathered(batches, "text", TEXT_BYTES), "text", 2 * TEXT_BYTES):
             docs_, numbers, starts, sizes, crcs = [], [], [], [], []
             for doc, found in zip(batch.column("doc_id").to_pylist(), ids(batch.column("text")), strict=True):
                 whole = np.append(found, np.uint32(closing)).astype("<u4")
