@@ -14,6 +14,12 @@ def _values(rows: tuple) -> str:
     return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
 
+def _relation(name: str, schema: str, rows: tuple) -> str:
+    fields = [f.split() for f in schema.split(", ")]
+    casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c, kind in fields)
+    return f"{name} AS (SELECT {casts} FROM (VALUES {_values(rows)}) v({', '.join(c for c, _ in fields)}))"
+
+
 KINDS = ", ".join(f"'{t}'" for t in RESTRICTION_TYPES)
 
 CTES = {
@@ -29,11 +35,11 @@ CTES = {
     "variants": "variants AS (SELECT o_orderkey AS tree, o_custkey AS plan, 1 + o_orderkey % 3 AS variant FROM orders)",
     "run_events": """run_events AS (SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, ts, event_type AS stage,
       CAST(least(100, floor(value / 5)) AS INT) AS progress FROM events)""",
-    "cat": f"cat(dn, capacity, max_len, price) AS (VALUES {_values(DEFAULT.diameters)})",
-    "env": f"env(dn, width) AS (VALUES {_values(DEFAULT.envelopes)})",
-    "rules": f"rules(rtype, mode, min_dist, factor) AS (VALUES {_values(DEFAULT.rules)})",
-    "bands": f"bands(rtype, max_dn, dist) AS (VALUES {_values(DEFAULT.bands)})",
-    "chambers": f"chambers(max_dn, price) AS (VALUES {_values(DEFAULT.chambers)})",
+    "cat": _relation("cat", "dn INT, capacity BIGINT, max_len BIGINT, price BIGINT", DEFAULT.diameters),
+    "env": _relation("env", "dn INT, width BIGINT", DEFAULT.envelopes),
+    "rules": _relation("rules", "rtype VARCHAR, mode VARCHAR, min_dist BIGINT, factor BIGINT", DEFAULT.rules),
+    "bands": _relation("bands", "rtype VARCHAR, max_dn INT, dist BIGINT", DEFAULT.bands),
+    "chambers": _relation("chambers", "max_dn INT, price BIGINT", DEFAULT.chambers),
     # The path from each edge to the root, by following parents.
     "up": """up AS (SELECT tree, n AS below, n, 0 AS steps, len_m, flow FROM edges
       UNION ALL SELECT up.tree, up.below, e.parent, up.steps + 1, up.len_m, up.flow FROM up JOIN edges e ON e.tree = up.tree AND e.n = up.n WHERE e.parent > 0)""",

@@ -515,7 +515,7 @@ def _(spark, d):
     return T.net_segments(spark, d).select("seg_id", F.round(S.point_to_segment(F.lit(1000), F.lit(900), *map(F.col, ("x1", "y1", "x2", "y2"))), 6).alias("dist"))
 
 
-@query("ge13_hex_cells", "cps", "SELECT cp_id, round((x // 10 + CASE WHEN (y // 10) % 2 = 1 THEN 0.5 ELSE 0.0 END) * 10.0, 6) AS hx, round((y // 10) * (10.0 * sqrt(3) / 2), 6) AS hy FROM cps")
+@query("ge13_hex_cells", "cps", "SELECT cp_id, CAST(round((x // 10 + CASE WHEN (y // 10) % 2 = 1 THEN 0.5 ELSE 0.0 END) * 10.0, 6) AS DOUBLE) AS hx, round((y // 10) * (10.0 * sqrt(3) / 2), 6) AS hy FROM cps")
 def _(spark, d):
     hx, hy = S.hex_centre(F.floor(F.col("x") / 10), F.floor(F.col("y") / 10), 10.0)
     return T.connection_points(spark, d).select("cp_id", F.round(hx, 6).alias("hx"), F.round(hy, 6).alias("hy"))
@@ -731,7 +731,7 @@ def special_spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s AS (SELECT edge, l / 4 AS s0, l / 2 AS s1, 150 AS factor FROM e WHERE rtype <> 'N' UNION ALL SELECT edge, l / 8, 3 * l / 8, 170 FROM e WHERE rtype = 'A'),
     c AS (SELECT edge, 0.0 AS s FROM e UNION SELECT edge, l FROM e UNION SELECT edge, s0 FROM s UNION SELECT edge, s1 FROM s),
     p AS (SELECT edge, s AS s0, lead(s) OVER (PARTITION BY edge ORDER BY s) AS s1, row_number() OVER (PARTITION BY edge ORDER BY s) > 1 AS technical FROM c),
-    q AS (SELECT p.edge, p.s0, p.s1, p.technical, coalesce(max(s.factor), 100) AS factor FROM p LEFT JOIN s ON s.edge = p.edge AND s.s0 <= (p.s0 + p.s1) / 2 AND (p.s0 + p.s1) / 2 <= s.s1 WHERE p.s1 IS NOT NULL GROUP BY ALL)
+    q AS (SELECT p.edge, p.s0, p.s1, p.technical, CAST(coalesce(max(s.factor), 100) AS BIGINT) AS factor FROM p LEFT JOIN s ON s.edge = p.edge AND s.s0 <= (p.s0 + p.s1) / 2 AND (p.s0 + p.s1) / 2 <= s.s1 WHERE p.s1 IS NOT NULL GROUP BY ALL)
     SELECT q.*, q.factor * 0 + CAST(floor((q.s1 - q.s0) * cat.price * 1.0 * (q.factor / 100.0) + 0.5) AS BIGINT) AS cost, e.dn FROM q JOIN e ON e.edge = q.edge JOIN cat ON cat.dn = e.dn""",
 )
 def _(spark, d):
