@@ -41,9 +41,9 @@ from netloom.llm.common import gathered, mapped, slices, written
 LENGTH = 2048
 CLOSING_ID = 0
 #: Distinct words whose ids a task remembers.
-CACHE = 800_000
+CACHE = 700_000
 #: Bytes of text that are encoded together: the more, the fewer words are looked up twice.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 3 << 20
 #: Groups that the pieces of one length are ranked in.
 SALTS = 256
 
