@@ -11,10 +11,12 @@ word of it is unknown for certain and is dropped before any scoring.
 
 A prediction other than unknown stands if its probability reaches ``least`` and a
 template of its family confirms it: the larger part of either's word pairs that
-the other has is at least ``overlap``.
+the other has is at least ``overlap``.  Notices share a line, and probabilities
+add up to one, so any other family stands too if the line has all pairs of one
+of its templates, or a name of the family and ``overlap`` of a template's pairs.
 
 Defined results: null and empty texts have no paragraphs; one row per confirmed
-paragraph, so repeated rows repeat; an empty table gives an empty result; other
+paragraph and family, so repeated rows repeat; an empty table gives an empty result; other
 columns are ignored; the doc_id may be null.
 """
 
@@ -92,6 +94,30 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense."),
+    "Reserved": (
+        "All rights reserved.",
+        "Copyright 2020 by the author, all rights reserved.",
+        "Proprietary and confidential.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited.",
+        "No part of this publication may be reproduced without the prior written permission of the publisher.",
+    ),
+}
+#: Words and pairs that only a notice of the family has; wordings are alike, names are not.
+NAMES = {
+    "MIT": ("mit",),
+    "Apache": ("apache",),
+    "GPL": ("gpl", "gnu general"),
+    "LGPL": ("lgpl", "lesser general"),
+    "AGPL": ("agpl", "affero general"),
+    "BSD": ("bsd",),
+    "MPL": ("mpl", "mozilla public"),
+    "CC-BY-NC": ("by nc", "attribution noncommercial"),
+    "CC-BY-SA": ("by sa", "attribution sharealike"),
+    "CC-BY": ("by 0", "attribution 0"),
+    "CC0": ("cc0",),
+    "ISC": ("isc",),
+    "Unlicense": ("unlicense",),
+    "Reserved": ("rights reserved", "proprietary"),
 }
 #: Ordinary sentences: the class unknown.  Their words alone tell nothing.
 ORDINARY = (
@@ -206,7 +232,7 @@ def pair_array(words: Column) -> Column:
 
 
 def scanned(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> DataFrame:
-    """(key, paragraph, family, score, similarity, notice) of every confirmed paragraph."""
+    """(key, paragraph, family, score, similarity, notice) of every confirmed paragraph and family."""
     model = fit(s)
     common = {w for t in ORDINARY for w in split_words(t)}
     telling = sorted({w for g in model.weights for w in g.split()} - common)
@@ -226,20 +252,35 @@ def scanned(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> D
     logits = F.aggregate("grams", F.array(*map(F.lit, model.bias)), lambda total, g: F.zip_with(total, F.element_at(table, g), lambda a, b: a + b))
     lines = once(lines, logits=F.transform(logits, lambda x: x / model.temperature))
     lines = once(lines, top=F.array_max("logits"))
-    family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position("logits", F.col("top")).cast("int"))
-    score = 1 / F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))
-    lines = once(lines, family=family, score=score).filter((F.col("family") != UNKNOWN) & (F.col("score") >= s.least))
-
-    def likeness(name: str) -> Column:
-        """The best of a family's templates: the larger part of either's pairs that the other has."""
-        out = []
-        for t in TEMPLATES[name]:
-            theirs = sorted(set(pairs(split_words(t))))
-            shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, theirs))))
-            out.append(shared / F.greatest(F.least(F.size("pairs"), F.lit(len(theirs))), F.lit(1)))
-        return F.greatest(*out, F.lit(0.0))
-
-    similarity = F.lit(0.0)
-    for name in TEMPLATES:
-        similarity = F.when(F.col("family") == name, likeness(name)).otherwise(similarity)
-    return once(lines, similarity=similarity).filter(F.col("similarity") >= s.overlap).select(key, "paragraph", "family", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "notice")
+    lines = once(lines, total=F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))))
+    places = {name: i for i, name in enumerate(model.families)}
+    theirs = [(places[name], sorted(set(pairs(split_words(t))))) for name, texts in TEMPLATES.items() for t in texts]
+    templates = F.array(*[F.struct(F.lit(i).alias("at"), F.array(*map(F.lit, t)).alias("theirs")) for i, t in theirs])
+    # Of each template: what it and the line share, as the larger part of either and as a part of the template.
+    shared = F.transform(templates, lambda t: F.struct(t["at"].alias("at"), F.size(F.array_intersect("pairs", t["theirs"])).alias("shared"), F.size(t["theirs"]).alias("size")))
+    lines = once(lines, shared=F.filter(shared, lambda t: t["shared"] > 0))
+    similar = F.transform("shared", lambda t: F.struct(t["at"].alias("at"), (t["shared"] / F.least(F.size("pairs"), t["size"])).alias("similarity"), (t["shared"] / t["size"]).alias("held")))
+    lines = once(lines, similar=similar)
+    known = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(name).alias("family"), F.array(*map(F.lit, NAMES[name])).alias("names")) for name, i in places.items() if name != UNKNOWN])
+
+    def best(at: Column, what: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.filter("similar", lambda t: t["at"] == at), lambda t: t[what])), F.lit(0.0))
+
+    judged = F.transform(
+        known,
+        lambda k: F.struct(
+            k["family"].alias("family"),
+            (F.exp(F.get("logits", k["at"]) - F.col("top")) / F.col("total")).alias("score"),
+            best(k["at"], "similarity").alias("similarity"),
+            best(k["at"], "held").alias("held"),
+            (F.get("logits", k["at"]) == F.col("top")).alias("likeliest"),
+            F.arrays_overlap(F.concat("words", "pairs"), k["names"]).alias("named"),
+        ),
+    )
+    lines = once(lines, judged=judged)
+    stands = F.filter(
+        "judged",
+        lambda j: (j["likeliest"] & (j["score"] >= s.least) & (j["similarity"] >= s.overlap)) | (j["held"] >= 1.0) | (j["named"] & (j["held"] >= s.overlap)),
+    )
+    found = lines.select(key, "paragraph", "notice", F.inline(stands))
+    return found.select(key, "paragraph", "family", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "notice")

@@ -138,6 +138,27 @@ def test_licenses(spark, docs, empty):
     assert [r["family"] for r in licenses.scanned(twice).collect()] == ["MIT", "MIT"]
 
 
+def test_licenses_equal_search_of_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = re.compile(r"(?i)licen[sc]e|reserved|copyright|\bgpl\b|creative commons|proprietary|public domain|spdx")
+    want = sorted((d, i) for d, t in table.select("doc_id", "text").collect() for i, line in enumerate((t or "").split("\n")) if words.search(line))
+    found = licenses.scanned(table).collect()
+    assert sorted((r["doc_id"], r["paragraph"]) for r in found) == want
+    assert {r["family"] for r in found if "reserved" in r["notice"]} == {"Reserved"}
+
+
+def test_licenses_sharing_a_line(spark):
+    pairs = [(a, b) for a in licenses.TEMPLATES for b in licenses.TEMPLATES if a != b]
+    lines = [(i, f"{licenses.TEMPLATES[a][0]} {licenses.TEMPLATES[b][-1]}") for i, (a, b) in enumerate(pairs)]
+    lines.append((len(pairs), "Licensed under the MIT License and the Apache License, Version 2.0"))
+    lines.append((len(pairs) + 1, "He reserved all rights of way and a table for two."))
+    found = {i: set() for i, _ in lines}
+    for r in licenses.scanned(spark.createDataFrame(lines, "doc_id int, text string")).collect():
+        found[r["doc_id"]].add(r["family"])
+    assert [(lines[i][1], found[i]) for i, p in enumerate(pairs) if found[i] != set(p)] == []
+    assert found[len(pairs)] == {"MIT", "Apache"} and found[len(pairs) + 1] == set()
+
+
 # 4
 
 
