@@ -544,6 +544,13 @@ def _(spark, d):
     return signs.groupBy("sig").agg(F.min("tree").alias("tree"), F.count("*").alias("copies"))
 
 
+@query("st02_distinct_plans_whole", "edges", "SELECT sig, min(tree) AS tree, count(*) AS copies FROM (SELECT tree, sha256(string_agg(s, ';' ORDER BY s)) AS sig FROM (SELECT tree, parent || '>' || n || ';' || len_m AS s FROM edges) GROUP BY tree) GROUP BY sig")
+def _(spark, d):
+    part = F.concat_ws("", F.col("parent"), F.lit(">"), F.col("n"), F.lit(";"), F.col("len_m"))
+    signs = T.edges(spark, d).groupBy("tree").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ";"), 256).alias("sig"))
+    return signs.groupBy("sig").agg(F.min("tree").alias("tree"), F.count("*").alias("copies"))
+
+
 @query("st03_unconnected", "cps", "SELECT cp_id FROM cps WHERE NOT (flow > 20 OR cp_id % 3 = 0)")
 def _(spark, d):
     points = T.connection_points(spark, d).select("cp_id", "flow")

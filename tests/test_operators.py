@@ -8,7 +8,7 @@ import pytest
 from netloom.functions import scalars as S
 from netloom.functions.catalogues import DEFAULT
 from netloom.operators import planner, sequences, spatial, trees
-from netloom.plans import registry
+from netloom.plans import queries, registry
 from netloom.sources import geojson, sinks
 from netloom.streaming import progress
 from pyspark.sql import functions as F
@@ -38,6 +38,17 @@ def test_query_equals_sql(spark, sf, name):
     assert values(map(tuple, ours.select(names).collect())) == values([r[i] for i in place] for r in other.fetchall())
 
 
+def test_distinct_plans_tell_every_edge_and_metre(spark, sf):
+    trees_ = {}
+    for r in queries.T.edges(spark, sf).collect():
+        trees_.setdefault(r["tree"], []).append((r["n"], r["len_m"]))
+    groups = {}
+    for tree, edges in trees_.items():
+        groups.setdefault(tuple(sorted(edges)), []).append(tree)
+    found = registry.queries()["st02_distinct_plans_whole"](spark, sf).collect()
+    assert sorted((r["tree"], r["copies"]) for r in found) == sorted((min(g), len(g)) for g in groups.values())
+
+
 def test_every_query_runs(spark, sf):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         registry.queries()[name](spark, sf).collect()
