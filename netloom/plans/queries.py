@@ -251,6 +251,17 @@ def _(spark, d):
     return spatial.crossings(cross_lines(spark, d))
 
 
+def all_cross_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One diagonal of every restriction."""
+    low, high = F.when(F.col("r_id") % 4 == 0, F.col("y0")).otherwise(F.col("y1")), F.when(F.col("r_id") % 4 == 0, F.col("y1")).otherwise(F.col("y0"))
+    return T.rects(spark, d).select(F.col("r_id").alias("seg_id"), F.col("x0").alias("x1"), low.alias("y1"), F.col("x1").alias("x2"), high.alias("y2"))
+
+
+@query("jn20_crossing_edges_all")
+def _(spark, d):
+    return spatial.crossings(all_cross_lines(spark, d))
+
+
 # Aggregations on trees.
 
 
@@ -675,6 +686,33 @@ def planned(spark: SparkSession, d: str) -> DataFrame:
     return planner.plan(points, spots, boxes)
 
 
+def planned_unconnected(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """(cp_id, flow): the points that the planner reports as unconnected, the same in all variants."""
+    return rows.filter("unconnected is not null").select(F.col("unconnected").alias("cp_id")).join(points.select("cp_id", "flow"), "cp_id")
+
+
+@query("jn22_planned_unconnected")
+def _(spark, d):
+    return planned_unconnected(planned(spark, d), T.connection_points(spark, d)).select("cp_id", "flow")
+
+
+@query("ag08_planned_penalty")
+def _(spark, d):
+    return planned_unconnected(planned(spark, d), T.connection_points(spark, d)).agg(F.count("*").alias("n"), F.sum(S.penalty(F.col("flow"))).alias("penalty"))
+
+
+@query("gr36_planned_summary")
+def _(spark, d):
+    from netloom.operators import assembly
+
+    rows = planned(spark, d)
+    largest = F.lit(max(r[0] for r in K.DEFAULT.diameters))
+    edges = rows.filter("edge is not null").select("variant", "length", F.coalesce(S.smallest_dn(F.col("flow")), largest).alias("dn"))
+    costs = edges.select("variant", S.segment_cost(F.col("length"), F.col("dn")).alias("cost"))
+    lost = costs.select("variant").distinct().crossJoin(planned_unconnected(rows, T.connection_points(spark, d)))
+    return assembly.summary(costs, lost, "variant").withColumn("lost", F.size("lost"))
+
+
 @query("gr09_grown_forest")
 def _(spark, d):
     rows = planned(spark, d)

@@ -49,6 +49,36 @@ def test_distinct_plans_tell_every_edge_and_metre(spark, sf):
     assert sorted((r["tree"], r["copies"]) for r in found) == sorted((min(g), len(g)) for g in groups.values())
 
 
+def test_crossings_of_all_diagonals_equal_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+
+    def side(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    lines = []
+    for r in queries.T.rects(spark, d).collect():
+        ya, yb = (r["y0"], r["y1"]) if r["r_id"] % 4 == 0 else (r["y1"], r["y0"])
+        lines.append((r["r_id"], (r["x0"], ya), (r["x1"], yb)))
+    lines.sort()
+    want = [(i, j) for (i, a, b), (j, p, q) in itertools.combinations(lines, 2) if side(a, b, p) * side(a, b, q) < 0 and side(p, q, a) * side(p, q, b) < 0]
+    found = sorted(map(tuple, registry.queries()["jn20_crossing_edges_all"](spark, d).collect()))
+    assert found == sorted(want)
+
+
+def test_unconnected_points_are_the_planners(spark, sf):
+    flows = {r["cp_id"]: r["flow"] for r in queries.T.connection_points(spark, sf).collect()}
+    rows = queries.planned(spark, sf).select("variant", "unconnected").collect()
+    want = sorted((r["unconnected"], flows[r["unconnected"]]) for r in rows if r["unconnected"] is not None)
+    penalty = sum(DEFAULT.penalty[0] + math.floor(f * DEFAULT.penalty[1] + 0.5) for _, f in want)
+    assert want
+    assert sorted(map(tuple, registry.queries()["jn22_planned_unconnected"](spark, sf).collect())) == want
+    assert list(map(tuple, registry.queries()["ag08_planned_penalty"](spark, sf).collect())) == [(len(want), penalty)]
+    summary = registry.queries()["gr36_planned_summary"](spark, sf).collect()
+    assert {r["variant"] for r in summary} == {r["variant"] for r in rows if r["unconnected"] is None}
+    assert all((r["lost"], r["penalty"]) == (len(want), penalty) for r in summary)
+    assert all(r["calculated_cost"] == r["construction_cost"] + penalty and r["construction_cost"] > 0 for r in summary)
+
+
 def test_every_query_runs(spark, sf):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         registry.queries()[name](spark, sf).collect()
