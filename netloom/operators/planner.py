@@ -98,8 +98,8 @@ class Grid:
         self.x0, self.y0 = min(xs) - o.margin, min(ys) - o.margin
         wide, high = max(xs) + o.margin - self.x0, max(ys) + o.margin - self.y0
         self.cell = o.cell
-        while (wide / self.cell + 2) * (high / self.cell + 2) > o.max_cells:
-            self.cell *= 2
+        if (wide / self.cell + 2) * (high / self.cell + 2) > o.max_cells:
+            raise ValueError(f"a tile of {wide:.0f} by {high:.0f} has more than {o.max_cells} cells of {o.cell}: plan smaller tiles or set another cell")
         self.w, self.h = int(wide / self.cell) + 1, int(high / self.cell) + 1
         self.blocked = np.zeros((self.h, self.w), bool)
         cx, cy = self.x0 + (np.arange(self.w) + 0.5) * self.cell, self.y0 + (np.arange(self.h) + 0.5) * self.cell

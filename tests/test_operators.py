@@ -79,6 +79,14 @@ def test_unconnected_points_are_the_planners(spark, sf):
     assert all(r["calculated_cost"] == r["construction_cost"] + penalty and r["construction_cost"] > 0 for r in summary)
 
 
+def test_tiles_of_too_many_cells_are_refused():
+    o = planner.Options(max_cells=10_000)
+    near, far = (planner.Tile([(1, 0.0, 0.0, 5.0)], [(2, x, x)], []) for x in (10.0, 10_000.0))
+    assert planner.Grid(near, o).cell == o.cell
+    with pytest.raises(ValueError, match="more than 10000 cells"):
+        planner.Grid(far, o)
+
+
 def test_every_query_runs(spark, sf):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         registry.queries()[name](spark, sf).collect()
