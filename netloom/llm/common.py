@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import unicodedata
@@ -13,7 +14,8 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of an Arrow function holds at a time.
@@ -42,6 +44,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one operator, which go when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return self.counted(df, name, F.count(F.lit(1)).alias("n"))[0]
+
+    def counted(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+        """The table, and measures of its rows (their number, if no other are named) taken as they were written."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.setdefault(name, []).append(path)
+        seen = Observation()
+        df.observe(seen, *(measures or (F.count(F.lit(1)).alias("n"),))).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get
+
+    def drop(self, *names: str) -> None:
+        """Remove these tables; all if none is named."""
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, ()):
+                removed(self.spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def row_key(df: DataFrame, *seeds: int) -> list[Column]:
+    """A hash of all columns for each seed, nulls told apart from what stands beside them."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(t in f.dataType.simpleString() for t in ("map<", "variant")) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    absent = [F.isnull(c) for c in plain]
+    return [F.xxhash64(F.lit(s), *absent, *plain) for s in seeds]
+
+
+def trimmed() -> None:
+    """Give freed memory back to the system: what one task held is of no use to the next one's other work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @contextmanager
 def plain_unions(spark: SparkSession) -> Iterator[None]:
     """Unions without a partitioning of their own: with one, Spark 4.1 fails where adaptive execution has merged partitions of one child only."""
@@ -67,7 +115,12 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
         df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trimmed()
+
+    return df.mapInArrow(whole, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -9,27 +9,28 @@ sent to executors has the same size for any corpus.
    two texts agree in one with the probability of their weighted Jaccard
    similarity.  Texts with the same words are one node; copies are counted, never
    paired.
-2. Bands of ``rows`` samples are hashed.  Nodes that share a band are compared
-   with two of them, chosen by hash, so a bucket of n nodes gives 2 n pairs at most.
+2. Bands of ``rows`` samples are hashed.  In each bucket two nodes are centres:
+   the one that shares most buckets with others (weighted by their sizes), which is
+   a typical one, and another by hash.  Every node is compared with its buckets'
+   centres, so a bucket of n nodes gives 2 n pairs at most.
 3. Pairs whose samples agree too rarely (five standard deviations below the
-   threshold) go; the others' weighted Jaccard similarity is computed from the
-   whole texts, and is at least ``threshold`` for a link.
+   threshold) wait for step 5; the others' weighted Jaccard similarity is computed
+   from the whole texts, and is at least ``threshold`` for a link.
 4. Classes are the connected components of the links (alternating stars, all on
    executors).
-5. Buckets that still hold several classes are compared further.  Two bounds
-   from above spare most pairs: the weight of what a text shares with any other of
-   these (near copies with many changes of their own drop out by one count), and
-   sums of weights by hashed shingle, of which two texts share at most the lesser
-   ones.  Nodes are compared with the most typical of their bucket, then in all
-   pairs of different classes whose bounds reach the threshold.  So no pair of a
-   bucket is passed over unless its ends are in one class already or it cannot
-   reach the threshold.
+5. In buckets that still hold several classes, the nodes outside the largest class
+   are compared with all others, in blocks of ``block`` by ``block`` nodes that are
+   dealt apart.  Two bounds from above spare most pairs: the weight of what a text
+   shares with any other of these (near copies with many changes of their own drop
+   out by one count), and sums of weights by hashed shingle, of which two texts
+   share at most the lesser ones.  So no pair of a bucket is passed over unless its
+   ends are in one class already or it cannot reach the threshold.
 
 Defined results: a null text counts as empty; texts without any word are in one
 class only if they are equal; shorter texts are one shingle; repeated rows are
 copies; a class is named by its least doc_id (null if it has none); an empty
 table gives an empty result; other columns are ignored.  Nodes are told apart by
-64-bit hashes of their words.
+128 bits of a hash of their words, words by 64.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import mapped, mixed, plain_unions, shingle_hashes, slices, written, WordHashes
+from netloom.llm.common import Tables, WordHashes, mapped, mixed, plain_unions, row_key, shingle_hashes, slices
 
 CELLS = 1 << 20
 #: Bits of the map of wanted nodes, at least and at most.
@@ -62,6 +63,8 @@ class Settings:
     rows: int = 4
     #: Sums of weights that bound what two texts share.
     parts: int = 64
+    #: Nodes on either side of a block of comparisons.
+    block: int = 1024
     seed: int = 20_240_601
 
     @property
@@ -117,15 +120,19 @@ def inverse(frequencies: np.ndarray, number: int) -> np.ndarray:
     return (np.log((1.0 + number) / (1.0 + frequencies)) + 1.0).astype(np.float32)
 
 
-def features(texts: pa.Array, hashes_of: WordHashes, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(node of each text, offsets, shingles in ascending order, their weights)."""
-    hashes, offsets = hashes_of(texts)
-    shingles, starts = shingle_hashes(hashes, offsets, size)
-    # The node: a hash of all words in order; of the text itself where it has none.
-    nodes = np.zeros(len(offsets) - 1, np.uint64)
+def names(texts: pa.Array, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves that name each text's node: a hash of all words in order; of the text itself where it has none."""
+    out = np.zeros((len(offsets) - 1, 2), np.uint64)
     raw = hashes.tobytes()
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        nodes[i] = xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) if b > a else xxhash.xxh3_64_intdigest((texts[i].as_py() or "").encode(), seed=1)
+        whole = xxhash.xxh3_128_intdigest(raw[8 * a : 8 * b]) if b > a else xxhash.xxh3_128_intdigest((texts[i].as_py() or "").encode(), seed=1)
+        out[i] = whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
+    return out
+
+
+def features(hashes: np.ndarray, offsets: np.ndarray, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, shingles in ascending order, their weights) of texts by their words' hashes."""
+    shingles, starts = shingle_hashes(hashes, offsets, size)
     rarity = np.append(np.float64(0), np.cumsum(idf[(hashes % np.uint64(len(idf))).astype(np.int64)], dtype=np.float64))
     counts = np.diff(starts)
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -140,7 +147,7 @@ def features(texts: pa.Array, hashes_of: WordHashes, idf: np.ndarray, size: int)
     weights = np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.float32)
     key = key[first]
     ends = np.searchsorted(key, np.arange(len(counts) + 1, dtype=np.uint64) << np.uint64(48))
-    return nodes, ends, key & np.uint64((1 << 48) - 1), weights
+    return ends, key & np.uint64((1 << 48) - 1), weights
 
 
 def sample(offsets: np.ndarray, shingles: np.ndarray, weights: np.ndarray, randoms: Randoms) -> np.ndarray:
@@ -180,54 +187,50 @@ def sample(offsets: np.ndarray, shingles: np.ndarray, weights: np.ndarray, rando
     return out
 
 
-def sketches(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
-    """(doc_id, node, sketch, bands) of every row; no bands where a text has no word."""
-    idf_sent = docs.sparkSession.sparkContext.broadcast(idf)
-    rows = docs.select("doc_id", "text")
+def sketches(docs: DataFrame, idf_sent, settings: Settings) -> DataFrame:
+    """``docs`` with node and mark (its text's name) and sketch in place of text; no sketch where a text has no word."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of, randoms, salt = WordHashes(), Randoms(settings), mixed(np.arange(1, settings.bands + 1, dtype=np.uint64))
+        hashes_of, randoms, k = WordHashes(), Randoms(settings), settings.samples
         for batch in slices(batches, "text"):
-            nodes, offsets, shingles, weights = features(batch.column("text"), hashes_of, idf_sent.value, settings.shingle)
-            found = sample(offsets, shingles, weights, randoms)
-            keys = np.broadcast_to(salt, (len(nodes), settings.bands)).copy()
-            grouped = found.reshape(len(nodes), settings.bands, settings.rows).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                for i in range(settings.rows):
-                    keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, i])
-            some = np.diff(offsets) > 0
-            ends = np.append(0, np.cumsum(some * settings.bands)).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel().view(np.int64)))
-            samples = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * settings.samples), pa.array(found.ravel().view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes.view(np.int64)), samples, bands], ["doc_id", "node", "sketch", "bands"])
-
-    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, sketch array<int>, bands array<long>")
+            hashes, offsets = hashes_of(batch.column("text"))
+            named = names(batch.column("text"), hashes, offsets)
+            ends, shingles, weights = features(hashes, offsets, idf_sent.value, settings.shingle)
+            found = sample(ends, shingles, weights, randoms)
+            some = np.diff(ends) > 0
+            places = pa.array(np.append(0, np.cumsum(some * k)).astype(np.int32), mask=np.append(~some, False))
+            lists = pa.ListArray.from_arrays(places, pa.array(found[some].ravel().view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(named[:, 0].view(np.int64)), pa.array(named[:, 1].view(np.int64)), lists], [*kept, "node", "mark", "sketch"])
 
+    fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return mapped(docs, run, ", ".join([*fields, "node long, mark long, sketch array<int>"]))
 
-def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) whose samples agree often enough."""
-    side = nodes.select("node", "sketch")
-    both = pairs.join(side.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(side.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b").select("a", "b", "sa", "sb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            keep = pa.array((left == right).sum(axis=1) >= settings.agree)
-            yield batch.select(["a", "b"]).filter(keep)
+def band_keys(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(key, id): each node's buckets."""
+    band = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda b: F.xxhash64(b, F.slice("sketch", b * settings.rows + 1, settings.rows)))
+    return nodes.filter("sketch is not null").select(F.explode(band).alias("key"), "id")
 
-    return mapped(both, run, "a long, b long")
+
+def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) whose samples agree often enough."""
+    side = nodes.select("id", "sketch")
+    both = pairs.join(side.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(side.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
+    agreeing = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return both.filter(agreeing >= settings.agree).select("a", "b")
 
 
-def wanted_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text), one row for each of these nodes.
+def wanted_texts(docs: DataFrame, wanted: DataFrame, number: int) -> DataFrame:
+    """(id, text), one row for each of the ``number`` wanted nodes (id, node, mark).
 
     A map of the wanted nodes' hashes, of bounded size, spares most other texts the
     shuffle; where it is full, it only spares fewer.
     """
-    nodes = written(nodes, "wanted")
-    size = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (16 * nodes.count()).bit_length()))
-    bit = F.pmod(F.xxhash64("node"), F.lit(size))
-    cells = nodes.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {size}) % 64 as int))").alias("bit"))
+    size = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (16 * number).bit_length()))
+    # A node is a hash already; its low bits choose the place.
+    cell = F.pmod("node", F.lit(size))
+    cells = wanted.select(F.floor(cell / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 as int))").alias("bit"))
     found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most size / 64 rows
     field = np.zeros(size // 64, np.int64)
     field[np.asarray(found["cell"])] = np.asarray(found["bits"])
@@ -236,28 +239,28 @@ def wanted_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
         for batch in slices(batches, "text"):
-            texts = batch.column("text")
-            hashes, offsets = hashes_of(texts)
-            raw = hashes.tobytes()
-            nodes = np.array([xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-            place = np.fromiter((xxhash.xxh64_intdigest(int(n).to_bytes(8, "little"), seed=42) for n in nodes), np.uint64, len(nodes)).view(np.int64) % size
+            hashes, offsets = hashes_of(batch.column("text"))
+            named = names(batch.column("text"), hashes, offsets).view(np.int64)
+            place = named[:, 0] % size
             keep = ((sent.value[place // 64] >> (place % 64)) & 1).astype(bool) & (np.diff(offsets) > 0)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), texts], ["node", "text"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), batch.column("text")], ["node", "mark", "text"]).filter(pa.array(keep))
 
-    rows = mapped(docs.select("text"), run, "node long, text string")
-    return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    rows = mapped(docs.select("text"), run, "node long, mark long, text string")
+    # Texts of one node meet in the tasks' own aggregates first, so that a group of copies sends one from each.
+    return rows.groupBy("node", "mark").agg(F.first("text").alias("text")).join(wanted, ["node", "mark"]).select("id", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
-    """Pairs whose weighted Jaccard similarity reaches the threshold: (a, b)."""
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    """Pairs whose weighted Jaccard similarity reaches the threshold, with all their columns (integers)."""
+    columns = pairs.columns
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select(*columns, "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
         for batch in slices(slices(batches, "ta"), "tb"):
             coded = pa.chunked_array([batch.column("ta"), batch.column("tb")]).combine_chunks().dictionary_encode()
-            _, offsets, shingles, weights = features(coded.dictionary, hashes_of, idf_sent.value, settings.shingle)
+            offsets, shingles, weights = features(*hashes_of(coded.dictionary), idf_sent.value, settings.shingle)
             place = np.asarray(coded.indices)
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
@@ -266,153 +269,183 @@ def verified(pairs: DataFrame, texts: DataFrame, idf_sent, settings: Settings) -
                 shared = float(np.minimum(weights[a:b][x], weights[c:d][y]).sum(dtype=np.float64))
                 total = float(weights[a:b].sum(dtype=np.float64) + weights[c:d].sum(dtype=np.float64)) - shared
                 keep[i] = shared >= (settings.threshold - 1e-6) * total
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(columns).filter(pa.array(keep))
 
-    return mapped(both, run, "a long, b long")
+    return mapped(both, run, ", ".join(f"{c} long" for c in columns))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link: alternating large and small stars until nothing changes.
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(node, root) of every node with a link (a, b): alternating large and small stars until nothing changes.
 
     Every step halves the way to a root or more; each is one written table.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-    now = mark(edges)
-    while now[0]:
-        around = edges.union(edges.select("b", "a"))
+    seen = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum")
+    edges, now = tables.counted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", *seen)
+    while now["n"]:
+        around = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
+        # Each node's larger neighbours and itself, where it is not the least, go to the least.
+        large = around.join(low, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("b") > F.col("a")).alias("of")), F.struct("a", F.col("m").alias("b"), (F.col("m") < F.col("a")).alias("of"))))).filter("of").select("a", "b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges, before = written(small, "links"), now
-        now = mark(edges)
-        if now == before:
+        small = large.join(low, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).filter("a != b").distinct()
+        edges, after = tables.counted(small, "links", *seen)
+        if after == now:
             break
+        now = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct()
-
-
-def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id) of every row."""
-    with plain_unions(docs.sparkSession):
-        return _classes(docs, settings)
-
-
 def bounds(texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
-    """(node, total, shared, parts): what bounds a text's similarity to others of these texts.
+    """(id, total, shared, parts): what bounds a text's similarity to others of these texts (id, text).
 
     ``total`` is the weight of its shingles and ``shared`` of those that another of
     these texts has; ``parts`` are sums of weights by a hash of the shingle.  Two
     texts share at most the sum of the lesser parts.  Nodes whose ``shared`` keeps
     them below the threshold with any other are left out.
     """
-    texts = written(texts, "open-texts")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
         for batch in slices(batches, "text"):
-            _, offsets, shingles, weights = features(batch.column("text"), hashes_of, idf_sent.value, settings.shingle)
-            node = np.repeat(np.asarray(batch.column("node")), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], ["node", "shingle", "weight"])
+            offsets, shingles, weights = features(*hashes_of(batch.column("text")), idf_sent.value, settings.shingle)
+            owner = np.repeat(np.asarray(batch.column("id")), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], ["id", "shingle", "weight"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of, k = WordHashes(), settings.parts
         for batch in slices(batches, "text"):
-            _, offsets, shingles, weights = features(batch.column("text"), hashes_of, idf_sent.value, settings.shingle)
+            offsets, shingles, weights = features(*hashes_of(batch.column("text")), idf_sent.value, settings.shingle)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             parts = np.bincount(owner * k + (mixed(shingles) % np.uint64(k)).astype(np.int64), weights=weights, minlength=k * batch.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * k), pa.array(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(parts.reshape(-1, k).sum(axis=1)), lists], ["node", "total", "parts"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * k), pa.array(parts.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(parts.reshape(-1, k).sum(axis=1)), lists], ["id", "total", "parts"])
 
     # A shingle that one node has alone is known by that node; no rows of a shingle need meet in one task.
-    rows = mapped(texts, shingles, "node long, shingle long, weight double")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).filter("n = 1")
-    lost = alone.groupBy("node").agg(F.sum("weight").alias("lost"))
-    whole = mapped(texts, summed, "node long, total double, parts array<double>").join(lost, "node", "left")
-    return whole.select("node", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("shared"), "parts").filter(F.col("shared") >= (settings.threshold - 1e-6) * F.col("total"))
+    rows = mapped(texts, shingles, "id long, shingle long, weight double")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("weight").alias("weight")).filter("n = 1")
+    lost = alone.groupBy("id").agg(F.sum("weight").alias("lost"))
+    whole = mapped(texts, summed, "id long, total double, parts array<float>").join(lost, "id", "left")
+    return whole.select("id", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("shared"), "parts").filter(F.col("shared") >= (settings.threshold - 1e-6) * F.col("total"))
+
+
+def ordered(x: Column, y: Column, rx: Column, ry: Column) -> list[Column]:
+    """A pair and its ends' roots, each in order."""
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.least(rx, ry).alias("ra"), F.greatest(rx, ry).alias("rb")]
+
+
+def crossed(open_: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of different classes within a bucket that could be similar enough.
+
+    open_: (key, id, root, total, shared, parts); stats: (key, n, most, main), the
+    bucket's members, those of its largest class, and that class.
+    """
+    size = settings.block
+    beside = F.ceil((F.col("n") - F.col("most")) / size).cast("int"), F.ceil(F.col("n") / size).cast("int")
+    rows = open_.join(stats, "key").select(*open_.columns, "main", beside[0].alias("p"), beside[1].alias("q"))
+
+    def block(seed: int, over: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(over)).cast("int")
 
+    every = {c: f"{c}_y" for c in ("id", "root", "total", "shared", "parts")}
+    left = rows.filter("root != main").withColumn("i", block(1, "p")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).drop("p", "q")
+    right = rows.withColumn("j", block(2, "q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("key", "i", "j", *[F.col(a).alias(b) for a, b in every.items()])
+    t = settings.threshold
 
-def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
+    def reaches(most: Column) -> Column:
+        """Whether a pair that shares so much could be as similar as the threshold."""
+        return most * (1 + t) >= (t - 1e-4) * (F.col("total") + F.col("total_y"))
+
+    different = (F.col("root") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("id") < F.col("id_y"))) & reaches(F.least("shared", "shared_y"))
+    different &= reaches(F.aggregate(F.zip_with("parts", "parts_y", lambda a, b: F.least(a, b)), F.lit(0.0), lambda s, x: s + x))
+    # Dealt by block, so that one bucket's comparisons are many tasks'.
+    return left.join(right, ["key", "i", "j"]).filter(different).select(*ordered(F.col("id"), F.col("id_y"), F.col("root"), F.col("root_y"))).distinct()
+
+
+def _classes(rows: DataFrame, docs: DataFrame, settings: Settings, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``rows`` (doc_id, text, ...) with node and mark for text, and (node, mark, root, doc_id) of every node."""
     spark = docs.sparkSession
-    idf = inverse(*document_frequencies(docs))
-    idf_sent = spark.sparkContext.broadcast(idf)
-    rows = written(sketches(docs, idf, settings), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
-    bands = rows.select("node", F.explode("bands").alias("key")).distinct()
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(bands.join(sizes.select("key"), "key"), "members")
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    limits: DataFrame | None = None
-    for step in ("centre", "typical", "rest"):
-        if roots is None:
-            placed = members.select("key", "node", F.col("node").alias("root"))
-        else:
-            placed = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-        if step == "centre":
-            hashed = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("y"), F.col("root").alias("ry"))
-            centres = placed.groupBy("key").agg(F.array(F.min(hashed), F.max(hashed)).alias("c")).select("key", F.inline("c"))
-            crossed = placed.join(centres, "key").filter("root != ry")
-        else:
-            unlike = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-            open_ = written(placed.join(unlike.select("key"), "key"), "open")
-            if open_.isEmpty():
-                break
-            if limits is None:  # of more nodes than the last step asks for, which only makes a bound wider
-                limits = written(bounds(wanted_texts(docs, open_.select("node").distinct()), idf_sent, settings), "bounds")
-            open_ = open_.join(limits, "node")
-            sums = (settings.threshold - 1e-6) * (F.col("total") + F.col("total_y"))
-
-            def reaches(most: Column) -> Column:
-                """Whether a pair that shares so much could be as similar as the threshold."""
-                return most * (1 + settings.threshold) >= sums
-
-            different = (F.col("root") != F.col("ry")) & reaches(F.least("shared", "shared_y"))
-            different &= reaches(F.aggregate(F.zip_with("parts", "parts_y", lambda a, b: F.least(a, b)), F.lit(0.0), lambda t, x: t + x))
-            other = {"node": "y", "root": "ry", "total": "total_y", "shared": "shared_y", "parts": "parts_y"}
-            if step == "typical":
-                best = F.max(F.struct((F.col("shared") / F.col("total")).alias("part"), "node", "root", "total", "shared", "parts")).alias("c")
-                crossed = open_.join(open_.groupBy("key").agg(best).select("key", *[F.col(f"c.{a}").alias(b) for a, b in other.items()]), "key").filter(different)
+    idf_sent = spark.sparkContext.broadcast(inverse(*document_frequencies(docs)))
+    rows = tables.write(sketches(rows, idf_sent, settings), "sketches")
+    nodes = rows.groupBy("node", "mark").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    nodes = tables.write(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    keys = band_keys(nodes, settings)
+    sizes = tables.write(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    members = tables.write(keys.join(sizes, "key").select("key", "id", F.floor(F.log2("n")).cast("int").alias("bits")), "members")
+    weights = members.groupBy("id").agg(F.sum("bits").alias("w"))
+    typical = F.struct("w", F.xxhash64("id").alias("h"), "id")
+    centres = members.join(weights, "id").groupBy("key").agg(F.max(typical).alias("c"), F.max(F.struct(F.xxhash64("id").alias("h"), "id")).alias("d"))
+    centres = tables.write(centres.select("key", F.explode(F.array_distinct(F.array("c.id", "d.id"))).alias("y")), "centres")
+    of = F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")
+    pairs = tables.write(members.join(centres, "key").select(*of).filter("a != b").distinct(), "pairs")
+    close, found = tables.counted(likely(pairs, nodes, settings), "close")
+    roots = None
+    if found["n"]:
+        ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted, found = tables.counted(ids.join(nodes.select("id", "node", "mark"), "id"), "wanted")
+        texts = tables.write(wanted_texts(docs, wanted, found["n"]), "texts")
+        roots = components(verified(close, texts, idf_sent, settings), tables)
+        tables.drop("texts")
+    first = roots
+    placed = members.select("key", "id")
+    placed = placed.withColumn("root", F.col("id")) if roots is None else placed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = tables.write(placed, "placed")
+    unlike = tables.write(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"), "unlike")
+    open_, found = tables.counted(placed.join(unlike, "key"), "open")
+    if found["n"]:
+        wanted, found = tables.counted(open_.select("id").distinct().join(nodes.select("id", "node", "mark"), "id"), "wanted")
+        texts = tables.write(wanted_texts(docs, wanted, found["n"]), "texts")
+        limits = tables.write(bounds(texts, idf_sent, settings), "limits")
+        able = tables.write(open_.join(limits, "id"), "able")
+        counts = able.groupBy("key", "root").agg(F.count("*").alias("n"))
+        counts = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+        stats = tables.write(counts.select("key", "n", F.col("top.n").alias("most"), F.col("top.root").alias("main")).filter("n > most"), "stats")
+        pairs, found = tables.counted(crossed(able, stats, settings).join(close, ["a", "b"], "left_anti"), "pairs")
+        if found["n"]:
+            links = verified(pairs, texts, idf_sent, settings).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            second = components(links, tables)
+            if first is None:
+                roots = second
             else:
-                crossed = open_.join(open_.withColumnsRenamed(other), "key").filter(different & (F.col("node") < F.col("y")))
-        pairs = ordered(crossed.select(F.col("node").alias("x"), "y"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        close = written(likely(pairs, nodes, settings), "likely") if step == "centre" else pairs
-        if close.isEmpty():
-            continue
-        texts = written(wanted_texts(docs, close.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
-        found = written(verified(close, texts, idf_sent, settings), "verified")
-        links = found if links is None else links.union(found)
-        roots = components(links)
-    named = nodes.select("node", "doc_id")
-    if roots is not None:
-        named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("node", "class_id")
+                later = second.select(F.col("node").alias("root"), F.col("root").alias("later"))
+                roots = first.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+                # A root that the first links did not name is a node of its own.
+                roots = roots.union(second.join(first.select("node"), "node", "left_anti"))
+    named = nodes.select("id", "node", "mark", "doc_id")
+    if roots is None:
+        named = named.withColumn("root", F.col("id"))
     else:
-        named = named.select("node", F.col("doc_id").alias("class_id"))
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
+        named = named.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = tables.write(named.select("node", "mark", "root", "doc_id"), "named")
+    idf_sent.destroy()
+    return rows, named
+
+
+def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, class_id) of every row."""
+    tables = Tables(docs.sparkSession)
+    with plain_unions(docs.sparkSession):
+        rows, named = _classes(docs.select("doc_id", "text"), docs, settings, tables)
+        least = tables.write(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
+        labels = tables.write(named.join(least, "root").select("node", "mark", "class_id"), "labels")
+    tables.drop(*[t for t in tables.paths if t not in ("sketches", "labels")])
+    return rows.join(labels, ["node", "mark"]).select("doc_id", "class_id")
 
 
 def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with all its columns.
+    """One row of each class with all its columns: the one with the least doc_id (null last), then the least hash of its columns.
 
-    Rows that repeat that doc_id are reduced to one; a class whose rows all lack a
-    doc_id keeps all of them, for nothing tells which row is meant.
+    Rows are told apart by 128 bits of a hash of all their columns, so what stays
+    does not depend on doc_id being unique or known; rows equal in all columns
+    are one.
     """
-    found = classes(docs, settings)
-    first = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    out = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    tables = Tables(docs.sparkSession)
+    ends = [h.alias(n) for h, n in zip(row_key(docs, 1, 2), ("h1", "h2"), strict=True)]
+    with plain_unions(docs.sparkSession):
+        rows, named = _classes(docs.select("doc_id", "text", *ends), docs, settings, tables)
+        placed = rows.select("node", "mark", "doc_id", "h1", "h2").join(named.select("node", "mark", "root"), ["node", "mark"])
+        best = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "h1", "h2")).alias("best")
+        first = tables.write(placed.groupBy("root").agg(best).select("best.h1", "best.h2"), "first")
+    tables.drop(*[t for t in tables.paths if t != "first"])
+    # Equal rows meet in the tasks' own aggregates first.
+    whole = docs.select(*ends, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.groupBy("h1", "h2").agg(F.first("row").alias("row")).join(first, ["h1", "h2"], "left_semi").select("row.*")
