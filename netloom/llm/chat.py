@@ -12,8 +12,9 @@ one away.  So texts are read back exactly, and no text can open or close a turn.
 Defined results: a null text or role counts as empty; rows that tie in turn are
 ordered by role, then text; repeated rows are turns of their own; rows with a
 null conv_id are one conversation, a null turn comes first; an empty table gives
-an empty result; other columns are ignored.  Everything of one conversation
-meets in one row, as the format asks.
+an empty result; other columns are ignored; very long texts are formatted whole.
+Everything of one conversation meets in one row, as the format asks: one whose
+text is beyond what a row of Spark's holds (2 GB) fails, and says so.
 """
 
 from __future__ import annotations
@@ -81,17 +82,27 @@ def parsed(text: Column) -> Column:
     return F.flatten(F.transform(messages, turns))
 
 
-def digests(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Counts and digests read back from ``formatted``; the mask's length is that of ``loss_runs``' escaped text."""
-    out = chats.select("conv_id", "formatted", parsed(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
+def masked(text: Column, runs: Column) -> Column:
+    """The texts under a loss mask, unescaped, in order: what stands in ``text`` where ``runs`` (loss, chars) say loss."""
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
+
+    def cut(done: Column, run: Column) -> Column:
+        own = F.array(unescape(text.substr(done["at"], run["chars"])))
+        return F.struct((done["at"] + run["chars"]).alias("at"), F.when(run["loss"], F.concat(done["texts"], own)).otherwise(done["texts"]).alias("texts"))
+
+    return F.aggregate(runs, begin, cut)["texts"]
+
+
+def digests(chats: DataFrame) -> DataFrame:
+    """Counts and digests read back from the output: turns from ``formatted``, the loss text from it by ``loss_runs``."""
+    out = chats.select("conv_id", "formatted", parsed(F.col("formatted")).alias("turns"), F.array_join(masked(F.col("formatted"), F.col("loss_runs")), "").alias("loss"))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(every, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
