@@ -14,7 +14,8 @@ both be of any size.
 Defined results: null or empty texts hold nothing; items without a word match
 nothing; short items (few words) have no edit budget; an item that occurs several
 times in a document is reported once, at its best place; repeated rows are
-reported each; empty tables give an empty result; other columns are ignored.
+reported each; very long texts are searched whole; empty tables give an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

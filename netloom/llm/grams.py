@@ -81,9 +81,10 @@ def sampled(rows: DataFrame, group: str, totals: dict[object, int], each: int, k
 def collected(rows: DataFrame, group: str, featurise: Featurise) -> tuple[list[object], list[tuple[np.ndarray, np.ndarray]]]:
     """Labels and features of a bounded sample, in the order of their keys' hashes (the same in every run).
 
-    A key counts once, with its least label and text, so repeated rows do not widen the sample.
+    A key counts once, with its least label and the least of that label's texts, so repeated rows do not widen the
+    sample and no label is learned with another row's text.
     """
-    rows = rows.groupBy("doc_id").agg(F.min(group).alias(group), F.min("text").alias("text"))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(group, "text")).alias("row")).select("doc_id", f"row.{group}", "row.text")
     kind = rows.schema[group].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

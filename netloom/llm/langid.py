@@ -10,7 +10,9 @@ the weights did not see.
 
 Defined results: ``und`` with score 0 where a text is null or has no letter, or
 where nothing could be learned (no labelled rows); repeated rows are predicted
-alike; an empty table gives an empty result; other columns are ignored.
+alike and learned once (of several labels of a doc_id the least, with a text of
+its own); very long texts are read whole; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

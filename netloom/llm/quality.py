@@ -13,7 +13,8 @@ Defined results: null and empty texts have no indicators, so their score is the
 bias's; documents without a label are scored like others; of several labels of
 one document the least counts; where nothing can be learned, or only one
 class, the score is that class's share (0.5 if there is none); repeated rows are
-scored alike; an empty table gives an empty result; other columns are ignored.
+scored alike; very long texts are read whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
