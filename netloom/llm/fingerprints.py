@@ -2,8 +2,9 @@
 
 Canonical form: NFKC, full case folding, NFKC again, runs of white space as one
 blank, trimmed.  Digest: two 64-bit xxhash values of that form with different
-seeds, as 32 hex digits.  Different canonical texts that share a digest are told
-apart by comparing their bytes; all but the least of them carry a suffix.
+seeds, as 32 hex digits.  Where a digest occurs more than once, the texts that have
+it are compared by their bytes; different ones are told apart, and all but the
+least of them carry a suffix.  Edited texts take part in that like others.
 
 Defined results: a null text counts as empty; repeated rows and equal texts get
 equal fingerprints; an empty table gives an empty result; other columns are
@@ -15,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.llm.common import Tables
+
+#: Cells that digests are dealt to; those of repeated digests are sent to every task.
+CELLS = 1 << 18
 #: Collisions up to this many rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 10_000
 #: Ranges of doc_id that neighbours are found in, at least.
@@ -58,19 +63,23 @@ def resolved(df: DataFrame, found: DataFrame, rows: int, digest_column: str, can
     return df.join(found, [digest_column, canon_column], "left").withColumn(digest_column, F.concat(digest_column, suffix)).drop("nth")
 
 
-def collision_rows(df: DataFrame, text: str = "text") -> tuple[DataFrame | None, int]:
-    """Colliding texts of ``df`` and how many rows they are (0 in practice)."""
-    canon = df.select(canonical(F.col(text)).alias("canon")).select(digest(F.col("canon")).alias("digest"), "canon")
-    found = collisions(canon)
-    rows = found.count()
-    return found, rows
+def cell(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(CELLS)).cast("int")
+
+
+def repeated(canon: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of ``canon`` (digest, canon) that may share a digest with another of ``digests`` (digest): a text alone with
+    its digest needs no comparison, so most texts are spared the shuffle.  At most ``CELLS`` cells are broadcast."""
+    cells = digests.groupBy("digest").count().filter("count > 1").select(cell("digest").alias("cell")).distinct()
+    return canon.join(F.broadcast(cells), cell("digest") == F.col("cell"), "left_semi")
 
 
 def fingerprinted(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with a column ``fingerprint``; a column of that name is replaced."""
-    found, rows = collision_rows(df, text)
+    canon = df.select(canonical(F.col(text)).alias("canon")).select(digest(F.col("canon")).alias("digest"), "canon")
+    found = collisions(repeated(canon, canon.select("digest")))
     out = df.withColumn("_canon", canonical(F.col(text))).withColumn("fingerprint", digest(F.col("_canon")))
-    return resolved(out, found, rows, "fingerprint", "_canon").select(*[c for c in df.columns if c != "fingerprint"], "fingerprint")
+    return resolved(out, found, found.count(), "fingerprint", "_canon").select(*[c for c in df.columns if c != "fingerprint"], "fingerprint")
 
 
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -106,21 +115,35 @@ def with_next(df: DataFrame, key: str = "doc_id", columns: tuple[str, ...] = ("t
     return placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter("at.extra = 0").select(F.col("key").alias(key), *columns, *[f"next_{c}" for c in columns])
 
 
-def neighbours(df: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document.
-
-    Likeness of two exact fingerprints is 1 where they are equal, else 0.
-    """
-    found, rows = collision_rows(df)
+def edited_rows(df: DataFrame) -> DataFrame:
+    """(doc_id, text, edited, next_text): each text, its edited form, and the next document's."""
     out = with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 3) as int))"))
-    out = out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(f"{c}_canon") for c in ("text", "edited", "next_text")])
-    out = out.select("*", *[digest(F.col(f"{c}_canon")).alias(f"{c}_digest") for c in ("text", "edited", "next_text")])
-    for c in ("text", "edited", "next_text"):
-        out = resolved(out, found, rows, f"{c}_digest", f"{c}_canon")
+    return out.select("doc_id", "text", edited.alias("edited"), "next_text")
+
 
-    def like(other: str) -> Column:
-        return F.when(F.col("text_digest") == F.col(other), 1.0).otherwise(0.0)
+def neighbours(df: DataFrame) -> DataFrame:
+    """Each document's fingerprint beside those of its edited text and of the next document.
 
-    return out.select("doc_id", "n_chars", "edited_sha256", F.col("text_digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), like("edited_digest").alias("near_edited"), like("next_text_digest").alias("near_next"))
+    Likeness of two exact fingerprints is 1 where the canonical texts are equal
+    byte for byte, else 0.  The digests are one written table; texts that share one
+    are compared after it.
+    """
+    tables = Tables(df.sparkSession)
+    rows = edited_rows(df)
+    out = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(f"{c}_canon") for c in ("text", "edited", "next_text")])
+    own, edited, after = (F.col(f"{c}_canon") for c in ("text", "edited", "next_text"))
+
+    def finished(df: DataFrame) -> DataFrame:
+        return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+    out = out.select("*", digest(own).alias("fingerprint"), digest(edited).alias("edited_fingerprint"), (own == edited).cast("double").alias("near_edited"), (own == after).cast("double").alias("near_next"))
+    known = tables.write(finished(out), "fingerprints")
+    digests = known.select(F.explode(F.array("fingerprint", "edited_fingerprint")).alias("digest"))
+    canon = rows.select(F.explode(F.array(canonical(F.col("text")), canonical(F.col("edited")))).alias("canon")).select(digest(F.col("canon")).alias("digest"), "canon")
+    found, seen = tables.counted(collisions(repeated(canon, digests)), "collisions")
+    if not seen["n"]:
+        return known
+    for c in ("text", "edited"):
+        out = resolved(out, found, seen["n"], "fingerprint" if c == "text" else "edited_fingerprint", f"{c}_canon")
+    return finished(out)
