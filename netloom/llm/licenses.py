@@ -1,23 +1,33 @@
 """License scans: a trained paragraph classifier with template comparison, in Spark expressions only.
 
-A paragraph is a line of a text.  Words are lower-cased; digits are alike, so
-versions do not matter.  Features are words and pairs of words, as indicators.
-A multinomial logistic regression with an L1 penalty is fitted on the driver to
-variants (cut, thinned, embedded) of the templates below and of ordinary
-sentences, the class ``unknown``; a temperature calibrates the probabilities on
-variants that the fit did not see.  Only n-grams that keep a weight form the
-vocabulary; words of the ordinary sentences never do, so a paragraph without a
-word of it is unknown for certain and is dropped before any scoring.
-
-A prediction other than unknown stands if its probability reaches ``least`` and a
-template of its family confirms it: the larger part of either's word pairs that
-the other has is at least ``overlap``.  Notices share a line, and probabilities
-add up to one, so any other family stands too if the line has all pairs of one
-of its templates, or a name of the family and ``overlap`` of a template's pairs.
-
-Defined results: null and empty texts have no paragraphs; one row per confirmed
-paragraph and family, so repeated rows repeat; an empty table gives an empty result; other
-columns are ignored; the doc_id may be null.
+A paragraph ends at an empty line or at a line that ends a sentence (``.``, ``!``,
+``?``, ``:``); lines that are merely wrapped belong together.  Words are
+lower-cased; digits are alike, so versions do not matter.  Features are words and
+pairs of words, as indicators.  A multinomial logistic regression with an L1
+penalty is fitted on the driver to variants (cut, thinned, embedded, wrapped into
+other words) of the templates below, of notices of invented licences (the class
+``unknown``) and of ordinary sentences (``none``); a temperature calibrates the
+probabilities on variants that the fit did not see.  Only n-grams that keep a
+weight form the vocabulary; words of the ordinary sentences never do alone, so a
+paragraph without a word of it is dropped before any scoring.
+
+A prediction of a family stands if its probability reaches ``least`` and a
+template of the family confirms it: the larger part of either's word pairs that
+the other has is at least ``overlap`` (``named_overlap`` if the paragraph holds a
+name of the family).  Notices share a paragraph, and
+probabilities add up to one, so any other family stands too if the paragraph has
+all pairs of one of its templates, or a name of the family and ``overlap`` of a
+template's pairs.  Where no family stands, ``unknown`` does if it is likeliest with
+``least`` and the paragraph says the word licence in a notice's wording
+(``named_overlap`` of it): a licence, but none of those known.
+
+The weights, the templates' pairs and the names are three tables of fixed size; a
+paragraph's n-grams are exploded and joined with them, and summed.
+
+Defined results: null and empty texts have no paragraphs; very long ones are read
+whole; one row per confirmed paragraph and family, so repeated rows repeat; an
+empty table gives an empty result; other columns are ignored; the doc_id may be
+null.
 """
 
 from __future__ import annotations
@@ -27,28 +37,35 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNKNOWN = "unknown"
+from netloom.llm.common import Tables
+
+UNKNOWN, NONE = "unknown", "none"
+#: Where a text is cut into paragraphs.
+PARAGRAPHS = r"\r?\n[ \t]*\r?\n|(?<=[.!?:])[ \t]*\r?\n"
 
 # What the families' notices say (families by SPDX-like names).
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ),
     "Apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under the GPL, version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
@@ -65,7 +82,9 @@ TEMPLATES = {
     "BSD": (
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "MPL": (
@@ -91,9 +110,37 @@ TEMPLATES = {
     ),
     "ISC": (
         "Released under the ISC License.",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+    ),
+    "Boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "EUPL": (
+        "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission, subsequent versions of the EUPL.",
+        "Licensed under the European Union Public Licence, version 1.2.",
+        "SPDX-License-Identifier: EUPL-1.2",
+    ),
+    "Zlib": (
+        "Released under the zlib License.",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ),
+    "OFL": (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "SPDX-License-Identifier: OFL-1.1",
+    ),
+    "GFDL": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3.",
     ),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense."),
     "Reserved": (
         "All rights reserved.",
         "Copyright 2020 by the author, all rights reserved.",
@@ -117,9 +164,31 @@ NAMES = {
     "CC0": ("cc0",),
     "ISC": ("isc",),
     "Unlicense": ("unlicense",),
+    "Boost": ("boost software",),
+    "EPL": ("eclipse public", "epl"),
+    "EUPL": ("eupl", "union public"),
+    "Zlib": ("zlib",),
+    "OFL": ("ofl", "open font"),
+    "GFDL": ("gfdl", "free documentation"),
     "Reserved": ("rights reserved", "proprietary"),
 }
-#: Ordinary sentences: the class unknown.  Their words alone tell nothing.
+#: Notices of licences that are none of these; the gap is for a name that means nothing.
+FOREIGN = (
+    "Licensed under the {} License, version 2.0.",
+    "This work is licensed under the terms of the {} licence.",
+    "Released under the {} License.",
+    "Released under the {} Public Licence.",
+    "Distributed under the {} license, version 1.",
+    "This file is made available under the {} Licence.",
+    "This software is subject to the {} license agreement.",
+    "Use of this work is governed by the {} license.",
+    "SPDX-License-Identifier: {}",
+    "You may use this file under the terms of the {} license.",
+    "Covered by the {} licence.",
+)
+#: Words that a notice of an unknown licence has at least one of.
+LICENCE_WORDS = ("license", "licence", "licensed", "licenced", "licenses", "licences")
+#: Ordinary sentences: the class none.  Their words alone tell nothing.
 ORDINARY = (
     "The plan was made in the morning and it is to be done by all of us before the end of the week.",
     "You may use this or that as you like, but not for the first time and not without a reason.",
@@ -134,13 +203,16 @@ ORDINARY = (
     "We are from here, they were there, this was then, and what is now will be for some.",
     "All related parts are distributed under the table, on a basis that is kept in writing.",
     "Only an hour went into it, and 10 of 20 came with an answer, as at an inn on an only road.",
+    "The commission will decide in the event, and the authors wrote the original with fitness and purpose.",
+    "A name on the product must not be used, nor the names of those who held or provided it.",
+    "The union and the open market, the font of joy and the boost of an eclipse, as soon as they come.",
 )
 # end of fixed values
 
 
 @dataclass(frozen=True)
 class Settings:
-    variants: int = 60
+    variants: int = 40
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
@@ -148,6 +220,7 @@ class Settings:
     l2: float = 0.01
     least: float = 0.5
     overlap: float = 0.6
+    named_overlap: float = 0.35
 
 
 @dataclass(frozen=True)
@@ -166,13 +239,23 @@ def pairs(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def template_pairs() -> list[tuple[str, list[str]]]:
+    """(family, distinct word pairs) of every template; a foreign notice's pairs are those on either side of its gap."""
+    known = [(name, sorted(set(pairs(split_words(t))))) for name, texts in TEMPLATES.items() for t in texts]
+    return known + [(UNKNOWN, sorted({p for side in t.split("{}") for p in pairs(split_words(side))})) for t in FOREIGN]
+
+
+def common_words() -> set[str]:
+    return {w for t in ORDINARY for w in split_words(t)}
+
+
 @functools.cache
 def fit(s: Settings = Settings()) -> Model:
     """The model; it depends on nothing but the values above and the settings."""
     rng = np.random.default_rng(11)
-    families = [*sorted(TEMPLATES), UNKNOWN]
+    families = [*sorted(TEMPLATES), UNKNOWN, NONE]
     ordinary = [split_words(t) for t in ORDINARY]
-    common = {w for t in ordinary for w in t}
+    common = common_words()
     rows: list[tuple[set[str], int]] = []
 
     def filler() -> list[str]:
@@ -180,11 +263,14 @@ def fit(s: Settings = Settings()) -> Model:
         a = int(rng.integers(len(t)))
         return t[a : a + int(rng.integers(2, 12))]
 
+    def invented() -> str:
+        return " ".join("".join(rng.choice(list("bcdfgklmnprstv")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 4))) for _ in range(rng.integers(1, 3)))
+
     for label, name in enumerate(families):
-        texts = ordinary if name == UNKNOWN else [split_words(t) for t in TEMPLATES[name]]
-        for t in texts:
+        texts = ORDINARY if name == NONE else FOREIGN if name == UNKNOWN else TEMPLATES[name]
+        for text in texts:
             for v in range(s.variants):
-                words = t
+                t = words = split_words(text.format(invented()) if name == UNKNOWN else text)
                 if v:
                     size = max(min(4, len(t)), int(len(t) * rng.uniform(0.7, 1.0)))
                     a = int(rng.integers(len(t) - size + 1))
@@ -192,8 +278,12 @@ def fit(s: Settings = Settings()) -> Model:
                     if rng.random() < 0.4:
                         words = [*filler(), *words, *filler()]
                 rows.append(({*words, *pairs(words)}, label))
-    # A gram is of use if some word of it is no ordinary one.
-    grams = sorted({g for f, _ in rows for g in f if any(w not in common for w in g.split())})
+    # A gram is of use if some word of it is no ordinary one; a name that means nothing is in few rows.
+    found: dict[str, int] = {}
+    for f, _ in rows:
+        for g in f:
+            found[g] = found.get(g, 0) + 1
+    grams = sorted(g for g, n in found.items() if n > 4 and any(w not in common for w in g.split()))
     place = {g: i for i, g in enumerate(grams)}
     vectors = [np.array(sorted([*(place[g] for g in f if g in place), len(grams)])) for f, _ in rows]
     labels = np.array([y for _, y in rows])
@@ -203,10 +293,6 @@ def fit(s: Settings = Settings()) -> Model:
     def weights(at: np.ndarray | slice) -> np.ndarray:
         return np.where(np.abs(z[at]) <= s.l1, 0.0, -(z[at] - np.sign(z[at]) * s.l1) / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2))
 
-    def probabilities(x: np.ndarray) -> np.ndarray:
-        e = np.exp(x - x.max(axis=-1, keepdims=True))
-        return e / e.sum(axis=-1, keepdims=True)
-
     for _ in range(s.epochs):
         for i in rng.permutation(np.flatnonzero(~held)):
             at = vectors[i]
@@ -223,6 +309,21 @@ def fit(s: Settings = Settings()) -> Model:
     return Model(families, kept, [float(x) for x in np.round(w[-1], 6)], float(tries[int(np.argmin(losses))]))
 
 
+def probabilities(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern of exactly these words, as a tree of their beginnings, so that each character is looked at about once."""
+    ends, after = "" in words, {}
+    for w in sorted(words - {""}):
+        after.setdefault(w[0], set()).add(w[1:])
+    parts = [("[0-9]+" if c == "0" else c) + (any_of(rest) if rest != {""} else "") for c, rest in after.items()]
+    whole = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+    return f"{whole}?" if ends and len(parts) > 1 else f"(?:{whole})?" if ends else whole
+
+
 def word_array(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]+", "0"), "[^a-z0]+"), lambda w: w != "")
 
@@ -233,54 +334,36 @@ def pair_array(words: Column) -> Column:
 
 def scanned(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> DataFrame:
     """(key, paragraph, family, score, similarity, notice) of every confirmed paragraph and family."""
-    model = fit(s)
-    common = {w for t in ORDINARY for w in split_words(t)}
-    telling = sorted({w for g in model.weights for w in g.split()} - common)
-    names = sorted(model.weights)
-    table = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.array(*map(F.lit, model.weights[g])) for g in names]))
-
-    def once(df: DataFrame, **columns: Column) -> DataFrame:
-        """Columns that later steps read but cannot repeat the work of: a generator keeps projections apart."""
-        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-    lines = docs.select(F.col(key), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "notice"))
-    # One pass of a pattern spares most lines the cutting into words.
-    lines = lines.filter(F.col("notice").rlike(rf"(?i)(?<![a-z])(?:{'|'.join(w.replace('0', '[0-9]+') for w in telling)})(?![a-z])"))
-    lines = once(lines, words=word_array(F.col("notice")))
-    lines = once(lines, pairs=F.array_distinct(pair_array(F.col("words"))))
-    lines = once(lines, grams=F.array_intersect(F.concat("words", "pairs"), F.array(*map(F.lit, names)))).filter(F.size("grams") > 0)
-    logits = F.aggregate("grams", F.array(*map(F.lit, model.bias)), lambda total, g: F.zip_with(total, F.element_at(table, g), lambda a, b: a + b))
-    lines = once(lines, logits=F.transform(logits, lambda x: x / model.temperature))
-    lines = once(lines, top=F.array_max("logits"))
-    lines = once(lines, total=F.aggregate("logits", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))))
-    places = {name: i for i, name in enumerate(model.families)}
-    theirs = [(places[name], sorted(set(pairs(split_words(t))))) for name, texts in TEMPLATES.items() for t in texts]
-    templates = F.array(*[F.struct(F.lit(i).alias("at"), F.array(*map(F.lit, t)).alias("theirs")) for i, t in theirs])
-    # Of each template: what it and the line share, as the larger part of either and as a part of the template.
-    shared = F.transform(templates, lambda t: F.struct(t["at"].alias("at"), F.size(F.array_intersect("pairs", t["theirs"])).alias("shared"), F.size(t["theirs"]).alias("size")))
-    lines = once(lines, shared=F.filter(shared, lambda t: t["shared"] > 0))
-    similar = F.transform("shared", lambda t: F.struct(t["at"].alias("at"), (t["shared"] / F.least(F.size("pairs"), t["size"])).alias("similarity"), (t["shared"] / t["size"]).alias("held")))
-    lines = once(lines, similar=similar)
-    known = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(name).alias("family"), F.array(*map(F.lit, NAMES[name])).alias("names")) for name, i in places.items() if name != UNKNOWN])
-
-    def best(at: Column, what: str) -> Column:
-        return F.coalesce(F.array_max(F.transform(F.filter("similar", lambda t: t["at"] == at), lambda t: t[what])), F.lit(0.0))
-
-    judged = F.transform(
-        known,
-        lambda k: F.struct(
-            k["family"].alias("family"),
-            (F.exp(F.get("logits", k["at"]) - F.col("top")) / F.col("total")).alias("score"),
-            best(k["at"], "similarity").alias("similarity"),
-            best(k["at"], "held").alias("held"),
-            (F.get("logits", k["at"]) == F.col("top")).alias("likeliest"),
-            F.arrays_overlap(F.concat("words", "pairs"), k["names"]).alias("named"),
-        ),
-    )
-    lines = once(lines, judged=judged)
-    stands = F.filter(
-        "judged",
-        lambda j: (j["likeliest"] & (j["score"] >= s.least) & (j["similarity"] >= s.overlap)) | (j["held"] >= 1.0) | (j["named"] & (j["held"] >= s.overlap)),
-    )
-    found = lines.select(key, "paragraph", "notice", F.inline(stands))
-    return found.select(key, "paragraph", "family", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "notice")
+    spark, model, tables = docs.sparkSession, fit(s), Tables(docs.sparkSession)
+    telling = {w for g in model.weights for w in g.split()} - common_words()
+    pattern = rf"(?<![a-z]){any_of(telling)}(?![a-z])"
+    # One pass of a pattern spares most texts the cutting, and most paragraphs the rest.
+    rows = docs.select(F.col(key).alias("key"), "text").filter(F.lower("text").rlike(pattern))
+    rows = rows.select("key", F.posexplode(F.split("text", PARAGRAPHS)).alias("paragraph", "notice")).filter(F.lower("notice").rlike(pattern))
+    rows = rows.select("*", word_array(F.col("notice")).alias("words"))
+    hits = tables.write(rows.select("*", F.monotonically_increasing_id().alias("row")), "license-hits")
+    numbers = range(len(model.families))
+    weights = F.broadcast(spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>"))
+    theirs = [(p, i, model.families.index(name), len(t)) for i, (name, t) in enumerate(template_pairs()) for p in t]
+    templates = F.broadcast(spark.createDataFrame(theirs, "gram string, template int, at int, size int"))
+    names = F.broadcast(spark.createDataFrame([(g, model.families.index(f)) for f, gs in NAMES.items() for g in gs] + [(w, model.families.index(UNKNOWN)) for w in LICENCE_WORDS], "gram string, at int"))
+    own = hits.select("row", F.array_distinct(pair_array(F.col("words"))).alias("pairs"), "words")
+    grams = own.select("row", F.explode(F.array_union("words", "pairs")).alias("gram"))
+    logits = grams.join(weights, "gram").groupBy("row").agg(F.array(*[F.sum(F.col("w")[i]) for i in numbers]).alias("sums"))
+    shared = own.select("row", F.size("pairs").alias("n"), F.explode("pairs").alias("gram")).join(templates, "gram").groupBy("row", "n", "template", "at", "size").agg(F.count("*").alias("shared"))
+    similar = shared.groupBy("row", "at").agg(F.max(F.col("shared") / F.least("n", "size")).alias("similarity"), F.max(F.col("shared") / F.col("size")).alias("held"))
+    named = grams.join(names, "gram").select("row", "at").distinct().withColumn("named", F.lit(True))
+    bias = F.array(*map(F.lit, model.bias))
+    scores = similar.join(logits, "row", "left").join(named, ["row", "at"], "left")
+    scores = scores.withColumn("x", F.transform(F.zip_with(F.coalesce("sums", F.array(*[F.lit(0.0)] * len(numbers))), bias, lambda a, b: a + b), lambda v: v / model.temperature))
+    scores = scores.withColumn("top", F.array_max("x")).withColumn("mine", F.get("x", F.col("at")))
+    score = F.exp(F.col("mine") - F.col("top")) / F.aggregate("x", F.lit(0.0), lambda t, v: t + F.exp(v - F.col("top")))
+    scores = scores.select("row", "at", "similarity", "held", F.coalesce("named", F.lit(False)).alias("named"), score.alias("score"), (F.col("mine") == F.col("top")).alias("likeliest"))
+    unknown = model.families.index(UNKNOWN)
+    likely = F.col("likeliest") & (F.col("score") >= s.least) & (F.col("similarity") >= F.when(F.col("named"), s.named_overlap).otherwise(s.overlap))
+    stands = F.when(F.col("at") == unknown, likely & F.col("named")).otherwise(likely | (F.col("held") >= 1.0) | (F.col("named") & (F.col("held") >= s.overlap)))
+    known = F.max(F.col("at") != unknown).over(Window.partitionBy("row"))
+    found = scores.filter(stands).withColumn("known", known).filter((F.col("at") != unknown) | ~F.col("known"))
+    family = F.get(F.array(*map(F.lit, model.families)), F.col("at"))
+    out = found.join(hits.select("row", "key", "paragraph", "notice"), "row")
+    return out.select(F.col("key").alias(key), "paragraph", family.alias("family"), F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "notice")
