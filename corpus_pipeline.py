@@ -3,6 +3,14 @@
 Language identification and the quality classifier drop what they reject, of each
 near-duplicate class one document stays (the least doc_id), documents that hold a
 benchmark item go, and the rest is packed into sequences.
+
+Defined results, stage by stage: a document whose text is null or has no letter is
+of no language and goes with the first stage; every other row is judged by its
+text alone, whatever its other columns hold.  Of equal and near-equal rows one
+stays: the one with the least doc_id (null last; then by a hash of the row), so
+rows that share a doc_id but not their texts are all kept.  Very long texts are
+judged and packed whole, texts beyond a sequence in pieces.  An empty table gives
+an empty result, and further columns go through all stages but the last.
 """
 
 from __future__ import annotations
