@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
 from netloom.functions.catalogues import DEFAULT, Catalogues
+from netloom.operators import trees
 
 
 def pieces(edges: DataFrame, spans: DataFrame) -> DataFrame:
@@ -32,10 +33,14 @@ def priced(parts: DataFrame, edges: DataFrame, c: Catalogues = DEFAULT) -> DataF
 
 
 def summary(costs: DataFrame, unconnected: DataFrame, key: str, c: Catalogues = DEFAULT) -> DataFrame:
-    """(key, construction_cost, penalty, calculated_cost, lost): costs (key, cost), unconnected (key, cp_id, flow)."""
+    """(key, construction_cost, penalty, calculated_cost, lost): costs (key, cost), unconnected (key, cp_id, flow).
+
+    ``lost`` counts the unconnected; which they are stays a relation, however many there are.
+    """
     built = costs.groupBy(key).agg(F.sum("cost").alias("construction_cost"))
-    lost = unconnected.groupBy(key).agg(F.sum(S.penalty(F.col("flow"), c)).alias("penalty"), F.sort_array(F.collect_list("cp_id")).alias("lost"))
-    out = built.join(lost, key, "full").select(key, F.coalesce("construction_cost", F.lit(0).cast("long")).alias("construction_cost"), F.coalesce("penalty", F.lit(0).cast("long")).alias("penalty"), F.coalesce("lost", F.array().cast("array<long>")).alias("lost"))
+    lost = unconnected.groupBy(key).agg(F.sum(S.penalty(F.col("flow"), c)).alias("penalty"), F.count("*").alias("lost"))
+    zero = F.lit(0).cast("long")
+    out = built.join(lost, key, "full").select(key, F.coalesce("construction_cost", zero).alias("construction_cost"), F.coalesce("penalty", zero).alias("penalty"), F.coalesce("lost", zero).alias("lost"))
     return out.withColumn("calculated_cost", F.col("construction_cost") + F.col("penalty"))
 
 
@@ -49,7 +54,16 @@ def contracted(edges: DataFrame) -> DataFrame:
     own = edges.join(children, ["tree", "n"], "left").select("tree", "n", "parent", "len_m", "dn", F.coalesce("children", F.lit(0)).alias("children"))
     above = own.select("tree", F.col("n").alias("parent"), F.col("dn").alias("dn_above"), F.col("children").alias("siblings"))
     joined = own.join(above, ["tree", "parent"], "left").withColumn("goes_on", F.coalesce((F.col("siblings") == 1) & (F.col("dn") == F.col("dn_above")), F.lit(False)))
-    # The chain's head is the nearest ancestor (or the edge itself) that does not go on.
-    steps = joined.select("tree", F.col("n").alias("below"), "len_m", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int"))).alias("k")).select("tree", "below", "len_m", F.expr("shiftright(below, k)").alias("n"))
-    heads = steps.join(joined.filter("not goes_on").select("tree", "n"), ["tree", "n"]).groupBy("tree", "below", "len_m").agg(F.max("n").alias("head"))
-    return heads.groupBy("tree", "head").agg(F.max("below").alias("tail"), F.count("*").alias("edges"), F.sum("len_m").alias("len_m"))
+    # Within the forest of edges that go on, a chain's head is its root.
+    linked = joined.withColumn("chain", F.when(F.col("goes_on"), F.col("parent")).otherwise(0))
+    rows = linked.join(heads(linked), ["tree", "n"])
+    return rows.groupBy("tree", "head").agg(F.max_by("n", "place").alias("tail"), F.count("*").alias("edges"), F.sum("len_m").alias("len_m"))
+
+
+def heads(linked: DataFrame) -> DataFrame:
+    """(tree, n, head, place): the first edge of each edge's chain, and the place in it; ``chain`` is the edge before, or 0.
+
+    Only heads carry their number, so the sum over an edge and those above it is the head's.
+    """
+    own = F.when(F.col("chain") == 0, F.col("n").cast("long")).otherwise(F.lit(0).cast("long"))
+    return trees.folded(linked, above={"head": own, "place": F.lit(1)}, parent=F.col("chain"))

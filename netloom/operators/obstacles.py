@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
-from netloom.operators.spatial import binned
+from netloom.operators.spatial import candidates, corners, segment_box
 
 SIDES = (("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0"))
 
@@ -30,19 +30,17 @@ def segment_box_distance(*ends: Column) -> Column:
 
 def blocked(segments: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:
     """(seg_id, r_id, dist): segments nearer to a box than its ``keep`` (metres, at most ``reach``), by more than a millimetre."""
-    s = segments.select("seg_id", *[F.col(c).cast("double").alias(c.replace("x", "p").replace("y", "q")) for c in ("x1", "y1", "x2", "y2")])
-    s = s.select("*", F.least("p1", "p2").alias("lx"), F.least("q1", "q2").alias("ly"), F.greatest("p1", "p2").alias("hx"), F.greatest("q1", "q2").alias("hy"))
-    near = binned(s, "lx", "ly", "hx", "hy", reach).select("seg_id", "p1", "q1", "p2", "q2", "_bin")
-    rows = near.join(binned(boxes, "x0", "y0", "x1", "y1").select("r_id", "x0", "y0", "x1", "y1", "keep", "_bin"), "_bin").drop("_bin").distinct()
-    return rows.select("seg_id", "r_id", "keep", segment_box_distance(*map(F.col, ("p1", "q1", "p2", "q2"))).alias("dist")).filter(F.col("dist") < F.col("keep") - 1e-3).drop("keep")
+    names = ("p1", "q1", "p2", "q2")
+    s = segments.select("seg_id", *[F.col(c).cast("double").alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), names, strict=True)])
+    rows = candidates(s, segment_box(*names), boxes.select("r_id", "x0", "y0", "x1", "y1", "keep"), corners("x0", "y0", "x1", "y1"), reach)
+    return rows.select("seg_id", "r_id", "keep", segment_box_distance(*map(F.col, names)).alias("dist")).filter(F.col("dist") < F.col("keep") - 1e-3).drop("keep")
 
 
 def crossing_angles(segments: DataFrame, boxes: DataFrame) -> DataFrame:
     """(seg_id, r_id, angle): the acute angle at which a segment crosses a side of a box, in degrees, the least of them."""
     sides = boxes.select("r_id", F.explode(F.array(*[F.struct(*[F.col(c).cast("double").alias(n) for c, n in zip(side, ("a", "b", "c", "d"), strict=True)]) for side in SIDES])).alias("s")).select("r_id", "s.*")
-    sides = sides.select("*", F.least("a", "c").alias("lx"), F.least("b", "d").alias("ly"), F.greatest("a", "c").alias("hx"), F.greatest("b", "d").alias("hy"))
-    own = segments.select("seg_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).select("*", F.least("x1", "x2").alias("kx"), F.least("y1", "y2").alias("ky"), F.greatest("x1", "x2").alias("mx"), F.greatest("y1", "y2").alias("my"))
-    rows = binned(own, "kx", "ky", "mx", "my").join(binned(sides, "lx", "ly", "hx", "hy"), "_bin")
+    own = segments.select("seg_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    rows = candidates(own, segment_box(), sides, segment_box("a", "b", "c", "d"))
     cross = S.cross_properly(tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("a", "b", "c", "d"))))
     turn = S.turn_degrees(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("c") - F.col("a"), F.col("d") - F.col("b"))
     return rows.filter(cross).groupBy("seg_id", "r_id").agg(F.round(F.min(F.least(turn, 180 - turn)), 6).alias("angle"))
@@ -73,8 +71,7 @@ def gates(axes: DataFrame, step: float) -> DataFrame:
 
 def in_bands(points: DataFrame, axes: DataFrame, width: float, step: float, thickness: float) -> DataFrame:
     """(cp_id, seg_id, in_gate): points within ``width`` of an axis, and whether a gate lets them through."""
-    s = axes.select("*", F.least("x1", "x2").alias("lx"), F.least("y1", "y2").alias("ly"), F.greatest("x1", "x2").alias("hx"), F.greatest("y1", "y2").alias("hy"))
-    rows = binned(points, "x", "y", "x", "y", width).select("cp_id", "x", "y", "_bin").join(binned(s, "lx", "ly", "hx", "hy"), "_bin").drop("_bin").distinct()
+    rows = candidates(points.select("cp_id", "x", "y"), corners("x", "y", "x", "y"), axes.select("seg_id", "x1", "y1", "x2", "y2"), segment_box(), width)
     ends = tuple(map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
     along = S.position_on(*ends) * S.distance(*ends[2:])
     off = F.abs(along - F.floor(along / step + 0.5) * step)
@@ -98,8 +95,8 @@ def exits(points: DataFrame, boxes: DataFrame, clearance: float, most: float) ->
         ]
     )
     out = owned.select("cp_id", "r_id", F.explode(ways).alias("w")).select("cp_id", "r_id", "w.*").filter(F.col("inside") <= most)
-    spots = binned(out, "ex", "ey", "ex", "ey", clearance)
-    near = spots.join(binned(boxes.select(F.col("r_id").alias("other"), "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1"), "_bin").filter((F.col("other") != F.col("r_id")) & (box_distance(F.col("ex"), F.col("ey")) < clearance - 1e-3))
+    others = boxes.select(F.col("r_id").alias("other"), "x0", "y0", "x1", "y1")
+    near = candidates(out, corners("ex", "ey", "ex", "ey"), others, corners("x0", "y0", "x1", "y1"), clearance).filter((F.col("other") != F.col("r_id")) & (box_distance(F.col("ex"), F.col("ey")) < clearance - 1e-3))
     order = Window.partitionBy("cp_id").orderBy("tail", "side")
     free = out.join(near.select("cp_id", "side").distinct(), ["cp_id", "side"], "left_anti")
     return free.select("cp_id", "r_id", "side", "ex", "ey", (F.col("inside") + clearance).alias("tail")).withColumn("nth", F.row_number().over(order))

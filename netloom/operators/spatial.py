@@ -1,17 +1,72 @@
 """Spatial relations without a geometry library: equi-joins on grid bins, then exact predicates.
 
-A bin join never compares rows that share no bin; bins that hold very many rows
-are ordinary skewed keys of a sort-merge join, which adaptive execution splits.
+A bin join never compares rows that share no bin.  Bins come in sizes: a box lies in
+at most four bins of its own size class, and two boxes are compared in bins of the
+larger one's class, so neither small nor very large boxes make many rows.  Bins that
+hold very many rows are ordinary skewed keys of a sort-merge join, which adaptive
+execution splits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
+from netloom.sources.shared import Tables
 
 BIN = 64
+#: Bins of one class are so many times as wide as those of the class before.
+STEP = 4
+
+Box = tuple[Column, Column, Column, Column]
+
+
+def corners(*names: str) -> Box:
+    return tuple(F.col(n).cast("double") for n in names)
+
+
+def segment_box(x1: str = "x1", y1: str = "y1", x2: str = "x2", y2: str = "y2") -> Box:
+    a, b, c, d = corners(x1, y1, x2, y2)
+    return F.least(a, c), F.least(b, d), F.greatest(a, c), F.greatest(b, d)
+
+
+def size_class(box: Box) -> Column:
+    wide = F.greatest(box[2] - box[0], box[3] - box[1])
+    return F.when(wide > BIN, F.ceil(F.log(wide / BIN) / math.log(STEP) - 1e-9)).otherwise(0).cast("int")
+
+
+def candidates(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box, reach: float = 0.0) -> DataFrame:
+    """Rows of both sides whose boxes, one widened by ``reach``, overlap or touch; each pair once.
+
+    Columns of the two sides must have different names.  One small aggregate reads
+    which size classes there are (some ten at most).
+    """
+
+    def placed(df: DataFrame, box: Box, mark: str, more: float) -> DataFrame:
+        wide = (box[0] - more, box[1] - more, box[2] + more, box[3] + more)
+        return df.withColumns({f"_{mark}": F.struct(*[c.alias(n) for c, n in zip(wide, ("x0", "y0", "x1", "y1"), strict=True)]), f"_{mark}c": size_class(wide)})
+
+    a, b = placed(left, left_box, "a", reach), placed(right, right_box, "b", 0.0)
+    classes = sorted({r[0] for df, c in ((a, "_ac"), (b, "_bc")) for r in df.select(c).distinct().collect() if r[0] is not None})
+
+    def binned_(df: DataFrame, mark: str) -> DataFrame:
+        rows = df.withColumn("_class", F.explode(F.filter(F.array(*map(F.lit, classes or [0])), lambda c: c >= F.col(f"_{mark}c"))))
+        size = F.lit(float(BIN)) * F.pow(F.lit(float(STEP)), F.col("_class"))
+
+        def span(low: str, high: str) -> Column:
+            return F.sequence(F.floor(F.col(f"_{mark}.{low}") / size).cast("long"), F.floor(F.col(f"_{mark}.{high}") / size).cast("long"))
+
+        return rows.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("y0", "y1")))
+
+    rows = binned_(a, "a").join(binned_(b, "b"), ["_class", "_bx", "_by"])
+    size = F.lit(float(BIN)) * F.pow(F.lit(float(STEP)), F.col("_class"))
+    meet = (F.col("_a.x0") <= F.col("_b.x1")) & (F.col("_b.x0") <= F.col("_a.x1")) & (F.col("_a.y0") <= F.col("_b.y1")) & (F.col("_b.y0") <= F.col("_a.y1"))
+    # A pair is taken in one bin only: the one of the overlap's lower corner.
+    home = (F.col("_bx") == F.floor(F.greatest("_a.x0", "_b.x0") / size)) & (F.col("_by") == F.floor(F.greatest("_a.y0", "_b.y0") / size))
+    return rows.filter((F.col("_class") == F.greatest("_ac", "_bc")) & meet & home).drop("_class", "_bx", "_by", "_a", "_b", "_ac", "_bc")
 
 
 def bins(x0: Column, y0: Column, x1: Column, y1: Column, size: int = BIN) -> Column:
@@ -30,11 +85,9 @@ def binned(df: DataFrame, x0: str, y0: str, x1: str, y1: str, margin: float = 0,
 
 def containing(points: DataFrame, rects: DataFrame) -> DataFrame:
     """(cp_id, r_id, on_edge) of every point and each box that covers it, edges included."""
-    p = binned(points, "x", "y", "x", "y").select("cp_id", "x", "y", "_bin")
-    r = binned(rects, "x0", "y0", "x1", "y1")
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
     edge = (F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1")) | (F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1"))
-    return p.join(r, "_bin").filter(inside).select("cp_id", "r_id", "rtype", edge.alias("on_edge"))
+    pairs = candidates(points.select("cp_id", "x", "y"), corners("x", "y", "x", "y"), rects.select("r_id", "rtype", "x0", "y0", "x1", "y1"), corners("x0", "y0", "x1", "y1"))
+    return pairs.select("cp_id", "r_id", "rtype", edge.alias("on_edge"))
 
 
 def owning(points: DataFrame, rects: DataFrame) -> DataFrame:
@@ -53,26 +106,66 @@ def building_dn(points: DataFrame, rects: DataFrame) -> DataFrame:
 
 def overlapping(rects: DataFrame) -> DataFrame:
     """(a, b): boxes that touch or overlap, each pair once."""
-    left = binned(rects, "x0", "y0", "x1", "y1").select("r_id", "x0", "y0", "x1", "y1", "_bin")
-    right = left.select(*[F.col(c).alias(f"{c}_b") for c in left.columns if c != "_bin"], "_bin")
-    meet = (F.col("x0") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1")) & (F.col("y0") <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1"))
-    # A pair is taken in one bin only: the one of the overlap's lower corner.
-    home = (F.col("_bin.bx") == F.floor(F.greatest("x0", "x0_b") / BIN)) & (F.col("_bin.by") == F.floor(F.greatest("y0", "y0_b") / BIN))
-    return left.join(right, "_bin").filter((F.col("r_id") < F.col("r_id_b")) & meet & home).select(F.col("r_id").alias("a"), F.col("r_id_b").alias("b"))
+    other = rects.select(F.col("r_id").alias("r_id_b"), *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
+    pairs = candidates(rects.select("r_id", "x0", "y0", "x1", "y1"), corners("x0", "y0", "x1", "y1"), other, corners("x0_b", "y0_b", "x1_b", "y1_b"))
+    return pairs.filter("r_id < r_id_b").select(F.col("r_id").alias("a"), F.col("r_id_b").alias("b"))
 
 
 def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """(cp_id, node_id, dist2): pairs of points at most ``radius`` apart."""
-    p = binned(points, "x", "y", "x", "y", radius).select("cp_id", "x", "y", "_bin")
-    o = binned(others, "x", "y", "x", "y").select("node_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "_bin")
+    size = max(BIN, math.ceil(radius))
+
+    def at(df: DataFrame, name: str) -> Column:  # squares of whole numbers need long
+        return F.col(name).cast("long" if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int") else df.schema[name].dataType)
+
+    p = binned(points, "x", "y", "x", "y", radius, size).select("cp_id", at(points, "x").alias("x"), at(points, "y").alias("y"), "_bin")
+    o = binned(others, "x", "y", "x", "y", 0, size).select("node_id", at(others, "x").alias("ox"), at(others, "y").alias("oy"), "_bin")
     d = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
     return p.join(o, "_bin").select("cp_id", "node_id", d.alias("dist2")).filter(F.col("dist2") <= radius * radius)
 
 
-def nearest(points: DataFrame, others: DataFrame, k: int, radius: float) -> DataFrame:
-    """(cp_id, node_id, dist2, nth): the k nearest within the radius, ties by id."""
+def extent(*tables: DataFrame) -> tuple[int, float]:
+    """Rows of the last table, and the diagonal of all tables' (x, y)."""
+    found = [t.agg(F.count("*").alias("n"), F.min("x").cast("double").alias("x0"), F.min("y").cast("double").alias("y0"), F.max("x").cast("double").alias("x1"), F.max("y").cast("double").alias("y1")).first() for t in tables]
+    some = [r for r in found if r["n"]]
+    if not some:
+        return 0, 0.0
+    return found[-1]["n"], math.hypot(max(r["x1"] for r in some) - min(r["x0"] for r in some), max(r["y1"] for r in some) - min(r["y0"] for r in some))
+
+
+def nearest(points: DataFrame, others: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """(cp_id, node_id, dist2, nth): the k nearest, ties by id; within a radius, or however far.
+
+    Without a radius, rings widen: each round answers the points that have k within
+    its radius, and only the others go on with twice that, so crowded places never
+    make pairs over wide rings.  Rounds are written tables.
+    """
     order = Window.partitionBy("cp_id").orderBy("dist2", "node_id")
-    return within(points, others, radius).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+
+    def ranked(some: DataFrame, far: float) -> DataFrame:
+        return within(some, others, far).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+
+    if radius is not None:
+        return ranked(points, radius)
+    number, wide = extent(points, others)
+    far = max(1.0, wide * math.sqrt(k / max(number, 1) / math.pi))
+    tables, left, done = Tables(points.sparkSession), points.select("cp_id", "x", "y"), []
+    while True:
+        last = far >= wide
+        found = tables.write(ranked(left, wide + 1.0 if last else far), "nearest")
+        if last:
+            done.append(found)
+            break
+        full = found.groupBy("cp_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, number)).select("cp_id")
+        done.append(found.join(full, "cp_id", "left_semi"))
+        left, seen = tables.counted(left.join(full, "cp_id", "left_anti"), "nearest-left")
+        if not seen["n"]:
+            break
+        far *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def attachments(segments: DataFrame, chambers: DataFrame, radius: float = 0.5) -> DataFrame:
@@ -81,18 +174,43 @@ def attachments(segments: DataFrame, chambers: DataFrame, radius: float = 0.5) -
     return within(ends, chambers, radius).groupBy("node_id").agg(F.count("*").alias("n"))
 
 
+def degrees(chambers: DataFrame, attached: DataFrame, used: DataFrame) -> DataFrame:
+    """Chambers with ``pipes``, existing attachments (node_id, n), and ``used``, new ones (node_id, used)."""
+    out = chambers.join(attached, "node_id", "left").join(used, "node_id", "left")
+    zero = F.lit(0).cast("long")
+    return out.withColumns({"pipes": F.coalesce("n", zero), "used": F.coalesce("used", zero)}).drop("n")
+
+
 def free_candidates(points: DataFrame, chambers: DataFrame, radius: float) -> DataFrame:
     """Points with no chamber within the radius."""
     return points.join(within(points, chambers, radius).select("cp_id"), "cp_id", "left_anti")
 
 
-def nearest_on_segments(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
-    """(cp_id, seg_id, dist): for each point the nearest segment within the radius, ties by id."""
-    s = segments.select("*", F.least("x1", "x2").alias("lx"), F.least("y1", "y2").alias("ly"), F.greatest("x1", "x2").alias("hx"), F.greatest("y1", "y2").alias("hy"))
-    p = binned(points, "x", "y", "x", "y", radius).select("cp_id", "x", "y", "_bin")
-    near = p.join(binned(s, "lx", "ly", "hx", "hy"), "_bin").select("cp_id", "seg_id", F.round(S.point_to_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))), 6).alias("dist")).filter(F.col("dist") <= radius)
-    best = F.min(F.struct("dist", "seg_id")).alias("b")
-    return near.groupBy("cp_id").agg(best).select("cp_id", "b.seg_id", "b.dist")
+def near_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+    """(cp_id, seg_id, dist): pairs at most ``reach`` apart."""
+    pairs = candidates(points.select("cp_id", "x", "y"), corners("x", "y", "x", "y"), segments.select("seg_id", "x1", "y1", "x2", "y2"), segment_box(), reach)
+    return pairs.select("cp_id", "seg_id", F.round(S.point_to_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))), 6).alias("dist")).filter(F.col("dist") <= reach)
+
+
+def nearest_on_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """(cp_id, seg_id, dist): for each point the nearest segment, however far, ties by id; by widening rings as in ``nearest``."""
+    ends = segments.select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select("e.x", "e.y")
+    number, wide = extent(points, ends)
+    if not number:
+        return near_segments(points, segments, 0.0)
+    far = max(1.0, wide / math.sqrt(number))
+    tables, left, done = Tables(points.sparkSession), points.select("cp_id", "x", "y"), []
+    while True:
+        best = near_segments(left, segments, min(far, wide + 1.0)).groupBy("cp_id").agg(F.min(F.struct("dist", "seg_id")).alias("b"))
+        done.append(tables.write(best.select("cp_id", "b.seg_id", "b.dist"), "nearest"))
+        left, seen = tables.counted(left.join(done[-1].select("cp_id"), "cp_id", "left_anti"), "nearest-left")
+        if not seen["n"] or far >= wide:
+            break
+        far *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def tiles(rects: DataFrame, size: int, margin: int) -> DataFrame:
@@ -102,11 +220,11 @@ def tiles(rects: DataFrame, size: int, margin: int) -> DataFrame:
 
 def crossings(segments: DataFrame) -> DataFrame:
     """(a, b): segments that cross in the inside of both, each pair once."""
-    s = segments.select("seg_id", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("lx"), F.least("y1", "y2").alias("ly"), F.greatest("x1", "x2").alias("hx"), F.greatest("y1", "y2").alias("hy"))
-    left = binned(s, "lx", "ly", "hx", "hy")
-    right = left.select(*[F.col(c).alias(f"{c}_b") for c in s.columns], "_bin")
-    cross = S.cross_properly(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), tuple(F.col(f"{c}_b") for c in ("x1", "y1", "x2", "y2")))
-    return left.join(right, "_bin").filter((F.col("seg_id") < F.col("seg_id_b")) & cross).select(F.col("seg_id").alias("a"), F.col("seg_id_b").alias("b")).distinct()
+    names = ("x1", "y1", "x2", "y2")
+    other = segments.select(F.col("seg_id").alias("seg_id_b"), *[F.col(c).alias(f"{c}_b") for c in names])
+    cross = S.cross_properly(tuple(map(F.col, names)), tuple(F.col(f"{c}_b") for c in names))
+    pairs = candidates(segments.select("seg_id", *names), segment_box(), other, segment_box(*[f"{c}_b" for c in names]))
+    return pairs.filter((F.col("seg_id") < F.col("seg_id_b")) & cross).select(F.col("seg_id").alias("a"), F.col("seg_id_b").alias("b"))
 
 
 def spans(segments: DataFrame, rects: DataFrame) -> DataFrame:
@@ -114,8 +232,9 @@ def spans(segments: DataFrame, rects: DataFrame) -> DataFrame:
 
     Boxes are convex, so one segment has one span per box.
     """
-    s = segments.select("seg_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.least("x1", "x2").alias("lx"), F.least("y1", "y2").alias("ly"), F.greatest("x1", "x2").alias("hx"), F.greatest("y1", "y2").alias("hy"))
-    pairs = binned(s, "lx", "ly", "hx", "hy").join(binned(rects, "x0", "y0", "x1", "y1").withColumnsRenamed({"x0": "rx0", "y0": "ry0", "x1": "rx1", "y1": "ry1"}).select("r_id", "rtype", "rx0", "ry0", "rx1", "ry1", "_bin"), "_bin").drop("_bin", "lx", "ly", "hx", "hy").distinct()
+    s = segments.select("seg_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    r = rects.select("r_id", "rtype", *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
+    pairs = candidates(s, segment_box(), r, corners("rx0", "ry0", "rx1", "ry1"))
 
     def part(a: str, d: Column, low: str, high: str) -> tuple[Column, Column, Column]:
         """Entry and exit along one axis; a segment parallel to it is in or out as a whole."""

@@ -26,6 +26,10 @@ CTES = {
     "edges": """edges AS (SELECT l_orderkey AS tree, n, n // 2 AS parent, CAST(5 + floor(l_extendedprice / 1000) AS BIGINT) AS len_m,
       CAST(floor(l_quantity) AS BIGINT) AS flow, l_returnflag AS rtype
       FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS n FROM lineitem))""",
+    "loose_edges": """edges AS (SELECT l_orderkey AS tree, 1000 - k AS n, CASE WHEN b > 0 THEN 1000 - b ELSE 0 END AS parent, CAST(5 + floor(l_extendedprice / 1000) AS BIGINT) AS len_m,
+      CAST(floor(l_quantity) AS BIGINT) AS flow, l_returnflag AS rtype
+      FROM (SELECT *, CAST(CASE WHEN k = 1 OR l_partkey % 9 = 0 THEN 0 WHEN l_partkey % 2 = 0 THEN k - 1 ELSE 1 + l_suppkey % (k - 1) END AS INT) AS b
+      FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS k FROM lineitem)))""",
     "cps": "cps AS (SELECT c_custkey AS cp_id, c_custkey * 7919 % 2000 AS x, c_custkey * 104729 % 1600 AS y, 1 + c_custkey % 77 AS flow FROM customer)",
     "net_nodes": "net_nodes AS (SELECT s_suppkey AS node_id, 20 * s_suppkey AS x, 800 + (s_suppkey * 37 % 21 - 10) AS y, s_suppkey % 3 = 0 AS is_chamber FROM supplier)",
     "net_segments": """net_segments AS (SELECT a.node_id AS seg_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, CAST(100 + a.node_id % 4 * 100 AS INT) AS dn
@@ -54,8 +58,9 @@ CTES = {
 NEEDS = {"net_segments": ["net_nodes"], "up": ["edges"], "carried": ["up"], "designed": ["carried", "cat"], "ends": ["designed"], "totals": ["ends", "chambers"]}
 
 
-def with_(names: str, body: str) -> str:
-    """The statement with the relations it names, and those they need, before it."""
+def with_(names: str, body: str, instead: dict[str, str] | None = None) -> str:
+    """The statement with the relations it names, and those they need, before it; some by another's definition."""
+    instead = instead or {}
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -66,7 +71,7 @@ def with_(names: str, body: str) -> str:
 
     for name in names.split():
         add(name)
-    ctes = ", ".join(CTES[n] for n in order)
+    ctes = ", ".join(CTES[instead.get(n, n)] for n in order)
     if not ctes:
         return body
     return f"WITH RECURSIVE {ctes}{body}" if body.startswith(",") else f"WITH RECURSIVE {ctes}\n{body}"

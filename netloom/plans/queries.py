@@ -30,7 +30,25 @@ def query(name: str, relations: str = "", sql: str | None = None) -> Callable[[Q
 
 
 def designed(spark: SparkSession, d: str) -> DataFrame:
-    return trees.with_design(T.edges(spark, d))
+    return trees.with_design(T.edges(spark, d), heap=True)
+
+
+def tree_query(name: str, relations: str, sql: str | None = None) -> Callable[[Callable[[DataFrame, DataFrame, SparkSession, str], DataFrame]], None]:
+    """A query on edges and designed edges, twice: on heap-numbered trees, and (``_any_shape``) on trees of any shape."""
+
+    def keep(f: Callable[[DataFrame, DataFrame, SparkSession, str], DataFrame]) -> None:
+        QUERIES[name] = lambda spark, d: f(T.edges(spark, d), designed(spark, d), spark, d)
+
+        def loose(spark: SparkSession, d: str) -> DataFrame:
+            edges = T.loose_edges(spark, d)
+            return f(edges, trees.with_design(edges), spark, d)
+
+        QUERIES[f"{name}_any_shape"] = loose
+        if sql is not None:
+            SQL[name] = with_(relations, sql)
+            SQL[f"{name}_any_shape"] = with_(relations, sql, {"edges": "loose_edges"})
+
+    return keep
 
 
 # Joins with catalogues.
@@ -115,18 +133,38 @@ def _(spark, d):
     return ruled(spark, d).groupBy("mode", "unknown").agg(F.count("*").alias("restrictions"), F.sum("min_dist").alias("dist_sum"))
 
 
-@query("jn22_unconnected_flow", "cps cat", "SELECT cp_id, flow FROM cps WHERE cp_id % 10 = 0")
+#: Points farther than this from every pipe stand for those that a plan leaves unconnected.
+REACH = 150
+LOST = f""", lost AS (SELECT c.* FROM cps c WHERE NOT EXISTS (SELECT 1 FROM (
+      SELECT c.x - x1 - t * (x2 - x1) AS dx, c.y - y1 - t * (y2 - y1) AS dy FROM (SELECT *, greatest(0.0, least(1.0, ((c.x - x1) * (x2 - x1) + (c.y - y1) * (y2 - y1)) / CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))) AS t FROM net_segments)) WHERE round(sqrt(dx * dx + dy * dy), 6) <= {REACH}))"""
+
+
+def lost_points(spark: SparkSession, d: str) -> DataFrame:
+    points = T.connection_points(spark, d)
+    near = spatial.near_segments(points, T.net_segments(spark, d), REACH)
+    return points.join(near.select("cp_id").distinct(), "cp_id", "left_anti")
+
+
+@query("jn22_unconnected_flow", "cps net_segments", f"{LOST} SELECT cp_id, flow FROM lost")
 def _(spark, d):
-    lost = T.connection_points(spark, d).filter("cp_id % 10 = 0").select("cp_id")
-    return lost.join(T.connection_points(spark, d), "cp_id", "left").select("cp_id", "flow")
+    return lost_points(spark, d).select("cp_id").join(T.connection_points(spark, d), "cp_id", "left").select("cp_id", "flow")
+
 
+#: Points that have a chamber as their nearest one, within 100 m, use it.
+USED = """, used AS (SELECT node_id, count(*) AS used FROM (SELECT c.cp_id, n.node_id, row_number() OVER (PARTITION BY c.cp_id ORDER BY (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y), n.node_id) AS k, (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) AS d FROM cps c JOIN net_nodes n ON n.is_chamber) WHERE k = 1 AND d <= 10000 GROUP BY node_id),
+    degree AS (SELECT c.node_id, c.x, c.y, (SELECT count(*) FROM net_segments s WHERE s.seg_id IN (c.node_id, c.node_id - 1)) AS pipes, coalesce(u.used, 0) AS used FROM net_nodes c LEFT JOIN used u ON u.node_id = c.node_id WHERE c.is_chamber)"""
 
-@query("jn23_chambers_below_capacity", "net_nodes net_segments", "SELECT node_id FROM net_nodes c WHERE is_chamber AND (SELECT count(*) FROM net_segments s WHERE s.seg_id IN (c.node_id, c.node_id - 1)) + c.node_id % 4 < 4")
+
+def chamber_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, x, y, pipes, used) of every chamber: existing attachments, and points that use it."""
+    chambers = T.net_nodes(spark, d).filter("is_chamber").drop("is_chamber")
+    used = spatial.nearest(T.connection_points(spark, d), chambers, 1, 100).groupBy("node_id").agg(F.count("*").alias("used"))
+    return spatial.degrees(chambers, spatial.attachments(T.net_segments(spark, d), chambers), used)
+
+
+@query("jn23_chambers_below_capacity", "net_nodes net_segments cps", f"{USED} SELECT node_id FROM degree WHERE pipes + used < 4")
 def _(spark, d):
-    chambers = T.net_nodes(spark, d).filter("is_chamber")
-    used = spatial.attachments(T.net_segments(spark, d), chambers)
-    full = chambers.join(used, "node_id", "left").filter(F.coalesce("n", F.lit(0)) + F.col("node_id") % 4 >= 4)
-    return chambers.join(full, "node_id", "left_anti").select("node_id")
+    return chamber_degrees(spark, d).filter("pipes + used < 4").select("node_id")
 
 
 @query("jn24_dangling_references", "edges", "SELECT e.tree, e.n, e.parent FROM edges e WHERE e.rtype <> 'A' AND e.parent > 0 AND NOT EXISTS (SELECT 1 FROM edges p WHERE p.tree = e.tree AND p.n = e.parent AND p.rtype <> 'A')")
@@ -181,9 +219,9 @@ def _(spark, d):
     return spatial.free_candidates(T.connection_points(spark, d), T.net_nodes(spark, d).filter("is_chamber"), 40).select("cp_id")
 
 
-@query("jn14_candidates_away_from_spare_chambers", "cps net_nodes", "SELECT cp_id FROM cps c WHERE NOT EXISTS (SELECT 1 FROM net_nodes n WHERE n.is_chamber AND n.node_id % 4 < 2 AND (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) <= 1600)")
+@query("jn14_candidates_away_from_spare_chambers", "cps net_nodes net_segments", f"{USED} SELECT cp_id FROM cps c WHERE NOT EXISTS (SELECT 1 FROM degree n WHERE n.pipes + n.used < 4 AND (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) <= 1600)")
 def _(spark, d):
-    spare = T.net_nodes(spark, d).filter("is_chamber").filter("node_id % 4 < 2")
+    spare = chamber_degrees(spark, d).filter("pipes + used < 4")
     return spatial.free_candidates(T.connection_points(spark, d), spare, 40).select("cp_id")
 
 
@@ -193,15 +231,15 @@ def _(spark, d):
     """SELECT cp_id, seg_id, dist FROM (SELECT cp_id, seg_id, dist, row_number() OVER (PARTITION BY cp_id ORDER BY dist, seg_id) AS k FROM (
       SELECT cp_id, seg_id, round(sqrt((x - x1 - t * (x2 - x1)) * (x - x1 - t * (x2 - x1)) + (y - y1 - t * (y2 - y1)) * (y - y1 - t * (y2 - y1))), 6) AS dist FROM (
         SELECT c.cp_id, s.seg_id, c.x, c.y, s.x1, s.y1, s.x2, s.y2, greatest(0.0, least(1.0, ((c.x - s.x1) * (s.x2 - s.x1) + (c.y - s.y1) * (s.y2 - s.y1)) / CAST((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1) AS DOUBLE))) AS t
-        FROM cps c CROSS JOIN net_segments s)) WHERE dist <= 100) WHERE k = 1""",
+        FROM cps c CROSS JOIN net_segments s))) WHERE k = 1""",
 )
 def _(spark, d):
-    return spatial.nearest_on_segments(T.connection_points(spark, d), T.net_segments(spark, d), 100)
+    return spatial.nearest_on_segments(T.connection_points(spark, d), T.net_segments(spark, d))
 
 
-@query("jn16_nearest_nodes", "cps net_nodes", "SELECT cp_id, node_id, dist2, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cp_id ORDER BY dist2, node_id) AS INT) AS nth FROM (SELECT cp_id, node_id, (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) AS dist2 FROM cps c CROSS JOIN net_nodes n) WHERE dist2 <= 40000) WHERE nth <= 16")
+@query("jn16_nearest_nodes", "cps net_nodes", "SELECT cp_id, node_id, dist2, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cp_id ORDER BY dist2, node_id) AS INT) AS nth FROM (SELECT cp_id, node_id, (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) AS dist2 FROM cps c CROSS JOIN net_nodes n)) WHERE nth <= 16")
 def _(spark, d):
-    return spatial.nearest(T.connection_points(spark, d), T.net_nodes(spark, d), 16, 200)
+    return spatial.nearest(T.connection_points(spark, d), T.net_nodes(spark, d), 16)
 
 
 @query("jn17_overlapping_boxes", "rects", "SELECT a.r_id AS a, b.r_id AS b FROM rects a JOIN rects b ON a.r_id < b.r_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
@@ -235,14 +273,15 @@ def _(spark, d):
 
 
 def cross_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Diagonals of restrictions, as lines to test for crossings."""
-    return T.rects(spark, d).filter("r_id % 2 = 0").select(F.col("r_id").alias("seg_id"), F.col("x0").alias("x1"), F.when(F.col("r_id") % 4 == 0, F.col("y0")).otherwise(F.col("y1")).alias("y1"), F.col("x1").alias("x2"), F.when(F.col("r_id") % 4 == 0, F.col("y1")).otherwise(F.col("y0")).alias("y2"))
+    """One diagonal of every restriction, as lines to test for crossings."""
+    low, high = F.when(F.col("r_id") % 4 == 0, F.col("y0")).otherwise(F.col("y1")), F.when(F.col("r_id") % 4 == 0, F.col("y1")).otherwise(F.col("y0"))
+    return T.rects(spark, d).select(F.col("r_id").alias("seg_id"), F.col("x0").alias("x1"), low.alias("y1"), F.col("x1").alias("x2"), high.alias("y2"))
 
 
 @query(
     "jn20_crossing_edges",
     "rects",
-    """, l AS (SELECT r_id AS s, x0 AS a, CASE WHEN r_id % 4 = 0 THEN y0 ELSE y1 END AS b, x1 AS c, CASE WHEN r_id % 4 = 0 THEN y1 ELSE y0 END AS d FROM rects WHERE r_id % 2 = 0)
+    """, l AS (SELECT r_id AS s, x0 AS a, CASE WHEN r_id % 4 = 0 THEN y0 ELSE y1 END AS b, x1 AS c, CASE WHEN r_id % 4 = 0 THEN y1 ELSE y0 END AS d FROM rects)
     SELECT p.s AS a, q.s AS b FROM l p JOIN l q ON p.s < q.s
     AND sign((p.c - p.a) * (q.b - p.b) - (p.d - p.b) * (q.a - p.a)) * sign((p.c - p.a) * (q.d - p.b) - (p.d - p.b) * (q.c - p.a)) < 0
     AND sign((q.c - q.a) * (p.b - q.b) - (q.d - q.b) * (p.a - q.a)) * sign((q.c - q.a) * (p.d - q.b) - (q.d - q.b) * (p.c - q.a)) < 0""",
@@ -251,17 +290,6 @@ def _(spark, d):
     return spatial.crossings(cross_lines(spark, d))
 
 
-def all_cross_lines(spark: SparkSession, d: str) -> DataFrame:
-    """One diagonal of every restriction."""
-    low, high = F.when(F.col("r_id") % 4 == 0, F.col("y0")).otherwise(F.col("y1")), F.when(F.col("r_id") % 4 == 0, F.col("y1")).otherwise(F.col("y0"))
-    return T.rects(spark, d).select(F.col("r_id").alias("seg_id"), F.col("x0").alias("x1"), low.alias("y1"), F.col("x1").alias("x2"), high.alias("y2"))
-
-
-@query("jn20_crossing_edges_all")
-def _(spark, d):
-    return spatial.crossings(all_cross_lines(spark, d))
-
-
 # Aggregations on trees.
 
 
@@ -277,34 +305,34 @@ def _(spark, d):
     return both.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("u").alias("x1"), F.max("v").alias("y1"))
 
 
-@query("ag03_subtree_flow", "carried", "SELECT * FROM carried")
-def _(spark, d):
-    return trees.subtree_flow(T.edges(spark, d))
+@tree_query("ag03_subtree_flow", "carried", "SELECT * FROM carried")
+def _(edges, designed, spark, d):
+    return designed.select("tree", "n", "total_flow")
 
 
-@query("ag04_node_dn", "ends", "SELECT tree, node, max(dn) AS max_dn FROM ends GROUP BY tree, node")
-def _(spark, d):
-    return trees.node_dn(designed(spark, d))
+@tree_query("ag04_node_dn", "ends", "SELECT tree, node, max(dn) AS max_dn FROM ends GROUP BY tree, node")
+def _(edges, designed, spark, d):
+    return trees.node_dn(designed)
 
 
-@query("ag05_node_degree", "ends", "SELECT tree, node, count(*) AS degree FROM ends GROUP BY tree, node")
-def _(spark, d):
-    return trees.node_degree(T.edges(spark, d))
+@tree_query("ag05_node_degree", "ends", "SELECT tree, node, count(*) AS degree FROM ends GROUP BY tree, node")
+def _(edges, designed, spark, d):
+    return trees.node_degree(edges)
 
 
-@query("ag06_tie_ins", "edges", "SELECT tree, count(*) AS tie_ins FROM edges WHERE parent = 0 GROUP BY tree")
-def _(spark, d):
-    return T.edges(spark, d).filter("parent = 0").groupBy("tree").agg(F.count("*").alias("tie_ins"))
+@tree_query("ag06_tie_ins", "edges", "SELECT tree, count(*) AS tie_ins FROM edges WHERE parent = 0 GROUP BY tree")
+def _(edges, designed, spark, d):
+    return edges.filter("parent = 0").groupBy("tree").agg(F.count("*").alias("tie_ins"))
 
 
-@query("ag07_tree_totals", "totals", "SELECT * FROM totals")
-def _(spark, d):
-    return trees.tree_totals(designed(spark, d))
+@tree_query("ag07_tree_totals", "totals", "SELECT * FROM totals")
+def _(edges, designed, spark, d):
+    return trees.tree_totals(designed)
 
 
-@query("ag08_unconnected_penalty", "cps", f"SELECT count(*) AS n, CAST(sum({K.DEFAULT.penalty[0]} + floor(flow * {K.DEFAULT.penalty[1]} + 0.5)) AS BIGINT) AS penalty FROM cps WHERE cp_id % 10 = 0")
+@query("ag08_unconnected_penalty", "cps net_segments", f"{LOST} SELECT count(*) AS n, CAST(sum({K.DEFAULT.penalty[0]} + floor(flow * {K.DEFAULT.penalty[1]} + 0.5)) AS BIGINT) AS penalty FROM lost")
 def _(spark, d):
-    return T.connection_points(spark, d).filter("cp_id % 10 = 0").agg(F.count("*").alias("n"), F.sum(S.penalty(F.col("flow"))).alias("penalty"))
+    return lost_points(spark, d).agg(F.count("*").alias("n"), F.sum(S.penalty(F.col("flow"))).alias("penalty"))
 
 
 VARIANTS = f"""SELECT plan, variant, CAST(sum(pipe_cost + chamber_cost + tie_ins * {K.DEFAULT.tie_in}) AS BIGINT) AS cost, CAST(sum(length_m) AS BIGINT) AS length_m,
@@ -312,9 +340,9 @@ VARIANTS = f"""SELECT plan, variant, CAST(sum(pipe_cost + chamber_cost + tie_ins
   FROM totals JOIN variants USING (tree) GROUP BY plan, variant"""
 
 
-@query("wn01_ranked_variants", "totals variants", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY plan ORDER BY score, variant) AS INT) AS rank FROM ({VARIANTS})) WHERE rank <= 3")
-def _(spark, d):
-    return trees.ranked_variants(designed(spark, d), T.variants(spark, d))
+@tree_query("wn01_ranked_variants", "totals variants", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY plan ORDER BY score, variant) AS INT) AS rank FROM ({VARIANTS})) WHERE rank <= 3")
+def _(edges, designed, spark, d):
+    return trees.ranked_variants(designed, T.variants(spark, d))
 
 
 @query("tk01_best_variant", "totals variants", f"SELECT plan, arg_min(variant, (score, variant)) AS variant, min(score) AS score FROM ({VARIANTS}) GROUP BY plan")
@@ -363,44 +391,44 @@ def _(spark, d):
 RUNS = """, runs AS (SELECT tree, n AS below, n, dn, len_m FROM designed UNION ALL SELECT r.tree, r.below, p.n, r.dn, p.len_m FROM runs r JOIN designed e ON e.tree = r.tree AND e.n = r.n JOIN designed p ON p.tree = r.tree AND p.n = e.parent AND p.dn = r.dn)"""
 
 
-@query("wn08_run_lengths", "designed", f"{RUNS} SELECT tree, below AS n, CAST(sum(len_m) AS BIGINT) AS run_m FROM runs GROUP BY tree, below")
-def _(spark, d):
-    return trees.run_lengths(designed(spark, d))
+@tree_query("wn08_run_lengths", "designed", f"{RUNS} SELECT tree, below AS n, CAST(sum(len_m) AS BIGINT) AS run_m FROM runs GROUP BY tree, below")
+def _(edges, designed, spark, d):
+    return trees.run_lengths(designed)
 
 
-@query("ag16_required_run", "designed", f"{RUNS}, sums AS (SELECT tree, below, CAST(sum(len_m) AS BIGINT) AS run_m FROM runs GROUP BY tree, below) SELECT r.tree, r.n, max(s.run_m) AS required_m FROM runs r JOIN sums s ON s.tree = r.tree AND s.below = r.below GROUP BY r.tree, r.n")
-def _(spark, d):
-    return trees.required_run(designed(spark, d))
+@tree_query("ag16_required_run", "designed", f"{RUNS}, sums AS (SELECT tree, below, CAST(sum(len_m) AS BIGINT) AS run_m FROM runs GROUP BY tree, below) SELECT r.tree, r.n, max(s.run_m) AS required_m FROM runs r JOIN sums s ON s.tree = r.tree AND s.below = r.below GROUP BY r.tree, r.n")
+def _(edges, designed, spark, d):
+    return trees.required_run(designed)
 
 
-@query(
+@tree_query(
     "wn10_longest_downstream",
     "up",
     """, depth AS (SELECT u.tree, u.below AS n, CAST(sum(e.len_m) AS BIGINT) AS way FROM up u JOIN edges e ON e.tree = u.tree AND e.n = u.n GROUP BY u.tree, u.below)
     SELECT u.tree, u.n, max(d.way) - any_value(o.way) + any_value(e.len_m) AS longest FROM up u JOIN depth d ON d.tree = u.tree AND d.n = u.below JOIN depth o ON o.tree = u.tree AND o.n = u.n JOIN edges e ON e.tree = u.tree AND e.n = u.n GROUP BY u.tree, u.n""",
 )
-def _(spark, d):
-    return trees.longest_downstream(T.edges(spark, d))
+def _(edges, designed, spark, d):
+    return trees.longest_downstream(edges)
 
 
-@query("gr12_node_types", "ends", "SELECT tree, node, degree, CASE WHEN node = 0 OR degree >= 3 THEN 'CHAMBER' WHEN degree = 2 THEN 'TECHNICAL_NODE' ELSE 'CONNECTION_POINT' END AS kind FROM (SELECT tree, node, count(*) AS degree FROM ends GROUP BY tree, node)")
-def _(spark, d):
-    return trees.node_type(T.edges(spark, d))
+@tree_query("gr12_node_types", "ends", "SELECT tree, node, degree, CASE WHEN node = 0 OR degree >= 3 THEN 'CHAMBER' WHEN degree = 2 THEN 'TECHNICAL_NODE' ELSE 'CONNECTION_POINT' END AS kind FROM (SELECT tree, node, count(*) AS degree FROM ends GROUP BY tree, node)")
+def _(edges, designed, spark, d):
+    return trees.node_type(edges)
 
 
-@query("gr14_orientation", "up", "SELECT tree, below AS n, max(steps) AS level FROM up GROUP BY tree, below")
-def _(spark, d):
-    return T.edges(spark, d).select("tree", "n", F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int").alias("level"))
+@tree_query("gr14_orientation", "up", "SELECT tree, below AS n, max(steps) AS level FROM up GROUP BY tree, below")
+def _(edges, designed, spark, d):
+    return trees.levels(edges).select("tree", "n", F.col("level").cast("int").alias("level"))
 
 
-@query("gr28_run_length_rule")
-def _(spark, d):
-    return trees.enforce_runs(designed(spark, d))
+@tree_query("gr28_run_length_rule", "")
+def _(edges, designed, spark, d):
+    return trees.enforce_runs(designed)
 
 
-@query("gr29_optimal_diameters")
-def _(spark, d):
-    return trees.optimal_diameters(designed(spark, d))
+@tree_query("gr29_optimal_diameters", "")
+def _(edges, designed, spark, d):
+    return trees.optimal_diameters(designed)
 
 
 @query("gr30_plan_score", "totals variants", VARIANTS)
@@ -410,9 +438,9 @@ def _(spark, d):
     return totals.withColumn("score", F.round(S.score(F.col("cost"), F.col("length_m")), 6))
 
 
-@query("gr35_degree_warnings", "net_nodes net_segments", "SELECT node_id, 2 + node_id % 4 AS degree FROM net_nodes WHERE is_chamber AND 2 + node_id % 4 > 4")
+@query("gr35_degree_warnings", "net_nodes net_segments cps", f"{USED} SELECT node_id, pipes + used AS degree FROM degree WHERE pipes + used > 4")
 def _(spark, d):
-    return T.net_nodes(spark, d).filter("is_chamber").select("node_id", (2 + F.col("node_id") % 4).alias("degree")).filter("degree > 4")
+    return chamber_degrees(spark, d).select("node_id", (F.col("pipes") + F.col("used")).alias("degree")).filter("degree > 4")
 
 
 @query("prj16_degree_limit", "ends", "SELECT tree, node, count(*) AS degree FROM ends GROUP BY tree, node HAVING count(*) > 2")
@@ -548,14 +576,7 @@ def _(spark, d):
     return cells(nodes.filter("is_chamber"), 1).union(cells(nodes, 2)).union(cells(points, 3)).groupBy("gx", "gy").agg(F.min("source").alias("source"))
 
 
-@query("st02_distinct_plans", "edges", "SELECT sig, min(tree) AS tree, count(*) AS copies FROM (SELECT tree, sha256(string_agg(s, ';' ORDER BY s)) AS sig FROM (SELECT tree, parent || '>' || n || ';' || len_m // 20 AS s FROM edges WHERE n <= 2) GROUP BY tree) GROUP BY sig")
-def _(spark, d):
-    part = F.concat_ws("", F.col("parent"), F.lit(">"), F.col("n"), F.lit(";"), F.floor(F.col("len_m") / 20))
-    signs = T.edges(spark, d).filter("n <= 2").groupBy("tree").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ";"), 256).alias("sig"))
-    return signs.groupBy("sig").agg(F.min("tree").alias("tree"), F.count("*").alias("copies"))
-
-
-@query("st02_distinct_plans_whole", "edges", "SELECT sig, min(tree) AS tree, count(*) AS copies FROM (SELECT tree, sha256(string_agg(s, ';' ORDER BY s)) AS sig FROM (SELECT tree, parent || '>' || n || ';' || len_m AS s FROM edges) GROUP BY tree) GROUP BY sig")
+@query("st02_distinct_plans", "edges", "SELECT sig, min(tree) AS tree, count(*) AS copies FROM (SELECT tree, sha256(string_agg(s, ';' ORDER BY s)) AS sig FROM (SELECT tree, parent || '>' || n || ';' || len_m AS s FROM edges) GROUP BY tree) GROUP BY sig")
 def _(spark, d):
     part = F.concat_ws("", F.col("parent"), F.lit(">"), F.col("n"), F.lit(";"), F.col("len_m"))
     signs = T.edges(spark, d).groupBy("tree").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ";"), 256).alias("sig"))
@@ -574,9 +595,9 @@ def _(spark, d):
     return T.rects(spark, d).select("r_id", F.inline(F.arrays_zip(F.array("x0", "x1").alias("x"), F.array("y0", "y1").alias("y")))).toDF("r_id", "x", "y")
 
 
-@query("tk03_nearest_chambers", "cps net_nodes", "SELECT cp_id, node_id, dist2, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cp_id ORDER BY dist2, node_id) AS INT) AS nth FROM (SELECT cp_id, node_id, (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) AS dist2 FROM cps c CROSS JOIN net_nodes n WHERE n.is_chamber) WHERE dist2 <= 90000) WHERE nth <= 25")
+@query("tk03_nearest_chambers", "cps net_nodes", "SELECT cp_id, node_id, dist2, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cp_id ORDER BY dist2, node_id) AS INT) AS nth FROM (SELECT cp_id, node_id, (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) AS dist2 FROM cps c CROSS JOIN net_nodes n WHERE n.is_chamber)) WHERE nth <= 25")
 def _(spark, d):
-    return spatial.nearest(T.connection_points(spark, d), T.net_nodes(spark, d).filter("is_chamber"), 25, 300)
+    return spatial.nearest(T.connection_points(spark, d), T.net_nodes(spark, d).filter("is_chamber"), 25)
 
 
 @query("tk06_runs_newest_first", "run_events", "SELECT run_id, max(ts) AS last_ts, count(*) AS events FROM run_events GROUP BY run_id")
@@ -601,10 +622,11 @@ def _(spark, d):
 # Validation.
 
 
-@query("val03_points_are_leaves", "edges", "SELECT tree, n FROM edges e WHERE n % 2 = 0 AND EXISTS (SELECT 1 FROM edges c WHERE c.tree = e.tree AND c.parent = e.n)")
+@query("val03_points_are_leaves", "edges", "SELECT tree, n FROM edges e WHERE flow > 40 AND EXISTS (SELECT 1 FROM edges c WHERE c.tree = e.tree AND c.parent = e.n)", )
 def _(spark, d):
+    """Edges with a large draw stand for those that end at a point; the fault is one that goes on."""
     e = T.edges(spark, d)
-    return e.filter("n % 2 = 0").join(e.filter("parent > 0").select("tree", F.col("parent").alias("n")).distinct(), ["tree", "n"], "left_semi").select("tree", "n")
+    return e.filter("flow > 40").join(e.filter("parent > 0").select("tree", F.col("parent").alias("n")).distinct(), ["tree", "n"], "left_semi").select("tree", "n")
 
 
 @query("val06_chamber_degree", "ends", "SELECT tree, node, count(*) AS degree FROM ends GROUP BY tree, node HAVING count(*) > 4")
@@ -710,7 +732,7 @@ def _(spark, d):
     edges = rows.filter("edge is not null").select("variant", "length", F.coalesce(S.smallest_dn(F.col("flow")), largest).alias("dn"))
     costs = edges.select("variant", S.segment_cost(F.col("length"), F.col("dn")).alias("cost"))
     lost = costs.select("variant").distinct().crossJoin(planned_unconnected(rows, T.connection_points(spark, d)))
-    return assembly.summary(costs, lost, "variant").withColumn("lost", F.size("lost"))
+    return assembly.summary(costs, lost, "variant")
 
 
 @query("gr09_grown_forest")
@@ -746,8 +768,18 @@ def _(spark, d):
     return depth.profiles(e, asked)
 
 
-@query("val11_depth_rules", "", "SELECT 'none' AS what, 0 AS n WHERE false")
+@query("val11_depth_rules", "edges", "SELECT edge, s0, CASE WHEN least(h0, h1) < 0.7 - 1e-9 THEN 'SHALLOW' ELSE 'STEEP' END AS what FROM (SELECT tree * 100 + n AS edge, 0.0 AS s0, CAST(len_m AS DOUBLE) AS s1, 3.0 AS h0, 3.0 - flow / 16.0 AS h1 FROM edges) WHERE least(h0, h1) < 0.7 - 1e-9 OR abs(h1 - h0) > 0.1 * (s1 - s0) + 1e-9")
 def _(spark, d):
+    """Pieces with made-up depths, some too shallow and some too steep."""
+    from netloom.operators import depth
+
+    e = T.edges(spark, d).select((F.col("tree") * 100 + F.col("n")).alias("edge"), F.lit(0.0).alias("s0"), F.col("len_m").cast("double").alias("s1"), F.lit(3.0).alias("h0"), (3.0 - F.col("flow") / 16.0).alias("h1"))
+    return depth.violations(e)
+
+
+@query("val11_planned_depths", "", "SELECT 'none' AS what, CAST(0 AS INT) AS n WHERE false")
+def _(spark, d):
+    """Profiles that the operator makes break no rule, so the answer has no rows."""
     from netloom.operators import depth
 
     return depth.violations(QUERIES["wn07_depth_profiles"](spark, d)).groupBy("what").agg(F.count("*").cast("int").alias("n"))
@@ -786,27 +818,27 @@ def _(spark, d):
     return assembly.priced(assembly.pieces(e, s), e)
 
 
-@query("gr36_variant_summary", "cps", f"SELECT cp_id % 3 AS variant, CAST(sum(flow * 1000) AS BIGINT) AS construction_cost, CAST(sum(CASE WHEN cp_id % 10 = 0 THEN {K.DEFAULT.penalty[0]} + flow * {K.DEFAULT.penalty[1]} ELSE 0 END) AS BIGINT) AS penalty, CAST(sum(flow * 1000 + CASE WHEN cp_id % 10 = 0 THEN {K.DEFAULT.penalty[0]} + flow * {K.DEFAULT.penalty[1]} ELSE 0 END) AS BIGINT) AS calculated_cost, CAST(count(*) FILTER (WHERE cp_id % 10 = 0) AS INT) AS lost FROM cps GROUP BY 1")
+@query("gr36_variant_summary", "cps net_segments", f"{LOST} SELECT c.cp_id % 3 AS variant, CAST(sum(c.flow * 1000) AS BIGINT) AS construction_cost, CAST(sum(CASE WHEN l.cp_id IS NOT NULL THEN {K.DEFAULT.penalty[0]} + c.flow * {K.DEFAULT.penalty[1]} ELSE 0 END) AS BIGINT) AS penalty, CAST(sum(c.flow * 1000 + CASE WHEN l.cp_id IS NOT NULL THEN {K.DEFAULT.penalty[0]} + c.flow * {K.DEFAULT.penalty[1]} ELSE 0 END) AS BIGINT) AS calculated_cost, count(l.cp_id) AS lost FROM cps c LEFT JOIN lost l ON l.cp_id = c.cp_id GROUP BY 1")
 def _(spark, d):
     from netloom.operators import assembly
 
-    rows = T.connection_points(spark, d).withColumn("variant", F.col("cp_id") % 3)
-    costs = rows.select("variant", (F.col("flow") * 1000).alias("cost"))
-    return assembly.summary(costs, rows.filter("cp_id % 10 = 0").select("variant", "cp_id", "flow"), "variant").withColumn("lost", F.size("lost"))
+    variant = (F.col("cp_id") % 3).alias("variant")
+    costs = T.connection_points(spark, d).select(variant, (F.col("flow") * 1000).alias("cost"))
+    return assembly.summary(costs, lost_points(spark, d).select(variant, "cp_id", "flow"), "variant")
 
 
-@query(
+@tree_query(
     "gr13_contracted_chains",
     "designed",
     """, k AS (SELECT d.*, (SELECT count(*) FROM designed c WHERE c.tree = d.tree AND c.parent = d.n) AS children FROM designed d),
     f AS (SELECT k.tree, k.n, k.parent, k.len_m, coalesce(p.children = 1 AND p.dn = k.dn, false) AS goes_on FROM k LEFT JOIN k p ON p.tree = k.tree AND p.n = k.parent AND k.parent > 0),
-    h AS (SELECT tree, n AS head, n, len_m FROM f WHERE NOT goes_on UNION ALL SELECT h.tree, h.head, f.n, f.len_m FROM h JOIN f ON f.tree = h.tree AND f.parent = h.n AND f.goes_on)
-    SELECT tree, head, max(n) AS tail, count(*) AS edges, CAST(sum(len_m) AS BIGINT) AS len_m FROM h GROUP BY tree, head""",
+    h AS (SELECT tree, n AS head, n, len_m, 0 AS k FROM f WHERE NOT goes_on UNION ALL SELECT h.tree, h.head, f.n, f.len_m, h.k + 1 FROM h JOIN f ON f.tree = h.tree AND f.parent = h.n AND f.goes_on)
+    SELECT tree, CAST(head AS BIGINT) AS head, arg_max(n, k) AS tail, count(*) AS edges, CAST(sum(len_m) AS BIGINT) AS len_m FROM h GROUP BY tree, head""",
 )
-def _(spark, d):
+def _(edges, designed, spark, d):
     from netloom.operators import assembly
 
-    return assembly.contracted(designed(spark, d))
+    return assembly.contracted(designed)
 
 
 # Obstacles.
@@ -816,7 +848,20 @@ def keep_outs(spark: SparkSession, d: str) -> DataFrame:
     return ruled(spark, d).filter("mode = 'PROHIBITED'").withColumn("keep", F.col("min_dist") / 10.0)
 
 
-@query("prj08_blocked_segments")
+@query(
+    "prj08_blocked_segments",
+    "net_segments rects rules",
+    f""", z AS (SELECT * FROM ({RULED}) WHERE mode = 'PROHIBITED'),
+    p AS (SELECT s.seg_id, z.r_id, z.min_dist / 10.0 AS keep, CAST(s.x1 AS DOUBLE) AS a, CAST(s.y1 AS DOUBLE) AS b, CAST(s.x2 AS DOUBLE) AS c, CAST(s.y2 AS DOUBLE) AS e, z.x0, z.y0, z.x1, z.y1 FROM net_segments s CROSS JOIN z),
+    k AS (SELECT seg_id, r_id, keep, a, b, c, e, x0, y0, x1, y1, unnest([{{'x': x0, 'y': y0}}, {{'x': x1, 'y': y0}}, {{'x': x1, 'y': y1}}, {{'x': x0, 'y': y1}}]) AS v FROM p),
+    t AS (SELECT *, greatest(0.0, least(1.0, ((v.x - a) * (c - a) + (v.y - b) * (e - b)) / ((c - a) * (c - a) + (e - b) * (e - b)))) AS t FROM k),
+    corner AS (SELECT seg_id, r_id, min(sqrt(pow(v.x - a - t * (c - a), 2) + pow(v.y - b - t * (e - b), 2))) AS far FROM t GROUP BY seg_id, r_id),
+    -- Liang and Barsky: what of the segment is in the box.
+    w AS (SELECT *, CASE WHEN c <> a THEN least((x0 - a) / (c - a), (x1 - a) / (c - a)) WHEN a BETWEEN x0 AND x1 THEN 0.0 ELSE 2.0 END AS u0, CASE WHEN c <> a THEN greatest((x0 - a) / (c - a), (x1 - a) / (c - a)) WHEN a BETWEEN x0 AND x1 THEN 1.0 ELSE -1.0 END AS u1,
+      CASE WHEN e <> b THEN least((y0 - b) / (e - b), (y1 - b) / (e - b)) WHEN b BETWEEN y0 AND y1 THEN 0.0 ELSE 2.0 END AS v0, CASE WHEN e <> b THEN greatest((y0 - b) / (e - b), (y1 - b) / (e - b)) WHEN b BETWEEN y0 AND y1 THEN 1.0 ELSE -1.0 END AS v1 FROM p),
+    f AS (SELECT w.seg_id, w.r_id, keep, CASE WHEN greatest(u0, v0, 0.0) <= least(u1, v1, 1.0) THEN 0.0 ELSE least(far, sqrt(pow(greatest(x0 - a, 0, a - x1), 2) + pow(greatest(y0 - b, 0, b - y1), 2)), sqrt(pow(greatest(x0 - c, 0, c - x1), 2) + pow(greatest(y0 - e, 0, e - y1), 2))) END AS dist FROM w JOIN corner USING (seg_id, r_id))
+    SELECT seg_id, r_id, round(dist, 6) AS dist FROM f WHERE dist < keep - 1e-3""",
+)
 def _(spark, d):
     from netloom.operators import obstacles
 
@@ -1000,19 +1045,26 @@ def _(spark, d):
     return both.groupBy("line", "first").agg(F.count("*").alias("vertices"), F.min("x").alias("from_x"), F.max("x").alias("to_x"))
 
 
-@query("prj17_simplified_lines", "rects", ", v AS (SELECT r_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest([x0, (x0 + x1) // 2, x1, x1, x1]) AS x, unnest([y0, y0, y0, y0, y1]) AS y FROM rects) SELECT count(*) AS kept, count(DISTINCT r_id) AS lines FROM v WHERE pos IN (0, 2, 4)")
+@query(
+    "prj17_simplified_lines",
+    "net_nodes",
+    """, v AS (SELECT node_id // 25 AS line, 3 * node_id + k AS pos, CASE k WHEN 1 THEN x + 10 ELSE x END AS x, y FROM net_nodes CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE k < 2 OR node_id % 4 = 0),
+    o AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY line ORDER BY pos)), u AS (SELECT line, pos, x, y FROM o WHERE px IS NULL OR px <> x OR py <> y)
+    SELECT line, pos FROM (SELECT *, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS by_ FROM u WINDOW w AS (PARTITION BY line ORDER BY pos)) WHERE NOT coalesce(ax * by_ = ay * bx AND ax * bx + ay * by_ > 0, false)""",
+)
 def _(spark, d):
-    middle = F.floor((F.col("x0") + F.col("x1")) / 2)
-    line = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("x0"), F.col("y0")), (middle, F.col("y0")), (F.col("x1"), F.col("y0")), (F.col("x1"), F.col("y0")), (F.col("x1"), F.col("y1")))])
-    rows = T.rects(spark, d).select("r_id", F.posexplode(line).alias("pos", "p")).select("r_id", "pos", "p.x", "p.y")
-    return sequences.simplified(rows, "r_id", "pos").agg(F.count("*").alias("kept"), F.countDistinct("r_id").alias("lines"))
+    """Lines with repeated, straight and turning-back vertices."""
+    nodes = T.net_nodes(spark, d).select("*", F.explode(F.when(F.col("node_id") % 4 == 0, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(*map(F.lit, (0, 1))))).alias("k"))
+    rows = nodes.select(F.floor(F.col("node_id") / 25).alias("line"), (3 * F.col("node_id") + F.col("k")).alias("pos"), F.when(F.col("k") == 1, F.col("x") + 10).otherwise(F.col("x")).alias("x"), "y")
+    return sequences.simplified(rows, "line", "pos").select("line", "pos")
 
 
-@query("gr02_terminals", "cps", "SELECT cp_id, CASE WHEN flow <= 0 THEN 'NO_FLOW' WHEN cp_id % 9 = 0 THEN 'BLOCKED' ELSE 'OK' END AS state FROM cps")
+@query("gr02_terminals", "cps rects rules", f", z AS ({RULED}) SELECT cp_id, CASE WHEN flow <= 2 THEN 'NO_FLOW' WHEN EXISTS (SELECT 1 FROM z r WHERE r.mode = 'PROHIBITED' AND r.rtype <> 'oks' AND c.x BETWEEN r.x0 AND r.x1 AND c.y BETWEEN r.y0 AND r.y1) THEN 'BLOCKED' ELSE 'OK' END AS state FROM cps c")
 def _(spark, d):
     points = T.connection_points(spark, d)
-    blocked = points.filter("cp_id % 9 = 0").select("cp_id", F.lit(True).alias("blocked"))
-    return points.join(blocked, "cp_id", "left").select("cp_id", F.when(F.col("flow") <= 0, "NO_FLOW").when(F.col("blocked"), "BLOCKED").otherwise("OK").alias("state"))
+    closed = ruled(spark, d).filter("mode = 'PROHIBITED' and rtype <> 'oks'")
+    blocked = spatial.containing(points, closed).select("cp_id").distinct().withColumn("blocked", F.lit(True))
+    return points.join(blocked, "cp_id", "left").select("cp_id", F.when(F.col("flow") <= 2, "NO_FLOW").when(F.col("blocked"), "BLOCKED").otherwise("OK").alias("state"))
 
 
 @query("gr03_grid_bounds", "cps net_nodes", "SELECT min(x) - 20 AS x0, min(y) - 20 AS y0, max(x) + 20 AS x1, max(y) + 20 AS y1 FROM (SELECT x, y FROM cps UNION ALL SELECT x, y FROM net_nodes)")
@@ -1052,13 +1104,16 @@ def _(spark, d):
     return inside.filter(near <= 3).groupBy("cp_id").agg(F.count("*").alias("ways"))
 
 
-@query("val07_special_pieces_are_straight", "designed", "SELECT count(*) AS special FROM designed WHERE rtype <> 'N'")
+@query("val07_special_pieces_are_straight", "net_nodes rects rules", f"{STREET}, z AS ({RULED}), v AS (SELECT line, CAST(pos AS BIGINT) AS pos, x, EXISTS (SELECT 1 FROM z WHERE mode = 'SPECIAL' AND s.x BETWEEN x0 AND x1) AS special FROM street s), r AS (SELECT *, sum(CASE WHEN special THEN 0 ELSE 1 END) OVER (PARTITION BY line ORDER BY pos) AS g FROM v) SELECT line, min(pos) AS first, count(*) AS points FROM r WHERE special GROUP BY line, g HAVING count(*) > 2")
 def _(spark, d):
-    from netloom.operators import assembly
+    """Stretches of a line that run under special restrictions (seen from above, by x), with more than two points."""
+    from netloom.operators import validation
 
-    e, s = special_spans(spark, d)
-    parts = assembly.pieces(e, s).filter("factor > 100")
-    return parts.groupBy("edge").agg(F.count("*").alias("n")).agg(F.count("*").alias("special"))
+    zones = ruled(spark, d).filter("mode = 'SPECIAL'").select("r_id", "rtype", "x0", F.lit(0).alias("y0"), "x1", F.lit(0).alias("y1"))
+    points = street(spark, d)
+    inside = spatial.containing(points.select(F.col("pos").alias("cp_id"), "x", F.lit(0).alias("y")), zones).select(F.col("cp_id").alias("pos")).distinct().withColumn("special", F.lit(True))
+    rows = points.join(inside, "pos", "left").withColumn("special", F.coalesce("special", F.lit(False)))
+    return validation.bent_specials(rows, "line", "pos")
 
 
 @query("val06_planned_degree")

@@ -27,6 +27,22 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def loose_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges in trees of any shape: chains, stars and forks, numbered downwards from 1000 so that parents have the larger numbers."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_partkey", "l_suppkey", F.row_number().over(order).alias("k"))
+    other = F.when(F.col("l_partkey") % 2 == 0, F.col("k") - 1).otherwise((1 + F.col("l_suppkey") % (F.col("k") - 1)).cast("int"))
+    before = F.when((F.col("k") == 1) | (F.col("l_partkey") % 9 == 0), 0).otherwise(other)
+    return rows.select(
+        F.col("l_orderkey").alias("tree"),
+        (1000 - F.col("k")).alias("n"),
+        F.when(before > 0, 1000 - before).otherwise(0).alias("parent"),
+        (5 + F.floor(F.col("l_extendedprice") / 1000)).cast("long").alias("len_m"),
+        F.floor("l_quantity").cast("long").alias("flow"),
+        F.col("l_returnflag").alias("rtype"),
+    )
+
+
 def connection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(k.alias("cp_id"), (k * 7919 % 2000).alias("x"), (k * 104729 % 1600).alias("y"), (1 + k % 77).alias("flow"))

@@ -1,7 +1,9 @@
 """Operators of the network planner on small hand-made tables, and every query against its SQL."""
 
+import dataclasses
 import itertools
 import math
+import random
 
 import duckdb
 import pytest
@@ -45,7 +47,7 @@ def test_distinct_plans_tell_every_edge_and_metre(spark, sf):
     groups = {}
     for tree, edges in trees_.items():
         groups.setdefault(tuple(sorted(edges)), []).append(tree)
-    found = registry.queries()["st02_distinct_plans_whole"](spark, sf).collect()
+    found = registry.queries()["st02_distinct_plans"](spark, sf).collect()
     assert sorted((r["tree"], r["copies"]) for r in found) == sorted((min(g), len(g)) for g in groups.values())
 
 
@@ -61,7 +63,7 @@ def test_crossings_of_all_diagonals_equal_brute_force(spark):
         lines.append((r["r_id"], (r["x0"], ya), (r["x1"], yb)))
     lines.sort()
     want = [(i, j) for (i, a, b), (j, p, q) in itertools.combinations(lines, 2) if side(a, b, p) * side(a, b, q) < 0 and side(p, q, a) * side(p, q, b) < 0]
-    found = sorted(map(tuple, registry.queries()["jn20_crossing_edges_all"](spark, d).collect()))
+    found = sorted(map(tuple, registry.queries()["jn20_crossing_edges"](spark, d).collect()))
     assert found == sorted(want)
 
 
@@ -92,29 +94,138 @@ def test_every_query_runs(spark, sf):
         registry.queries()[name](spark, sf).collect()
 
 
-def test_optimum_equals_enumeration():
-    rows = [(1, 40, 50), (2, 50, 30), (3, 30, 20), (4, 60, 15), (5, 20, 10)]
-    cost, chosen = trees.optimum(rows)
+def chosen_cost(rows, dn, c=DEFAULT, new_root=True):
+    """Cost of a choice of diameters, or None where it is not admissible; straight from the rules."""
+    row = {r[0]: r for r in c.diameters}
+    above, run, total, children = {r[0]: r[1] for r in rows}, {}, 0, {}
+    for n in trees.from_root(rows):
+        _, parent, m, _, f = next(r for r in rows if r[0] == n)
+        run[n] = m + (run[parent] if parent in run and dn[parent] == dn[n] else 0)
+        if row[dn[n]][1] < f or run[n] > row[dn[n]][2] or parent in dn and dn[parent] < dn[n]:
+            return None
+        total += m * row[dn[n]][3]
+        children.setdefault(above[n], []).append(n)
+    price = {d: next(p for most, p in c.chambers if d <= most) for d in row}
+    total += sum(price[dn[n]] for n in dn if len(children.get(n, ())) > 1)
+    return total + (price[max(dn[n] for n in children[0])] if new_root else 0)
+
+
+SHAPES = [
+    [(1, 0, 40, 50, 50), (2, 1, 50, 50, 30), (3, 1, 30, 50, 20), (4, 2, 60, 50, 15), (5, 2, 20, 50, 10)],
+    [(9, 0, 55, 50, 18), (4, 9, 30, 50, 18), (7, 4, 70, 50, 12), (1, 7, 10, 50, 5)],
+    [(5, 0, 100, 50, 100), (6, 0, 20, 50, 10), (2, 5, 70, 50, 60), (3, 5, 50, 50, 40), (1, 2, 61, 50, 20)],
+]
+
+
+@pytest.mark.parametrize("rows", SHAPES)
+def test_optimum_equals_enumeration(rows):
     dns = [r[0] for r in DEFAULT.diameters]
-    row = {r[0]: r for r in DEFAULT.diameters}
-    best = None
-    for pick in itertools.product(dns, repeat=len(rows)):
-        dn = dict(zip([r[0] for r in rows], pick, strict=True))
-        run, sound, total = {}, True, 0
-        for n, m, f in rows:
-            above = n // 2
-            run[n] = m + (run[above] if above in run and dn[above] == dn[n] else 0)
-            sound &= row[dn[n]][1] >= f and run[n] <= row[dn[n]][2] and (above not in dn or dn[above] >= dn[n])
-            total += m * row[dn[n]][3]
-        if sound and (best is None or total < best):
-            best = total
-    assert cost == best and sum(m * row[chosen[n]][3] for n, m, _ in rows) == best
+    for new_root in (True, False):
+        cost, chosen = trees.optimum(rows, new_root=new_root)
+        picks = (dict(zip([r[0] for r in rows], pick, strict=True)) for pick in itertools.product(dns, repeat=len(rows)))
+        best = min(x for x in (chosen_cost(rows, dn, new_root=new_root) for dn in picks) if x is not None)
+        assert cost == best == chosen_cost(rows, chosen, new_root=new_root)
+
+
+def test_optimum_has_a_budget_and_may_fail(spark):
+    chain = [(i, i - 1, 20, 50, 5) for i in range(1, 3001)]
+    assert trees.optimum(chain, dataclasses.replace(DEFAULT, diameters=((50, 20, 60_000, 9000),)), states=10**7)[0] == 3000 * 20 * 9000 + 120_000
+    with pytest.raises(trees.TooManyStates):
+        trees.optimum(chain, states=100)
+    assert trees.optimum([(1, 0, 5000, 50, 5)]) is None
+    with pytest.raises(ValueError, match="circle"):
+        trees.optimum([(1, 2, 5, 50, 5), (2, 1, 5, 50, 5)])
+    table = spark.createDataFrame([(1, 1, 0, 5000, 50, 5), (2, 1, 0, 40, 50, 5), (2, 2, 1, 30, 50, 5)], "tree long, n int, parent int, len_m long, dn int, total_flow long")
+    how = {(r["tree"], r["n"]): (r["how"], r["dn"]) for r in trees.optimal_diameters(table).collect()}
+    assert how[1, 1] == ("none", None) and how[2, 1] == ("optimum", 80) and how[2, 2] == ("optimum", 50)
+    assert {r["how"] for r in trees.optimal_diameters(table, states=1).collect()} == {"none", "rule"}
 
 
 def test_run_rule_reaches_a_fixed_point():
-    dn = trees._enforced([(1, 100, 50, 10), (2, 50, 50, 5), (3, 20, 50, 5)], DEFAULT)
+    dn = trees.enforced([(1, 0, 100, 50, 10), (2, 1, 50, 50, 5), (3, 1, 20, 50, 5)])
     longest = {r[0]: r[2] for r in DEFAULT.diameters}
     assert dn[1] >= dn[2] and dn[1] >= dn[3] and 100 <= longest[dn[1]]
+    # Straight to the row that holds the whole run, not one row up at a time.
+    c = dataclasses.replace(DEFAULT, diameters=((50, 20, 60, 9000), (80, 60, 70, 12000), (100, 120, 1000, 15000)))
+    assert trees.enforced([(7, 0, 50, 50, 5), (3, 7, 50, 50, 5)], c) == {7: 100, 3: 100}
+    assert trees.enforced([(1, 0, 5000, 50, 5)]) == {1: None}
+    # A change of diameter begins a new run, parallel branches do not add up, the larger child raises its parent.
+    assert trees.enforced([(1, 0, 55, 80, 5), (2, 1, 55, 50, 5), (3, 1, 55, 50, 5)]) == {1: 80, 2: 50, 3: 50}
+    assert trees.enforced([(1, 0, 10, 50, 5), (2, 1, 10, 200, 5)]) == {1: 200, 2: 200}
+
+
+def test_trees_of_any_shape(spark):
+    """Chains, stars and random trees with any numbers, against plain recursion."""
+    rng = random.Random(3)
+    rows, plain = [], {}
+    for tree, shape in enumerate(("chain", "star", "random", "random")):
+        ids = rng.sample(range(1, 500), 40)
+        for i, n in enumerate(ids):
+            parent = 0 if i == 0 else ids[i - 1] if shape == "chain" else ids[0] if shape == "star" else rng.choice([0, *ids[:i]])
+            rows.append((tree, n, parent if parent or i % 2 else None, rng.randrange(1, 50), rng.randrange(1, 9)))
+            plain[tree, n] = (parent, rows[-1][3], rows[-1][4])
+    table = spark.createDataFrame(rows, "tree long, n int, parent int, len_m long, flow long")
+    designed = trees.with_design(table)
+
+    def up(tree, n):
+        out = []
+        while n:
+            out.append(n)
+            n = plain[tree, n][0]
+        return out
+
+    flow, way = dict.fromkeys(plain, 0), {}
+    for tree, n in plain:
+        for m in up(tree, n):
+            flow[tree, m] += plain[tree, n][2]
+        way[tree, n] = sum(plain[tree, m][1] for m in up(tree, n))
+    dn = {(r["tree"], r["n"]): r["dn"] for r in designed.collect()}
+    far = {k: max(way[t, n] for t, n in plain if t == k[0] and k[1] in up(t, n)) for k in plain}
+
+    def run(tree, n):
+        out = []
+        for m in up(tree, n):
+            if dn[tree, m] != dn[tree, n]:
+                break
+            out.append(m)
+        return out
+
+    runs = {k: sum(plain[k[0], m][1] for m in run(*k)) for k in plain}
+    need = {k: max(runs[j] for j in plain if j[0] == k[0] and k[1] in run(*j)) for k in plain}
+
+    def got(df, name):
+        return {(r["tree"], r["n"]): r[name] for r in df.collect()}
+
+    assert got(trees.subtree_flow(table), "total_flow") == flow
+    assert got(trees.levels(table), "level") == {k: len(up(*k)) - 1 for k in plain}
+    assert got(trees.longest_downstream(table), "longest") == {k: far[k] - way[k] + plain[k][1] for k in plain}
+    assert got(trees.run_lengths(designed), "run_m") == runs and got(trees.required_run(designed), "required_m") == need
+    with pytest.raises(ValueError, match="circle"):
+        trees.subtree_flow(spark.createDataFrame([(1, 1, 2, 1, 1), (1, 2, 1, 1, 1)], table.schema))
+    assert trees.subtree_flow(table.limit(0)).count() == 0
+
+
+def test_nearest_however_far(spark):
+    rng = random.Random(8)
+    points = [(i, rng.randrange(1000), rng.randrange(1000)) for i in range(60)] + [(99, 50_000, 50_000)]
+    others = [(i, rng.randrange(300), rng.randrange(300)) for i in range(40)]
+    got = {}
+    for r in spatial.nearest(spark.createDataFrame(points, "cp_id int, x int, y int"), spark.createDataFrame(others, "node_id int, x int, y int"), 5).collect():
+        got.setdefault(r["cp_id"], []).append((r["dist2"], r["node_id"]))
+    assert {k: sorted(v) for k, v in got.items()} == {i: sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in others)[:5] for i, x, y in points}
+
+
+def test_candidates_of_all_sizes_meet_once(spark):
+    rng = random.Random(5)
+    boxes = []
+    for i in range(150):
+        x, y, w = rng.uniform(-3000, 3000), rng.uniform(-3000, 3000), 4 ** rng.uniform(0, 6)
+        boxes.append((i, x, y, x + w, y + w * rng.random()))
+    a = spark.createDataFrame(boxes, "i int, x0 double, y0 double, x1 double, y1 double")
+    b = a.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
+    for reach in (0.0, 75.0):
+        found = sorted((r["i"], r["j"]) for r in spatial.candidates(a, spatial.corners("x0", "y0", "x1", "y1"), b, spatial.corners("x0_b", "y0_b", "x1_b", "y1_b"), reach).collect())
+        assert found == sorted((p[0], q[0]) for p in boxes for q in boxes if p[1] - reach <= q[3] and q[1] <= p[3] + reach and p[2] - reach <= q[4] and q[2] <= p[4] + reach)
 
 
 def test_utm_round_trip(spark):
