@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
-from netloom.operators import sequences, spatial
+from netloom.operators import regions, sequences, spatial
 
 
 def loose_ends(segments: DataFrame, nodes: DataFrame, tolerance: float = 1e-5) -> DataFrame:
@@ -72,6 +72,15 @@ def through_buildings(segments: DataFrame, buildings: DataFrame, own: DataFrame)
     return found.select("seg_id", "r_id", F.round((F.col("s1") - F.col("s0")) * F.col("length"), 3).alias("inside_m")).filter("inside_m > 0.01")
 
 
+def through_regions(segments: DataFrame, buildings: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(seg_id, r_id, inside_m): as ``through_buildings``, for polygons."""
+    length = S.distance(*map(F.col, ("x1", "y1", "x2", "y2")))
+    found = regions.spans(segments, buildings).join(segments.select("seg_id", length.alias("length")), "seg_id")
+    found = found if own is None else found.join(own, ["seg_id", "r_id"], "left_anti")
+    total = F.sum((F.col("s1") - F.col("s0")) * F.col("length"))
+    return found.groupBy("seg_id", "r_id").agg(total.alias("m")).filter("m > 0.01").select("seg_id", "r_id", F.round("m", 3).alias("inside_m"))
+
+
 def branching(edges: DataFrame, most_vertices: int, tail_m: float) -> DataFrame:
     """(what, n): forks outside chambers, edges of too many vertices, short tails of points, points that share a chamber.
 

@@ -7,7 +7,7 @@ they use numbering, nested comparisons where they use bins.
 from __future__ import annotations
 
 from netloom.functions.catalogues import DEFAULT
-from netloom.sources.tables import RESTRICTION_TYPES
+from netloom.sources.tables import RESTRICTION_TYPES, SHAPES
 
 
 def _values(rows: tuple) -> str:
@@ -22,6 +22,20 @@ def _relation(name: str, schema: str, rows: tuple) -> str:
 
 KINDS = ", ".join(f"'{t}'" for t in RESTRICTION_TYPES)
 
+SIDES = ", ".join(str((kind, ring, k, *a, *b)) for kind, shape in enumerate(SHAPES) for ring, points in enumerate(shape) for k, (a, b) in enumerate(zip(points, (*points[1:], points[0]), strict=True)))
+
+
+def point_segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    """The distance from a point to a segment."""
+    t = f"greatest(0.0, least(1.0, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}))))"
+    return f"sqrt(pow({px} - {ax} - {t} * ({bx} - {ax}), 2) + pow({py} - {ay} - {t} * ({by} - {ay}), 2))"
+
+
+def ray_meets(x: str, y: str) -> str:
+    """Whether the ray to the right of a point meets a side."""
+    return f"((ay > {y}) <> (by_ > {y}) AND {x} < (bx - ax) * ({y} - ay) / nullif(by_ - ay, 0) + ax)"
+
+
 CTES = {
     "edges": """edges AS (SELECT l_orderkey AS tree, n, n // 2 AS parent, CAST(5 + floor(l_extendedprice / 1000) AS BIGINT) AS len_m,
       CAST(floor(l_quantity) AS BIGINT) AS flow, l_returnflag AS rtype
@@ -36,6 +50,8 @@ CTES = {
       FROM net_nodes a JOIN net_nodes b ON b.node_id = a.node_id + 1)""",
     "rects": f"""rects AS (SELECT p_partkey AS r_id, list_element([{KINDS}], CAST(p_partkey % {len(RESTRICTION_TYPES)} AS INT) + 1) AS rtype, p_partkey * 613 % 1950 AS x0, p_partkey * 353 % 1550 AS y0,
       p_partkey * 613 % 1950 + p_size AS x1, p_partkey * 353 % 1550 + 1 + p_partkey % 30 AS y1 FROM part)""",
+    "plot_sides": f"""plot_sides AS (SELECT r_id, rtype, ring, k, x0 + fax * 0.25 * (x1 - x0) AS ax, y0 + fay * 0.25 * (y1 - y0) AS ay, x0 + fbx * 0.25 * (x1 - x0) AS bx, y0 + fby * 0.25 * (y1 - y0) AS by_
+      FROM rects JOIN (VALUES {SIDES}) v(kind, ring, k, fax, fay, fbx, fby) ON r_id % 3 = kind)""",
     "variants": "variants AS (SELECT o_orderkey AS tree, o_custkey AS plan, 1 + o_orderkey % 3 AS variant FROM orders)",
     "run_events": """run_events AS (SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, ts, event_type AS stage,
       CAST(least(100, floor(value / 5)) AS INT) AS progress FROM events)""",
@@ -55,7 +71,7 @@ CTES = {
       (SELECT d.tree, CAST(sum(floor(d.len_m * c.price + 0.5)) AS BIGINT) AS pipe_cost, CAST(sum(d.len_m) AS BIGINT) AS length_m, count(*) FILTER (WHERE d.parent = 0) AS tie_ins FROM designed d JOIN cat c ON c.dn = d.dn GROUP BY d.tree) p
       JOIN (SELECT tree, CAST(sum(price) AS BIGINT) AS chamber_cost FROM (SELECT n.tree, (SELECT min(price) FROM chambers WHERE max_dn >= n.max_dn) AS price FROM (SELECT tree, node, max(dn) AS max_dn, count(*) AS degree FROM ends GROUP BY tree, node) n WHERE degree >= 3 OR node = 0) GROUP BY tree) q ON q.tree = p.tree)""",
 }
-NEEDS = {"net_segments": ["net_nodes"], "up": ["edges"], "carried": ["up"], "designed": ["carried", "cat"], "ends": ["designed"], "totals": ["ends", "chambers"]}
+NEEDS = {"plot_sides": ["rects"], "net_segments": ["net_nodes"], "up": ["edges"], "carried": ["up"], "designed": ["carried", "cat"], "ends": ["designed"], "totals": ["ends", "chambers"]}
 
 
 def with_(names: str, body: str, instead: dict[str, str] | None = None) -> str:

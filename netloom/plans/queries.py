@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import catalogues as K
+from netloom.functions import lines as L
 from netloom.functions import scalars as S
-from netloom.operators import sequences, spatial, trees
-from netloom.plans.oracle import with_
+from netloom.operators import regions, sequences, spatial, trees, validation
+from netloom.plans.oracle import point_segment, ray_meets, with_
 from netloom.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1107,8 +1108,6 @@ def _(spark, d):
 @query("val07_special_pieces_are_straight", "net_nodes rects rules", f"{STREET}, z AS ({RULED}), v AS (SELECT line, CAST(pos AS BIGINT) AS pos, x, EXISTS (SELECT 1 FROM z WHERE mode = 'SPECIAL' AND s.x BETWEEN x0 AND x1) AS special FROM street s), r AS (SELECT *, sum(CASE WHEN special THEN 0 ELSE 1 END) OVER (PARTITION BY line ORDER BY pos) AS g FROM v) SELECT line, min(pos) AS first, count(*) AS points FROM r WHERE special GROUP BY line, g HAVING count(*) > 2")
 def _(spark, d):
     """Stretches of a line that run under special restrictions (seen from above, by x), with more than two points."""
-    from netloom.operators import validation
-
     zones = ruled(spark, d).filter("mode = 'SPECIAL'").select("r_id", "rtype", "x0", F.lit(0).alias("y0"), "x1", F.lit(0).alias("y1"))
     points = street(spark, d)
     inside = spatial.containing(points.select(F.col("pos").alias("cp_id"), "x", F.lit(0).alias("y")), zones).select(F.col("cp_id").alias("pos")).distinct().withColumn("special", F.lit(True))
@@ -1150,3 +1149,149 @@ def _(spark, d):
     holds = [(F.col("x0") < F.col(u)) & (F.col(u) < F.col("x1")) & (F.col("y0") < F.col(v)) & (F.col(v) < F.col("y1")) for u, v in (("u1", "v1"), ("u2", "v2"))]
     found = found.filter(~(holds[0] | holds[1])).select("seg_id").distinct()
     return parts.join(found.withColumn("through", F.lit(True)), "seg_id", "left").groupBy(F.coalesce("through", F.lit(False)).alias("through")).agg(F.count("*").alias("segments"), F.round(F.sum(S.distance(*map(F.col, ("x1", "y1", "x2", "y2")))), 3).alias("length"))
+
+
+# Polygons.
+
+IN_PLOTS = f"""covered AS (SELECT c.cp_id, c.flow, p.r_id, p.rtype, count(*) FILTER (WHERE {ray_meets("c.x", "c.y")}) % 2 = 1 AS inside, min({point_segment("c.x", "c.y", "ax", "ay", "bx", "by_")}) <= 1e-9 AS on_edge
+      FROM cps c CROSS JOIN plot_sides p GROUP BY c.cp_id, c.flow, p.r_id, p.rtype)"""
+
+
+@query("jn10_points_in_plots", "cps plot_sides", f", {IN_PLOTS} SELECT cp_id, r_id, rtype, on_edge FROM covered WHERE inside OR on_edge")
+def _(spark, d):
+    return regions.containing(T.connection_points(spark, d), T.plots(spark, d))
+
+
+@query("jn10_owning_plot", "cps plot_sides", f", {IN_PLOTS} SELECT c.cp_id, min(v.r_id) AS r_id FROM cps c LEFT JOIN covered v ON v.cp_id = c.cp_id AND (v.inside OR v.on_edge) GROUP BY c.cp_id")
+def _(spark, d):
+    return regions.owning(T.connection_points(spark, d), T.plots(spark, d))
+
+
+@query("jn11_plot_dn", "cps plot_sides cat", f", {IN_PLOTS} SELECT r.r_id, coalesce((SELECT min(k.dn) FROM covered v JOIN cat k ON k.capacity >= v.flow WHERE v.r_id = r.r_id AND (v.inside OR v.on_edge)), (SELECT min(k.dn) FROM cps c JOIN cat k ON k.capacity >= c.flow)) AS dn FROM rects r")
+def _(spark, d):
+    return regions.least_dn(T.connection_points(spark, d), T.plots(spark, d))
+
+
+#: Each segment's distance to each plot: 0 where it crosses a side or begins inside, else the least between their ends and sides.
+TO_PLOTS = f"""far AS (SELECT s.seg_id, p.r_id, p.rtype, CASE WHEN bool_or(sign((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) * sign((x2 - x1) * (by_ - y1) - (y2 - y1) * (bx - x1)) < 0 AND sign((bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax)) * sign((bx - ax) * (y2 - ay) - (by_ - ay) * (x2 - ax)) < 0)
+      OR count(*) FILTER (WHERE {ray_meets("x1", "y1")}) % 2 = 1 THEN 0.0 ELSE min(least({point_segment("x1", "y1", "ax", "ay", "bx", "by_")}, {point_segment("x2", "y2", "ax", "ay", "bx", "by_")}, {point_segment("ax", "ay", "x1", "y1", "x2", "y2")}, {point_segment("bx", "by_", "x1", "y1", "x2", "y2")})) END AS dist
+      FROM net_segments s CROSS JOIN plot_sides p GROUP BY s.seg_id, p.r_id, p.rtype)"""
+
+
+def plots_to_keep(spark: SparkSession, d: str) -> DataFrame:
+    return T.plots(spark, d).join(ruled(spark, d).filter("mode = 'PROHIBITED'").select("r_id", (F.col("min_dist") / 10.0).alias("keep")), "r_id")
+
+
+@query("prj08_blocked_by_plots", "net_segments plot_sides rules", f", z AS ({RULED}), {TO_PLOTS} SELECT seg_id, f.r_id, round(dist, 6) AS dist FROM far f JOIN z ON z.r_id = f.r_id AND z.mode = 'PROHIBITED' WHERE dist < z.min_dist / 10.0 - 1e-3")
+def _(spark, d):
+    return regions.blocked(T.net_segments(spark, d), plots_to_keep(spark, d), 10.0).select("seg_id", "r_id", F.round("dist", 6).alias("dist"))
+
+
+#: Parts of segments inside plots: cut at every side, those whose middle is inside, neighbours as one.
+IN_PARTS = f"""cut AS (SELECT seg_id, r_id, round(t, 9) AS t FROM (SELECT s.seg_id, p.r_id, ((ax - x1) * (by_ - ay) - (ay - y1) * (bx - ax)) / nullif((x2 - x1) * (by_ - ay) - (y2 - y1) * (bx - ax), 0) AS t, ((ax - x1) * (y2 - y1) - (ay - y1) * (x2 - x1)) / nullif((x2 - x1) * (by_ - ay) - (y2 - y1) * (bx - ax), 0) AS u FROM net_segments s CROSS JOIN plot_sides p) WHERE t BETWEEN 0 AND 1 AND u BETWEEN -1e-12 AND 1 + 1e-12
+      UNION SELECT seg_id, r_id, unnest([0.0, 1.0]) FROM net_segments CROSS JOIN rects),
+    piece AS (SELECT seg_id, r_id, t AS s0, lead(t) OVER (PARTITION BY seg_id, r_id ORDER BY t) AS s1 FROM cut),
+    held AS (SELECT q.seg_id, q.r_id, q.s0, q.s1 FROM piece q JOIN net_segments s ON s.seg_id = q.seg_id JOIN plot_sides p ON p.r_id = q.r_id WHERE q.s1 IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (WHERE {ray_meets("(x1 + (q.s0 + q.s1) / 2 * (x2 - x1))", "(y1 + (q.s0 + q.s1) / 2 * (y2 - y1))")}) % 2 = 1),
+    island AS (SELECT *, sum(f) OVER (PARTITION BY seg_id, r_id ORDER BY s0) AS g FROM (SELECT *, CASE WHEN lag(s1) OVER (PARTITION BY seg_id, r_id ORDER BY s0) = s0 THEN 0 ELSE 1 END AS f FROM held)),
+    parts AS (SELECT seg_id, r_id, min(s0) AS s0, max(s1) AS s1 FROM island GROUP BY seg_id, r_id, g)"""
+
+
+@query("jn19_spans_in_plots", "net_segments plot_sides", f", {IN_PARTS} SELECT i.seg_id, i.r_id, r.rtype, s0, s1 FROM parts i JOIN rects r ON r.r_id = i.r_id")
+def _(spark, d):
+    return regions.spans(T.net_segments(spark, d), T.plots(spark, d))
+
+
+@query("val01_pipes_through_plots", "net_segments plot_sides", f", {IN_PARTS} SELECT i.seg_id, i.r_id, round(sum((s1 - s0) * sqrt((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1))), 3) AS inside_m FROM parts i JOIN rects r ON r.r_id = i.r_id JOIN net_segments s ON s.seg_id = i.seg_id WHERE r.rtype = 'oks' GROUP BY i.seg_id, i.r_id HAVING sum((s1 - s0) * sqrt((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1))) > 0.01")
+def _(spark, d):
+    return validation.through_regions(T.net_segments(spark, d), T.plots(spark, d).filter("rtype = 'oks'"))
+
+
+@query("prj09_plot_angle_verdicts", "net_segments plot_sides", """, hit AS (SELECT seg_id, degrees(atan2(abs((x2 - x1) * (by_ - ay) - (y2 - y1) * (bx - ax)), (x2 - x1) * (bx - ax) + (y2 - y1) * (by_ - ay))) AS t FROM net_segments CROSS JOIN plot_sides
+      WHERE sign((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) * sign((x2 - x1) * (by_ - y1) - (y2 - y1) * (bx - x1)) < 0 AND sign((bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax)) * sign((bx - ax) * (y2 - ay) - (by_ - ay) * (x2 - ax)) < 0)
+    SELECT s.seg_id, coalesce(min(round(least(t, 180 - t), 6)) >= 45 - 1e-6, true) AS legal FROM net_segments s LEFT JOIN hit h ON h.seg_id = s.seg_id GROUP BY s.seg_id""")
+def _(spark, d):
+    return regions.angle_verdicts(T.net_segments(spark, d), T.plots(spark, d), 45.0)
+
+
+@query("gr04_plot_mask", "plot_sides rules", f", z AS ({RULED}), g AS (SELECT i AS col, j AS row FROM range(0, 205) a(i) CROSS JOIN range(0, 165) b(j)), held AS (SELECT g.col, g.row, p.r_id FROM g JOIN rects r ON g.col * 10 + 5 BETWEEN r.x0 AND r.x1 AND g.row * 10 + 5 BETWEEN r.y0 AND r.y1 JOIN plot_sides p ON p.r_id = r.r_id GROUP BY ALL HAVING count(*) FILTER (WHERE {ray_meets('(g.col * 10 + 5.0)', '(g.row * 10 + 5.0)')}) % 2 = 1) SELECT CAST(col AS INT) AS col, CAST(row AS INT) AS row, max(min_dist) AS value FROM held h JOIN z ON z.r_id = h.r_id AND z.mode = 'PROHIBITED' GROUP BY col, row")
+def _(spark, d):
+    closed = ruled(spark, d).filter("mode = 'PROHIBITED'").select("r_id", F.col("min_dist").alias("value"))
+    return regions.mask(T.plots(spark, d).join(closed, "r_id").withColumn("keep", F.lit(0.0)), 10.0)
+
+
+@query("jn21_plot_cell_factors", "plot_sides rules", f", z AS ({RULED}), g AS (SELECT i AS col, j AS row FROM range(-5, 210) a(i) CROSS JOIN range(-5, 170) b(j)), near AS (SELECT g.col, g.row, p.r_id, count(*) FILTER (WHERE {ray_meets('(g.col * 10 + 5.0)', '(g.row * 10 + 5.0)')}) % 2 = 1 AS inside, min({point_segment('(g.col * 10 + 5.0)', '(g.row * 10 + 5.0)', 'ax', 'ay', 'bx', 'by_')}) AS dist FROM g JOIN rects r ON g.col * 10 + 5 BETWEEN r.x0 - 20 AND r.x1 + 20 AND g.row * 10 + 5 BETWEEN r.y0 - 20 AND r.y1 + 20 JOIN plot_sides p ON p.r_id = r.r_id GROUP BY ALL) SELECT CAST(col AS INT) AS col, CAST(row AS INT) AS row, max(factor) AS value FROM near n JOIN z ON z.r_id = n.r_id AND z.mode = 'SPECIAL' WHERE inside OR dist < 20 - 1e-9 GROUP BY col, row")
+def _(spark, d):
+    """Price factors of cells inside a special plot or within two cells of it."""
+    special = ruled(spark, d).filter("mode = 'SPECIAL'").select("r_id", F.col("factor").alias("value"))
+    return regions.mask(T.plots(spark, d).join(special, "r_id").withColumn("keep", F.lit(20.0)), 10.0)
+
+
+@query("ge07_plot_axes", "plot_sides", "SELECT r_id, CAST(row_number() OVER (PARTITION BY r_id ORDER BY ring, k) - 1 AS INT) AS side, ax, ay, bx, by_ AS by FROM plot_sides")
+def _(spark, d):
+    return regions.axes(T.plots(spark, d))
+
+
+@query("prj08_plots_in_envelope", "rects", "SELECT r_id FROM rects WHERE (CASE WHEN r_id % 3 = 1 THEN x0 ELSE x0 END) <= 900 AND x1 >= 600 AND y0 <= 700 AND y1 >= 500")
+def _(spark, d):
+    return regions.in_envelope(T.plots(spark, d), 600, 500, 900, 700)
+
+
+@query("prj08_interior_blocked")
+def _(spark, d):
+    return regions.interior_blocked(T.net_segments(spark, d), T.plots(spark, d))
+
+
+@query("jn19_band_spans")
+def _(spark, d):
+    special = ruled(spark, d).filter("mode = 'SPECIAL'").select("r_id", (F.col("min_dist") / 10.0).alias("keep"))
+    return regions.band_spans(T.net_segments(spark, d), T.plots(spark, d).join(special, "r_id"), 10.0)
+
+
+@query("ge09_plot_exits")
+def _(spark, d):
+    points = T.connection_points(spark, d)
+    closed = plots_to_keep(spark, d)
+    owned = regions.owning(points, closed.filter("rtype = 'oks'")).filter("r_id is not null").join(closed.select("r_id", "keep"), "r_id").join(points.select("cp_id", "x", "y"), "cp_id")
+    return regions.exits(owned, closed, 1.0, 15.0, 10.0)
+
+
+# Places along lines.
+
+
+def street_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(line, points): whole lines of the street, with their vertices in order."""
+    p = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return street(spark, d).groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", p.alias("p")))), lambda v: v["p"]).alias("points")).filter(F.size("points") > 1)
+
+
+WAYS = STREET + """, step AS (SELECT line, pos, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS l FROM street WINDOW w AS (PARTITION BY line ORDER BY pos)),
+    way AS (SELECT *, coalesce(sum(l) OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM step WHERE bx IS NOT NULL), whole AS (SELECT line, sum(l) AS length FROM way GROUP BY line)"""
+
+
+@query("wn03_point_at_distance", "net_nodes", f"{WAYS} SELECT line, round(ax + (length / 3 - so_far) / l * (bx - ax), 4) AS x, round(ay + (length / 3 - so_far) / l * (by_ - ay), 4) AS y FROM way JOIN whole USING (line) WHERE so_far < length / 3 AND length / 3 <= so_far + l")
+def _(spark, d):
+    at = L.point_at(F.col("points"), L.length(F.col("points")) / 3)
+    return street_lines(spark, d).select("line", at.alias("p")).select("line", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+@query("wn03_part_of_line", "net_nodes", f"{WAYS} SELECT line, CAST(2 + count(*) FILTER (WHERE so_far > length / 4 + 1e-9 AND so_far < length / 2 - 1e-9) AS INT) AS vertices, round(any_value(length) / 4, 4) AS length FROM way JOIN whole USING (line) GROUP BY line")
+def _(spark, d):
+    part = L.part(F.col("points"), L.length(F.col("points")) / 4, L.length(F.col("points")) / 2)
+    return street_lines(spark, d).select("line", part.alias("p")).select("line", F.size("p").alias("vertices"), F.round(L.length(F.col("p")), 4).alias("length"))
+
+
+@query("wn03_projected_points", "net_nodes", f"{WAYS}, on_ AS (SELECT line, so_far + t * l AS way, round(sqrt(pow(1000 - ax - t * (bx - ax), 2) + pow(900 - ay - t * (by_ - ay), 2)), 9) AS off FROM (SELECT *, greatest(0.0, least(1.0, ((1000 - ax) * (bx - ax) + (900 - ay) * (by_ - ay)) / (l * l))) AS t FROM way)) SELECT line, round(arg_min(way, (off, way)), 4) AS way, round(min(off), 6) AS off FROM on_ GROUP BY line")
+def _(spark, d):
+    found = L.project(F.col("points"), F.lit(1000.0), F.lit(900.0))
+    return street_lines(spark, d).select("line", found.alias("p")).select("line", F.round("p.way", 4).alias("way"), F.round("p.off", 6).alias("off"))
+
+
+@query("ge16_line_split_at_place", "net_nodes", f"{WAYS}, c AS (SELECT line, count(*) FILTER (WHERE so_far > 1e-9 AND so_far < 100 - 1e-9) AS n, any_value(length) AS length FROM way JOIN whole USING (line) GROUP BY line), v AS (SELECT line, count(*) FILTER (WHERE so_far > 100 + 1e-9 AND so_far < length - 1e-9) AS n FROM way JOIN whole USING (line) GROUP BY line) SELECT c.line, k, CASE k WHEN 0 THEN c.n + 2 ELSE v.n + 2 END AS vertices, round(CASE k WHEN 0 THEN 100.0 ELSE length - 100 END, 4) AS length FROM c JOIN v ON v.line = c.line CROSS JOIN (VALUES (0), (1)) t(k) WHERE length > 200")
+def _(spark, d):
+    rows = street_lines(spark, d).filter(L.length(F.col("points")) > 200).select("line", F.posexplode(L.split_at(F.col("points"), F.lit(100.0))).alias("k", "p"))
+    return rows.select("line", "k", F.size("p").cast("long").alias("vertices"), F.round(L.length(F.col("p")), 4).alias("length"))
+
+
+@query("st02_line_signatures", "net_nodes", f"{STREET}, sig AS (SELECT line, string_agg(CAST(x * 100 AS BIGINT) || ',' || CAST(y * 100 AS BIGINT), ';' ORDER BY pos) AS sig, count(*) AS n FROM street GROUP BY line) SELECT line, sig FROM sig WHERE n > 1")
+def _(spark, d):
+    return street_lines(spark, d).select("line", L.signature(F.col("points")).alias("sig"))

@@ -67,6 +67,27 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("r_id"), F.get(kinds, (k % len(RESTRICTION_TYPES)).cast("int")).alias("rtype"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("p_size")).alias("x1"), (y0 + 1 + k % 30).alias("y1"))
 
 
+#: Shapes in quarters of a box: an L, a triangle, a diamond with a hole.
+SHAPES = (
+    (((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)),),
+    (((0, 0), (4, 1), (1, 4)),),
+    (((2, 0), (4, 2), (2, 4), (0, 2)), ((1, 2), (2, 3), (3, 2), (2, 1))),
+)
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restrictions as polygons in the boxes of ``rects``, with open rings: (r_id, rtype, lines, area)."""
+
+    def at(low: str, high: str, f: int):
+        return F.col(low) + f * 0.25 * (F.col(high) - F.col(low))
+
+    def lines(shape):
+        return F.array(*[F.array(*[F.struct(at("x0", "x1", a).alias("x"), at("y0", "y1", b).alias("y")) for a, b in ring]) for ring in shape])
+
+    kind = F.col("r_id") % 3
+    return rects(spark, sf_dir).select("r_id", "rtype", F.when(kind == 0, lines(SHAPES[0])).when(kind == 1, lines(SHAPES[1])).otherwise(lines(SHAPES[2])).alias("lines"), F.lit(True).alias("area"))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which plan and variant a tree belongs to."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), F.col("o_custkey").alias("plan"), (1 + F.col("o_orderkey") % 3).alias("variant"))

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from netloom.functions import scalars as S
 from netloom.functions.catalogues import DEFAULT
-from netloom.operators import planner, sequences, spatial, trees
+from netloom.operators import planner, regions, sequences, spatial, trees
 from netloom.plans import queries, registry
 from netloom.sources import geojson, sinks
 from netloom.streaming import progress
@@ -374,3 +374,69 @@ def test_refined_forests_are_sound_and_not_longer():
             assert max(degree.values()) <= 4
             length[name] = sum(e.length for e in edges)
         assert length["refined"] <= length["plain"] + 1e-6
+
+
+# Polygons.
+
+
+def test_bands_of_shapes_equal_sampling(spark):
+    """Parts of segments within a distance of lines and areas, against many points along each."""
+    rng = random.Random(4)
+    shapes, segments = [], []
+    for i in range(12):
+        x, y, r = rng.uniform(0, 80), rng.uniform(0, 80), rng.uniform(5, 25)
+        ring = [(x + r * math.cos(a), y + r * math.sin(a)) for a in sorted(rng.uniform(0, 6.28) for _ in range(5))]
+        lines = [ring] + ([[((a + x) / 2, (b + y) / 2) for a, b in ring]] if i % 3 == 0 else [])
+        shapes.append((i, "t", lines, i % 2 == 0, rng.choice([0.5, 3.0, 8.0])))
+    for i in range(25):
+        segments.append((i, *[rng.uniform(-10, 90) for _ in range(4)]))
+    table = spark.createDataFrame(shapes, "r_id int, rtype string, lines array<array<struct<x: double, y: double>>>, area boolean, keep double")
+    lines = spark.createDataFrame(segments, "seg_id int, x1 double, y1 double, x2 double, y2 double")
+    found = {}
+    for r in regions.band_spans(lines, table, 8.0).collect():
+        found.setdefault((r["seg_id"], r["r_id"]), []).append((r["s0"], r["s1"]))
+    inside = {}
+    for r in regions.spans(lines, table).collect():
+        inside.setdefault((r["seg_id"], r["r_id"]), []).append((r["s0"], r["s1"]))
+    near = {(r["seg_id"], r["r_id"]): r["dist"] for r in regions.blocked(lines, table, 8.0).collect()}
+
+    def far(p, a, b):
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / math.dist(a, b) ** 2))
+        return math.dist(p, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+
+    for s, x1, y1, x2, y2 in segments:
+        for i, _, rings, area, keep in shapes:
+            sides = [(a, b) for ring in rings for a, b in zip(ring, ring[1:] + (ring[:1] if area else []), strict=False)]
+            least = math.inf
+            for k in range(401):
+                t = k / 400
+                p = (x1 + t * (x2 - x1), y1 + t * (y2 - y1))
+                held = area and sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides) % 2 == 1
+                off = min(far(p, a, b) for a, b in sides)
+                least = min(least, 0.0 if held else off)
+                if abs(off - keep) > 1e-6:
+                    assert any(u <= t <= v for u, v in found.get((s, i), ())) == (held or off < keep), (s, i, t)
+                if area and off > 1e-6:
+                    assert any(u <= t <= v for u, v in inside.get((s, i), ())) == held
+            if least < keep - 0.5:
+                assert near[s, i] <= least + 1e-9
+
+
+def test_ways_out_of_buildings(spark):
+    def box(a, b, c, d):
+        return [[(a, b), (c, b), (c, d), (a, d)]]
+
+    rows = [(1, "oks", box(0, 0, 20, 20), True, 3.0), (2, "oks", box(24, 0, 40, 20), True, 3.0), (3, "park", box(-30, -30, 60, -4), True, 2.0), (4, "oks", [*box(100, 0, 110, 10), *box(112, 0, 120, 10)], True, 3.0), (5, "oks", [[(200, 0), (230, 0), (230, 30), (220, 30), (220, 10), (210, 10), (210, 30), (200, 30)]], True, 1.0)]
+    rows = [(i, t, [[(float(x), float(y)) for x, y in ring] for ring in rings], *more) for i, t, rings, *more in rows]
+    table = spark.createDataFrame(rows, "r_id int, rtype string, lines array<array<struct<x: double, y: double>>>, area boolean, keep double")
+    points = [(1, 4.0, 12.0, 1, 3.0), (2, 0.0, 5.0, 1, 3.0), (3, 106.0, 5.0, 4, 3.0), (4, 205.0, 25.0, 5, 1.0)]
+    got = {}
+    for r in regions.exits(spark.createDataFrame(points, "cp_id int, x double, y double, r_id int, keep double"), table, 3.0, 15.0, 10.0).orderBy("cp_id", "nth").collect():
+        got.setdefault(r["cp_id"], []).append((r["ex"], r["ey"], r["tail"]))
+    # West and north; east ends between two buildings nearer than their bands; south is too near the park.
+    assert got[1] == [(-3.0, 12.0, 7.0), (4.0, 23.0, 11.0)]
+    assert got[2][0] == (-3.0, 5.0, 3.0)  # on a side: out along its normal
+    # East of the first part stands the second: ways through it lead back into the building.
+    assert (97.0, 5.0, 9.0) in got[3] and all(x[0] < 111 for x in got[3])
+    # Within one arm of a U: not through the other arm.
+    assert (199.0, 25.0, 6.0) in got[4] and all(x[0] < 221 for x in got[4])
