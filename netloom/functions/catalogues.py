@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,9 @@ class Catalogues:
     chambers: tuple[Row, ...] = ((80, 120_000), (150, 180_000), (1 << 30, 260_000))
     tie_in: int = 90_000
     penalty: tuple[int, int] = (1_000_000, 25_000)
+    #: (largest dn, height of a pipe in cm), and (type, depth of the top in m, height in m) of lines to pass above or below.
+    heights: tuple[Row, ...] = ((80, 30), (150, 45), (300, 70))
+    verticals: tuple[Row, ...] = (("gas_pipeline", 1.2, 0.3), ("power_cable", 0.8, 0.1), ("heat_network", 2.0, 0.8))
     #: Weights of the score: percent of cost per million, percent of length per 100 m.
     weights: tuple[float, float] = field(default=(0.6, 0.4))
 
@@ -35,6 +39,29 @@ class Catalogues:
 DEFAULT = Catalogues()
 
 
+def load(text: str) -> Catalogues:
+    """Catalogues from JSON text: an object with any of the fields above, lists in place of tuples; others keep their samples.
+
+    Diameters and bands of prices must ascend, and names be known.
+    """
+    given = json.loads(text)
+    unknown = set(given) - {f.name for f in fields(Catalogues)}
+    if unknown:
+        raise ValueError(f"no catalogue of this name: {', '.join(sorted(unknown))}")
+
+    def fixed(x):
+        return tuple(fixed(y) for y in x) if isinstance(x, list) else x
+
+    out = Catalogues(**{k: fixed(v) for k, v in given.items()})
+    for name in ("diameters", "envelopes", "chambers", "heights"):
+        firsts = [r[0] for r in getattr(out, name)]
+        if firsts != sorted(set(firsts)):
+            raise ValueError(f"{name} must ascend")
+    if not out.diameters:
+        raise ValueError("there must be diameters")
+    return out
+
+
 def diameters(spark: SparkSession, c: Catalogues = DEFAULT) -> DataFrame:
     return spark.createDataFrame(list(c.diameters), "dn int, capacity long, max_len long, price long")
 

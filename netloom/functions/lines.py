@@ -25,14 +25,14 @@ def steps(line: Column) -> Column:
 
 
 def length(line: Column) -> Column:
-    last = F.element_at(steps(line), -1)
+    last = F.try_element_at(steps(line), F.lit(-1))
     return F.when(F.size(line) < 2, 0.0).otherwise(last["at"] + last["length"])
 
 
 def point_at(line: Column, way: Column) -> Column:
     """The point (x, y) so far along a line; its ends for ways before or beyond it."""
     found = steps(line)
-    on = F.coalesce(F.element_at(F.filter(found, lambda s: s["at"] + s["length"] >= way), 1), F.element_at(found, -1))
+    on = F.coalesce(F.try_element_at(F.filter(found, lambda s: s["at"] + s["length"] >= way), F.lit(1)), F.try_element_at(found, F.lit(-1)))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (way - on["at"]) / F.when(on["length"] > 0, on["length"]).otherwise(1)))
     return F.struct((on["ax"] + t * (on["bx"] - on["ax"])).alias("x"), (on["ay"] + t * (on["by"] - on["ay"])).alias("y"))
 

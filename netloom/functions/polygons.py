@@ -87,7 +87,7 @@ def spans_inside(a: Column, b: Column, c: Column, d: Column, shape: Column) -> C
     none = F.array().cast("array<struct<s0:double,s1:double>>")
 
     def joined(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         more = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s0"].alias("s0"), p["s1"].alias("s1"))))
         return F.when(F.size(done) == 0, F.array(p)).when(last["s1"] == p["s0"], more).otherwise(F.concat(done, F.array(p)))
 

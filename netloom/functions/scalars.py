@@ -92,10 +92,18 @@ def depth_factor(h: Column, normal: float = 3.0, rate: float = 0.1) -> Column:
     return F.when(h <= normal, 1.0).otherwise(1.0 + rate * (h - normal))
 
 
-def avoidance_depth(top: Column, height: Column, clearance: float = 0.2, least: float = 0.7) -> Column:
-    """Above a line if that is deep enough, else below it."""
-    above = top - clearance
-    return F.when(above >= least, above).otherwise(top + height + clearance)
+def pipe_height(dn: Column, c: Catalogues = DEFAULT) -> Column:
+    """Height of a pipe in metres: of the first row for this diameter or a larger one, else of the last."""
+    out: Column = F.lit(c.heights[-1][1] / 100 if c.heights else 0.0)
+    for k, height in reversed(c.heights):
+        out = F.when(dn <= k, height / 100).otherwise(out)
+    return out
+
+
+def avoidance_depth(top: Column, height: Column, new_height: Column | float = 0.0, clearance: float = 0.2, least: float = 0.7) -> Column:
+    """Depth at which a new pipe passes a line: above it, where its own height and the clearance leave that deep enough, else below; -1 if neither is."""
+    above, below = top - new_height - clearance, top + height + clearance
+    return F.when(above >= least - 1e-9, above).when(below >= least - 1e-9, below).otherwise(-1.0)
 
 
 # Plane geometry, metres.
@@ -136,6 +144,27 @@ def hex_centre(col: Column, row: Column, cell: float) -> tuple[Column, Column]:
     return (col + F.when(F.pmod(row, F.lit(2)) == 1, 0.5).otherwise(0.0)) * cell, row * (cell * math.sqrt(3) / 2)
 
 
+def hex_cell(x: Column, y: Column, cell: float) -> Column:
+    """(row, col) of the hexagon whose centre is nearest to a point, the lower row and column of equals."""
+    high = cell * math.sqrt(3) / 2
+    low = F.floor(y / high).cast("int")
+
+    def at(row: Column, more: int) -> Column:
+        col = F.floor(x / cell - F.when(F.pmod(row, F.lit(2)) == 1, 0.5).otherwise(0.0)).cast("int") + more
+        cx, cy = hex_centre(col, row, cell)
+        return F.struct(F.round((x - cx) * (x - cx) + (y - cy) * (y - cy), 9).alias("off"), row.alias("row"), col.alias("col"))
+
+    best = F.array_min(F.array(*[at(low + k, more) for k in (0, 1) for more in (0, 1)]))
+    return F.struct(best["row"].alias("row"), best["col"].alias("col"))
+
+
+def hex_neighbours(row: Column, col: Column) -> Column:
+    """The six hexagons beside one, as (row, col)."""
+    odd = F.pmod(row, F.lit(2)).cast("int")
+    steps = [(F.lit(0), F.lit(-1)), (F.lit(0), F.lit(1)), *((F.lit(dy), odd + dx) for dy in (-1, 1) for dx in (-1, 0))]
+    return F.array(*[F.struct((row + dy).alias("row"), (col + dx).alias("col")) for dy, dx in steps])
+
+
 # Transverse Mercator (WGS84), after the series in Snyder's "Map Projections: A Working Manual".
 
 A, E2, K0 = 6378137.0, 0.00669437999014, 0.9996

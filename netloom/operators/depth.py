@@ -67,15 +67,25 @@ def profile(length: float, wanted: list[tuple[float, float, float]], r: Rules =
 
 def profiles(edges: DataFrame, crossings: DataFrame, r: Rules = Rules()) -> DataFrame:
     """(edge, s0, s1, h0, h1).  edges (edge, length), crossings (edge, start, end, depth)."""
-    asked = crossings.groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("start", "end", "depth"))).alias("asked"))
+    key = edges.schema["edge"].dataType.simpleString()
+    asked = crossings.filter("depth >= 0").groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("start", "end", "depth"))).alias("asked"))
     rows = edges.select("edge", F.col("length").cast("double")).join(asked, "edge", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(edge, *piece) for edge, length, found in zip(*(batch.column(c).to_pylist() for c in ("edge", "length", "asked")), strict=True) for piece in profile(length, [(x["start"], x["end"], x["depth"]) for x in found or ()], r)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[i] for x in out], pa.float64()) for i in range(1, 5))], ["edge", "s0", "s1", "h0", "h1"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.column("edge").type), *(pa.array([x[i] for x in out], pa.float64()) for i in range(1, 5))], ["edge", "s0", "s1", "h0", "h1"])
 
-    return rows.mapInArrow(run, "edge long, s0 double, s1 double, h0 double, h1 double")
+    return rows.mapInArrow(run, f"edge {key}, s0 double, s1 double, h0 double, h1 double")
+
+
+def warnings(edges: DataFrame, crossings: DataFrame, r: Rules = Rules()) -> DataFrame:
+    """(edge, code): stretches whose depth cannot be had (a depth below 0), and those nearer to an edge's end than their ramp is long."""
+    rows = crossings.join(edges.select("edge", F.col("length").cast("double")), "edge")
+    run = F.abs(F.col("depth") - r.normal) / r.slope
+    short = (F.col("start") - run < -1e-9) | (F.col("end") + run > F.col("length") + 1e-9)
+    code = F.when(F.col("depth") < 0, "DEPTH_OBSTACLE_UNRESOLVED").when(short, "DEPTH_SLOPE_EXCEEDED")
+    return rows.select("edge", code.alias("code")).filter("code is not null").distinct()
 
 
 def violations(pieces: DataFrame, r: Rules = Rules()) -> DataFrame:

@@ -15,54 +15,22 @@ import heapq
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.catalogues import DEFAULT, Catalogues
+from netloom.operators.grid import Edge, Grid, Options, Segments, Tile, crosses, straight, turns_little
 from netloom.operators.medians import median
+from netloom.operators.repair import repaired
+from netloom.operators.shapes import Shape
 
-EDGE = "tile long, variant int, edge int, parent int, node long, flow double, length double, line array<struct<x: double, y: double>>, unconnected long"
-
-
-@dataclass(frozen=True)
-class Options:
-    cell: float = 10.0
-    passes: int = 2
-    #: Edges that may meet in a fork or tie-in place.
-    max_degree: int = 4
-    #: Rounds in which every branch may be laid anew.
-    relinks: int = 2
-    #: Straighten edges and move forks where nothing is in the way.
-    pull: bool = True
-    margin: float = 20.0
-    max_cells: int = 4_000_000
-
-
-@dataclass
-class Tile:
-    """One tile's input: points (id, x, y, flow), tie-in places (id, x, y), boxes to keep out of (x0, y0, x1, y1)."""
-
-    points: list[tuple[int, float, float, float]] = field(default_factory=list)
-    ties: list[tuple[int, float, float]] = field(default_factory=list)
-    boxes: list[tuple[float, float, float, float]] = field(default_factory=list)
-
-
-@dataclass
-class Edge:
-    edge: int
-    parent: int
-    node: int
-    flow: float
-    line: list[tuple[float, float]]
-
-    @property
-    def length(self) -> float:
-        return sum(math.dist(a, b) for a, b in zip(self.line, self.line[1:], strict=False))
+#: Rows of a plan: edges; ids of unconnected points; notes (warnings and counts, as ``CODE: text``).
+EDGE = "tile long, variant int, edge int, parent int, node long, flow double, length double, line array<struct<x: double, y: double>>, unconnected long, root long, note string"
 
 
 class Planner(Protocol):
@@ -91,73 +59,6 @@ class Registry:
         return [(n, n == self.default) for n in sorted(self.planners)]
 
 
-class Grid:
-    def __init__(self, tile: Tile, o: Options) -> None:
-        xs = [p[1] for p in tile.points] + [t[1] for t in tile.ties]
-        ys = [p[2] for p in tile.points] + [t[2] for t in tile.ties]
-        self.x0, self.y0 = min(xs) - o.margin, min(ys) - o.margin
-        wide, high = max(xs) + o.margin - self.x0, max(ys) + o.margin - self.y0
-        self.cell = o.cell
-        if (wide / self.cell + 2) * (high / self.cell + 2) > o.max_cells:
-            raise ValueError(f"a tile of {wide:.0f} by {high:.0f} has more than {o.max_cells} cells of {o.cell}: plan smaller tiles or set another cell")
-        self.w, self.h = int(wide / self.cell) + 1, int(high / self.cell) + 1
-        self.blocked = np.zeros((self.h, self.w), bool)
-        cx, cy = self.x0 + (np.arange(self.w) + 0.5) * self.cell, self.y0 + (np.arange(self.h) + 0.5) * self.cell
-        for a, b, c, d in tile.boxes:
-            i, j = np.searchsorted(cx, a, "right"), np.searchsorted(cx, c, "left")
-            k, m = np.searchsorted(cy, b, "right"), np.searchsorted(cy, d, "left")
-            self.blocked[k:m, i:j] = True
-        # Boxes by blocks of space, for exact tests of straight ways.
-        self.size = 4 * self.cell
-        self.boxes: dict[tuple[int, int], list[tuple[float, float, float, float]]] = defaultdict(list)
-        for box in tile.boxes:
-            for bx in range(int(box[0] // self.size), int(box[2] // self.size) + 1):
-                for by in range(int(box[1] // self.size), int(box[3] // self.size) + 1):
-                    self.boxes[bx, by].append(box)
-        self.steps: dict[tuple[int, int], bool] = {}
-
-    def free(self, a: tuple[float, float], b: tuple[float, float]) -> bool:
-        """Whether the straight way goes through no box, but for boxes that hold one of its ends."""
-        for bx in range(int(min(a[0], b[0]) // self.size), int(max(a[0], b[0]) // self.size) + 1):
-            for by in range(int(min(a[1], b[1]) // self.size), int(max(a[1], b[1]) // self.size) + 1):
-                for box in self.boxes.get((bx, by), ()):
-                    if goes_through(a, b, box) and not within(a, box) and not within(b, box):
-                        return False
-        return True
-
-    def step(self, c: int, n: int) -> bool:
-        key = (c, n) if c < n else (n, c)
-        if key not in self.steps:
-            self.steps[key] = self.free(self.centre(c), self.centre(n))
-        return self.steps[key]
-
-    def at(self, x: float, y: float) -> int:
-        return min(self.h - 1, max(0, int((y - self.y0) / self.cell))) * self.w + min(self.w - 1, max(0, int((x - self.x0) / self.cell)))
-
-    def centre(self, c: int) -> tuple[float, float]:
-        return self.x0 + (c % self.w + 0.5) * self.cell, self.y0 + (c // self.w + 0.5) * self.cell
-
-
-def within(p: tuple[float, float], box: tuple[float, float, float, float]) -> bool:
-    return box[0] < p[0] < box[2] and box[1] < p[1] < box[3]
-
-
-def goes_through(a: tuple[float, float], b: tuple[float, float], box: tuple[float, float, float, float]) -> bool:
-    """Whether a segment has a part inside a box; touching a side or a corner is none."""
-    low, high = 0.0, 1.0
-    for p, q, near, far in ((a[0], b[0], box[0], box[2]), (a[1], b[1], box[1], box[3])):
-        if p == q:
-            if not near < p < far:
-                return False
-            continue
-        t, u = sorted(((near - p) / (q - p), (far - p) / (q - p)))
-        low, high = max(low, t), min(high, u)
-    return high - low > 1e-9
-
-
-STEPS = [(dx, dy, math.hypot(dx, dy)) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-
-
 def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, float] | None, back: dict[int, int] | None = None, limit: float = math.inf, degree: int = 4) -> tuple[dict[int, int], set[int]]:
     """Each forest cell's way back (its parent cell, -1 at a source), and the targets reached.
 
@@ -204,15 +105,11 @@ def grow(grid: Grid, sources: list[int], targets: set[int], price: dict[int, flo
                     settled.discard(k)
                     heapq.heappush(heap, (0.0, k))
             continue
-        col, row, before = c % grid.w, c // grid.w, parent[c]
-        dx0, dy0 = (col - before % grid.w, row - before // grid.w) if before != -1 else (0, 0)
-        weight = grid.cell * (price.get(c, 1.0) if price else 1.0)
-        for dx, dy, step in STEPS:
-            x, y = col + dx, row + dy
-            if not (0 <= x < grid.w and 0 <= y < grid.h) or dx * dx0 + dy * dy0 < 0:
-                continue
-            n = y * grid.w + x
-            if n in forest or back and n in back or blocked[n] and n not in targets or dx and dy and (blocked[row * grid.w + x] or blocked[y * grid.w + col]):
+        before, here = parent[c], grid.centre(c)
+        ux, uy = (here[0] - grid.centre(before)[0], here[1] - grid.centre(before)[1]) if before != -1 else (0.0, 0.0)
+        weight = (price.get(c, 1.0) if price else 1.0) * float(grid.factor.flat[c])
+        for n, dx, dy, step in grid.beside(c):
+            if dx * ux + dy * uy < -1e-9 or n in forest or back and n in back or blocked[n] and n not in targets:
                 continue
             new = dist[c] + step * weight
             if new < dist.get(n, math.inf) and grid.step(c, n):
@@ -228,7 +125,7 @@ def relink(grid: Grid, forest: dict[int, int], reached: set[int], rounds: int, p
 
     def cost(way: list[int]) -> float:
         """As the wave counts it: a step weighs by the cell it leaves."""
-        return sum(math.dist(grid.centre(a), grid.centre(b)) * (price.get(a, 1.0) if price else 1.0) for a, b in zip(way, way[1:], strict=False))
+        return sum(math.dist(grid.centre(a), grid.centre(b)) * (price.get(a, 1.0) if price else 1.0) * float(grid.factor.flat[a]) for a, b in zip(way, way[1:], strict=False))
 
     for _ in range(rounds):
         better = False
@@ -267,50 +164,13 @@ def relink(grid: Grid, forest: dict[int, int], reached: set[int], rounds: int, p
 
 def local(grid: Grid, forest: dict[int, int], target: int, reach: float) -> list[int]:
     """Forest cells within ``reach`` of a cell (price factors are at most 1, so all cells where they apply)."""
-    k = int(reach / grid.cell) + 1
+    k = int(reach / grid.row) + 2
     if k * k > len(forest):
         return sorted(forest)
     col, row = target % grid.w, target // grid.w
     return sorted(c for y in range(max(0, row - k), min(grid.h, row + k + 1)) for x in range(max(0, col - k), min(grid.w, col + k + 1)) if (c := y * grid.w + x) in forest)
 
 
-def crosses(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float], d: tuple[float, float]) -> bool:
-    """Whether two segments meet anywhere but at a shared end."""
-    if {a, b} & {c, d}:
-        return False
-
-    def side(p, q, r):
-        v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-        return (v > 1e-9) - (v < -1e-9)
-
-    return side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
-
-
-def turns_little(line: list[tuple[float, float]]) -> bool:
-    return all((b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]) >= -1e-9 for a, b, c in zip(line, line[1:], line[2:], strict=False))
-
-
-class Segments:
-    """All edges' segments in blocks of space, to ask which may meet a new one."""
-
-    def __init__(self, size: float) -> None:
-        self.size = size
-        self.blocks: dict[tuple[int, int], set[tuple[int, tuple[float, float], tuple[float, float]]]] = defaultdict(set)
-
-    def around(self, a: tuple[float, float], b: tuple[float, float]) -> Iterator[tuple[int, int]]:
-        for x in range(int(min(a[0], b[0]) // self.size), int(max(a[0], b[0]) // self.size) + 1):
-            for y in range(int(min(a[1], b[1]) // self.size), int(max(a[1], b[1]) // self.size) + 1):
-                yield x, y
-
-    def put(self, edge: int, line: list[tuple[float, float]], gone: bool = False) -> None:
-        for a, b in zip(line, line[1:], strict=False):
-            for block in self.around(a, b):
-                (self.blocks[block].discard if gone else self.blocks[block].add)((edge, a, b))
-
-    def free(self, own: set[int], a: tuple[float, float], b: tuple[float, float]) -> bool:
-        return not any(e not in own and crosses(a, b, p, q) for block in self.around(a, b) for e, p, q in self.blocks.get(block, ()))
-
-
 def pulled(grid: Grid, edges: list[Edge]) -> list[Edge]:
     """Edges with vertices left out where the straight way is free, turns stay small and no other edge is crossed."""
     by = {e.edge: e for e in edges}
@@ -356,7 +216,7 @@ def relocated(grid: Grid, edges: list[Edge], price: Callable[[float], float]) ->
         lines = [[*before, *e.line[:-1], new], *([e.line[-2], new, *f.line[1:]] for f in out)]
         below = [[new, f.line[1], g.line[1]] for f in out if len(f.line) == 2 for g in children[f.edge]]
         own = {e.edge, *(f.edge for f in out)}
-        if gain > 1e-6 and all(map(turns_little, [*lines, *below])) and not any(within(new, box) for box in grid.boxes.get((int(new[0] // grid.size), int(new[1] // grid.size)), ())) and all(grid.free(new, p) for p, _ in arms):
+        if gain > 1e-6 and all(map(turns_little, [*lines, *below])) and not grid.held(new) and all(grid.free(new, p) for p, _ in arms):
             if all(segments.free(own, new, p) for p, _ in arms):
                 for f in (e, *out):
                     segments.put(f.edge, f.line, gone=True)
@@ -384,29 +244,52 @@ def spanning(places: list[tuple[float, float]]) -> float:
     return total
 
 
-def straight(chain: list[int]) -> list[int]:
-    """The chain without cells on the way straight on."""
-    out = chain[:1]
-    for before, c, after in zip(chain, chain[1:], chain[2:], strict=False):
-        if (c - before) != (after - c):
-            out.append(c)
-    return out + chain[-1:] if len(chain) > 1 else out
-
-
 @dataclass
 class GridForest:
     options: Options = field(default_factory=Options)
     catalogues: Catalogues = DEFAULT
 
     def plan(self, tile: Tile) -> tuple[list[list[Edge]], list[int]]:
+        """Variants of a tile; gates come closer while points stay unconnected and that connects more of them."""
+        found = self.searched(tile)
+        for k in range(self.options.gate_retries):
+            step = min((s.step for s in tile.shapes if s.step), default=0.0) / 2
+            if not found[1] or not tile.points or step < self.options.least_step:
+                break
+            tile = replace(tile, shapes=[replace(s, step=s.step / 2) if s.step else s for s in tile.shapes])
+            again = self.searched(tile)
+            if len(again[1]) < len(found[1]):
+                tile.notes.append(f"GATES_RETRIED: gates every {step:g} m connect {len(found[1]) - len(again[1])} points more")
+                found = again
+        return found
+
+    def searched(self, tile: Tile) -> tuple[list[list[Edge]], list[int]]:
         if not tile.points or not tile.ties:
             return [], [p[0] for p in tile.points]
-        grid = Grid(tile, self.options)
+        o, grid = self.options, Grid(tile, self.options)
+        roots: dict[int, tuple[int, float, float]] = {}
+        for tie in tile.ties:
+            c = grid.nearest_free(grid.at(tie[1], tie[2]), o.snap)
+            if c is None:
+                tile.notes.append(f"TIE_IN_BLOCKED: {tie[0]}")
+            elif c not in roots or tie[0] >= 0 > roots[c][0]:  # a chamber goes before a place on a pipe
+                roots[c] = tie
+        sources = sorted(roots)
+        if not sources:
+            return [], [p[0] for p in tile.points]
+        where = {p[0]: (p[1], p[2]) for p in tile.points}
+        if tile.others:
+            seen = grid.reachable(sources)
+            for p in tile.points:
+                ways = [where[p[0]], *tile.others.get(p[0], ())]
+                ok = [w for w in ways if seen[grid.at(*w)]]
+                if ok and ok[0] != ways[0]:
+                    tile.notes.append(f"EXIT_CHANGED: {p[0]}")
+                where[p[0]] = ok[0] if ok else ways[0]
         at: dict[int, list[tuple[int, float, float, float]]] = defaultdict(list)
         for p in sorted(tile.points):
             if p[3] and p[3] > 0:  # points without flow are not connected
-                at[grid.at(p[1], p[2])].append(p)
-        sources = sorted({grid.at(x, y) for _, x, y in tile.ties})
+                at[grid.at(*where[p[0]])].append((p[0], *where[p[0]], p[3]))
         for c, ps in at.items():  # an edge ends in a cell's centre; further points of the cell must see it
             at[c] = [p for i, p in enumerate(ps) if i == 0 and c not in sources or grid.free(grid.centre(c), (p[1], p[2]))]
         for c in [*sources, *at]:
@@ -416,15 +299,21 @@ class GridForest:
         price: dict[int, float] | None = None
         best = math.inf
         lost = {p[0] for p in tile.points} - {p[0] for c in at for p in at[c]}
-        for _ in range(self.options.passes):
-            forest, reached = grow(grid, sources, targets, price, degree=self.options.max_degree)
-            forest = relink(grid, forest, reached, self.options.relinks, price, self.options.max_degree)
+        for number in range(o.passes):
+            forest, reached = grow(grid, sources, targets, price, degree=o.max_degree)
+            forest = relink(grid, forest, reached, o.relinks, price, o.max_degree)
             edges, cells = self.extract(grid, forest, at, sources, reached)
-            if self.options.pull:
+            for e in edges:
+                if not e.parent:
+                    e.root = roots[grid.at(*e.line[0])][0]
+            if o.pull:
                 edges = relocated(grid, pulled(grid, edges), self.price)
+            if o.repair:
+                edges = repaired(grid, edges, self.price, o.max_degree, self.catalogues.chambers[0][1], tile.notes)
             score = sum(e.length * self.price(e.flow) for e in edges)
             variants.append(edges)
             lost |= {p[0] for c in targets - reached for p in at[c]}
+            tile.notes.append(f"SEARCHED: pass {number + 1}, cells {grid.w * grid.h}, blocked {int(grid.blocked.sum())}, reached {len(reached)} of {len(targets)}, score {score:.0f}")
             if score >= best:
                 break
             best = score
@@ -458,7 +347,7 @@ class GridForest:
                     c = children[c][0]
                     chain.append(c)
                 number = len(edges) + 1
-                line = [grid.centre(k) for k in straight(chain)]
+                line = [grid.centre(k) for k in straight(grid, chain)]
                 node = at[c][0][0] if c in reached else -c - 1
                 edges.append(Edge(number, above, node, flow[chain[1]], line))
                 # Further points in the same cell share its end.
@@ -475,29 +364,64 @@ REGISTRY = Registry("grid-forest")
 REGISTRY.add("grid-forest", GridForest())
 
 
-def plan(points: DataFrame, ties: DataFrame, boxes: DataFrame, planner: Planner | None = None) -> DataFrame:
+def counts(rows: DataFrame) -> DataFrame:
+    """(tile, pass, cells, blocked, reached, targets, score) of every search, read from the notes of a plan."""
+    pattern = r"SEARCHED: pass (\d+), cells (\d+), blocked (\d+), reached (\d+) of (\d+), score (\d+)"
+    names = ("pass", "cells", "blocked", "reached", "targets", "score")
+    found = rows.filter(F.startswith("note", F.lit("SEARCHED")))
+    return found.select("tile", *[F.regexp_extract("note", pattern, i + 1).cast("long").alias(n) for i, n in enumerate(names)])
+
+
+SHAPE = "struct<sides: array<struct<ax: double, ay: double, bx: double, by: double>>, area: boolean, keep: double, factor: int, step: double>"
+
+
+def plan(points: DataFrame, ties: DataFrame, boxes: DataFrame | None = None, planner: Planner | None = None, shapes: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
     """Edges of all tiles.  points (tile, id, x, y, flow), ties (tile, id, x, y), boxes (tile, x0, y0, x1, y1).
 
-    Rows of the three inputs are tagged and grouped by tile in the JVM; a tile is
-    the unit of search and must fit a task, which the tiling decides.
+    shapes (tile, sides, area, keep, factor, step): obstacles with the distance to keep
+    (``step``: gates through their band), or, with a factor, dear ground.  others (tile,
+    id, x, y, nth): further places that a point may be reached at.
+
+    Rows of the inputs are tagged and grouped by tile in the JVM; a tile is the unit of
+    search and must fit a task, which the tiling decides.
     """
     planner = planner or REGISTRY.get()
-    zero = F.lit(0.0)
-    d = [F.col(c).cast("double") for c in ("x", "y")]
-    rows = points.select("tile", F.struct(F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), d[0].alias("a"), d[1].alias("b"), F.col("flow").cast("double").alias("c"), zero.alias("d")).alias("r"))
-    rows = rows.union(ties.select("tile", F.struct(F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), d[0].alias("a"), d[1].alias("b"), zero.alias("c"), zero.alias("d")).alias("r")))
-    rows = rows.union(boxes.select("tile", F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in (("x0", "a"), ("y0", "b"), ("x1", "c"), ("y1", "d"))]).alias("r")))
+
+    def tagged(df: DataFrame, kind: int, id_: Column, *numbers: Column, shape: Column | None = None) -> DataFrame:
+        four = [n.cast("double") for n in numbers] + [F.lit(0.0)] * (4 - len(numbers))
+        r = F.struct(F.lit(kind).alias("kind"), id_.cast("long").alias("id"), *[n.alias(a) for n, a in zip(four, "abcd", strict=True)], (F.lit(None) if shape is None else shape).cast(SHAPE).alias("shape"))
+        return df.select("tile", r.alias("r"))
+
+    c, zero = F.col, F.lit(0)
+    rows = tagged(points, 0, c("id"), c("x"), c("y"), c("flow")).union(tagged(ties, 1, c("id"), c("x"), c("y")))
+    if boxes is not None:
+        rows = rows.union(tagged(boxes, 2, zero, c("x0"), c("y0"), c("x1"), c("y1")))
+    if shapes is not None:
+        rows = rows.union(tagged(shapes, 3, zero, shape=F.struct("sides", "area", c("keep").cast("double").alias("keep"), c("factor").cast("int").alias("factor"), c("step").cast("double").alias("step"))))
+    if others is not None:
+        rows = rows.union(tagged(others, 4, c("id"), c("nth"), c("x"), c("y")))
     tiles = rows.groupBy("tile").agg(F.sort_array(F.collect_list("r")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tile", "variant", "edge", "parent", "node", "flow", "length", "line", "unconnected"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), pa.int64()]
+        names = ["tile", "variant", "edge", "parent", "node", "flow", "length", "line", "unconnected", "root", "note"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             for tile, found in zip(batch.column("tile").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                t = Tile([(r["id"], r["a"], r["b"], r["c"]) for r in found if r["kind"] == 0], [(r["id"], r["a"], r["b"]) for r in found if r["kind"] == 1], [(r["a"], r["b"], r["c"], r["d"]) for r in found if r["kind"] == 2])
+                of: dict[int, list[dict]] = defaultdict(list)
+                for r in found:
+                    of[r["kind"]].append(r)
+                more: dict[int, list[tuple[float, float]]] = defaultdict(list)
+                for r in of[4]:  # sorted by point and place
+                    more[r["id"]].append((r["b"], r["c"]))
+                whole = [Shape(tuple((x["ax"], x["ay"], x["bx"], x["by"]) for x in r["shape"]["sides"]), r["shape"]["area"], r["shape"]["keep"], r["shape"]["factor"] or 0, r["shape"]["step"] or 0.0) for r in of[3]]
+                t = Tile([(r["id"], r["a"], r["b"], r["c"]) for r in of[0]], [(r["id"], r["a"], r["b"]) for r in of[1]], [(r["a"], r["b"], r["c"], r["d"]) for r in of[2]], whole, dict(more))
                 variants, lost = planner.plan(t)
-                out = [(tile, v + 1, e.edge, e.parent, e.node, e.flow, e.length, [{"x": x, "y": y} for x, y in e.line], None) for v, edges in enumerate(variants) for e in edges]
-                out += [(tile, 0, None, None, None, None, None, None, i) for i in lost]
+                out = [(tile, v + 1, e.edge, e.parent, e.node, e.flow, e.length, [{"x": x, "y": y} for x, y in e.line], None, e.root, None) for v, edges in enumerate(variants) for e in edges]
+                out += [(tile, 0, None, None, None, None, None, None, i, None, None) for i in lost]
+                out += [(tile, 0, None, None, None, None, None, None, None, None, note) for note in dict.fromkeys(t.notes)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     return tiles.mapInArrow(run, EDGE)
+
+
+__all__ = ["Edge", "Grid", "GridForest", "Options", "REGISTRY", "Registry", "Segments", "Tile", "counts", "crosses", "plan", "replace", "spanning", "turns_little"]

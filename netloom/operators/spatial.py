@@ -213,6 +213,22 @@ def nearest_on_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
     return out
 
 
+def tie_candidates(chambers: DataFrame, segments: DataFrame, points: DataFrame, step: float) -> DataFrame:
+    """(x_cm, y_cm, source, x, y): places where new pipes may begin: chambers (source 1), places every ``step`` metres along
+    segments (2), and the places nearest to points on their nearest segment (3); one for each centimetre, the first source wins."""
+    length = S.distance(*map(F.col, ("x1", "y1", "x2", "y2")))
+    t = F.col("k") * step / F.when(length > 0, length).otherwise(1)
+    samples = segments.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(length / step).cast("int"))))
+    rows = chambers.select(F.lit(1).alias("source"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = rows.unionByName(samples.select(F.lit(2).alias("source"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y")))
+    spots = points.select("cp_id", "x", "y")
+    feet = nearest_on_segments(spots, segments).join(spots, "cp_id").join(segments, "seg_id")
+    u = S.position_on(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
+    rows = rows.unionByName(feet.select(F.lit(3).alias("source"), (F.col("x1") + u * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + u * (F.col("y2") - F.col("y1"))).alias("y")))
+    cm = [S.rounded(F.round(F.col(v) * 100, 6)).alias(f"{v}_cm") for v in ("x", "y")]
+    return rows.groupBy(*cm).agg(F.min(F.struct("source", "x", "y")).alias("b")).select("x_cm", "y_cm", "b.source", "b.x", "b.y")
+
+
 def tiles(rects: DataFrame, size: int, margin: int) -> DataFrame:
     """(r_id, tc, tr): every tile that a box, widened by the margin, reaches."""
     return binned(rects, "x0", "y0", "x1", "y1", margin, size).select("r_id", F.col("_bin.bx").alias("tc"), F.col("_bin.by").alias("tr"))

@@ -1151,6 +1151,139 @@ def _(spark, d):
     return parts.join(found.withColumn("through", F.lit(True)), "seg_id", "left").groupBy(F.coalesce("through", F.lit(False)).alias("through")).agg(F.count("*").alias("segments"), F.round(F.sum(S.distance(*map(F.col, ("x1", "y1", "x2", "y2")))), 3).alias("length"))
 
 
+# Checks of a network with faults in it.
+
+
+def result_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with references to their ends, some of them wrong, some ends beside their node."""
+    s = T.net_segments(spark, d)
+    off = F.when(F.col("seg_id") % 5 == 0, 0.25).otherwise(0.0)
+    to = F.when(F.col("seg_id") % 7 == 0, F.col("seg_id") + 1_000_000).otherwise(F.col("seg_id") + 1)
+    return s.select("seg_id", F.col("seg_id").alias("from_id"), to.alias("to_id"), "x1", "y1", (F.col("x2") + off).alias("x2"), "y2")
+
+
+RESULT = ", result AS (SELECT seg_id, seg_id AS from_id, CASE WHEN seg_id % 7 = 0 THEN seg_id + 1000000 ELSE seg_id + 1 END AS to_id, x1, y1, x2 + CASE WHEN seg_id % 5 = 0 THEN 0.25 ELSE 0.0 END AS x2, y2 FROM net_segments)"
+
+
+@query("val02_loose_ends", "net_segments", f"{RESULT} SELECT seg_id, 'to' AS end, to_id AS node_id, round(sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)), 6) AS off FROM result LEFT JOIN net_nodes ON node_id = to_id WHERE node_id IS NULL OR sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) >= 1e-5")
+def _(spark, d):
+    return validation.loose_ends(result_segments(spark, d), T.net_nodes(spark, d))
+
+
+@query("val09_dangling_ends", "net_segments", f"{RESULT} SELECT to_id AS node_id, seg_id FROM result WHERE to_id NOT IN (SELECT node_id FROM net_nodes)")
+def _(spark, d):
+    references = result_segments(spark, d).select("seg_id", F.explode(F.array("from_id", "to_id")).alias("node_id"))
+    return validation.dangling(references, T.net_nodes(spark, d)).select("node_id", "seg_id")
+
+
+@query("val06_crowded_chambers", "net_nodes net_segments cps", f"{USED} SELECT node_id, pipes + used AS degree FROM degree WHERE pipes + used > 3")
+def _(spark, d):
+    return validation.crowded(chamber_degrees(spark, d), 3)
+
+
+@query("val05_sharp_turns", "net_nodes", ", street AS (SELECT node_id // 25 AS line, node_id AS pos, x + CASE WHEN node_id % 6 = 0 THEN 45 ELSE 0 END AS x, y FROM net_nodes) SELECT line, pos, round(t, 6) AS turn FROM (SELECT line, pos, degrees(atan2(abs(CAST(ax * by_ - ay * bx AS DOUBLE)), CAST(ax * bx + ay * by_ AS DOUBLE))) AS t FROM (SELECT line, pos, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS by_ FROM street WINDOW w AS (PARTITION BY line ORDER BY pos)) WHERE ax IS NOT NULL AND bx IS NOT NULL) WHERE t > 90.05")
+def _(spark, d):
+    bent = street(spark, d).withColumn("x", F.col("x") + F.when(F.col("pos") % 6 == 0, 45).otherwise(0))
+    return validation.sharp_turns(bent, "line", "pos").select("line", "pos", F.round("turn", 6).alias("turn"))
+
+
+@query("val08_missing_exits", "cps rects", EXITS.replace("SELECT cp_id, r_id, side, ex, ey, inside + 5.0 AS tail, CAST(row_number() OVER (PARTITION BY cp_id ORDER BY inside, side) AS INT) AS nth FROM w", "SELECT DISTINCT cp_id FROM w") + " AND cp_id % 3 = 0")
+def _(spark, d):
+    """Lines of every third point end a metre beside the exit."""
+    exits = QUERIES["gr34_exits"](spark, d).filter("nth = 1").select("cp_id", "ex", "ey")
+    return validation.missing_exits(exits, exits.select("cp_id", (F.col("ex") + F.when(F.col("cp_id") % 3 == 0, 1.0).otherwise(0.0)).alias("x"), F.col("ey").alias("y")))
+
+
+@query(
+    "val10_branching_faults",
+    "edges",
+    """, e AS (SELECT *, 2 + n % 5 AS vertices, flow > 30 AS point, n % 2 = 0 AS chamber FROM edges), k AS (SELECT e.*, (SELECT count(*) FROM edges c WHERE c.tree = e.tree AND c.parent = e.n) AS children FROM e)
+    SELECT what, count(*) AS n FROM (SELECT 'FORK_OUTSIDE_CHAMBER' AS what FROM k WHERE children > 1 AND NOT chamber UNION ALL SELECT 'MANY_VERTICES' FROM k WHERE vertices > 4 UNION ALL SELECT 'SHORT_TAIL' FROM k WHERE point AND len_m < 20 UNION ALL SELECT 'SHARED_CHAMBER' FROM (SELECT tree, parent FROM k WHERE point GROUP BY tree, parent HAVING count(*) > 1)) GROUP BY what""",
+)
+def _(spark, d):
+    e = T.edges(spark, d).withColumns({"vertices": 2 + F.col("n") % 5, "point": F.col("flow") > 30, "chamber": F.col("n") % 2 == 0})
+    return validation.branching(e, 4, 20.0)
+
+
+# Candidates, bounds, cells.
+
+
+@query(
+    "st01_tie_candidates",
+    "net_segments cps",
+    """, s AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS l FROM net_segments), k AS (SELECT *, unnest(generate_series(0, CAST(floor(l / 1.0) AS BIGINT))) AS k FROM s),
+    f AS (SELECT cp_id, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y, round(sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2)), 6) AS off, seg_id FROM (SELECT c.cp_id, c.x AS px, c.y AS py, s.*, greatest(0.0, least(1.0, ((c.x - x1) * (x2 - x1) + (c.y - y1) * (y2 - y1)) / CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))) AS t FROM cps c CROSS JOIN s)),
+    u AS (SELECT 1 AS source, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM net_nodes WHERE is_chamber UNION ALL SELECT 2, x1 + k / l * (x2 - x1), y1 + k / l * (y2 - y1) FROM k UNION ALL SELECT 3, arg_min(x, (off, seg_id)), arg_min(y, (off, seg_id)) FROM f GROUP BY cp_id)
+    SELECT CAST(floor(round(x * 100, 6) + 0.5) AS BIGINT) AS x_cm, CAST(floor(round(y * 100, 6) + 0.5) AS BIGINT) AS y_cm, min(source) AS source FROM u GROUP BY 1, 2""",
+)
+def _(spark, d):
+    chambers = T.net_nodes(spark, d).filter("is_chamber").select("x", "y")
+    return spatial.tie_candidates(chambers, T.net_segments(spark, d), T.connection_points(spark, d), 1.0).select("x_cm", "y_cm", "source")
+
+
+@query("ag15_factor_bound", "net_segments rects rules", f", z AS ({RULED}) SELECT seg_id, max(factor) AS k FROM net_segments s JOIN z r ON r.mode = 'SPECIAL' AND least(s.x1, s.x2) <= r.x1 AND greatest(s.x1, s.x2) >= r.x0 AND least(s.y1, s.y2) <= r.y1 AND greatest(s.y1, s.y2) >= r.y0 GROUP BY seg_id")
+def _(spark, d):
+    """Not less than the factor of any stretch: envelopes only."""
+    zones = ruled(spark, d).filter("mode = 'SPECIAL'").select("r_id", "factor", *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
+    pairs = spatial.candidates(T.net_segments(spark, d), spatial.segment_box(), zones, spatial.corners("rx0", "ry0", "rx1", "ry1"))
+    return pairs.groupBy("seg_id").agg(F.max("factor").alias("k"))
+
+
+@query("jn26_rename_but_keep", "edges net_nodes", "SELECT tree, n, CASE WHEN parent = 0 THEN 'root' WHEN k.node_id IS NOT NULL THEN CAST(parent AS VARCHAR) ELSE 't' || (tree % 4) || '/' || parent END AS from_id FROM edges LEFT JOIN (SELECT node_id FROM net_nodes WHERE is_chamber) k ON k.node_id = parent")
+def _(spark, d):
+    """Chambers of the existing network keep their ids; all other nodes get their tile before theirs."""
+    keep = T.net_nodes(spark, d).filter("is_chamber").select(F.col("node_id").alias("parent"), F.lit(True).alias("kept"))
+    out = T.edges(spark, d).withColumn("parent", F.col("parent").cast("long")).join(keep, "parent", "left")
+    name = F.when(F.col("parent") == 0, "root").when(F.col("kept"), F.col("parent").cast("string")).otherwise(F.concat(F.lit("t"), (F.col("tree") % 4).cast("string"), F.lit("/"), F.col("parent").cast("string")))
+    return out.select("tree", "n", name.alias("from_id"))
+
+
+@query("ge13_hex_cell_of_point", "cps", "SELECT cp_id, CAST(arg_min(r, (off, r, c)) AS INT) AS row, CAST(arg_min(c, (off, r, c)) AS INT) AS col FROM (SELECT cp_id, r, c, round(pow(x - (c + CASE WHEN r % 2 = 1 THEN 0.5 ELSE 0 END) * 7.0, 2) + pow(y - r * (7.0 * sqrt(3) / 2), 2), 9) AS off FROM (SELECT cp_id, x, y, r, unnest([CAST(floor(x / 7.0) AS BIGINT) - 1, CAST(floor(x / 7.0) AS BIGINT), CAST(floor(x / 7.0) AS BIGINT) + 1]) AS c FROM (SELECT *, unnest([CAST(floor(y / (7.0 * sqrt(3) / 2)) AS BIGINT), CAST(floor(y / (7.0 * sqrt(3) / 2)) AS BIGINT) + 1]) AS r FROM cps))) GROUP BY cp_id")
+def _(spark, d):
+    cell = S.hex_cell(F.col("x").cast("double"), F.col("y").cast("double"), 7.0)
+    return T.connection_points(spark, d).select("cp_id", cell.alias("h")).select("cp_id", "h.row", "h.col")
+
+
+@query("ge13_hex_neighbours", "cps", "SELECT cp_id, CAST(0 AS BIGINT) AS n, false AS one_cell_off FROM cps WHERE sqrt(pow(10.0 * 0.5, 2) + pow(10.0 * sqrt(3) / 2, 2)) > 10.0 + 1e-6")
+def _(spark, d):
+    """Points whose cell has not six neighbours one cell off; there are none."""
+    cells = T.connection_points(spark, d).select("cp_id", F.floor(F.col("x") / 10).alias("col"), (F.floor(F.col("y") / 10) + 1).alias("row"))
+    rows = cells.select("cp_id", "row", "col", F.explode(S.hex_neighbours(F.col("row"), F.col("col"))).alias("b"))
+    here, there = S.hex_centre(F.col("col"), F.col("row"), 10.0), S.hex_centre(F.col("b.col"), F.col("b.row"), 10.0)
+    off = F.abs(S.distance(*here, *there) - 10.0) < 1e-6
+    return rows.groupBy("cp_id").agg(F.countDistinct("b").alias("n"), F.every(off).alias("one_cell_off")).filter("n <> 6 or not one_cell_off")
+
+
+@query(
+    "ge14_cells_on_segments",
+    "net_segments",
+    """, s AS (SELECT seg_id, x1 + 0.37 AS a, y1 + 0.61 AS b, x2 + 0.37 AS c, y2 + 0.61 AS e FROM net_segments),
+    g AS (SELECT s.*, col, unnest(generate_series(CAST(floor(least(b, e) / 7.0) AS BIGINT), CAST(floor(greatest(b, e) / 7.0) AS BIGINT))) AS row FROM (SELECT *, unnest(generate_series(CAST(floor(least(a, c) / 7.0) AS BIGINT), CAST(floor(greatest(a, c) / 7.0) AS BIGINT))) AS col FROM s) s),
+    w AS (SELECT *, CASE WHEN c <> a THEN least((col * 7 - a) / (c - a), (col * 7 + 7 - a) / (c - a)) ELSE 0.0 END AS u0, CASE WHEN c <> a THEN greatest((col * 7 - a) / (c - a), (col * 7 + 7 - a) / (c - a)) ELSE 1.0 END AS u1, CASE WHEN e <> b THEN least((row * 7 - b) / (e - b), (row * 7 + 7 - b) / (e - b)) ELSE 0.0 END AS v0, CASE WHEN e <> b THEN greatest((row * 7 - b) / (e - b), (row * 7 + 7 - b) / (e - b)) ELSE 1.0 END AS v1 FROM g)
+    SELECT seg_id, col, row FROM w WHERE greatest(u0, v0, 0.0) < least(u1, v1, 1.0)""",
+)
+def _(spark, d):
+    from netloom.operators import shapes
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ends = zip(*(batch.column(c).to_pylist() for c in ("seg_id", "a", "b", "c", "e")), strict=True)
+            found = [(i, *cell) for i, a, b, c, e in ends for cell in shapes.cells_on((a, b), (c, e), 7.0)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["seg_id", "col", "row"])
+
+    moved = T.net_segments(spark, d).select("seg_id", *[(F.col(n) + o).alias(m) for n, m, o in (("x1", "a", 0.37), ("y1", "b", 0.61), ("x2", "c", 0.37), ("y2", "e", 0.61))])
+    return moved.mapInArrow(run, "seg_id long, col long, row long")
+
+
+@query("ag14_search_counts")
+def _(spark, d):
+    from netloom.operators import planner
+
+    return planner.counts(planned(spark, d))
+
+
 # Polygons.
 
 IN_PLOTS = f"""covered AS (SELECT c.cp_id, c.flow, p.r_id, p.rtype, count(*) FILTER (WHERE {ray_meets("c.x", "c.y")}) % 2 = 1 AS inside, min({point_segment("c.x", "c.y", "ax", "ay", "bx", "by_")}) <= 1e-9 AS on_edge

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def feature(geometry: Column | None, properties: Column) -> Column:
-    """The JSON text of one feature; without a geometry it is null."""
+    """The JSON text of one feature; without a geometry it is null, and so are properties without a value."""
     shape = F.lit("null") if geometry is None else F.to_json(geometry)
-    return F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+    return F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), F.to_json(properties, {"ignoreNullFields": "false"}), F.lit("}"))
 
 
 def point(x: Column, y: Column) -> Column:
