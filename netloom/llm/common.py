@@ -2,78 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from netloom.sources.shared import Tables, shared_dir, written
+
 #: Bytes of text that one step of an Arrow function holds at a time.
 BATCH_BYTES = 2 << 20
 #: Rows that Spark sends to an Arrow function at a time, at most.
 BATCH_ROWS = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        own = tempfile.mkdtemp(prefix="netloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        named = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Tables:
-    """Written tables of one operator, which go when nothing reads them any more."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        return self.counted(df, name, F.count(F.lit(1)).alias("n"))[0]
-
-    def counted(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
-        """The table, and measures of its rows (their number, if no other are named) taken as they were written."""
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths.setdefault(name, []).append(path)
-        seen = Observation()
-        df.observe(seen, *(measures or (F.count(F.lit(1)).alias("n"),))).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), seen.get
-
-    def drop(self, *names: str) -> None:
-        """Remove these tables; all if none is named."""
-        for name in names or list(self.paths):
-            for path in self.paths.pop(name, ()):
-                removed(self.spark, path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
-
-
 def row_key(df: DataFrame, *seeds: int) -> list[Column]:
     """A hash of all columns for each seed, nulls told apart from what stands beside them."""
     plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(t in f.dataType.simpleString() for t in ("map<", "variant")) else F.col(f"`{f.name}`") for f in df.schema.fields]
@@ -247,3 +195,6 @@ def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[
         for i in range(size):
             total = mixed(total * np.uint64(3) + np.where(at + i < end, padded[at + i], np.uint64(0)) + np.uint64(i + 1))
     return total, out
+
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Tables", "WordHashes", "gathered", "mapped", "mixed", "plain_unions", "row_key", "shared_dir", "shared_file", "shingle_hashes", "slices", "trimmed", "words", "written"]

@@ -12,7 +12,7 @@ characters, each block an automaton in the executors' memory, so the tables may
 both be of any size.
 
 Defined results: null or empty texts hold nothing; items without a word match
-nothing; short items (few words) have no edit budget; an item that occurs several
+nothing; items of six words or less have no edit budget, as 15 % of them is none; an item that occurs several
 times in a document is reported once, at its best place; repeated rows are
 reported each; very long texts are searched whole; empty tables give an empty
 result; other columns are ignored.
@@ -36,13 +36,11 @@ from netloom.llm.common import mapped, slices, words
 class Settings:
     #: Edits allowed for each hundred words of an item.
     percent: int = 15
-    #: Items shorter than this must stand there unchanged.
-    short: int = 8
     #: Characters of benchmark text that one automaton holds.
     block_chars: int = 8_000_000
 
     def budget(self, n: int) -> int:
-        return 0 if n < self.short else n * self.percent // 100
+        return n * self.percent // 100
 
 
 def pieces(item: list[str], count: int) -> list[tuple[int, list[str]]]:
