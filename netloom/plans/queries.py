@@ -778,7 +778,7 @@ def _(spark, d):
     return depth.violations(e)
 
 
-@query("val11_planned_depths", "", "SELECT 'none' AS what, CAST(0 AS INT) AS n WHERE false")
+@query("val11_planned_depths")
 def _(spark, d):
     """Profiles that the operator makes break no rule, so the answer has no rows."""
     from netloom.operators import depth
@@ -1244,14 +1244,17 @@ def _(spark, d):
     return T.connection_points(spark, d).select("cp_id", cell.alias("h")).select("cp_id", "h.row", "h.col")
 
 
-@query("ge13_hex_neighbours", "cps", "SELECT cp_id, CAST(0 AS BIGINT) AS n, false AS one_cell_off FROM cps WHERE sqrt(pow(10.0 * 0.5, 2) + pow(10.0 * sqrt(3) / 2, 2)) > 10.0 + 1e-6")
+@query(
+    "ge13_hex_neighbours",
+    "cps",
+    """, c AS (SELECT cp_id, x // 10 AS c, y // 10 + 1 AS r FROM cps), g AS (SELECT cp_id, c, r, unnest([c - 1, c, c + 1]) AS nc, unnest([r - 1, r - 1, r - 1]) AS nr FROM c UNION ALL SELECT cp_id, c, r, unnest([c - 1, c, c + 1]), unnest([r, r, r]) FROM c UNION ALL SELECT cp_id, c, r, unnest([c - 1, c, c + 1]), unnest([r + 1, r + 1, r + 1]) FROM c),
+    d AS (SELECT *, sqrt(pow((nc + CASE WHEN nr % 2 = 1 THEN 0.5 ELSE 0 END - c - CASE WHEN r % 2 = 1 THEN 0.5 ELSE 0 END) * 10.0, 2) + pow((nr - r) * (10.0 * sqrt(3) / 2), 2)) AS off FROM g)
+    SELECT cp_id, CAST(nr AS BIGINT) AS row, CAST(nc AS BIGINT) AS col FROM d WHERE off > 1 AND off < 10.001""",
+)
 def _(spark, d):
-    """Points whose cell has not six neighbours one cell off; there are none."""
+    """The cells one cell off each point's cell (SQL tries all nine around)."""
     cells = T.connection_points(spark, d).select("cp_id", F.floor(F.col("x") / 10).alias("col"), (F.floor(F.col("y") / 10) + 1).alias("row"))
-    rows = cells.select("cp_id", "row", "col", F.explode(S.hex_neighbours(F.col("row"), F.col("col"))).alias("b"))
-    here, there = S.hex_centre(F.col("col"), F.col("row"), 10.0), S.hex_centre(F.col("b.col"), F.col("b.row"), 10.0)
-    off = F.abs(S.distance(*here, *there) - 10.0) < 1e-6
-    return rows.groupBy("cp_id").agg(F.countDistinct("b").alias("n"), F.every(off).alias("one_cell_off")).filter("n <> 6 or not one_cell_off")
+    return cells.select("cp_id", F.explode(S.hex_neighbours(F.col("row"), F.col("col"))).alias("b")).select("cp_id", F.col("b.row").cast("long").alias("row"), F.col("b.col").cast("long").alias("col"))
 
 
 @query(
@@ -1369,7 +1372,10 @@ def _(spark, d):
     return regions.in_envelope(T.plots(spark, d), 600, 500, 900, 700)
 
 
-@query("prj08_interior_blocked")
+MIDDLE = "(s.x1 + (i.s0 + i.s1) / 2 * (s.x2 - s.x1))", "(s.y1 + (i.s0 + i.s1) / 2 * (s.y2 - s.y1))"
+
+
+@query("prj08_interior_blocked", "net_segments plot_sides", f", {IN_PARTS} SELECT DISTINCT seg_id, r_id FROM (SELECT i.seg_id, i.r_id, i.s0, min({point_segment(*MIDDLE, 'p.ax', 'p.ay', 'p.bx', 'p.by_')}) AS deep FROM parts i JOIN net_segments s ON s.seg_id = i.seg_id JOIN plot_sides p ON p.r_id = i.r_id GROUP BY i.seg_id, i.r_id, i.s0) WHERE deep > 1e-3")
 def _(spark, d):
     return regions.interior_blocked(T.net_segments(spark, d), T.plots(spark, d))
 
