@@ -614,10 +614,13 @@ def _(spark, d):
     return T.run_events(spark, d).groupBy("run_id").agg(F.max_by("stage", "seq").alias("stage"), F.max("progress").alias("progress"))
 
 
-@query("sm02_run_status", "run_events", "SELECT run_id, CASE WHEN max(seq) < 3 THEN 'PENDING' WHEN max(progress) < 60 THEN 'RUNNING' WHEN count(*) FILTER (WHERE stage = 'error') > 0 THEN 'PARTIAL' ELSE 'DONE' END AS status FROM run_events GROUP BY run_id")
+@query("sm02_run_status", "run_events", "SELECT run_id, CASE WHEN count(*) FILTER (WHERE stage = 'error') > 0 THEN 'PARTIAL' WHEN max(progress) >= 100 THEN 'DONE' ELSE 'RUNNING' END AS status FROM run_events GROUP BY run_id")
 def _(spark, d):
-    top = T.run_events(spark, d).groupBy("run_id").agg(F.max("seq").alias("m"), F.max("progress").alias("p"), F.count(F.when(F.col("stage") == "error", 1)).alias("e"))
-    return top.select("run_id", F.when(F.col("m") < 3, "PENDING").when(F.col("p") < 60, "RUNNING").when(F.col("e") > 0, "PARTIAL").otherwise("DONE").alias("status"))
+    """Events of the stage error stand for points that a run leaves unconnected."""
+    from netloom.streaming import progress
+
+    rows = T.run_events(spark, d)
+    return progress.status(progress.latest(rows), rows.filter("stage = 'error'").select("run_id"))
 
 
 # Validation.
