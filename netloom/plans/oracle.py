@@ -50,7 +50,7 @@ CTES = {
       FROM net_nodes a JOIN net_nodes b ON b.node_id = a.node_id + 1)""",
     "rects": f"""rects AS (SELECT p_partkey AS r_id, list_element([{KINDS}], CAST(p_partkey % {len(RESTRICTION_TYPES)} AS INT) + 1) AS rtype, p_partkey * 613 % 1950 AS x0, p_partkey * 353 % 1550 AS y0,
       p_partkey * 613 % 1950 + p_size AS x1, p_partkey * 353 % 1550 + 1 + p_partkey % 30 AS y1 FROM part)""",
-    "plot_sides": f"""plot_sides AS (SELECT r_id, rtype, ring, k, x0 + fax * 0.25 * (x1 - x0) AS ax, y0 + fay * 0.25 * (y1 - y0) AS ay, x0 + fbx * 0.25 * (x1 - x0) AS bx, y0 + fby * 0.25 * (y1 - y0) AS by_
+    "plot_sides": f"""plot_sides AS (SELECT r_id, rtype, ring, k, CAST(x0 + fax * 0.25 * (x1 - x0) AS DOUBLE) AS ax, CAST(y0 + fay * 0.25 * (y1 - y0) AS DOUBLE) AS ay, CAST(x0 + fbx * 0.25 * (x1 - x0) AS DOUBLE) AS bx, CAST(y0 + fby * 0.25 * (y1 - y0) AS DOUBLE) AS by_
       FROM rects JOIN (VALUES {SIDES}) v(kind, ring, k, fax, fay, fbx, fby) ON r_id % 3 = kind)""",
     "variants": "variants AS (SELECT o_orderkey AS tree, o_custkey AS plan, 1 + o_orderkey % 3 AS variant FROM orders)",
     "run_events": """run_events AS (SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, ts, event_type AS stage,

@@ -772,7 +772,7 @@ def _(spark, d):
     return depth.profiles(e, asked)
 
 
-@query("val11_depth_rules", "edges", "SELECT edge, s0, CASE WHEN least(h0, h1) < 0.7 - 1e-9 THEN 'SHALLOW' ELSE 'STEEP' END AS what FROM (SELECT tree * 100 + n AS edge, 0.0 AS s0, CAST(len_m AS DOUBLE) AS s1, 3.0 AS h0, 3.0 - flow / 16.0 AS h1 FROM edges) WHERE least(h0, h1) < 0.7 - 1e-9 OR abs(h1 - h0) > 0.1 * (s1 - s0) + 1e-9")
+@query("val11_depth_rules", "edges", "SELECT edge, s0, CASE WHEN least(h0, h1) < 0.7 - 1e-9 THEN 'SHALLOW' ELSE 'STEEP' END AS what FROM (SELECT tree * 100 + n AS edge, CAST(0 AS DOUBLE) AS s0, CAST(len_m AS DOUBLE) AS s1, 3.0 AS h0, 3.0 - flow / 16.0 AS h1 FROM edges) WHERE least(h0, h1) < 0.7 - 1e-9 OR abs(h1 - h0) > 0.1 * (s1 - s0) + 1e-9")
 def _(spark, d):
     """Pieces with made-up depths, some too shallow and some too steep."""
     from netloom.operators import depth
