@@ -679,6 +679,23 @@ def _(spark, d):
     return geojson.diagnostics(geojson.classified(features(spark, d)))
 
 
+@query(
+    "src01_collections_read_back",
+    "cps rects",
+    """SELECT CAST(cp_id AS VARCHAR) AS id, 'Point' AS gtype, CAST(flow AS DOUBLE) AS flow_tph FROM cps
+    UNION ALL SELECT 'r' || r_id, 'Polygon', NULL FROM rects""",
+)
+def _(spark, d):
+    """Features written as collections and read again in parts."""
+    from uuid import uuid4
+
+    from netloom.sources import geojson, shared, sinks
+
+    path = f"{shared.shared_dir(spark)}/collections-{uuid4().hex}"
+    sinks.write_collections(features(spark, d).withColumn("bucket", F.col("feature_seq") % 16), path, "bucket", ["feature_seq"])
+    return geojson.parsed(geojson.read_collection(spark, path)).select("id", "gtype", "flow_tph")
+
+
 @query("src03_parsed_geometry", "rects", "SELECT r_id, r_id % 7 <> 0 AS sound, CASE WHEN r_id % 7 <> 0 THEN 4 ELSE 0 END AS vertices, CASE WHEN r_id % 7 <> 0 THEN CAST(x1 AS DOUBLE) END AS right_x FROM rects")
 def _(spark, d):
     from netloom.sources import geojson

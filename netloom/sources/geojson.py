@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
+from netloom.sources import splitting
 
 # Object types of the input format, and the geometries each may have.
 OBJECT_TYPES = {
@@ -30,10 +31,8 @@ BRONZE = "feature_seq long, feature string"
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Features of a FeatureCollection file (one JSON value), or of a folder of them.  A file without a ``features`` array is an error."""
-    whole = spark.read.schema("features array<string>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    checked = whole.select(F.when(F.col("features").isNull(), F.raise_error(F.lit("features must be an array"))).otherwise(F.col("features")).alias("features"))
-    return checked.select(F.posexplode("features").alias("feature_seq", "feature")).select(F.col("feature_seq").cast("long"), "feature")
+    """Features of a FeatureCollection file (one JSON value of any size), or of a folder of them.  A file without a ``features`` array is an error."""
+    return splitting.objects(spark, path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

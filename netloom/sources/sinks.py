@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,15 @@ def write_collection(features: DataFrame, path: str, order: list[str]) -> None:
     features.repartitionByRange(*order).sortWithinPartitions(*order).select(text.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collections(features: DataFrame, path: str, by: str, order: list[str]) -> None:
+    """One FeatureCollection for each value of ``by``, in a folder of its own; a value's rows are one task's."""
+    group = Window.partitionBy(by).orderBy(*order)
+    first, last = F.lag(F.lit(1)).over(group).isNull(), F.lead(F.lit(1)).over(group).isNull()
+    text = F.concat(F.when(first, '{"type":"FeatureCollection","features":[').otherwise(""), F.col("feature"), F.when(last, "]}").otherwise(","))
+    rows = features.repartition(by).select(by, *order, text.alias("value")).sortWithinPartitions(by, *order)
+    rows.select(by, "value").write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", 0).text(path)
+
+
 def write_tiles(features: DataFrame, path: str) -> DataFrame:
     """Rows by tile, and the manifest: (tile_id, n)."""
     features.write.mode("overwrite").partitionBy("tile_id").json(path)

@@ -2,6 +2,7 @@
 
 import dataclasses
 import itertools
+import json
 import math
 import random
 
@@ -316,6 +317,49 @@ def test_collection_round_trip(spark, tmp_path):
         geojson.read_collection(spark, str(tmp_path / "bad.json")).collect()
 
 
+def hard_collection(n: int, seed: int) -> tuple[dict, str]:
+    """A collection whose strings, members and arrays look like borders of features, and its text."""
+    rng = random.Random(seed)
+    texts = ["a}b", "{", '"features": [{', "\\", '\\"}', "]},{", "é}\n", "", "[[", "x" * 300 + "}" * 40]
+    rows = []
+    for i in range(n):
+        nested = {"deep": [{"k": [rng.choice(texts), {"z": {}}]}, []], rng.choice(texts) + "k": rng.choice(texts)}
+        rows.append({"type": "Feature", "geometry": rng.choice([None, {"type": "Point", "coordinates": [i, -i]}]), "properties": {"id": i, "name": rng.choice(texts), **rng.choice([{}, nested])}})
+    whole = {"name": rng.choice(texts), "crs": {"type": "n", "properties": {"a": [{"b": {}}] * 30, "t": texts}}, "boxes": [1, [2], "]}"], "more": [{"m": {"}": 1}}] * rng.choice([0, 9]), "features": rows, "tail": [{"type": "Feature", "properties": {}}, "}"], "end": {"a": texts}}
+    return whole, json.dumps(whole, ensure_ascii=bool(seed % 2), indent=rng.choice([None, 1]))
+
+
+@pytest.mark.parametrize("size", ["64b", "1000b", "128m"])
+def test_collections_are_read_in_parts(spark, tmp_path, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        for seed in (1, 2, 3) if size != "64b" else (4,):
+            whole, text = hard_collection(9 if size == "64b" else 150, seed)
+            (tmp_path / f"{seed}.json").write_text(" \n" + text + " \n")
+            rows = geojson.read_collection(spark, str(tmp_path / f"{seed}.json")).orderBy("feature_seq").collect()
+            assert [json.loads(r["feature"]) for r in rows] == whole["features"]
+            assert len({r["feature_seq"] for r in rows}) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_collections_that_are_none(spark, tmp_path):
+    good = '{"type": "Feature", "properties": {"id": 1}}'
+    bad = [f"[{good}]", '{"features": {"a": 1}}', '{"features": [1, 2]}', f'{{"features": [{good}, null]}}', f'{{"features": [{good} {good}]}}', f'{{"features": [{good}', '{"a": "features"}', "", '{"features": [{"a": nonsense}]}', f'{{"x": {{"features": [{good}]}}}}']
+    for i, text in enumerate(bad):
+        (tmp_path / f"{i}.json").write_text(text)
+        with pytest.raises(Exception, match="features must|JSON|root"):
+            geojson.read_collection(spark, str(tmp_path / f"{i}.json")).collect()
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.json").write_text(f'{{"features": [{good}, {good.replace("1", str(i))}]}}')
+    rows = geojson.read_collection(spark, str(folder)).orderBy("feature_seq").collect()
+    assert [r["feature_seq"] for r in rows] == list(range(6))
+    assert [json.loads(r["feature"])["properties"]["id"] for r in rows] == [1, 0, 1, 1, 1, 2]
+
+
 def test_lines_with_faults(spark, tmp_path):
     lines = [
         '{"geometry":{"type":"Point","coordinates":[1,2]},"properties":{"object_type":"source","id":7}}',
