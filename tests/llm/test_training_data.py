@@ -755,8 +755,15 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
             if errors <= settings.budget(len(ws)):
                 want[d, i] = errors
     assert got == want and len(got) > 20
-    small = decontaminate.Settings(block_chars=200)  # several automata
+    small = decontaminate.Settings(block_chars=200, share=2)  # items joined to documents
+    odd = table.union(table.limit(5)).union(spark.createDataFrame([(None, texts[0], 1), (900, None, 1), (901, "", 1), (902, "?!", 1)], table.schema))
+    for other in (small, decontaminate.Settings(block_chars=200, percent=0)):
+        plain = decontaminate.Settings(percent=other.percent)
+        assert sorted(map(repr, decontaminate.matches(odd, bench, other).collect())) == sorted(map(repr, decontaminate.matches(odd, bench, plain).collect()))
+        assert sorted(map(repr, decontaminate.cleaned(odd, bench, other).collect())) == sorted(map(repr, decontaminate.cleaned(odd, bench, plain).collect()))
     assert {(r["doc_id"], r["item_id"]): r["errors"] for r in decontaminate.matches(table, bench, small).collect()} == want
+    assert decontaminate.matches(empty, bench, small).count() == 0 and decontaminate.cleaned(empty, bench, small).count() == 0
+    assert decontaminate.cleaned(docs, bench, small).count() == docs.count()
     assert {r["doc_id"] for r in decontaminate.cleaned(table, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.matches(docs, bench).count() == 0 and decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(table, bench.limit(0)).count() == 0
     assert decontaminate.cleaned(docs, bench).count() == docs.count()
