@@ -7,7 +7,11 @@ envelopes meet, and then ask the exact question.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import polygons as P
@@ -111,17 +115,53 @@ def angle_verdicts(segments: DataFrame, regions: DataFrame, least: float) -> Dat
     return segments.select("seg_id").join(found, "seg_id", "left").select("seg_id", F.coalesce(F.col("angle") >= least - 1e-6, F.lit(True)).alias("legal"))
 
 
-def mask(regions: DataFrame, cell: float) -> DataFrame:
-    """(col, row, value): cells whose centre is within a region's ``keep`` (0: inside it), with the greatest ``value`` of these."""
-    rows = shaped(regions)
+#: Cells beside sides that a task compares at once.
+COMPARED = 1 << 19
 
-    def span(low: str, high: str) -> Column:
-        return F.sequence(F.floor((F.col(low) - F.col("keep")) / cell).cast("int"), F.floor((F.col(high) + F.col("keep")) / cell).cast("int"))
 
-    cells = rows.withColumn("col", F.explode(span("ex0", "ex1"))).withColumn("row", F.explode(span("ey0", "ey1")))
-    x, y = (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell
-    hit = (F.col("area") & P.inside(x, y, F.col("sides"))) | ((F.col("keep") > 0) & (P.border_distance(x, y, F.col("sides")) < F.col("keep") - 1e-9))
-    return cells.filter(hit).groupBy("col", "row").agg(F.max("value").alias("value"))
+def mask(regions: DataFrame, cell: float) -> DataFrame:
+    """(col, row, value): cells whose centre is within a region's ``keep`` (0: inside it), with the greatest ``value`` of these."""
+    bounds = {"c0": F.col("ex0") - F.col("keep"), "c1": F.col("ex1") + F.col("keep"), "r0": F.col("ey0") - F.col("keep"), "r1": F.col("ey1") + F.col("keep")}
+    rows = shaped(regions).select("value", "area", F.col("keep").cast("double").alias("keep"), "sides", *[F.floor(c / cell).cast("int").alias(n) for n, c in bounds.items()])
+    rows = rows.filter("c0 <= c1 and r0 <= r1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c0, c1, r0, r1, keep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("c0", "c1", "r0", "r1", "keep"))
+            area = batch.column("area").fill_null(False).to_numpy(zero_copy_only=False)
+            number = batch.column("sides").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column("sides").flatten()
+            corners_ = [flat.field(n).to_numpy(zero_copy_only=False) for n in ("ax", "ay", "bx", "by")]
+            high = r1.astype(np.int64) - r0 + 1
+            ends, side_ends = np.cumsum((c1.astype(np.int64) - c0 + 1) * high), np.cumsum(number)
+            size = max(1, COMPARED // int(number.max()))
+            for low in range(0, int(ends[-1]), size):
+                at = np.arange(low, min(low + size, int(ends[-1])))
+                of = np.searchsorted(ends, at, "right")
+                place = at - (ends[of] - (c1[of].astype(np.int64) - c0[of] + 1) * high[of])
+                col, row = c0[of] + place // high[of], r0[of] + place % high[of]
+                n = number[of]
+                first = np.cumsum(n) - n
+                side = np.arange(int(n.sum())) + np.repeat(side_ends[of] - n - first, n)
+                ax, ay, bx, by = (c[side] for c in corners_)
+                x, y = np.repeat((col + 0.5) * cell, n), np.repeat((row + 0.5) * cell, n)
+                with np.errstate(all="ignore"):
+                    # The sums of ``polygons.inside`` and ``scalars.point_to_segment``, in their order.
+                    met = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+                    hit = area[of] & (np.add.reduceat(met.astype(np.int64), first) % 2 == 1)
+                    if (keep > 0).any():
+                        square = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
+                        t = np.maximum(0.0, np.minimum(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / np.where(square > 0, square, 1.0)))
+                        dx, dy = ax + t * (bx - ax) - x, ay + t * (by - ay) - y
+                        far = np.fmin.reduceat(np.sqrt(dx * dx + dy * dy), first)
+                        hit |= (keep[of] > 0) & (far < keep[of] - 1e-9)
+                cells = [pa.array(v[hit].astype(np.int32)) for v in (col, row)]
+                yield pa.RecordBatch.from_arrays([*cells, batch.column("value").take(pa.array(of[hit]))], ["col", "row", "value"])
+
+    kind = rows.schema["value"].dataType.simpleString()
+    return rows.mapInArrow(run, f"col int, row int, value {kind}").groupBy("col", "row").agg(F.max("value").alias("value"))
 
 
 def exits(points: DataFrame, regions: DataFrame, pair_width: float, most_tail: float, reach: float) -> DataFrame:

@@ -86,11 +86,16 @@ def _(spark, d):
     return T.net_segments(spark, d).select("seg_id", "dn", S.pair_width(F.col("dn")).alias("width"))
 
 
-def ruled(spark: SparkSession, d: str) -> DataFrame:
-    """Restrictions with their rule, or the fallback for a type without one."""
+def by_rule(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows with the rule of their type, or the fallback for a type without one."""
     mode, least, factor = K.DEFAULT.fallback
-    out = T.rects(spark, d).join(F.broadcast(K.rules(spark)), "rtype", "left")
-    return out.select("r_id", "rtype", "x0", "y0", "x1", "y1", F.col("mode").isNull().alias("unknown"), F.coalesce("mode", F.lit(mode)).alias("mode"), F.coalesce("min_dist", F.lit(least).cast("long")).alias("min_dist"), F.coalesce("factor", F.lit(factor).cast("long")).alias("factor"))
+    out = rows.join(F.broadcast(K.rules(spark)), "rtype", "left")
+    return out.select(*rows.columns, F.col("mode").isNull().alias("unknown"), F.coalesce("mode", F.lit(mode)).alias("mode"), F.coalesce("min_dist", F.lit(least).cast("long")).alias("min_dist"), F.coalesce("factor", F.lit(factor).cast("long")).alias("factor"))
+
+
+def ruled(spark: SparkSession, d: str) -> DataFrame:
+    """Restrictions with their rule."""
+    return by_rule(spark, T.rects(spark, d))
 
 
 RULED = f"SELECT r_id, r.rtype, x0, y0, x1, y1, u.mode IS NULL AS unknown, coalesce(u.mode, '{K.DEFAULT.fallback[0]}') AS mode, CAST(coalesce(u.min_dist, {K.DEFAULT.fallback[1]}) AS BIGINT) AS min_dist, CAST(coalesce(u.factor, {K.DEFAULT.fallback[2]}) AS BIGINT) AS factor FROM rects r LEFT JOIN rules u ON u.rtype = r.rtype"
@@ -1335,7 +1340,7 @@ TO_PLOTS = f"""far AS (SELECT s.seg_id, p.r_id, p.rtype, CASE WHEN bool_or(sign(
 
 
 def plots_to_keep(spark: SparkSession, d: str) -> DataFrame:
-    return T.plots(spark, d).join(ruled(spark, d).filter("mode = 'PROHIBITED'").select("r_id", (F.col("min_dist") / 10.0).alias("keep")), "r_id")
+    return by_rule(spark, T.plots(spark, d)).filter("mode = 'PROHIBITED'").select("r_id", "rtype", "lines", "area", (F.col("min_dist") / 10.0).alias("keep"))
 
 
 @query("prj08_blocked_by_plots", "net_segments plot_sides rules", f", z AS ({RULED}), {TO_PLOTS} SELECT seg_id, f.r_id, round(dist, 6) AS dist FROM far f JOIN z ON z.r_id = f.r_id AND z.mode = 'PROHIBITED' WHERE dist < z.min_dist / 10.0 - 1e-3")
@@ -1371,15 +1376,15 @@ def _(spark, d):
 
 @query("gr04_plot_mask", "plot_sides rules", f", z AS ({RULED}), g AS (SELECT i AS col, j AS row FROM range(0, 205) a(i) CROSS JOIN range(0, 165) b(j)), held AS (SELECT g.col, g.row, p.r_id FROM g JOIN rects r ON g.col * 10 + 5 BETWEEN r.x0 AND r.x1 AND g.row * 10 + 5 BETWEEN r.y0 AND r.y1 JOIN plot_sides p ON p.r_id = r.r_id GROUP BY ALL HAVING count(*) FILTER (WHERE {ray_meets('(g.col * 10 + 5.0)', '(g.row * 10 + 5.0)')}) % 2 = 1) SELECT CAST(col AS INT) AS col, CAST(row AS INT) AS row, max(min_dist) AS value FROM held h JOIN z ON z.r_id = h.r_id AND z.mode = 'PROHIBITED' GROUP BY col, row")
 def _(spark, d):
-    closed = ruled(spark, d).filter("mode = 'PROHIBITED'").select("r_id", F.col("min_dist").alias("value"))
-    return regions.mask(T.plots(spark, d).join(closed, "r_id").withColumn("keep", F.lit(0.0)), 10.0)
+    closed = by_rule(spark, T.plots(spark, d)).filter("mode = 'PROHIBITED'")
+    return regions.mask(closed.select("r_id", "lines", "area", F.col("min_dist").alias("value"), F.lit(0.0).alias("keep")), 10.0)
 
 
 @query("jn21_plot_cell_factors", "plot_sides rules", f", z AS ({RULED}), g AS (SELECT i AS col, j AS row FROM range(-5, 210) a(i) CROSS JOIN range(-5, 170) b(j)), near AS (SELECT g.col, g.row, p.r_id, count(*) FILTER (WHERE {ray_meets('(g.col * 10 + 5.0)', '(g.row * 10 + 5.0)')}) % 2 = 1 AS inside, min({point_segment('(g.col * 10 + 5.0)', '(g.row * 10 + 5.0)', 'ax', 'ay', 'bx', 'by_')}) AS dist FROM g JOIN rects r ON g.col * 10 + 5 BETWEEN r.x0 - 20 AND r.x1 + 20 AND g.row * 10 + 5 BETWEEN r.y0 - 20 AND r.y1 + 20 JOIN plot_sides p ON p.r_id = r.r_id GROUP BY ALL) SELECT CAST(col AS INT) AS col, CAST(row AS INT) AS row, max(factor) AS value FROM near n JOIN z ON z.r_id = n.r_id AND z.mode = 'SPECIAL' WHERE inside OR dist < 20 - 1e-9 GROUP BY col, row")
 def _(spark, d):
     """Price factors of cells inside a special plot or within two cells of it."""
-    special = ruled(spark, d).filter("mode = 'SPECIAL'").select("r_id", F.col("factor").alias("value"))
-    return regions.mask(T.plots(spark, d).join(special, "r_id").withColumn("keep", F.lit(20.0)), 10.0)
+    special = by_rule(spark, T.plots(spark, d)).filter("mode = 'SPECIAL'")
+    return regions.mask(special.select("r_id", "lines", "area", F.col("factor").alias("value"), F.lit(20.0).alias("keep")), 10.0)
 
 
 @query("ge07_plot_axes", "plot_sides", "SELECT r_id, CAST(row_number() OVER (PARTITION BY r_id ORDER BY ring, k) - 1 AS INT) AS side, ax, ay, bx, by_ AS by FROM plot_sides")

@@ -484,3 +484,34 @@ def test_ways_out_of_buildings(spark):
     assert (97.0, 5.0, 9.0) in got[3] and all(x[0] < 111 for x in got[3])
     # Within one arm of a U: not through the other arm.
     assert (199.0, 25.0, 6.0) in got[4] and all(x[0] < 221 for x in got[4])
+
+
+def test_masks_of_regions_join_nothing_by_id_and_equal_distances_cell_by_cell(spark):
+    rng = random.Random(3)
+    shapes = [[[(rng.uniform(-40, 40), rng.uniform(-40, 40)) for _ in range(rng.choice((3, 4, 9)))]] for _ in range(40)]
+    rows = [(i, [[{"x": x, "y": y} for x, y in line] for line in s], i % 5 > 0, float(i % 3 * 7), i) for i, s in enumerate(shapes)]
+    rows.append((99, [], True, 5.0, 1000))
+    table = spark.createDataFrame(rows, "r_id int, lines array<array<struct<x: double, y: double>>>, area boolean, keep double, value long")
+
+    def near(px, py, line, area):
+        ring = [*line, line[0]] if area else line
+        sides = list(zip(ring, ring[1:]))
+        met = sum((a[1] > py) != (b[1] > py) and px < (b[0] - a[0]) * (py - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides)
+        far = []
+        for a, b in sides:
+            t = max(0.0, min(1.0, ((px - a[0]) * (b[0] - a[0]) + (py - a[1]) * (b[1] - a[1])) / ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)))
+            far.append(math.hypot(px - a[0] - t * (b[0] - a[0]), py - a[1] - t * (b[1] - a[1])))
+        return area and met % 2 == 1, min(far)
+
+    wanted = {}
+    for c in range(-30, 30):
+        for r in range(-30, 30):
+            for (i, _, area, keep, value), s in zip(rows, shapes):
+                inside, far = near(c * 2 + 1, r * 2 + 1, s[0], area)
+                if inside or keep > 0 and far < keep - 1e-9:
+                    wanted[c, r] = max(value, wanted.get((c, r), 0))
+    found = regions.mask(table, 2.0)
+    assert found.dtypes == [("col", "int"), ("row", "int"), ("value", "bigint")]
+    assert {(r["col"], r["row"]): r["value"] for r in found.collect()} == wanted
+    plan = registry.queries()["jn21_plot_cell_factors"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the catalogue's rules only
