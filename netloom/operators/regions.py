@@ -35,27 +35,35 @@ def axes(regions: DataFrame) -> DataFrame:
     return shaped(regions).select("r_id", F.posexplode("sides").alias("side", "s")).select("r_id", "side", "s.*")
 
 
-def containing(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """(cp_id, r_id, rtype, on_edge) of every point and each area that covers it, the border included."""
-    pairs = candidates(points.select("cp_id", "x", "y"), corners("x", "y", "x", "y"), shaped(regions.filter("area")), corners(*ENVELOPE))
+def covered(places: DataFrame, regions: DataFrame) -> DataFrame:
+    """Each place (x, y, ...) beside every area that covers it, the border included (``on_edge``), with all columns of both."""
+    pairs = candidates(places, corners("x", "y", "x", "y"), shaped(regions.filter("area")), corners(*ENVELOPE))
     x, y, shape = F.col("x"), F.col("y"), F.col("sides")
     rows = pairs.withColumn("on_edge", P.border_distance(x, y, shape) <= 1e-9).withColumn("within", P.inside(x, y, shape))
-    return rows.filter(F.col("on_edge") | F.col("within")).select("cp_id", "r_id", "rtype", "on_edge")
+    return rows.filter(F.col("within") | F.col("on_edge")).drop("within", "sides", *ENVELOPE)
+
+
+def containing(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """(cp_id, r_id, rtype, on_edge) of every point and each area that covers it, the border included."""
+    # Points of one place share its answer; areas are asked once for each place.
+    found = covered(points.select("x", "y").distinct(), regions).select("x", "y", "r_id", "rtype", "on_edge")
+    return points.select("cp_id", "x", "y").join(found.hint("merge"), ["x", "y"]).select("cp_id", "r_id", "rtype", "on_edge")
 
 
 def owning(points: DataFrame, regions: DataFrame, border_owns: bool = True) -> DataFrame:
     """(cp_id, r_id): the first area in order that covers a point; null where none does."""
-    found = containing(points, regions)
+    found = covered(points.select("x", "y").distinct(), regions)
     found = found if border_owns else found.filter("not on_edge")
-    return points.select("cp_id").join(found.groupBy("cp_id").agg(F.min("r_id").alias("r_id")), "cp_id", "left")
+    first = found.groupBy("x", "y").agg(F.min("r_id").alias("r_id"))
+    return points.select("cp_id", "x", "y").join(first.hint("merge"), ["x", "y"], "left").select("cp_id", "r_id")
 
 
 def least_dn(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(r_id, dn): the least diameter that points (cp_id, x, y, flow) in an area ask for, else the least of all points."""
-    asked = points.select("cp_id", S.smallest_dn(F.col("flow")).alias("dn"))
-    inside = containing(points, regions).join(asked, "cp_id").groupBy("r_id").agg(F.min("dn").alias("dn"))
+    asked = points.groupBy("x", "y").agg(F.min(S.smallest_dn(F.col("flow"))).alias("dn"))
+    inside = covered(asked, regions).groupBy("r_id").agg(F.min("dn").alias("dn"))
     least = asked.agg(F.min("dn").alias("least"))  # one row
-    return regions.select("r_id").join(inside, "r_id", "left").crossJoin(F.broadcast(least)).select("r_id", F.coalesce("dn", "least").alias("dn"))
+    return regions.select("r_id").join(inside.hint("merge"), "r_id", "left").crossJoin(F.broadcast(least)).select("r_id", F.coalesce("dn", "least").alias("dn"))
 
 
 def in_envelope(regions: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

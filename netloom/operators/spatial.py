@@ -61,7 +61,8 @@ def candidates(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box,
 
         return rows.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("y0", "y1")))
 
-    rows = binned_(a, "a").join(binned_(b, "b"), ["_class", "_bx", "_by"])
+    # Sizes guessed from files know nothing of exploded rows and shapes; a broadcast by such a guess may not fit the driver.
+    rows = binned_(a, "a").hint("merge").join(binned_(b, "b"), ["_class", "_bx", "_by"])
     size = F.lit(float(BIN)) * F.pow(F.lit(float(STEP)), F.col("_class"))
     meet = (F.col("_a.x0") <= F.col("_b.x1")) & (F.col("_b.x0") <= F.col("_a.x1")) & (F.col("_a.y0") <= F.col("_b.y1")) & (F.col("_b.y0") <= F.col("_a.y1"))
     # A pair is taken in one bin only: the one of the overlap's lower corner.

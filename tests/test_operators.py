@@ -515,3 +515,18 @@ def test_masks_of_regions_join_nothing_by_id_and_equal_distances_cell_by_cell(sp
     assert {(r["col"], r["row"]): r["value"] for r in found.collect()} == wanted
     plan = registry.queries()["jn21_plot_cell_factors"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the catalogue's rules only
+
+
+def test_points_of_one_place_share_the_answer_of_their_areas(spark):
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 8.0, "y": 0.0}, {"x": 8.0, "y": 6.0}, {"x": 0.0, "y": 6.0}]
+    lines = "lines array<array<struct<x: double, y: double>>>"
+    table = spark.createDataFrame([(i, "oks", [ring], True, 2.0) for i in (4, 7)], f"r_id long, rtype string, {lines}, area boolean, keep double")
+    spots = [(1, 3, 2, 100), (2, 3, 2, 5), (3, 3, 2, 700), (4, 0, 0, 1), (5, 90, 90, 10), (6, None, 2, 1)]
+    points = spark.createDataFrame(spots, "cp_id long, x long, y long, flow long")
+    inside = regions.containing(points, table)
+    assert values(map(tuple, inside.collect())) == values((p, r, "oks", p == 4) for p in (1, 2, 3, 4) for r in (4, 7))
+    assert values(map(tuple, regions.owning(points, table).collect())) == values([*((p, 4) for p in (1, 2, 3, 4)), (5, None), (6, None)])
+    assert values(map(tuple, regions.owning(points, table, False).collect())) == values([*((p, 4) for p in (1, 2, 3)), (4, None), (5, None), (6, None)])
+    assert values(map(tuple, regions.least_dn(points, table).collect())) == values([(4, 50), (7, 50)])
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan  # nothing of unknown size goes to the driver
