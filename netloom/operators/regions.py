@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from netloom.functions import polygons as P
 from netloom.functions import scalars as S
@@ -22,6 +23,9 @@ from netloom.sources.shared import Tables
 
 SEGMENT = ("x1", "y1", "x2", "y2")
 ENVELOPE = ("ex0", "ey0", "ex1", "ey1")
+SPANS = ArrayType(StructType([StructField("s0", DoubleType()), StructField("s1", DoubleType())]))
+#: Pairs of cells or segments with sides that a task compares at once.
+COMPARED = 1 << 19
 
 
 def shaped(regions: DataFrame) -> DataFrame:
@@ -77,10 +81,21 @@ def pairs_within(segments: DataFrame, regions: DataFrame, reach: float) -> DataF
     return candidates(rows, segment_box(), shaped(regions), corners(*ENVELOPE), reach)
 
 
+def passing(pairs: DataFrame) -> DataFrame:
+    """Pairs of segments and regions without those that a side of the region's envelope or of the segment parts by more than its ``keep``."""
+    a, b, c, d = map(F.col, SEGMENT)
+    x0, y0, x1, y1 = map(F.col, ENVELOPE)
+    # A margin of a millimetre outweighs rounding; exact questions follow.
+    near = F.col("keep") + 1e-3
+    boxes = (F.least(a, c) - near <= x1) & (F.greatest(a, c) + near >= x0) & (F.least(b, d) - near <= y1) & (F.greatest(b, d) + near >= y0)
+    aside = F.abs(((y0 + y1) / 2 - b) * (c - a) - ((x0 + x1) / 2 - a) * (d - b))
+    return pairs.filter(boxes & (aside <= (x1 - x0) / 2 * F.abs(d - b) + (y1 - y0) / 2 * F.abs(c - a) + near * S.distance(a, b, c, d)))
+
+
 def blocked(segments: DataFrame, regions: DataFrame, reach: float) -> DataFrame:
     """(seg_id, r_id, dist): segments nearer to a region than its ``keep`` (metres, at most ``reach``), by more than a millimetre."""
     dist = P.segment_distance(*map(F.col, SEGMENT), F.col("sides"), F.col("area"))
-    return pairs_within(segments, regions, reach).select("seg_id", "r_id", "keep", dist.alias("dist")).filter(F.col("dist") < F.col("keep") - 1e-3).drop("keep")
+    return passing(pairs_within(segments, regions, reach)).select("seg_id", "r_id", "keep", dist.alias("dist")).filter(F.col("dist") < F.col("keep") - 1e-3).drop("keep")
 
 
 def spans(segments: DataFrame, regions: DataFrame) -> DataFrame:
@@ -99,13 +114,59 @@ def interior_blocked(segments: DataFrame, regions: DataFrame, erosion: float = 1
     return rows.filter(deep).select("seg_id", "r_id").distinct()
 
 
+def near_spans(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``near``: the parts (s0, s1) of the segment within ``keep`` of each side (``polygons.near_side``, whose expression is
+    far too long to be interpreted side by side; the sums are the same, in the same order)."""
+    big = 1e300
+
+    def linear(p: np.ndarray, q: np.ndarray, low: np.ndarray | float, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two, holds = (low - p) / q, (high - p) / q, (p >= low) & (p <= high)
+        return np.where(q != 0, np.minimum(one, two), np.where(holds, -big, big)), np.where(q != 0, np.maximum(one, two), np.where(holds, big, -big))
+
+    def parts(batch: pa.RecordBatch) -> pa.Array:
+        n = batch.column("sides").value_lengths().to_numpy(zero_copy_only=False)
+        flat = batch.column("sides").flatten()
+        ax, ay, bx, by = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by"))
+        a, b, c, d, far = (np.repeat(batch.column(v).to_numpy(zero_copy_only=False), n) for v in (*SEGMENT, "keep"))
+        with np.errstate(all="ignore"):
+            dx, dy = c - a, d - b
+            length = np.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+            ux, uy = (bx - ax) / length, (by - ay) / length
+            along = linear((a - ax) * ux + (b - ay) * uy, dx * ux + dy * uy, 0.0, length)
+            aside = linear((a - ax) * -uy + (b - ay) * ux, dx * -uy + dy * ux, -far, far)
+            found = [(np.maximum(along[0], aside[0]), np.minimum(along[1], aside[1]))]
+            for x, y in ((ax, ay), (bx, by)):
+                square, half, rest = dx * dx + dy * dy, dx * (a - x) + dy * (b - y), (a - x) * (a - x) + (b - y) * (b - y) - far * far
+                root = half * half - square * rest
+                ok, r = (square > 0) & (root >= 0), np.sqrt(np.maximum(root, 0.0))
+                found.append((np.where(ok, (-half - r) / square, big), np.where(ok, (-half + r) / square, -big)))
+            s0 = np.maximum(np.minimum.reduce([np.where(p <= q, p, big) for p, q in found]), 0.0)
+            s1 = np.minimum(np.maximum.reduce([np.where(p <= q, q, -big) for p, q in found]), 1.0)
+            held = s0 < s1
+        ends = np.append(0, np.cumsum(held))[np.append(0, np.cumsum(n))]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(s0[held]), pa.array(s1[held])], ["s0", "s1"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("sides").value_lengths().to_numpy(zero_copy_only=False))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + COMPARED, "right")))
+                some = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*some.columns, parts(some)], [*some.schema.names, "near"])
+                low = high
+
+    pairs = pairs.withColumn("keep", F.col("keep").cast("double"))
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("near", SPANS)]))
+
+
 def band_spans(segments: DataFrame, regions: DataFrame, reach: float) -> DataFrame:
     """(seg_id, r_id, s0, s1): parts of segments within a region's ``keep`` (at most ``reach``), parts inside an area included."""
-    rows = pairs_within(segments, regions, reach)
+    pairs = passing(pairs_within(segments, regions, reach)).select("seg_id", "r_id", *SEGMENT, "keep", "area", "sides")
+    rows = near_spans(pairs)
     ends = tuple(map(F.col, SEGMENT))
-    near = F.filter(F.transform("sides", lambda s: P.near_side(*ends, s, F.col("keep").cast("double"))), lambda x: x.isNotNull())
-    within = F.when(F.col("area"), P.spans_inside(*ends, F.col("sides"))).otherwise(F.array().cast("array<struct<s0:double,s1:double>>"))
-    rows = rows.select(F.struct("seg_id", "r_id").alias("k"), F.explode(F.concat(near, within)).alias("s")).select("k", "s.s0", "s.s1", F.lit(0).alias("v"))
+    within = F.when(F.col("area"), P.spans_inside(*ends, F.col("sides"))).otherwise(F.array().cast(SPANS))
+    rows = rows.select(F.struct("seg_id", "r_id").alias("k"), F.explode(F.concat("near", within)).alias("s")).select("k", "s.s0", "s.s1", F.lit(0).alias("v"))
     return sequences.merged_spans(rows, "k", "s0", "s1", "v").select("k.seg_id", "k.r_id", "s0", "s1")
 
 
@@ -123,10 +184,6 @@ def angle_verdicts(segments: DataFrame, regions: DataFrame, least: float) -> Dat
     return segments.select("seg_id").join(found, "seg_id", "left").select("seg_id", F.coalesce(F.col("angle") >= least - 1e-6, F.lit(True)).alias("legal"))
 
 
-#: Cells beside sides that a task compares at once.
-COMPARED = 1 << 19
-
-
 def mask(regions: DataFrame, cell: float) -> DataFrame:
     """(col, row, value): cells whose centre is within a region's ``keep`` (0: inside it), with the greatest ``value`` of these."""
     bounds = {"c0": F.col("ex0") - F.col("keep"), "c1": F.col("ex1") + F.col("keep"), "r0": F.col("ey0") - F.col("keep"), "r1": F.col("ey1") + F.col("keep")}
@@ -186,8 +243,12 @@ def exits(points: DataFrame, regions: DataFrame, pair_width: float, most_tail: f
     """
     tables = Tables(points.sparkSession)  # every step is read several times
     regions = tables.write(regions, "exit-regions")
+    # Points of one place in one building have the same ways out.
+    spot = ["x", "y", "r_id", "keep"]
+    points = tables.write(points.select("cp_id", *spot), "exit-points")
+    places = tables.write(points.select(*spot).distinct().withColumn("place", F.monotonically_increasing_id()), "exit-places")
     buildings = shaped(regions.filter("area")).select("r_id", "sides", *ENVELOPE)
-    rows = points.join(buildings, "r_id").select("cp_id", "r_id", "x", "y", "keep", "sides", *ENVELOPE, F.posexplode("sides").alias("side", "s"))
+    rows = places.join(buildings.hint("merge"), "r_id").select("place", "r_id", "x", "y", "keep", "sides", *ENVELOPE, F.posexplode("sides").alias("side", "s"))
     x, y, s = F.col("x").cast("double"), F.col("y").cast("double"), F.col("s")
     t = S.position_on(x, y, *P.ends(s))
     qx, qy = s["ax"] + t * (s["bx"] - s["ax"]), s["ay"] + t * (s["by"] - s["ay"])
@@ -198,8 +259,8 @@ def exits(points: DataFrame, regions: DataFrame, pair_width: float, most_tail: f
     on = far < 1e-6
     corner = (F.least(t, 1 - t) * length < 1e-3) & ~on
     wide = S.distance(*map(F.col, ENVELOPE)) + 2 * F.col("keep") + 1 + reach
-    rows = rows.filter(~corner).select("cp_id", "r_id", "side", x.alias("x1"), y.alias("y1"), "keep", far.alias("foot"), wide.alias("wide"), F.when(on, nx * turned).otherwise((qx - x) / far).alias("ux"), F.when(on, ny * turned).otherwise((qy - y) / far).alias("uy"))
-    rows = rows.select("*", F.struct("cp_id", "side").alias("seg_id"), (F.col("x1") + F.col("ux") * F.col("wide")).alias("x2"), (F.col("y1") + F.col("uy") * F.col("wide")).alias("y2"))
+    rows = rows.filter(~corner).select("place", "r_id", "side", x.alias("x1"), y.alias("y1"), "keep", far.alias("foot"), wide.alias("wide"), F.when(on, nx * turned).otherwise((qx - x) / far).alias("ux"), F.when(on, ny * turned).otherwise((qy - y) / far).alias("uy"))
+    rows = rows.select("*", F.struct("place", "side").alias("seg_id"), (F.col("x1") + F.col("ux") * F.col("wide")).alias("x2"), (F.col("y1") + F.col("uy") * F.col("wide")).alias("y2"))
     rows = tables.write(rows, "exit-rays")
     bands = band_spans(rows, regions, reach).withColumnRenamed("r_id", "other")
     met = tables.write(rows.select("seg_id", "r_id", "foot", "wide").join(bands, "seg_id"), "exit-bands").select("seg_id", (F.col("other") == F.col("r_id")).alias("own"), "foot", (F.col("s0") * F.col("wide")).alias("from"), (F.col("s1") * F.col("wide")).alias("to"))
@@ -207,12 +268,13 @@ def exits(points: DataFrame, regions: DataFrame, pair_width: float, most_tail: f
     after = met.filter("not own").join(left, "seg_id").filter(F.col("from") > F.col("out") + 1e-6).groupBy("seg_id").agg(F.min("from").alias("next"))
     ways = rows.join(left, "seg_id").join(after, "seg_id", "left").filter(F.col("out") < F.col("wide") - 1e-6)
     tail = F.when(F.col("next") - F.col("out") < pair_width, (F.col("next") + F.col("out")) / 2).otherwise(F.col("out"))
-    ways = ways.select("seg_id", "cp_id", "r_id", "side", "x1", "y1", "keep", tail.alias("tail"), "ux", "uy").filter(F.col("tail") - F.col("keep") <= most_tail + 1e-6)
+    ways = ways.select("seg_id", "place", "r_id", "side", "x1", "y1", "keep", tail.alias("tail"), "ux", "uy").filter(F.col("tail") - F.col("keep") <= most_tail + 1e-6)
     ways = ways.select("*", (F.col("x1") + F.col("tail") * F.col("ux")).alias("x2"), (F.col("y1") + F.col("tail") * F.col("uy")).alias("y2"))
     ways = tables.write(ways, "exit-ways")
     close = blocked(ways, regions, reach).join(ways.select("seg_id", F.col("r_id").alias("own")), "seg_id").filter("r_id != own").select("seg_id").distinct()
-    back = spans(ways, regions).join(ways.select("seg_id", F.col("r_id").alias("own")), "seg_id").filter("r_id = own").groupBy("seg_id").agg(F.count("*").alias("n")).filter("n > 1")
+    back = ways.join(buildings.hint("merge"), "r_id").filter(F.size(P.spans_inside(*map(F.col, SEGMENT), F.col("sides"))) > 1).select("seg_id")
     free = ways.join(close, "seg_id", "left_anti").join(back, "seg_id", "left_anti")
     # Neighbouring sides may lead the same way out.
-    order = Window.partitionBy("cp_id").orderBy(F.round("tail", 6), "side")
-    return free.select("cp_id", "r_id", "side", F.round("x2", 6).alias("ex"), F.round("y2", 6).alias("ey"), F.round("tail", 6).alias("tail"), F.row_number().over(order).alias("nth"))
+    order = Window.partitionBy("place").orderBy(F.round("tail", 6), "side")
+    found = free.select("place", "side", F.round("x2", 6).alias("ex"), F.round("y2", 6).alias("ey"), F.round("tail", 6).alias("tail"), F.row_number().over(order).alias("nth"))
+    return points.join(places.hint("merge"), spot).join(found.hint("merge"), "place").select("cp_id", "r_id", "side", "ex", "ey", "tail", "nth")

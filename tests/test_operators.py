@@ -530,3 +530,24 @@ def test_points_of_one_place_share_the_answer_of_their_areas(spark):
     assert values(map(tuple, regions.least_dn(points, table).collect())) == values([(4, 50), (7, 50)])
     plan = inside._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan  # nothing of unknown size goes to the driver
+
+
+def test_parts_near_sides_equal_the_expression(spark):
+    rng = random.Random(5)
+    shape = lambda: [{"ax": a, "ay": b, "bx": a + rng.choice((0.0, 3.0, -4.5)), "by": b + 2.0} for a, b in ((float(rng.randint(-9, 9)), float(rng.randint(-9, 9))) for _ in range(rng.randint(1, 6)))]
+    rows = [(i, i, *(float(rng.randint(-12, 12)) for _ in range(4)), rng.choice((0.0, 1.0, 2.5)), False, shape()) for i in range(300)]
+    rows.append((300, 300, 1.0, 1.0, 1.0, 1.0, 2.0, False, shape()))
+    pairs = spark.createDataFrame(rows, "seg_id long, r_id long, x1 double, y1 double, x2 double, y2 double, keep double, area boolean, sides array<struct<ax: double, ay: double, bx: double, by: double>>")
+    plain = F.filter(F.transform("sides", lambda s: regions.P.near_side(*map(F.col, regions.SEGMENT), s, F.col("keep"))), lambda x: x.isNotNull())
+    both = [(r["near"], r["plain"]) for r in regions.near_spans(pairs).withColumn("plain", plain).collect()]
+    assert len(both) == 301 and any(a for a, _ in both) and all(a == b for a, b in both)
+
+
+def test_points_of_one_place_have_the_same_ways_out(spark):
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 8.0, "y": 0.0}, {"x": 8.0, "y": 6.0}, {"x": 0.0, "y": 6.0}]
+    table = spark.createDataFrame([(i, "oks", [ring], True, 2.0) for i in (4, 7)], "r_id long, rtype string, lines array<array<struct<x: double, y: double>>>, area boolean, keep double")
+    points = spark.createDataFrame([(p, 3, 2) for p in (1, 2, 3)], "cp_id long, x long, y long")
+    owned = regions.owning(points, table).join(points.select("cp_id", "x", "y"), "cp_id").withColumn("keep", F.lit(2.0))
+    ways = regions.exits(owned, table.filter("r_id = 4"), 1.0, 15.0, 10.0).collect()
+    by = {p: sorted((r["side"], r["ex"], r["ey"], r["tail"], r["nth"]) for r in ways if r["cp_id"] == p) for p in (1, 2, 3)}
+    assert by[1] == by[2] == by[3] == [(0, 3.0, -2.0, 4.0, 1), (1, 10.0, 2.0, 7.0, 4), (2, 3.0, 8.0, 6.0, 3), (3, -2.0, 2.0, 5.0, 2)]
