@@ -3,8 +3,9 @@
 Canonical form: NFKC, full case folding, NFKC again, runs of white space as one
 blank, trimmed.  Digest: two 64-bit xxhash values of that form with different
 seeds, as 32 hex digits.  Where a digest occurs more than once, the texts that have
-it are compared by their bytes; different ones are told apart, and all but the
-least of them carry a suffix.  Edited texts take part in that like others.
+it are compared (``fingerprinted``: by their bytes; ``neighbours``: by SHA-256, and by
+bytes where those differ); different ones are told apart, and all but the least of
+them carry a suffix.  Edited texts take part in that like others.
 
 Defined results: a null text counts as empty; repeated rows and equal texts get
 equal fingerprints; an empty table gives an empty result; other columns are
@@ -70,7 +71,12 @@ def cell(name: str) -> Column:
 def repeated(canon: DataFrame, digests: DataFrame) -> DataFrame:
     """The rows of ``canon`` (digest, canon) that may share a digest with another of ``digests`` (digest): a text alone with
     its digest needs no comparison, so most texts are spared the shuffle.  At most ``CELLS`` cells are broadcast."""
-    cells = digests.groupBy("digest").count().filter("count > 1").select(cell("digest").alias("cell")).distinct()
+    return sharing(canon, digests.groupBy("digest").count().filter("count > 1"))
+
+
+def sharing(canon: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of ``canon`` whose digest shares a cell with one of ``digests``."""
+    cells = digests.select(cell("digest").alias("cell")).distinct()
     return canon.join(F.broadcast(cells), cell("digest") == F.col("cell"), "left_semi")
 
 
@@ -126,8 +132,9 @@ def neighbours(df: DataFrame) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     Likeness of two exact fingerprints is 1 where the canonical texts are equal
-    byte for byte, else 0.  The digests are one written table; texts that share one
-    are compared after it.
+    byte for byte, else 0.  The digests are one written table, with a SHA-256 of each
+    canonical text.  Where a digest occurs with two of those, the texts that have it
+    are read again and compared by their bytes; else no text is moved a second time.
     """
     tables = Tables(df.sparkSession)
     rows = edited_rows(df)
@@ -138,12 +145,17 @@ def neighbours(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
     out = out.select("*", digest(own).alias("fingerprint"), digest(edited).alias("edited_fingerprint"), (own == edited).cast("double").alias("near_edited"), (own == after).cast("double").alias("near_next"))
-    known = tables.write(finished(out), "fingerprints")
-    digests = known.select(F.explode(F.array("fingerprint", "edited_fingerprint")).alias("digest"))
-    canon = rows.select(F.explode(F.array(canonical(F.col("text")), canonical(F.col("edited")))).alias("canon")).select(digest(F.col("canon")).alias("digest"), "canon")
-    found, seen = tables.counted(collisions(repeated(canon, digests)), "collisions")
+    # 32 bytes of each canonical text, so that only digests of different texts need the texts again.
+    proofs = [F.unhex(F.sha2(c, 256)).alias(n) for c, n in ((own, "own_proof"), (edited, "edited_proof"))]
+    whole = tables.write(out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *proofs), "fingerprints")
+    known = finished(whole)
+    each = F.array(F.struct(F.col("fingerprint").alias("digest"), F.col("own_proof").alias("proof")), F.struct(F.col("edited_fingerprint").alias("digest"), F.col("edited_proof").alias("proof")))
+    proofs_of = whole.select(F.inline(each)).groupBy("digest").agg(F.min("proof").alias("low"), F.max("proof").alias("high"))
+    clashes, seen = tables.counted(proofs_of.filter("low != high").select("digest"), "clashes")
     if not seen["n"]:
         return known
+    canon = rows.select(F.explode(F.array(canonical(F.col("text")), canonical(F.col("edited")))).alias("canon")).select(digest(F.col("canon")).alias("digest"), "canon")
+    found, seen = tables.counted(collisions(sharing(canon, clashes)), "collisions")
     for c in ("text", "edited"):
         out = resolved(out, found, seen["n"], "fingerprint" if c == "text" else "edited_fingerprint", f"{c}_canon")
     return finished(out)

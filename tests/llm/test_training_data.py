@@ -481,6 +481,16 @@ def test_edited_texts_that_collide_are_told_apart(spark, monkeypatch):
     assert again["abcdefghi"] == "same" and again["qqqqqqqqq"] == "same:1"
 
 
+def test_copies_alone_move_no_text_twice(spark, monkeypatch):
+    def refused(canon):
+        raise AssertionError("texts are read again")
+
+    monkeypatch.setattr(fingerprints, "collisions", refused)
+    table = spark.createDataFrame([(i, "the same text") for i in range(5)] + [(9, "another")], "doc_id long, text string")
+    got = fingerprints.neighbours(table).collect()
+    assert len(got) == 6 and len({r["fingerprint"] for r in got}) == 2 and sum(r["near_next"] for r in got) == 4.0
+
+
 # 6
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head><body><nav class="top"><ul><li>Home<li>About</ul></nav>
