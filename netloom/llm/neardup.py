@@ -22,9 +22,10 @@ sent to executors has the same size for any corpus.
    are compared with all others, in blocks of ``block`` by ``block`` nodes that are
    dealt apart.  Two bounds from above spare most pairs: the weight of what a text
    shares with any other of these (near copies with many changes of their own drop
-   out by one count), and sums of weights by hashed shingle, of which two texts
-   share at most the lesser ones.  So no pair of a bucket is passed over unless its
-   ends are in one class already or it cannot reach the threshold.
+   out by one count), and sums by hashed shingle of that weight, of which two texts
+   share at most the lesser ones.  A pair of several buckets is compared in the one
+   with the least key.  So no pair is passed over unless its ends are in one class
+   already or it cannot reach the threshold.
 
 Defined results: a null text counts as empty; texts without any word are in one
 class only if they are equal; shorter texts are one shingle; repeated rows are
@@ -299,7 +300,7 @@ def bounds(texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
     """(id, total, shared, parts): what bounds a text's similarity to others of these texts (id, text).
 
     ``total`` is the weight of its shingles and ``shared`` of those that another of
-    these texts has; ``parts`` are sums of weights by a hash of the shingle.  Two
+    these texts has; ``parts`` are sums of the latter by a hash of the shingle.  Two
     texts share at most the sum of the lesser parts.  Nodes whose ``shared`` keeps
     them below the threshold with any other are left out.
     """
@@ -309,7 +310,8 @@ def bounds(texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
         for batch in slices(batches, "text"):
             offsets, shingles, weights = features(*hashes_of(batch.column("text")), idf_sent.value, settings.shingle)
             owner = np.repeat(np.asarray(batch.column("id")), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], ["id", "shingle", "weight"])
+            part = (mixed(shingles) % np.uint64(settings.parts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(shingles.view(np.int64)), pa.array(part), pa.array(weights.astype(np.float64))], ["id", "shingle", "part", "weight"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of, k = WordHashes(), settings.parts
@@ -321,11 +323,13 @@ def bounds(texts: DataFrame, idf_sent, settings: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(parts.reshape(-1, k).sum(axis=1)), lists], ["id", "total", "parts"])
 
     # A shingle that one node has alone is known by that node; no rows of a shingle need meet in one task.
-    rows = mapped(texts, shingles, "id long, shingle long, weight double")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("weight").alias("weight")).filter("n = 1")
-    lost = alone.groupBy("id").agg(F.sum("weight").alias("lost"))
+    rows = mapped(texts, shingles, "id long, shingle long, part int, weight double")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("part").alias("part"), F.max("weight").alias("weight")).filter("n = 1")
+    lost = alone.repartition("id").groupBy("id", "part").agg(F.sum("weight").alias("weight"))
+    lost = lost.groupBy("id").agg(F.sum("weight").alias("lost"), F.map_from_entries(F.collect_list(F.struct("part", "weight"))).alias("by_part"))
     whole = mapped(texts, summed, "id long, total double, parts array<float>").join(lost, "id", "left")
-    return whole.select("id", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("shared"), "parts").filter(F.col("shared") >= (settings.threshold - 1e-6) * F.col("total"))
+    left = F.transform("parts", lambda x, i: F.greatest(F.lit(0.0), x - F.coalesce(F.col("by_part")[i], F.lit(0.0))).cast("float"))
+    return whole.select("id", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("shared"), left.alias("parts")).filter(F.col("shared") >= (settings.threshold - 1e-6) * F.col("total"))
 
 
 def ordered(x: Column, y: Column, rx: Column, ry: Column) -> list[Column]:
@@ -336,8 +340,9 @@ def ordered(x: Column, y: Column, rx: Column, ry: Column) -> list[Column]:
 def crossed(open_: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
     """Pairs of different classes within a bucket that could be similar enough.
 
-    open_: (key, id, root, total, shared, parts); stats: (key, n, most, main), the
-    bucket's members, those of its largest class, and that class.
+    open_: (key, id, root, total, shared, parts), and perhaps keys, all keys of the
+    id; stats: (key, n, most, main), the bucket's members, those of its largest class,
+    and that class.
     """
     size = settings.block
     beside = F.ceil((F.col("n") - F.col("most")) / size).cast("int"), F.ceil(F.col("n") / size).cast("int")
@@ -346,7 +351,7 @@ def crossed(open_: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame
     def block(seed: int, over: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(over)).cast("int")
 
-    every = {c: f"{c}_y" for c in ("id", "root", "total", "shared", "parts")}
+    every = {c: f"{c}_y" for c in ("id", "root", "total", "shared", "parts", "keys") if c in open_.columns}
     left = rows.filter("root != main").withColumn("i", block(1, "p")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).drop("p", "q")
     right = rows.withColumn("j", block(2, "q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("key", "i", "j", *[F.col(a).alias(b) for a, b in every.items()])
     t = settings.threshold
@@ -356,9 +361,12 @@ def crossed(open_: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame
         return most * (1 + t) >= (t - 1e-4) * (F.col("total") + F.col("total_y"))
 
     different = (F.col("root") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("id") < F.col("id_y"))) & reaches(F.least("shared", "shared_y"))
+    if "keys" in every:  # two ends of different classes are compared once in each bucket that they share: here in one of them
+        different &= F.array_min(F.array_intersect("keys", "keys_y")) == F.col("key")
     different &= reaches(F.aggregate(F.zip_with("parts", "parts_y", lambda a, b: F.least(a, b)), F.lit(0.0), lambda s, x: s + x))
     # Dealt by block, so that one bucket's comparisons are many tasks'.
-    return left.join(right, ["key", "i", "j"]).filter(different).select(*ordered(F.col("id"), F.col("id_y"), F.col("root"), F.col("root_y"))).distinct()
+    pairs = left.join(right, ["key", "i", "j"]).filter(different).select(*ordered(F.col("id"), F.col("id_y"), F.col("root"), F.col("root_y")))
+    return pairs if "keys" in every else pairs.distinct()
 
 
 def _classes(rows: DataFrame, docs: DataFrame, settings: Settings, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -395,7 +403,8 @@ def _classes(rows: DataFrame, docs: DataFrame, settings: Settings, tables: Table
         wanted, found = tables.counted(open_.select("id").distinct().join(nodes.select("id", "node", "mark"), "id"), "wanted")
         texts = tables.write(wanted_texts(docs, wanted, found["n"]), "texts")
         limits = tables.write(bounds(texts, idf_sent, settings), "limits")
-        able = tables.write(open_.join(limits, "id"), "able")
+        held = open_.groupBy("id").agg(F.min("root").alias("root"), F.collect_list("key").alias("keys"))
+        able = tables.write(held.join(limits, "id").select(*held.columns, "total", "shared", "parts", F.explode("keys").alias("key")), "able")
         counts = able.groupBy("key", "root").agg(F.count("*").alias("n"))
         counts = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
         stats = tables.write(counts.select("key", "n", F.col("top.n").alias("most"), F.col("top.root").alias("main")).filter("n > most"), "stats")

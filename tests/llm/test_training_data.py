@@ -407,6 +407,42 @@ def test_blocks_of_a_bucket_meet_all(spark):
         assert {(r["b"], r["a"]) for r in found} == want and len(found) == len(want)
 
 
+def test_pairs_of_several_buckets_are_made_once(spark):
+    at = {i: [k for k in (1, 2, 3) if i % (k + 1) == 0 or i < 8] for i in range(40)}
+    rows = [(k, i, i % 7 if i < 20 else 100 + i, 1.0, 1.0, [1.0] + [0.0] * 63, at[i][::-1]) for i in at for k in at[i]]
+    open_ = spark.createDataFrame(rows, "key long, id long, root long, total double, shared double, parts array<float>, keys array<long>")
+    stats = spark.createDataFrame([(k, sum(k in a for a in at.values()), 3, 0) for k in (1, 2, 3)], "key long, n long, most long, main long")
+    roots = {r[1]: r[2] for r in rows}
+    want = {(i, j) for i in roots for j in roots if i < j and roots[i] != roots[j] and set(at[i]) & set(at[j])}
+    for block in (3, 1000):
+        found = neardup.crossed(open_, stats, neardup.Settings(block=block)).collect()
+        assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
+
+
+def test_bounds_leave_out_what_a_text_has_alone(spark):
+    """Parts hold only what another text shares, so that own words of two near copies do not make up for what each lost."""
+    rng = random.Random(4)
+    base = random_text(rng, 120).split()
+    texts = []
+    for i in range(6):
+        ws = list(base)
+        for k in range(i):
+            ws[20 * k + i] = f"own{i}x{k}"
+        texts.append(" ".join(ws))
+    settings = neardup.Settings()
+    idf = np.ones(neardup.CELLS, np.float32)
+    sent = spark.sparkContext.broadcast(idf)
+    got = {r["id"]: r for r in neardup.bounds(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), sent, settings).collect()}
+    offsets, shingles, weights = neardup.features(*WordHashes()(pa.array(texts)), idf, settings.shingle)
+    of = [dict(zip(shingles[a:b].tolist(), weights[a:b].tolist(), strict=True)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert len(got) > 3
+    for i, r in got.items():
+        assert sum(r["parts"]) == pytest.approx(r["shared"]) and r["shared"] == pytest.approx(sum(w for s, w in of[i].items() if any(s in o for j, o in enumerate(of) if j != i)))
+        for j in got:
+            both = sum(min(w, of[j][s]) for s, w in of[i].items() if s in of[j])
+            assert j == i or both <= sum(map(min, r["parts"], got[j]["parts"])) + 1e-3
+
+
 def test_samples_agree_as_often_as_similarity_says():
     rng = np.random.default_rng(1)
     settings = neardup.Settings(bands=256, rows=4)
