@@ -6,10 +6,11 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
-from netloom.operators.shapes import Shape, bars, cells_on, covered, holds
+from netloom.operators.shapes import Point, Shape, barred_by_any, bars, cells_on, covered, held_by_any, holds
 
 
 @dataclass(frozen=True)
@@ -82,11 +83,15 @@ class Grid:
         self.blocked, self.factor = np.zeros((self.h, self.w), bool), np.ones((self.h, self.w))
         self.cx = self.x0 + (np.arange(self.w) + 0.5) * self.cell + (np.arange(self.h) % 2 * self.cell / 2 if o.hexagons else np.zeros(self.h))[:, None]
         self.cy = np.broadcast_to((self.y0 + (np.arange(self.h) + 0.5) * self.row)[:, None], self.cx.shape)
-        self.shapes = [*(Shape.box(*b) for b in tile.boxes), *tile.shapes]
+        # Equal boxes are one.  Proper ones are tested by columns, all other shapes one by one.
+        boxes = list(dict.fromkeys(tuple(map(float, b)) for b in tile.boxes))
+        proper = [b for b in boxes if b[0] < b[2] and b[1] < b[3]]
+        odd = [Shape.box(*b) for b in boxes if not (b[0] < b[2] and b[1] < b[3])]
+        self.shapes = [*(Shape.box(*b) for b in boxes), *tile.shapes]
         # Shapes by blocks of space, for exact tests of straight ways.
         self.size = 4 * self.cell
         self.near: dict[tuple[int, int], list[Shape]] = defaultdict(list)
-        for shape in self.shapes:
+        for shape in (*odd, *tile.shapes):
             x0, y0, x1, y1 = shape.envelope()
             rows = slice(max(0, int((y0 - self.y0) / self.row - 1)), max(0, int((y1 - self.y0) / self.row + 2)))
             cols = slice(max(0, int((x0 - self.x0) / self.cell - 2)), max(0, int((x1 - self.x0) / self.cell + 2)))
@@ -95,23 +100,72 @@ class Grid:
                 self.factor[rows, cols] = np.where(hit, np.maximum(self.factor[rows, cols], shape.factor / 100), self.factor[rows, cols])
                 continue
             self.blocked[rows, cols] |= hit
-            for bx in range(int(x0 // self.size), int(x1 // self.size) + 1):
-                for by in range(int(y0 // self.size), int(y1 // self.size) + 1):
-                    self.near[bx, by].append(shape)
+            for block in self.blocks(x0, y0, x1, y1):
+                self.near[block].append(shape)
+        within: dict[tuple[int, int], list[tuple[float, float, float, float]]] = defaultdict(list)
+        for box in proper:
+            for block in self.blocks(*box):
+                within[block].append(box)
+        self.boxes = {block: np.array(found).T for block, found in within.items()}
+        if proper:
+            self.cover(np.array(proper).T)
         self.dear = bool((self.factor > 1).any())
         self.steps: dict[tuple[int, int], bool] = {}
+        self.outer: dict[int, list[Point]] = {}
+
+    def blocks(self, x0: float, y0: float, x1: float, y1: float) -> Iterator[tuple[int, int]]:
+        for x in range(int(x0 // self.size), int(x1 // self.size) + 1):
+            for y in range(int(y0 // self.size), int(y1 // self.size) + 1):
+                yield x, y
+
+    def cover(self, boxes: np.ndarray) -> None:
+        """Block the cells whose centres are inside a box: its corners in each kind of row are counted, then summed up."""
+        top, bottom = (np.searchsorted(self.cy[:, 0], y) for y in (boxes[1], boxes[3]))
+        for odd in (0, 1)[: 1 + self.hexagons]:
+            left, right = (np.searchsorted(self.cx[min(odd, self.h - 1)], x) for x in (boxes[0], boxes[2]))
+            corners = np.zeros((self.h + 1, self.w + 1), np.int64)
+            for rows, cols, sign in ((top, left, 1), (top, right, -1), (bottom, left, -1), (bottom, right, 1)):
+                np.add.at(corners, (rows, cols), sign)
+            inside = corners.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
+            every = slice(odd, None, 2) if self.hexagons else slice(None)
+            self.blocked[every] |= inside[every]
 
     def around(self, a: tuple[float, float], b: tuple[float, float]) -> list[Shape]:
-        """Shapes that may be in the way of a segment: those of the blocks that it goes through."""
+        """Shapes, but for proper boxes, that may be in the way of a segment: those of the blocks that it goes through."""
         seen = {id(s): s for block in cells_on(a, b, self.size) for s in self.near.get(block, ())}
         return list(seen.values())
 
     def free(self, a: tuple[float, float], b: tuple[float, float]) -> bool:
         """Whether the straight way keeps off all shapes, but for those that hold one of its ends."""
+        if any(block in self.boxes and barred_by_any(self.boxes[block], a, b) for block in cells_on(a, b, self.size)):
+            return False
         return not any(bars(shape, a, b) for shape in self.around(a, b))
 
     def held(self, p: tuple[float, float]) -> bool:
-        return any(holds(shape, p) for shape in self.near.get((int(p[0] // self.size), int(p[1] // self.size)), ()))
+        block = int(p[0] // self.size), int(p[1] // self.size)
+        return block in self.boxes and held_by_any(self.boxes[block], p) or any(holds(shape, p) for shape in self.near.get(block, ()))
+
+    @cached_property
+    def envelopes(self) -> np.ndarray:
+        """x0, y0, x1, y1 of the shapes that are obstacles, by row."""
+        return np.array([s.envelope() for s in self.shapes if not s.factor]).reshape(-1, 4).T
+
+    @cached_property
+    def corners(self) -> list[list[Point]]:
+        """Corners of each obstacle, pushed out of its band."""
+        out = []
+        for shape in (s for s in self.shapes if not s.factor):
+            x0, y0, x1, y1 = shape.envelope()
+            mx, my, push = (x0 + x1) / 2, (y0 + y1) / 2, 1.5 * shape.keep + 0.2
+            offs = [(sx, sy, math.hypot(sx - mx, sy - my) or 1.0) for sx, sy, *_ in shape.sides]
+            out.append([(sx + (sx - mx) / off * push, sy + (sy - my) / off * push) for sx, sy, off in offs])
+        return out
+
+    def corners_out(self, i: int) -> list[Point]:
+        """Those corners of an obstacle that no shape holds."""
+        if i not in self.outer:
+            self.outer[i] = [c for c in self.corners[i] if not self.held(c)]
+        return self.outer[i]
 
     def step(self, c: int, n: int) -> bool:
         key = (c, n) if c < n else (n, c)
@@ -208,7 +262,8 @@ class Segments:
 
     def __init__(self, size: float) -> None:
         self.size = size
-        self.blocks: dict[tuple[int, int], set[tuple[int, tuple[float, float], tuple[float, float]]]] = defaultdict(set)
+        #: In each block, the edges of each segment; many edges may lie on one.
+        self.blocks: dict[tuple[int, int], dict[tuple[Point, Point], set[int]]] = defaultdict(dict)
 
     def around(self, a: tuple[float, float], b: tuple[float, float]) -> Iterator[tuple[int, int]]:
         for x in range(int(min(a[0], b[0]) // self.size), int(max(a[0], b[0]) // self.size) + 1):
@@ -218,14 +273,17 @@ class Segments:
     def put(self, edge: int, line: list[tuple[float, float]], gone: bool = False) -> None:
         for a, b in zip(line, line[1:], strict=False):
             for block in self.around(a, b):
-                (self.blocks[block].discard if gone else self.blocks[block].add)((edge, a, b))
+                of = self.blocks[block].setdefault((a, b), set())
+                (of.discard if gone else of.add)(edge)
+                if not of:
+                    del self.blocks[block][a, b]
 
     def met(self, own: set[int], a: tuple[float, float], b: tuple[float, float]) -> set[int]:
         """Edges that a new segment would meet, but for its own."""
-        return {e for block in self.around(a, b) for e, p, q in self.blocks.get(block, ()) if e not in own and crosses(a, b, p, q)}
+        return {e for block in self.around(a, b) for s, of in self.blocks.get(block, {}).items() if not of <= own and crosses(a, b, *s) for e in of - own}
 
     def free(self, own: set[int], a: tuple[float, float], b: tuple[float, float]) -> bool:
-        return not any(e not in own and crosses(a, b, p, q) for block in self.around(a, b) for e, p, q in self.blocks.get(block, ()))
+        return not any(not of <= own and crosses(a, b, *s) for block in self.around(a, b) for s, of in self.blocks.get(block, {}).items())
 
     def crossed(self, edge: int, line: list[tuple[float, float]]) -> bool:
         return not all(self.free({edge}, a, b) for a, b in zip(line, line[1:], strict=False))

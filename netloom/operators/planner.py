@@ -16,6 +16,7 @@ import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cache
 from typing import Protocol
 
 import numpy as np
@@ -268,8 +269,9 @@ class GridForest:
             return [], [p[0] for p in tile.points]
         o, grid = self.options, Grid(tile, self.options)
         roots: dict[int, tuple[int, float, float]] = {}
+        nearest = cache(lambda c: grid.nearest_free(c, o.snap))
         for tie in tile.ties:
-            c = grid.nearest_free(grid.at(tie[1], tie[2]), o.snap)
+            c = nearest(grid.at(tie[1], tie[2]))
             if c is None:
                 tile.notes.append(f"TIE_IN_BLOCKED: {tie[0]}")
             elif c not in roots or tie[0] >= 0 > roots[c][0]:  # a chamber goes before a place on a pipe
@@ -291,7 +293,8 @@ class GridForest:
             if p[3] and p[3] > 0:  # points without flow are not connected
                 at[grid.at(*where[p[0]])].append((p[0], *where[p[0]], p[3]))
         for c, ps in at.items():  # an edge ends in a cell's centre; further points of the cell must see it
-            at[c] = [p for i, p in enumerate(ps) if i == 0 and c not in sources or grid.free(grid.centre(c), (p[1], p[2]))]
+            seen = {q: grid.free(grid.centre(c), q) for q in {(p[1], p[2]) for p in ps[c not in roots :]}}
+            at[c] = [p for i, p in enumerate(ps) if i == 0 and c not in roots or seen[p[1], p[2]]]
         for c in [*sources, *at]:
             grid.blocked.ravel()[c] = False
         targets = set(at) - set(sources)

@@ -11,6 +11,8 @@ import math
 from collections import defaultdict
 from collections.abc import Callable
 
+import numpy as np
+
 from netloom.operators.grid import Edge, Grid, Segments, crosses, turns_little
 from netloom.operators.shapes import Point
 
@@ -98,19 +100,11 @@ def turning_search(grid: Grid, start: Point, goal: Point, before: Point | None =
 def corner_search(grid: Grid, start: Point, goal: Point, before: Point | None = None, after: Point | None = None, free: Free | None = None, budget: int = 200) -> Way | None:
     """The shortest way over corners of the shapes that are near the straight line, pushed out of their bands, with small turns."""
     free = free or grid.free
-    corners: list[Point] = []
     far = math.dist(start, goal)
     reach = max(2 * grid.cell, 0.5 * far)
-    for shape in grid.shapes:
-        x0, y0, x1, y1 = shape.envelope()
-        if shape.factor or x1 < min(start[0], goal[0]) - reach or x0 > max(start[0], goal[0]) + reach or y1 < min(start[1], goal[1]) - reach or y0 > max(start[1], goal[1]) + reach:
-            continue
-        mx, my = (x0 + x1) / 2, (y0 + y1) / 2
-        for sx, sy, *_ in shape.sides:
-            off = math.hypot(sx - mx, sy - my) or 1.0
-            push = 1.5 * shape.keep + 0.2
-            corners.append((sx + (sx - mx) / off * push, sy + (sy - my) / off * push))
-    corners = sorted({c for c in corners if not grid.held(c)}, key=lambda c: math.dist(start, c) + math.dist(c, goal))[:budget]
+    x0, y0, x1, y1 = grid.envelopes
+    beside = (x1 < min(start[0], goal[0]) - reach) | (x0 > max(start[0], goal[0]) + reach) | (y1 < min(start[1], goal[1]) - reach) | (y0 > max(start[1], goal[1]) + reach)
+    corners = sorted({c for i in np.flatnonzero(~beside).tolist() for c in grid.corners_out(i)}, key=lambda c: math.dist(start, c) + math.dist(c, goal))[:budget]
     places = [start, *corners, goal]
     heap, known, back, done = [(far, 0.0, 0, -1)], {(0, -1): 0.0}, {}, set()
     while heap and len(done) < budget:
@@ -205,6 +199,7 @@ def approached(tree: Tree, back: int = 8) -> int:
 def uncrossed(tree: Tree, hole: float = 3.0) -> int:
     """Edges that cross are laid anew, the shorter one first, around all others; near its ends an edge may pass others' nodes."""
     mended = 0
+    vain: set[tuple] = set()
     for what, i, j in faults(tree.edges):
         if what != "CROSSING":
             continue
@@ -219,7 +214,12 @@ def uncrossed(tree: Tree, hole: float = 3.0) -> int:
 
             if not tree.segments.crossed(e.edge, e.line):
                 break
-            after = next((f.line[1] for f in tree.children[e.edge] if len(f.line) > 1), None)
+            nexts = [f.line[1] for f in tree.children[e.edge] if len(f.line) > 1]
+            after = nexts[0] if nexts else None
+            # An edge of many crossings, or edges that lie on each other, ask for the same: one search in vain is enough until an edge is laid anew.
+            alike = mended, tuple(e.line), tree.before(e), tuple(nexts)
+            if alike in vain:
+                continue
             for search in (corner_search, turning_search):
                 line = search(tree.grid, *ends, tree.before(e), after, free)
                 if line and len(line) > 1 and tree.sound(e, line):
@@ -227,6 +227,7 @@ def uncrossed(tree: Tree, hole: float = 3.0) -> int:
                     mended += 1
                     break
             else:
+                vain.add(alike)
                 continue
             break
     return mended

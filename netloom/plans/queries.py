@@ -734,6 +734,13 @@ def planned(spark: SparkSession, d: str) -> DataFrame:
     return planner.plan(points, spots, boxes)
 
 
+def planned_once(spark: SparkSession, d: str) -> DataFrame:
+    """The plan's edges as a written table, for queries that read them several times: the search runs once."""
+    from netloom.sources import shared
+
+    return shared.written(planned(spark, d).filter("edge is not null"), "planned")
+
+
 def planned_unconnected(rows: DataFrame, points: DataFrame) -> DataFrame:
     """(cp_id, flow): the points that the planner reports as unconnected, the same in all variants."""
     return rows.filter("unconnected is not null").select(F.col("unconnected").alias("cp_id")).join(points.select("cp_id", "flow"), "cp_id")
@@ -992,7 +999,7 @@ def _(spark, d):
 
 @query("val02_ends_meet")
 def _(spark, d):
-    rows = planned(spark, d).filter("edge is not null")
+    rows = planned_once(spark, d)
     up = rows.select("tile", "variant", F.col("edge").alias("parent"), F.element_at("line", -1).alias("end"))
     both = rows.join(up, ["tile", "variant", "parent"])
     apart = S.distance(F.col("line")[0]["x"], F.col("line")[0]["y"], F.col("end.x"), F.col("end.y")) > 1e-5

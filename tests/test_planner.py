@@ -176,3 +176,51 @@ def test_connectors():
     free = lambda a, b: True
     assert repair.connector_sound((0, 0), (10, 0), (20, 0), s, set(), free) and not repair.connector_sound((0, 0), (10, 0), (0, 1), s, set(), free)
     assert not repair.connector_sound((10, 0), (10, 10), None, s, set(), free) and repair.connector_sound((10, 0), (10, 10), None, s, {1}, free)
+
+
+def test_boxes_by_columns_bar_as_shapes_do():
+    """Many boxes tested by columns, borders and corners too, are the shapes' own tests."""
+    import numpy as np
+
+    rng = random.Random(5)
+    boxes = [(x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9)) for x, y in ((rng.randrange(20), rng.randrange(20)) for _ in range(12))]
+    columns = np.array(boxes, float).T
+    whole = [Shape.box(*b) for b in boxes]
+    for _ in range(1500):
+        a, b = ((rng.choice((rng.uniform(-2, 25), float(rng.randrange(-2, 25)))), rng.choice((rng.uniform(-2, 25), float(rng.randrange(-2, 25))))) for _ in range(2))
+        assert shapes.barred_by_any(columns, a, b) == any(shapes.bars(s, a, b) for s in whole), (a, b)
+        assert shapes.held_by_any(columns, a) == any(shapes.holds(s, a) for s in whole), a
+
+
+@pytest.mark.parametrize("hexagons", [False, True])
+def test_cells_in_boxes_are_blocked(hexagons):
+    rng = random.Random(6)
+    boxes = [(x, y, x + rng.randrange(1, 40), y + rng.randrange(1, 30)) for x, y in ((rng.randrange(-60, 160), rng.randrange(-60, 160)) for _ in range(25))]
+    g = grid([(0, 0)], [(100, 90)], planner.Options(cell=5.0, hexagons=hexagons), boxes=boxes)
+    want = [any(shapes.covered(Shape.box(*b), g.cx[[r], [c]], g.cy[[r], [c]])[0] for b in boxes) for r in range(g.h) for c in range(g.w)]
+    assert g.blocked.ravel().tolist() == want
+
+
+def test_crowded_places_are_asked_for_once(monkeypatch):
+    """Many points and tie-in places in few spots, many equal boxes: the work is that of the spots, and all points are planned."""
+    asked: list[tuple] = []
+    free, nearest = planner.Grid.free, planner.Grid.nearest_free
+    monkeypatch.setattr(planner.Grid, "free", lambda g, a, b: asked.append((a, b)) or free(g, a, b))
+    monkeypatch.setattr(planner.Grid, "nearest_free", lambda g, c, most: asked.append((c, most)) or nearest(g, c, most))
+    spots = [(55.0, 5.0), (57.0, 8.0), (60.0, 60.0), (12.0, 70.0)]
+    points = [(i, *spots[i % 4], 1.0) for i in range(400)]
+    tile = planner.Tile(points, [(i, 0.0, 0.0) for i in range(100)], [(20, 20, 40, 40)] * 300)
+    variants, lost = planner.GridForest(planner.Options(passes=1, pull=False, repair=False)).plan(tile)
+    assert not lost and sorted(e.node for e in variants[0] if e.node >= 0) == list(range(400))
+    assert len(asked) == len(set(asked)) < 400
+
+
+def test_a_search_in_vain_is_not_repeated(monkeypatch):
+    """An edge shut in between walls crosses edges that lie on each other; there is no other way, and one search says so."""
+    walls = [Shape.box(-10, -3, 70, -1), Shape.box(-10, 1, 70, 3), Shape.box(-10, -3, -8, 3), Shape.box(68, -3, 70, 3)]
+    g = grid([(0, 0)], [(60, 0)], shapes=walls)
+    edges = [edge(1, 0, 10, 1.0, (0, 0), (60, 0)), *(edge(k, 0, 10 + k, 1.0, (30, -0.5), (30, 0.5)) for k in range(2, 32))]
+    asked = []
+    monkeypatch.setattr(repair, "turning_search", lambda *a: asked.append(1))
+    monkeypatch.setattr(repair, "corner_search", lambda *a: None)
+    assert len(repair.faults(edges)) == 30 and repair.uncrossed(repair.Tree(g, edges)) == 0 and len(asked) == 2
