@@ -1156,7 +1156,7 @@ def _(spark, d):
 
 def planned_segments(spark: SparkSession, d: str, variant: int = 1) -> DataFrame:
     """Straight parts of a variant's edges, with ids of their own."""
-    rows = planned(spark, d).filter((F.col("variant") == variant) & F.col("edge").isNotNull())
+    rows = planned_once(spark, d).filter(F.col("variant") == variant)
     parts = F.transform(F.slice("line", 1, F.size("line") - 1), lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.col("line")[i + 1]["x"].alias("x2"), F.col("line")[i + 1]["y"].alias("y2")))
     out = rows.select("tile", "edge", F.posexplode(parts).alias("pos", "s")).select("tile", "edge", "s.*", "pos")
     return out.withColumn("seg_id", F.col("tile") * 100_000_000 + F.col("edge").cast("long") * 1000 + F.col("pos"))
