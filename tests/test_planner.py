@@ -224,3 +224,21 @@ def test_a_search_in_vain_is_not_repeated(monkeypatch):
     monkeypatch.setattr(repair, "turning_search", lambda *a: asked.append(1))
     monkeypatch.setattr(repair, "corner_search", lambda *a: None)
     assert len(repair.faults(edges)) == 30 and repair.uncrossed(repair.Tree(g, edges)) == 0 and len(asked) == 2
+
+
+@pytest.mark.parametrize("name", ["val02_ends_meet", "val04_planned_crossings", "val01_routes_through_restrictions"])
+def test_checks_of_a_plan_search_each_tile_once(spark, sf, tmp_path, monkeypatch, name):
+    from netloom.plans import queries
+
+    class Counting:
+        def plan(self, tile):
+            import uuid
+
+            (tmp_path / f"{min(p[0] for p in tile.points) if tile.points else 'none'}-{uuid.uuid4().hex}").touch()
+            return planner.GridForest().plan(tile)
+
+    monkeypatch.setitem(planner.REGISTRY.planners, "grid-forest", Counting())
+    queries.QUERIES[name](spark, sf).collect()
+    tiles = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    with_points = [t for t in tiles if t != "none"]
+    assert with_points and len(with_points) == len(set(with_points))
