@@ -87,7 +87,7 @@ class Grid:
         boxes = list(dict.fromkeys(tuple(map(float, b)) for b in tile.boxes))
         proper = [b for b in boxes if b[0] < b[2] and b[1] < b[3]]
         odd = [Shape.box(*b) for b in boxes if not (b[0] < b[2] and b[1] < b[3])]
-        self.shapes = [*(Shape.box(*b) for b in boxes), *tile.shapes]
+        self.obstacles: list[tuple[float, ...] | Shape] = [*boxes, *(s for s in tile.shapes if not s.factor)]
         # Shapes by blocks of space, for exact tests of straight ways.
         self.size = 4 * self.cell
         self.near: dict[tuple[int, int], list[Shape]] = defaultdict(list)
@@ -147,24 +147,17 @@ class Grid:
 
     @cached_property
     def envelopes(self) -> np.ndarray:
-        """x0, y0, x1, y1 of the shapes that are obstacles, by row."""
-        return np.array([s.envelope() for s in self.shapes if not s.factor]).reshape(-1, 4).T
+        """x0, y0, x1, y1 of the boxes and shapes that are obstacles, by row."""
+        return np.array([s.envelope() if isinstance(s, Shape) else (min(s[0], s[2]), min(s[1], s[3]), max(s[0], s[2]), max(s[1], s[3])) for s in self.obstacles]).reshape(-1, 4).T
 
-    @cached_property
-    def corners(self) -> list[list[Point]]:
-        """Corners of each obstacle, pushed out of its band."""
-        out = []
-        for shape in (s for s in self.shapes if not s.factor):
+    def corners_out(self, i: int) -> list[Point]:
+        """Corners of an obstacle, pushed out of its band; those that no shape holds."""
+        if i not in self.outer:
+            shape = s if isinstance(s := self.obstacles[i], Shape) else Shape.box(*s)
             x0, y0, x1, y1 = shape.envelope()
             mx, my, push = (x0 + x1) / 2, (y0 + y1) / 2, 1.5 * shape.keep + 0.2
             offs = [(sx, sy, math.hypot(sx - mx, sy - my) or 1.0) for sx, sy, *_ in shape.sides]
-            out.append([(sx + (sx - mx) / off * push, sy + (sy - my) / off * push) for sx, sy, off in offs])
-        return out
-
-    def corners_out(self, i: int) -> list[Point]:
-        """Those corners of an obstacle that no shape holds."""
-        if i not in self.outer:
-            self.outer[i] = [c for c in self.corners[i] if not self.held(c)]
+            self.outer[i] = [c for c in ((sx + (sx - mx) / off * push, sy + (sy - my) / off * push) for sx, sy, off in offs) if not self.held(c)]
         return self.outer[i]
 
     def step(self, c: int, n: int) -> bool:

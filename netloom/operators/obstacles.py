@@ -46,6 +46,19 @@ def crossing_angles(segments: DataFrame, boxes: DataFrame) -> DataFrame:
     return rows.filter(cross).groupBy("seg_id", "r_id").agg(F.round(F.min(F.least(turn, 180 - turn)), 6).alias("angle"))
 
 
+def through(segments: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(x1, y1, x2, y2), each once: segments that cross a side of a box which holds neither of their ends; a way into the box that holds its end is a tail."""
+    ends, names = ("x1", "y1", "x2", "y2"), ("p1", "q1", "p2", "q2")
+    s = segments.select(*[F.col(c).cast("double").alias(n) for c, n in zip(ends, names, strict=True)]).distinct()
+    rows = candidates(s, segment_box(*names), boxes.select(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]), corners("x0", "y0", "x1", "y1"))
+    held, crossing = F.lit(False), F.lit(False)
+    for x, y in (names[:2], names[2:]):
+        held |= (F.col("x0") < F.col(x)) & (F.col(x) < F.col("x1")) & (F.col("y0") < F.col(y)) & (F.col(y) < F.col("y1"))
+    for side in SIDES:
+        crossing |= S.cross_properly(tuple(map(F.col, names)), tuple(map(F.col, side)))
+    return rows.filter(~held & crossing).select(*[F.col(n).alias(c) for c, n in zip(ends, names, strict=True)]).distinct()
+
+
 def narrowest_angles(directions: DataFrame, key: str) -> DataFrame:
     """(key, angle, n): the least angle between any two directions at a node, in degrees.
 

@@ -21,6 +21,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -378,6 +379,10 @@ def counts(rows: DataFrame) -> DataFrame:
 SHAPE = "struct<sides: array<struct<ax: double, ay: double, bx: double, by: double>>, area: boolean, keep: double, factor: int, step: double>"
 
 
+def values(column: pa.ChunkedArray) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
+
 def plan(points: DataFrame, ties: DataFrame, boxes: DataFrame | None = None, planner: Planner | None = None, shapes: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
     """Edges of all tiles.  points (tile, id, x, y, flow), ties (tile, id, x, y), boxes (tile, x0, y0, x1, y1).
 
@@ -385,39 +390,43 @@ def plan(points: DataFrame, ties: DataFrame, boxes: DataFrame | None = None, pla
     (``step``: gates through their band), or, with a factor, dear ground.  others (tile,
     id, x, y, nth): further places that a point may be reached at.
 
-    Rows of the inputs are tagged and grouped by tile in the JVM; a tile is the unit of
-    search and must fit a task, which the tiling decides.
+    Rows of the inputs are tagged and grouped by tile in the JVM; they come in any order, and are sorted as columns.  A tile
+    is the unit of search and must fit a task, which the tiling decides.
     """
     planner = planner or REGISTRY.get()
 
-    def tagged(df: DataFrame, kind: int, id_: Column, *numbers: Column, shape: Column | None = None) -> DataFrame:
+    number = ("kind", "id", "a", "b", "c", "d")
+
+    def tagged(df: DataFrame, kind: int, id_: Column, *numbers: Column) -> DataFrame:
         four = [n.cast("double") for n in numbers] + [F.lit(0.0)] * (4 - len(numbers))
-        r = F.struct(F.lit(kind).alias("kind"), id_.cast("long").alias("id"), *[n.alias(a) for n, a in zip(four, "abcd", strict=True)], (F.lit(None) if shape is None else shape).cast(SHAPE).alias("shape"))
-        return df.select("tile", r.alias("r"))
+        r = F.struct(F.lit(kind).alias("kind"), id_.cast("long").alias("id"), *[n.alias(a) for n, a in zip(four, "abcd", strict=True)])
+        return df.select("tile", r.alias("r"), F.lit(None).cast(SHAPE).alias("shape"))
 
     c, zero = F.col, F.lit(0)
     rows = tagged(points, 0, c("id"), c("x"), c("y"), c("flow")).union(tagged(ties, 1, c("id"), c("x"), c("y")))
     if boxes is not None:
         rows = rows.union(tagged(boxes, 2, zero, c("x0"), c("y0"), c("x1"), c("y1")))
-    if shapes is not None:
-        rows = rows.union(tagged(shapes, 3, zero, shape=F.struct("sides", "area", c("keep").cast("double").alias("keep"), c("factor").cast("int").alias("factor"), c("step").cast("double").alias("step"))))
     if others is not None:
-        rows = rows.union(tagged(others, 4, c("id"), c("nth"), c("x"), c("y")))
-    tiles = rows.groupBy("tile").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+        rows = rows.union(tagged(others, 3, c("id"), c("nth"), c("x"), c("y")))
+    if shapes is not None:
+        shape = F.struct("sides", "area", c("keep").cast("double").alias("keep"), c("factor").cast("int").alias("factor"), c("step").cast("double").alias("step"))
+        rows = rows.union(shapes.select("tile", F.lit(None).cast(rows.schema["r"].dataType).alias("r"), shape.cast(SHAPE).alias("shape")))
+    tiles = rows.groupBy("tile").agg(F.collect_list("r").alias("rows"), F.sort_array(F.collect_list("shape")).alias("shapes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["tile", "variant", "edge", "parent", "node", "flow", "length", "line", "unconnected", "root", "note"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
-            for tile, found in zip(batch.column("tile").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                of: dict[int, list[dict]] = defaultdict(list)
-                for r in found:
-                    of[r["kind"]].append(r)
+            for i, (tile, found) in enumerate(zip(batch.column("tile").to_pylist(), batch.column("shapes").to_pylist(), strict=True)):
+                # Numbers stay columns until they are sorted and told apart by kind.
+                table = pa.Table.from_arrays(batch.column("rows").slice(i, 1).flatten().flatten(), list(number))
+                table = table.take(pc.sort_indices(table, sort_keys=[(n, "ascending") for n in number], null_placement="at_start"))
+                of = [list(zip(*(values(v) for v in table.filter(pc.equal(table["kind"], k)).columns[1:]), strict=True)) for k in range(4)]
                 more: dict[int, list[tuple[float, float]]] = defaultdict(list)
-                for r in of[4]:  # sorted by point and place
-                    more[r["id"]].append((r["b"], r["c"]))
-                whole = [Shape(tuple((x["ax"], x["ay"], x["bx"], x["by"]) for x in r["shape"]["sides"]), r["shape"]["area"], r["shape"]["keep"], r["shape"]["factor"] or 0, r["shape"]["step"] or 0.0) for r in of[3]]
-                t = Tile([(r["id"], r["a"], r["b"], r["c"]) for r in of[0]], [(r["id"], r["a"], r["b"]) for r in of[1]], [(r["a"], r["b"], r["c"], r["d"]) for r in of[2]], whole, dict(more))
+                for r in of[3]:  # sorted by point and place
+                    more[r[0]].append(r[2:4])
+                whole = [Shape(tuple((x["ax"], x["ay"], x["bx"], x["by"]) for x in r["sides"]), r["area"], r["keep"], r["factor"] or 0, r["step"] or 0.0) for r in found]
+                t = Tile([r[:4] for r in of[0]], [r[:3] for r in of[1]], [r[1:] for r in of[2]], whole, dict(more))
                 variants, lost = planner.plan(t)
                 out = [(tile, v + 1, e.edge, e.parent, e.node, e.flow, e.length, [{"x": x, "y": y} for x, y in e.line], None, e.root, None) for v, edges in enumerate(variants) for e in edges]
                 out += [(tile, 0, None, None, None, None, None, None, i, None, None) for i in lost]

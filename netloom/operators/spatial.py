@@ -2,7 +2,8 @@
 
 A bin join never compares rows that share no bin.  Bins come in sizes: a box lies in
 at most four bins of its own size class, and two boxes are compared in bins of the
-larger one's class, so neither small nor very large boxes make many rows.  Bins that
+larger one's class, so neither small nor very large boxes make many rows.  The key says
+which side is the larger, so two small boxes never meet in a large bin.  Bins that
 hold very many rows are ordinary skewed keys of a sort-merge join, which adaptive
 execution splits.
 """
@@ -38,11 +39,11 @@ def size_class(box: Box) -> Column:
     return F.when(wide > BIN, F.ceil(F.log(wide / BIN) / math.log(STEP) - 1e-9)).otherwise(0).cast("int")
 
 
-def candidates(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box, reach: float = 0.0) -> DataFrame:
-    """Rows of both sides whose boxes, one widened by ``reach``, overlap or touch; each pair once.
+def sharing_bins(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box, reach: float = 0.0) -> DataFrame:
+    """Rows of both sides that share a bin of the larger one's class, once for each such bin, with ``_a`` and ``_b``, their
+    boxes (one widened by ``reach``), and the bin (``_class``, ``_bx``, ``_by``).
 
-    Columns of the two sides must have different names.  One small aggregate reads
-    which size classes there are (some ten at most).
+    One small aggregate reads which size classes there are (some ten at most).
     """
 
     def placed(df: DataFrame, box: Box, mark: str, more: float) -> DataFrame:
@@ -50,10 +51,15 @@ def candidates(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box,
         return df.withColumns({f"_{mark}": F.struct(*[c.alias(n) for c, n in zip(wide, ("x0", "y0", "x1", "y1"), strict=True)]), f"_{mark}c": size_class(wide)})
 
     a, b = placed(left, left_box, "a", reach), placed(right, right_box, "b", 0.0)
-    classes = sorted({r[0] for df, c in ((a, "_ac"), (b, "_bc")) for r in df.select(c).distinct().collect() if r[0] is not None})
+    of = {m: {r[0] for r in df.select(f"_{m}c").distinct().collect() if r[0] is not None} for m, df in (("a", a), ("b", b))}
+    # Where two rows meet: in bins of one class, which is that of both, or of one while the other's is less.
+    met = [(c, "ab") for c in sorted(of["a"] & of["b"])] + [(c, m) for m, o in ("ab", "ba") for c in sorted(of[m]) if any(k < c for k in of[o])]
 
     def binned_(df: DataFrame, mark: str) -> DataFrame:
-        rows = df.withColumn("_class", F.explode(F.filter(F.array(*map(F.lit, classes or [0])), lambda c: c >= F.col(f"_{mark}c"))))
+        places = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(m).alias("m")) for c, m in met or [(0, "ab")]])
+        own = F.col(f"_{mark}c")
+        at = F.filter(places, lambda p: F.when(F.contains(p["m"], F.lit(mark)), p["c"] == own).otherwise(p["c"] > own))
+        rows = df.withColumn("_at", F.explode(at)).withColumns({"_class": F.col("_at.c"), "_larger": F.col("_at.m")}).drop("_at")
         size = F.lit(float(BIN)) * F.pow(F.lit(float(STEP)), F.col("_class"))
 
         def span(low: str, high: str) -> Column:
@@ -62,12 +68,20 @@ def candidates(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box,
         return rows.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("y0", "y1")))
 
     # Sizes guessed from files know nothing of exploded rows and shapes; a broadcast by such a guess may not fit the driver.
-    rows = binned_(a, "a").hint("merge").join(binned_(b, "b"), ["_class", "_bx", "_by"])
+    return binned_(a, "a").hint("merge").join(binned_(b, "b"), ["_class", "_larger", "_bx", "_by"]).drop("_larger", "_ac", "_bc")
+
+
+def candidates(left: DataFrame, left_box: Box, right: DataFrame, right_box: Box, reach: float = 0.0) -> DataFrame:
+    """Rows of both sides whose boxes, one widened by ``reach``, overlap or touch; each pair once.
+
+    Columns of the two sides must have different names.
+    """
+    rows = sharing_bins(left, left_box, right, right_box, reach)
     size = F.lit(float(BIN)) * F.pow(F.lit(float(STEP)), F.col("_class"))
     meet = (F.col("_a.x0") <= F.col("_b.x1")) & (F.col("_b.x0") <= F.col("_a.x1")) & (F.col("_a.y0") <= F.col("_b.y1")) & (F.col("_b.y0") <= F.col("_a.y1"))
     # A pair is taken in one bin only: the one of the overlap's lower corner.
     home = (F.col("_bx") == F.floor(F.greatest("_a.x0", "_b.x0") / size)) & (F.col("_by") == F.floor(F.greatest("_a.y0", "_b.y0") / size))
-    return rows.filter((F.col("_class") == F.greatest("_ac", "_bc")) & meet & home).drop("_class", "_bx", "_by", "_a", "_b", "_ac", "_bc")
+    return rows.filter(meet & home).drop("_class", "_bx", "_by", "_a", "_b")
 
 
 def bins(x0: Column, y0: Column, x1: Column, y1: Column, size: int = BIN) -> Column:

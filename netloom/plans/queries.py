@@ -1174,13 +1174,12 @@ def _(spark, d):
 def _(spark, d):
     from netloom.operators import obstacles
 
-    parts = planned_segments(spark, d)
-    boxes = ruled(spark, d).filter("mode = 'PROHIBITED'")
-    # A way into the box that holds its end is a tail, not a fault.
-    found = obstacles.crossing_angles(parts, boxes).join(parts.select("seg_id", "x1", F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2")).withColumnRenamed("x1", "u1"), "seg_id").join(boxes, "r_id")
-    holds = [(F.col("x0") < F.col(u)) & (F.col(u) < F.col("x1")) & (F.col("y0") < F.col(v)) & (F.col(v) < F.col("y1")) for u, v in (("u1", "v1"), ("u2", "v2"))]
-    found = found.filter(~(holds[0] | holds[1])).select("seg_id").distinct()
-    return parts.join(found.withColumn("through", F.lit(True)), "seg_id", "left").groupBy(F.coalesce("through", F.lit(False)).alias("through")).agg(F.count("*").alias("segments"), F.round(F.sum(S.distance(*map(F.col, ("x1", "y1", "x2", "y2")))), 3).alias("length"))
+    # Equal segments are asked for once.
+    ends = ("x1", "y1", "x2", "y2")
+    ways = planned_segments(spark, d).groupBy(*ends).agg(F.count("*").alias("n"))
+    found = obstacles.through(ways, ruled(spark, d).filter("mode = 'PROHIBITED'")).withColumn("through", F.lit(True))
+    rows = ways.join(found, [*ends], "left").select(F.coalesce("through", F.lit(False)).alias("through"), "n", S.distance(*map(F.col, ends)).alias("length"))
+    return rows.groupBy("through").agg(F.sum("n").alias("segments"), F.round(F.sum(F.col("n") * F.col("length")), 3).alias("length"))
 
 
 # Checks of a network with faults in it.

@@ -216,6 +216,16 @@ def test_nearest_however_far(spark):
     assert {k: sorted(v) for k, v in got.items()} == {i: sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in others)[:5] for i, x, y in points}
 
 
+def test_small_boxes_never_meet_in_large_bins(spark):
+    """One large box on a side: it meets all others in its bin, while small ones only meet those of their own small bin."""
+    spots = [(64 * x + 10, 64 * y + 10) for x in range(4) for y in range(4)]
+    a = spark.createDataFrame([(x, y, x + 5, y + 5) for x, y in spots] + [(1, 1, 250, 250)], "ax0 int, ay0 int, ax1 int, ay1 int")
+    b = spark.createDataFrame([(x, y, x + 5, y + 5) for x, y in spots], "bx0 int, by0 int, bx1 int, by1 int")
+    sides = (a, spatial.corners("ax0", "ay0", "ax1", "ay1")), (b, spatial.corners("bx0", "by0", "bx1", "by1"))
+    for one, other in (sides, sides[::-1]):
+        assert spatial.sharing_bins(*one, *other).count() == spatial.candidates(*one, *other).count() == 32
+
+
 def test_candidates_of_all_sizes_meet_once(spark):
     rng = random.Random(5)
     boxes = []
@@ -289,6 +299,29 @@ def test_planned_points_are_leaves_and_turn_little(spark, sf):
     assert all(r["not_leaves"] == 0 for r in registry.queries()["val03_planned_leaves"](spark, sf).collect())
 
 
+def test_segments_through_boxes_are_those_of_all_pairs(spark):
+    """Against all pairs: segments through boxes, along sides, into boxes that hold an end; equal segments and boxes are one."""
+    from netloom.operators import obstacles
+
+    rng = random.Random(8)
+    ways = [tuple(float(rng.randrange(0, 60)) for _ in range(4)) for _ in range(150)] + [(-200.0, 7.0, 400.0, 7.5)]
+    boxes = [(x, y, x + rng.randrange(1, 15), y + rng.randrange(1, 15)) for x, y in ((rng.randrange(60), rng.randrange(60)) for _ in range(12))]
+
+    def side(a, b, c, d, x, y):
+        return (c - a) * (y - b) - (d - b) * (x - a)
+
+    def through(w, box):
+        x0, y0, x1, y1 = box
+        if any(x0 < x < x1 and y0 < y < y1 for x, y in (w[:2], w[2:])):
+            return False
+        sides = (x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0)
+        return any(side(*w, *s[:2]) * side(*w, *s[2:]) < 0 and side(*s, *w[:2]) * side(*s, *w[2:]) < 0 for s in sides)
+
+    want = sorted({w for w in ways if any(through(w, b) for b in boxes)})
+    found = obstacles.through(spark.createDataFrame(ways * 2, "x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(boxes * 3, "x0 long, y0 long, x1 long, y1 long"))
+    assert 0 < len(want) < len(set(ways)) and sorted(map(tuple, found.collect())) == want
+
+
 def test_planned_routes_are_valid(spark, sf):
     run = registry.queries()
     assert [r["through"] for r in run["val01_routes_through_restrictions"](spark, sf).collect()] == [False]

@@ -242,3 +242,38 @@ def test_checks_of_a_plan_search_each_tile_once(spark, sf, tmp_path, monkeypatch
     tiles = [f.name.split("-")[0] for f in tmp_path.iterdir()]
     with_points = [t for t in tiles if t != "none"]
     assert with_points and len(with_points) == len(set(with_points))
+
+
+def test_a_tile_comes_sorted_and_whole(spark):
+    """Rows of all kinds in any order: a planner gets each, by kind and in order, nulls and copies too."""
+
+    class Telling:
+        def plan(self, tile):
+            tile.notes.append(repr((tile.points, tile.ties, tile.boxes, tile.shapes, tile.others)))
+            return [], [p[0] for p in tile.points]
+
+    points = [(2**60 + 1, 3.0, 1.0, None), (2**60, 3.0, 1.0, 2.0), (1, 0.5, 7.0, 1.0), (1, 0.5, 7.0, None)]
+    ties, boxes = [(5, 1.0, 1.0), (-4, 9.0, 2.0), (5, 1.0, 0.0)], [(4, 4, 6, 6), (1, 2, 3, 4), (4, 4, 6, 6)]
+    others = [(1, 2, 8.0, 8.0), (1, 1, 9.0, 9.0)]
+    shapes_ = [([(0.0, 0.0, 5.0, 0.0)], False, 2.0, None, 1.5), ([(0.0, 0.0, 4.0, 0.0)], False, 1.0, 150, None)]
+    side = "array<struct<ax: double, ay: double, bx: double, by: double>>"
+    made = [
+        spark.createDataFrame([(t, *r) for t in (1, 2) for r in rows], f"tile long, {kind}")
+        for rows, kind in ((points, "id long, x double, y double, flow double"), (ties, "id long, x double, y double"), (boxes, "x0 long, y0 long, x1 long, y1 long"), (shapes_, f"sides {side}, area boolean, keep double, factor int, step double"), (others, "id long, nth int, x double, y double"))
+    ]
+    rows = planner.plan(made[0], made[1], made[2], Telling(), made[3], made[4])
+    told = {r["tile"]: r["note"] for r in rows.filter("note is not null").collect()}
+    nulls_first = sorted(points, key=lambda p: (*p[:3], p[3] or 0.0))
+    whole = [Shape(((0.0, 0.0, 4.0, 0.0),), False, 1.0, 150, 0.0), Shape(((0.0, 0.0, 5.0, 0.0),), False, 2.0, 0, 1.5)]
+    want = repr((nulls_first, sorted(ties), sorted(tuple(map(float, b)) for b in boxes), whole, {1: [(9.0, 9.0), (8.0, 8.0)]}))
+    assert told == {1: want, 2: want}
+    assert sorted(r["unconnected"] for r in rows.filter("tile = 1 and unconnected is not null").collect()) == sorted(p[0] for p in points)
+
+
+def test_corners_of_boxes_are_those_of_shapes():
+    """Boxes, turned ones too, give the corners and envelopes that shapes of their sides give."""
+    boxes = [(10, 10, 20, 25), (30, 5, 33, 15), (50, 40, 42, 33)]
+    a = grid([(0, 0)], [(60, 60)], boxes=boxes)
+    b = grid([(0, 0)], [(60, 60)], shapes=[Shape.box(*map(float, x)) for x in boxes])
+    assert a.envelopes.tolist() == b.envelopes.tolist()
+    assert [a.corners_out(i) for i in range(3)] == [b.corners_out(i) for i in range(3)]
