@@ -730,7 +730,7 @@ def planned(spark: SparkSession, d: str) -> DataFrame:
     points = tiled(T.connection_points(spark, d)).select("tile", F.col("cp_id").alias("id"), "x", "y", "flow")
     spots = tiled(T.connection_points(spark, d).filter("cp_id % 40 = 1")).select("tile", F.col("cp_id").alias("id"), "x", "y")
     boxes = ruled(spark, d).filter("mode = 'PROHIBITED'")
-    boxes = spatial.tiles(boxes, TILE, 0).join(boxes, "r_id").select((F.col("tc") * 1000 + F.col("tr")).cast("long").alias("tile"), "x0", "y0", "x1", "y1")
+    boxes = spatial.binned(boxes, "x0", "y0", "x1", "y1", 0, TILE).select((F.col("_bin.bx") * 1000 + F.col("_bin.by")).cast("long").alias("tile"), "x0", "y0", "x1", "y1")
     return planner.plan(points, spots, boxes)
 
 
