@@ -59,7 +59,9 @@ class Ids:
     whole.
     """
 
-    PUNCTUATION = r"""([\pL\pN])([!-&(-/:-@\[-`{-~]+)(\s|$)"""
+    #: Letters that end in a mark once normalised, which joins the punctuation after it.
+    MARKED = r"\x{130}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}\x{f4d}\x{f52}\x{f57}\x{f5c}\x{f69}\x{fb1d}-\x{fb4e}"
+    PUNCTUATION = r"([^\PL" + MARKED + r"]|\pN)([!-&(-/:-@\[-`{-~]+)(\s|$)"
     SPACES = r"[\t\n\f\r ]+"
     PART = "<|endoftext|>"
 

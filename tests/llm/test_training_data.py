@@ -92,6 +92,16 @@ def test_ids_equal_the_tokenizers(spark):
         assert list(found) == direct.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_letters_that_end_in_a_mark(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    direct, ids = Tokenizer.from_file(path), packing.Ids(path)
+    texts = [f"a{chr(c)}, {chr(c)}.!\nb{chr(c)}>>" for a, b in [(0x80, 0x3000), (0xA000, 0xFFFF)] for c in range(a, b) if not 0xD800 <= c <= 0xDFFF]
+    for text, found in zip(texts, ids(pa.array(texts)), strict=True):
+        assert list(found) == direct.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_places_every_piece(spark, docs, empty):
     path = queries.tokenizer_path()
     out = packing.packed(docs, path, length=64).toPandas()
