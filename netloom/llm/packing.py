@@ -26,9 +26,12 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +59,23 @@ class Ids:
     words are split there first.  Texts where that does not hold (apostrophes
     make contractions, ``<|`` may begin a special token, and separators that the
     two sides see differently) take the tokenizer's own path, word by word or
-    whole.
+    whole.  A new word of ``LETTERS`` alone is one pre-token that the normaliser
+    leaves as it is, so it goes to the tokenizer's model at once, with its bytes
+    written as the byte-level pre-tokenizer writes them.
     """
 
     #: Letters that end in a mark once normalised, which joins the punctuation after it.
     MARKED = r"\x{130}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}\x{f4d}\x{f52}\x{f57}\x{f5c}\x{f69}\x{fb1d}-\x{fb4e}"
     PUNCTUATION = r"([^\PL" + MARKED + r"]|\pN)([!-&(-/:-@\[-`{-~]+)(\s|$)"
-    SPACES = r"[\t\n\f\r ]+"
+    #: Capitals and white space of ASCII, as lower-case letters and spaces.
+    FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\f\r", b"abcdefghijklmnopqrstuvwxyz    "))
+    #: Lower-case letters, or without case, that are in normal form C whatever other of them stand beside: Latin, Greek, Cyrillic, Hebrew, Arabic, kana, Han, Hangul.
+    LETTERS = re.compile(
+        "[a-z\xdf-\xf6\xf8-\xff" + "".join(c for c in map(chr, range(0x100, 0x180)) if c.islower()) + "\u03b1-\u03ce\u0430-\u045f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fa5\uac00-\ud7a3]+"
+    )
+    #: What stands for each byte in the model, except that the space stays, to part words: its own code point, or one from 256 on for those that do not print.
+    MOVED = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])} | {32: " "}
+    BYTES = "".join(map(MOVED.get, range(256), map(chr, range(256))))
     PART = "<|endoftext|>"
 
     def __init__(self, path: str) -> None:
@@ -70,7 +83,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.part = self.tokenizer.token_to_id(self.PART)
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
@@ -87,20 +100,31 @@ class Ids:
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encode new words in one call; a special token, which no word holds, parts them."""
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            found = np.asarray(self.tokenizer.encode(self.PART.join([*some, ""]), add_special_tokens=False).ids, dtype=np.uint32)
+    def keep(self, some: list[bytes], found: np.ndarray, ends: np.ndarray) -> None:
+        """Remember words by the ids of all of them and where each one's end."""
+        at = int(self.ends[-1])
+        if at + len(found) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(at + 2 * len(found), np.uint32)])
+        self.ids[at : at + len(found)] = found
+        self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+        self.ends = np.concatenate([self.ends, at + ends])
+
+    def learn(self, fresh: list[bytes]) -> None:
+        """Encode new words: those of letters by the model, others in one call, where a special token, which no word holds, parts them."""
+        letters, others = [], []
+        for word in fresh:
+            (letters if word.isalpha() or self.LETTERS.fullmatch(word.decode()) else others).append(word)
+        tokenize = self.tokenizer.model.tokenize
+        for i in range(0, len(letters), 20_000):
+            some = letters[i : i + 20_000]
+            lists = [[t.id for t in tokenize(word)] for word in codecs.charmap_decode(b" ".join(some), "strict", self.BYTES)[0].split(" ")]
+            ends = np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+            self.keep(some, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(ends[-1])), ends)
+        for i in range(0, len(others), 20_000):
+            some = others[i : i + 20_000]
+            found = np.asarray(self.tokenizer.encode(self.PART.join([*(word.decode() for word in some), ""]), add_special_tokens=False).ids, dtype=np.uint32)
             parts = found == self.part
-            at = int(self.ends[-1])
-            ends = at + np.flatnonzero(parts) - np.arange(len(some))
-            found = found[~parts]
-            if at + len(found) > len(self.ids):
-                self.ids = np.concatenate([self.ids[:at], np.zeros(at + 2 * len(found), np.uint32)])
-            self.ids[at : at + len(found)] = found
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-            self.ends = np.concatenate([self.ends, ends])
+            self.keep(some, found[~parts], np.flatnonzero(parts) - np.arange(len(some)))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -112,19 +136,26 @@ class Ids:
                 out[i] = x
         if odd.all():
             return out
-        plain = pc.ascii_lower(texts.filter(pa.array(~odd)))
+        plain = texts.filter(pa.array(~odd))
+        valid, offsets, data = plain.buffers()
+        plain = pa.LargeStringArray.from_buffers(len(plain), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(self.FOLD)), valid, offset=plain.offset)
         apart = pc.replace_substring_regex(plain, self.PUNCTUATION, r"\1 \2\3")
         contraction = pc.match_substring(plain, "'")
         plain = pc.if_else(contraction, plain, apart)
-        lists = pc.split_pattern_regex(plain, self.SPACES)
+        # Two spaces beside each other part an empty word, which has no ids.
+        lists = pc.split_pattern(plain, " ")
         sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        fresh = [w for w in names if w not in self.known]
+        number = len(coded.dictionary)
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, number], pa.int32()), coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_buffer().to_pybytes().split(b" ")
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=number)
+        fresh = [names[i] for i in np.flatnonzero(place < 0)]
         if len(self.known) + len(fresh) > CACHE and self.known:
             self.known, self.ends, fresh = {}, np.zeros(1, np.int64), names
+            place[:] = -1
         self.learn(fresh)
-        place = np.fromiter((self.known[w] for w in names), dtype=np.int64, count=len(names))[np.asarray(coded.indices)]
+        place[place < 0] = np.fromiter(map(self.known.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+        place = place[np.asarray(coded.indices)]
         begin, count = self.ends[place], self.ends[place + 1] - self.ends[place]
         after = np.cumsum(count, dtype=np.int64)
         flat = self.ids[np.arange(after[-1] if len(after) else 0) + np.repeat(begin - (after - count), count)]

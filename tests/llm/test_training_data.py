@@ -102,6 +102,30 @@ def test_ids_of_letters_that_end_in_a_mark(spark):
         assert list(found) == direct.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_of_letters_go_to_the_model(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    direct, ids = Tokenizer.from_file(path), packing.Ids(path)
+    letters = [c for c in map(chr, range(1 << 16)) if ids.LETTERS.fullmatch(c)]
+    assert direct.normalizer.normalize_str("".join(letters)) == "".join(letters) and len(direct.pre_tokenizer.pre_tokenize_str("".join(letters))) == 1
+
+    class Counting:
+        model, given = direct.model, 0
+
+        def encode(self, text, **options):
+            self.given += len(text)
+            return direct.encode(text, **options)
+
+    ids.tokenizer = Counting()
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice(kind) for _ in range(rng.randint(1, 12))) for _ in range(200)) for kind in ["abcdefgh", "aeiouéèñßüæœ", letters[:300], letters] for _ in range(10)] + ["A\tb\r\n\fç  ", "x" * 5000]
+    for text, found in zip(texts, ids(pa.array(texts)), strict=True):
+        assert list(found) == direct.encode(text, add_special_tokens=False).ids, text
+    # Only the empty word, between two spaces, takes the tokenizer's whole path.
+    assert ids.tokenizer.given <= len(ids.PART)
+
+
 def test_packing_places_every_piece(spark, docs, empty):
     path = queries.tokenizer_path()
     out = packing.packed(docs, path, length=64).toPandas()
